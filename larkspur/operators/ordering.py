@@ -73,7 +73,10 @@ def seeded_rank(
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
     """First k rows per key. Spark keeps k rows per key and task before the shuffle, so a hot key
-    ships k rows per task and not all its rows."""
+    ships k rows per task and not all its rows. It does so up to k = 1000; take ``running_sum`` or
+    ``seeded_rank`` for more."""
+    if k > 1000:
+        raise ValueError("top_k is for k up to 1000")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.functions.scalar import EMAIL, PHONE, ngrams, seeded_score, words
+from larkspur.functions.scalar import EMAIL, PHONE, ngrams, ratio, words
+from larkspur.operators.ordering import top_k
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -52,3 +53,174 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return own.where(absolute | F.startswith("href", F.lit("/"))).select(
         "page_id", "host", "path", target.alias("to_host"), path.alias("to_path")
     )
+
+
+def parse_labelled_lines(df: DataFrame, answer: str) -> DataFrame:
+    """``LABEL: a, b`` lines to one (label, entity) row per entity; blank entities are dropped."""
+    line = F.explode(F.split(F.col(answer), "\n")).alias("_line")
+    parts = df.select("*", line).select(
+        "*", F.regexp_extract("_line", r"^\s*([A-Za-z_]+)\s*:", 1).alias("label"),
+        F.split(F.regexp_extract("_line", r"^[^:]*:(.*)$", 1), ",").alias("_entities"),
+    )
+    return (
+        parts.where(F.col("label") != "")
+        .withColumn("entity", F.explode("_entities"))
+        .withColumn("entity", F.trim("entity"))
+        .where(F.col("entity") != "")
+        .drop("_line", "_entities")
+    )
+
+
+def parse_labelled_list(df: DataFrame, answer: str) -> DataFrame:
+    """``Name (LABEL), Name (LABEL)`` lists to one (label, entity) row per entity."""
+    pattern = r"([^,()]+)\(([A-Za-z_]+)\)"
+    names = F.regexp_extract_all(F.col(answer), F.lit(pattern), F.lit(1))
+    labels = F.regexp_extract_all(F.col(answer), F.lit(pattern), F.lit(2))
+    pairs = F.arrays_zip(labels.alias("label"), names.alias("entity"))
+    return df.select("*", F.inline(pairs)).withColumn("entity", F.trim("entity"))
+
+
+def build_requests(
+    df: DataFrame, text: str, system_message: str, max_words: int, max_tokens: int = 1024, base_prompt: str = "",
+    long_text: str = "split",
+) -> DataFrame:
+    """One JSON request per text. A text above ``max_words`` becomes several requests
+    (``long_text='split'``, numbered by ``part``) or is cut (``'truncate'``)."""
+    if long_text not in ("split", "truncate"):
+        raise ValueError("long_text must be 'split' or 'truncate'")
+    all_words = F.regexp_extract_all(text, F.lit(r"[^ \n\t]+"), F.lit(0))
+    rows = df.withColumn("_w", all_words).withColumn("n_words", F.size("_w"))
+    last = F.greatest(F.ceil(F.col("n_words") / max_words), F.lit(1)).cast("int") if long_text == "split" else F.lit(1)
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(1), last)))
+    content = F.when(F.col("n_words") <= max_words, F.col(text)).otherwise(
+        F.array_join(F.slice("_w", (F.col("part") - 1) * max_words + 1, max_words), " ")
+    )
+    message = F.struct(F.lit("user").alias("role"), F.concat(F.lit(base_prompt), content).alias("content"))
+    system = F.struct(F.lit("system").alias("role"), F.lit(system_message).alias("content"))
+    request = F.struct(F.array(system, message).alias("messages"), F.lit(max_tokens).alias("max_tokens"))
+    return parts.withColumn("request", F.to_json(request)).drop("_w")
+
+
+def contacts(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """E-mail addresses and phone numbers found in a text, one row per hit."""
+    def hits(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x).alias("contact")))
+
+    return df.select(id_col, F.inline(F.concat(hits("email", EMAIL), hits("phone", PHONE))))
+
+
+def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, term, tf): how often each word occurs in each text."""
+    return df.select(id_col, F.explode(words(F.col(text))).alias("term")).groupBy(id_col, "term").agg(
+        F.count("*").alias("tf")
+    )
+
+
+def dictionary_mentions(counts: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """Mentions and texts per dictionary name. Counts are summed per term before the dictionary joins."""
+    per_term = counts.groupBy("term").agg(F.sum("tf").alias("mentions"), F.count("*").alias("texts"))
+    return per_term.join(names.select(F.col(name).alias("term")).distinct(), "term")
+
+
+def tf_idf(counts: DataFrame, id_col: str, n_texts: Column) -> DataFrame:
+    """tf * ln(N / df). The frequency table has one row per term; a term of a third of all texts is one
+    big key of that join, which adaptive execution splits."""
+    df_table = counts.groupBy("term").agg(F.count("*").alias("df"))
+    return counts.join(df_table, "term").withColumn("tf_idf", F.col("tf") * F.ln(n_texts / F.col("df")))
+
+
+def class_words(counts: DataFrame, classes: DataFrame, id_col: str, label: str, k: int) -> DataFrame:
+    """The k words whose share in a class most exceeds their share in all classes together."""
+    by_class = counts.join(classes.select(id_col, label), id_col).groupBy(label, "term").agg(F.sum("tf").alias("n"))
+    class_total = by_class.groupBy(label).agg(F.sum("n").alias("class_n"))
+    per_term = by_class.groupBy("term").agg(F.sum("n").alias("term_n"))
+    total = by_class.agg(F.sum("n")).scalar()
+    lift = F.col("n") / F.col("class_n") - F.col("term_n") / F.col("_total")
+    scored = by_class.join(class_total, label).join(per_term, "term").withColumn("_total", total).withColumn(
+        "lift", F.round(lift, 9)
+    )
+    return top_k(scored, [label], [F.desc("lift"), F.col("term")], k).select(label, "term", "n", "lift", "rn")
+
+
+def augment(df: DataFrame, id_col: str, text: str, copy: str, contractions: dict, synonyms: dict, drop_of_16: int, seed: str) -> DataFrame:
+    """Reworded copies: contractions, synonym words, and words dropped at a seeded rate of
+    ``drop_of_16`` in 16. Meant for training rows only."""
+    short = F.col(text)
+    for long_form, contraction in contractions.items():
+        short = F.replace(short, F.lit(long_form), F.lit(contraction))
+    key = F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.col(copy).cast("string"))
+
+    def dropped(i: Column) -> Column:
+        digit = F.substring(F.md5(F.concat_ws("|", key, i.cast("string"))), 1, 1)
+        return F.conv(digit, 16, 10).cast("int") < drop_of_16
+
+    table = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
+    swapped = F.transform(F.split(short, " "), lambda w: F.coalesce(F.try_element_at(table, w), w))
+    return df.withColumn(text, F.array_join(F.filter(swapped, lambda w, i: ~dropped(i)), " "))
+
+
+def chunks(df: DataFrame, id_col: str, text: str, size: int, overlap: int) -> DataFrame:
+    """Consecutive pieces of ``size`` words, each repeating the last ``overlap`` of the one before."""
+    step = size - overlap
+    rows = df.select(id_col, F.regexp_extract_all(text, F.lit(r"[^ \n\t]+"), F.lit(0)).alias("_w"))
+    n = F.greatest(F.ceil((F.size("_w") - overlap) / step), F.lit(1)).cast("int")
+    numbered = rows.where(F.size("_w") > 0).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    piece = F.slice("_w", F.col("chunk") * step + 1, size)
+    return numbered.select(id_col, "chunk", F.size(piece).alias("n_words"), F.array_join(piece, " ").alias("chunk_text"))
+
+
+def ngram_overlap(df: DataFrame, ids: list[str], candidate: str, reference: str, n: int) -> DataFrame:
+    """Clipped n-gram precision, recall and F1 of a candidate text against its reference text."""
+    def counted(text: str, side: str) -> DataFrame:
+        grams = df.select(*ids, F.explode(ngrams(words(F.col(text)), n)).alias("gram"))
+        return grams.groupBy(*ids, "gram").agg(F.count("*").alias(side))
+
+    both = counted(candidate, "c").join(counted(reference, "r"), [*ids, "gram"], "full").na.fill(0, ["c", "r"])
+    sums = both.groupBy(*ids).agg(
+        F.sum(F.least("c", "r")).alias("matches"), F.sum("c").alias("n_candidate"), F.sum("r").alias("n_reference")
+    )
+    m, c, r = F.col("matches"), F.col("n_candidate"), F.col("n_reference")
+    return sums.select(*ids, "matches", ratio(m, c).alias("precision"), ratio(m, r).alias("recall"), ratio(2 * m, c + r).alias("f1"))
+
+
+def quality_measures(df: DataFrame, text: str) -> DataFrame:
+    """Length, share of symbols and share of distinct words of a text."""
+    w = words(F.col(text))
+    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", ""))
+    return df.withColumn("_w", w).withColumns({
+        "n_words": F.size("_w"),
+        "symbol_share": ratio(symbols, F.length(text)),
+        "distinct_share": ratio(F.size(F.array_distinct("_w")), F.size("_w")),
+    }).drop("_w")
+
+
+def quality_filter(measured: DataFrame, min_words: int = 20, max_symbols: float = 0.1, min_distinct: float = 0.2) -> DataFrame:
+    return measured.where(
+        (F.col("n_words") >= min_words) & (F.col("symbol_share") <= max_symbols) & (F.col("distinct_share") >= min_distinct)
+    )
+
+
+def search(postings: DataFrame, id_col: str, terms: list[str]) -> DataFrame:
+    """Texts that hold all terms, best first. ``postings`` are (id, term, tf) rows: a list of one row
+    per text and term, so that a frequent term is many rows and not one huge array."""
+    wanted = sorted({t.lower() for t in terms})
+    return (
+        postings.where(F.col("term").isin(wanted))
+        .groupBy(id_col).agg(F.count("*").alias("_terms"), F.sum("tf").alias("hits"))
+        .where(F.col("_terms") == len(wanted)).drop("_terms")
+        .orderBy(F.desc("hits"), id_col)
+    )
+
+
+def link_report(edges: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(backlinks, orphans): links between known pages counted per target page, and the pages no known
+    page links to. ``pages`` has page_id, host, path."""
+    known = pages.select(F.col("page_id").alias("to_page"), F.col("host").alias("to_host"), F.col("path").alias("to_path"))
+    counted = edges.groupBy("page_id", "to_host", "to_path").agg(F.count("*").alias("n"))
+    backlinks = (
+        counted.join(known, ["to_host", "to_path"]).where(F.col("page_id") != F.col("to_page"))
+        .groupBy("to_page").agg(F.count("*").alias("linking_pages"), F.sum("n").alias("links"))
+    )
+    orphans = pages.join(backlinks.select(F.col("to_page").alias("page_id")), "page_id", "left_anti")
+    return backlinks, orphans

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalar as S
 from larkspur.operators import metrics as M, stats as A
-from larkspur.operators.ordering import seeded_rank
 from larkspur.operators.text import link_edges
+from larkspur.operators.windows import learning_prefixes
 from larkspur.plans.registry import query
 from larkspur.plans.relational_queries import COMMON_WORDS
 from larkspur.plans.sqltext import score, shuffle, tokens, words
@@ -310,19 +310,10 @@ def binary_metrics(t):
     m AS (SELECT fraction, {METRICS_SQL} FROM d, (VALUES (0.8::double), (0.9), (1.0)) f(fraction) WHERE rn <= floor(fraction * total) GROUP BY fraction)
     SELECT fraction, {METRICS_OUT} FROM m""")
 def learning_curve_metrics(t):
-    prefixes = nested_prefixes(predictions(t), "doc_id", "curve")
+    prefixes = learning_prefixes(predictions(t), "doc_id", "curve", [0.8, 0.9, 1.0])
     return M.binary_metrics(prefixes, "quality", "p", ["fraction"]).withColumns({c: F.round(c, 6) for c in METRIC_NAMES})
 
 
-def nested_prefixes(df, id_col, seed, fractions=(0.8, 0.9, 1.0)):
-    """Each row once per prefix it belongs to."""
-    total = df.agg(F.count("*")).scalar()
-    ranked = seeded_rank(df, id_col, seed).withColumn("_total", total)
-    all_fractions = F.array(*[F.lit(f) for f in fractions])
-    inside = F.filter(all_fractions, lambda f: F.col("rn") <= F.floor(f * F.col("_total")))
-    return ranked.withColumn("fraction", F.explode(inside)).drop("_total")
-
-
 @query("throughput_report", """
     WITH s AS (SELECT user_id, count(*) AS items, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::double AS seconds FROM events GROUP BY user_id)
     SELECT user_id, items, round(seconds, 6) AS seconds, CASE WHEN seconds = 0 THEN 0 ELSE round(items / seconds, 9) END AS per_second FROM s""")
