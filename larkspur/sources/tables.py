@@ -26,6 +26,7 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
     def stream(self, name: str, **options) -> DataFrame:
-        """The same table as an unbounded file source."""
+        """The same table as an unbounded file source. A stream wants a folder or a pattern, and the
+        table may be one file, hence the one-letter pattern."""
         schema = getattr(self, name).schema
-        return self.spark.readStream.schema(schema).options(**options).parquet(self.path(name))
+        return self.spark.readStream.schema(schema).options(**options).parquet(f"{self.folder}/{name}.parque[t]")
