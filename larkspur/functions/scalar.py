@@ -38,6 +38,12 @@ def split_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def emails(text: Column) -> Column:
+    """E-mail addresses; the pattern is only tried on texts that hold an @."""
+    found = F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    return F.when(F.contains(text, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(SPACE_WORD), F.lit(0)))
 
@@ -67,7 +73,7 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def clip_lower(col: Column, floor: float = 0) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larkspur.operators.ordering import computed_once
+
 # The labels an answer may use.
 TOPICS = ["ARTS", "BUSINESS", "ENTERTAINMENT", "HEALTH", "POLITICS", "SCIENCE", "SPORTS", "TECHNOLOGY"]
 SENTIMENTS = ["POSITIVE", "NEGATIVE", "NEUTRAL"]
@@ -31,12 +33,13 @@ def parse_answers(df: DataFrame, answer: str) -> DataFrame:
     """Adds parse_error, topics, sentiment, entities and validation_error. A field of the wrong type
     is null, which fails validation; text that is no JSON is a parse error and not a validation error."""
     v = F.try_parse_json(F.col(answer))
-    fields = df.withColumn("_v", v).withColumns({
-        "parse_error": F.col("_v").isNull(),
-        "topics": F.try_variant_get("_v", "$.topics", "array<string>"),
-        "sentiment": F.try_variant_get("_v", "$.sentiment", "string"),
-        "entities": F.try_variant_get("_v", "$.named_entities", "array<struct<text:string,label:string>>"),
-    }).drop("_v")
+    fields = computed_once(
+        df.withColumn("_v", v),
+        parse_error=F.col("_v").isNull(),
+        topics=F.try_variant_get("_v", "$.topics", "array<string>"),
+        sentiment=F.try_variant_get("_v", "$.sentiment", "string"),
+        entities=F.try_variant_get("_v", "$.named_entities", "array<struct<text:string,label:string>>"),
+    ).drop("_v")
     return fields.withColumn("validation_error", ~F.col("parse_error") & ~is_valid())
 
 

@@ -79,7 +79,7 @@ def tiered_cost(
 def break_even_reads(regular: Column, write: Column, read: Column, storage: Column) -> Column:
     """Cache reads after which writing (and storing) once plus cheap reads costs no more than sending
     the prefix at the regular price each time."""
-    return F.greatest(F.ceil(F.round((write + storage - regular) / (regular - read), 9)), F.lit(0)).cast("long")
+    return F.greatest(F.ceil(F.round(F.try_divide(write + storage - regular, regular - read), 9)), F.lit(0)).cast("long")
 
 
 def cache_savings(requests: DataFrame, text: str, tokens: Column, usd_per_million: float) -> DataFrame:
@@ -90,6 +90,6 @@ def cache_savings(requests: DataFrame, text: str, tokens: Column, usd_per_millio
     repeats = F.col("_n") - 1
     return groups.agg(
         F.sum("_n").alias("requests"), F.sum(repeats).alias("repeats"),
-        (F.sum(repeats) / F.sum("_n")).alias("repeat_share"),
+        F.try_divide(F.sum(repeats), F.sum("_n")).alias("repeat_share"),
         (F.sum(repeats * F.col("_tok")) * usd_per_million / 1e6).alias("saved"),
     )

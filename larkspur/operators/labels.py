@@ -30,7 +30,7 @@ def stratified_split(
     df: DataFrame, label: str, id_col: str, seed: str, train: float = 0.6, test: float = 0.2,
 ) -> DataFrame:
     """Per class: floor(train * n) rows train, floor(test * n) rows test, the rest valid."""
-    ranked = seeded_rank(df, id_col, seed, [label], "_rn").join(class_sizes(df, label), label)
+    ranked = seeded_rank(df, id_col, seed, [label], "_rn", total="_n")
     n_train, n_test = F.floor(F.lit(train) * F.col("_n")), F.floor(F.lit(test) * F.col("_n"))
     split = (
         F.when(F.col("_rn") <= n_train, "train").when(F.col("_rn") <= n_train + n_test, "test").otherwise("valid")

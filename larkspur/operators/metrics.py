@@ -50,7 +50,7 @@ def binary_metrics(df: DataFrame, label: str, probability: str, by: Sequence[str
     )
     tp, fp, fn, n = (F.col(c) for c in ("tp", "fp", "fn", "n"))
     return counts.select(
-        *by, "n", ((n - fp - fn) / n).alias("accuracy"), ratio(tp, tp + fp).alias("precision"),
+        *by, "n", ratio(n - fp - fn, n).alias("accuracy"), ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"), f1(tp, fp, fn).alias("f1"), "log_loss",
     )
 
@@ -92,8 +92,8 @@ def annotator_agreement(df: DataFrame, first: str, second: str) -> DataFrame:
     total = cells.agg(F.sum("n")).scalar()
     rows = cells.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("ra"))
     cols = cells.groupBy(F.col("b").alias("c")).agg(F.sum("n").alias("rb"))
-    chance = rows.join(cols, "c").agg(F.sum(F.col("ra") * F.col("rb")) / (total * total)).scalar()
-    observed = F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)) / F.sum("n")
+    chance = rows.join(cols, "c").agg(F.try_divide(F.sum(F.col("ra") * F.col("rb")), total * total)).scalar()
+    observed = F.try_divide(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)), F.sum("n"))
     s = cells.agg(F.sum("n").alias("n"), observed.alias("observed")).withColumn("expected", chance)
     kappa = ratio(F.col("observed") - F.col("expected"), 1 - F.col("expected"))
     return s.withColumn("kappa", kappa)
@@ -155,7 +155,7 @@ def bradley_terry(matches: DataFrame, iterations: int = 50, checkpoint_every: in
             .groupBy("i")
             .agg(
                 F.first("wins").alias("wins"),
-                (F.first("wins") / F.sum(F.col("n") / (F.col("r") + F.col("rj")))).alias("r"),
+                F.try_divide(F.first("wins"), F.sum(F.try_divide("n", F.col("r") + F.col("rj")))).alias("r"),
             )
         )
         if step % checkpoint_every == 0 and step < iterations:

@@ -18,16 +18,65 @@ def _group(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.lit(1)
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that filters on them do not compute them again. A filter is pushed below
+    a projection together with copies of its expressions; it is not pushed below a generator."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def join_group_stats(
+    rows: DataFrame, stats: DataFrame, keys: Sequence[str], n_rows: str, spread: Sequence[str],
+    salts: int = 256, hot_fraction: int = 1000,
+) -> DataFrame:
+    """Put per-group statistics on every row, with hot groups split over ``salts`` tasks.
+
+    ``stats`` has one row per group, ``n_rows`` of it counts the group's rows. A group is hot when it
+    holds more than 1/``hot_fraction`` of all rows; so there are fewer than ``hot_fraction`` hot
+    groups, which bounds the broadcast that marks them. ``spread`` columns pick a row's salt.
+    (Adaptive skew handling does not reach this case: an aggregate feeds the join directly.)"""
+    known = stats.withColumn("_g", _group(keys)).drop(*keys)
+    total = stats.agg(F.sum(n_rows)).scalar()
+    is_hot = F.col(n_rows) * hot_fraction > F.col("_total")
+    marked = known.withColumn("_total", total).withColumn("_hot", is_hot).drop("_total")
+    hot = marked.where("_hot").select("_g", "_hot")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
+    left = (
+        rows.withColumn("_g", _group(keys)).join(F.broadcast(hot), "_g", "left")
+        .withColumn("_salt", salt.cast("int")).drop("_hot")
+    )
+    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = marked.withColumn("_salt", F.explode(all_salts)).drop("_hot")
+    return left.join(right, ["_g", "_salt"]).drop("_g", "_salt")
+
+
+def semi_join(
+    rows: DataFrame, wanted: DataFrame, key: str, spread: Sequence[str], max_broadcast_rows: int = 1_000_000, salts: int = 32,
+) -> DataFrame:
+    """Rows whose key is in ``wanted`` (one row per key). The size of ``wanted`` is counted: a small
+    one is broadcast and ``rows`` are not shuffled; a larger one is copied to ``salts`` salts, so that
+    the rows of a hot key spread over as many tasks."""
+    if wanted.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        return rows.join(F.broadcast(wanted), key, "left_semi")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "_salt"], "left_semi").drop("_salt")
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, out: str,
-    block: Column, inclusive: bool = True,
+    block: Column, inclusive: bool = True, total: str | None = None,
 ) -> DataFrame:
-    """Cumulative sum of ``value`` per key in ``order``. ``block`` must not decrease along ``order``;
-    choose it so that one (key, block) fits a task."""
+    """Cumulative sum of ``value`` per key in ``order``, and on request the key's ``total``. ``block``
+    must not decrease along ``order``; choose it so that one (key, block) fits a task."""
     rows = df.withColumns({"_g": _group(keys), "_b": block, "_v": value})
     totals = rows.groupBy("_g", "_b").agg(F.sum("_v").alias("_t"))
-    earlier = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_g", "_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
+    by_key = Window.partitionBy("_g")
+    earlier = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off")]
+    if total:
+        carried.append(F.sum("_t").over(by_key).alias(total))
+    offsets = totals.select("_g", "_b", *carried)
     upto = Window.partitionBy("_g", "_b").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
@@ -38,36 +87,51 @@ def running_sum(
     )
 
 
-def next_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, block: Column,
-    steps: int = 1,
+def next_values(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, outs: Sequence[str], block: Column,
 ) -> DataFrame:
-    """The value ``steps`` rows later per key, null at the end. The first ``steps`` rows of each block
-    go to the block table, so that the last rows of the block before can look ahead."""
+    """The values 1, 2, ... rows later per key, one column of ``outs`` each, null past the end.
+
+    The first rows of every block are kept in a block table; the last rows of the block before read
+    them from there. Every block has a row, so as many blocks as columns are far enough."""
+    k = len(outs)
     rows = df.withColumns({"_g": _group(keys), "_b": block, "_v": F.struct(value.alias("v"))})
     inner = Window.partitionBy("_g", "_b").orderBy(*order)
-    if steps == 1:
-        heads = rows.groupBy("_g", "_b").agg(F.min_by("_v", F.struct(*order)).alias("_h"))
-        following = heads.select("_g", "_b", F.lead("_h").over(Window.partitionBy("_g").orderBy("_b")).alias("_n"))
-        return (
-            rows.join(following, ["_g", "_b"])
-            .withColumn(out, F.coalesce(F.lead("_v").over(inner), F.col("_n"))["v"])
-            .drop("_g", "_b", "_v", "_n")
+    if k == 1:
+        heads = rows.groupBy("_g", "_b").agg(F.array(F.min_by("_v", F.struct(*order))).alias("_h"))
+    else:
+        first = rows.withColumn("_i", F.row_number().over(inner)).where(F.col("_i") <= k)
+        heads = first.groupBy("_g", "_b").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_h")
+        )
+    after = Window.partitionBy("_g").orderBy("_b").rowsBetween(1, k)
+    following = heads.select("_g", "_b", F.flatten(F.collect_list("_h").over(after)).alias("_n"))
+    if k == 1:
+        ahead = F.coalesce(F.lead("_v").over(inner), F.get("_n", F.lit(0)))
+        return rows.join(following, ["_g", "_b"]).withColumn(outs[0], ahead["v"]).drop("_g", "_b", "_v", "_n")
+    whole = Window.partitionBy("_g", "_b")
+    rest = F.count("*").over(whole) - F.row_number().over(inner)
+    placed = rows.join(following, ["_g", "_b"]).withColumn("_rest", rest.cast("int"))
+    for i, out in enumerate(outs, start=1):
+        ahead = F.when(F.col("_rest") >= i, F.lead("_v", i).over(inner)).otherwise(
+            F.get("_n", F.lit(i - 1) - F.col("_rest"))
         )
-    step = next_value(df, keys, order, value, "_one", block)
-    return next_value(step, keys, order, F.col("_one"), out, block, steps - 1).drop("_one")
+        placed = placed.withColumn(out, ahead["v"])
+    return placed.drop("_g", "_b", "_v", "_n", "_rest")
 
 
 def seeded_rank(
     df: DataFrame, id_col: str, seed: str, by: Sequence[str] = (), out: str = "rn", hex_digits: int = 4,
+    total: str | None = None,
 ) -> DataFrame:
-    """1-based position of each row in a reproducible shuffle, per class ``by``.
+    """1-based position of each row in a reproducible shuffle, per class ``by``; on request also the
+    class size as ``total``.
 
     Rows are shuffled by md5 of seed and id. The first hex digits are uniform, so they split even a
     single-class table into 16^hex_digits equal blocks."""
     keyed = df.withColumn("_h", seeded_hash(seed, id_col))
     return running_sum(
-        keyed, by, ["_h", id_col], F.lit(1), out, F.substring("_h", 1, hex_digits)
+        keyed, by, ["_h", id_col], F.lit(1), out, F.substring("_h", 1, hex_digits), total=total
     ).drop("_h")
 
 
@@ -81,32 +145,37 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, o
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
 
 
-def first_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+def first_value(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, spread: Sequence[str],
+) -> DataFrame:
     """First value per key on every row: a combined aggregate joined back, no whole-key window."""
-    heads = df.groupBy(_group(keys).alias("_g")).agg(F.min_by(value, F.struct(*order)).alias(out))
-    return df.withColumn("_g", _group(keys)).join(heads, "_g").drop("_g")
+    heads = df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(out), F.count("*").alias("_rows"))
+    return join_group_stats(df, heads, keys, "_rows", spread).drop("_rows")
+
+
+def value_block(x: Column, per_octave: int = 4096) -> Column:
+    """Block number that never decreases with x: ``per_octave`` blocks between any value and its
+    double, the same for every group, so that no group's range must be looked up."""
+    base = 1100 * per_octave
+    size = F.lit(base) + F.floor(F.log2(F.abs(x)) * per_octave)
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), blocks: int = 4096,
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), per_octave: int = 4096,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per (by, prob).
 
-    Equal values are counted first, then cut into equal-width blocks of the value range; only
-    positions, not values, are carried across blocks. Nulls are left out."""
+    Equal values are counted first, then ordered in blocks of the value range; only positions, not
+    values, are carried across blocks. Nulls and NaN are left out."""
     keys = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(
-        *keys, F.col(value).cast("double").alias("_x")
-    ).agg(F.count("*").alias("_n"))
-    spans = counts.groupBy(_group(keys).alias("_k")).agg(
-        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_n").alias("_total")
+    x = F.col(value).cast("double")
+    counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n"))
+    ranked = running_sum(
+        counts, keys, ["_x"], F.col("_n"), "_upto", value_block(F.col("_x"), per_octave), total="_all"
     )
-    placed = counts.withColumn("_k", _group(keys)).join(spans, "_k")
-    share = (F.col("_x") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    block = F.coalesce(F.least(F.floor(share * blocks), F.lit(blocks - 1)), F.lit(0))
-    ranked = running_sum(placed, ["_k"], ["_x"], F.col("_n"), "_upto", block)
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    at = F.col("prob") * (F.col("_total") - 1)
+    at = F.col("prob") * (F.col("_all") - 1)
 
     def holds(index: Column) -> Column:
         return (F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto"))

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.operators.ordering import exact_quantiles, next_value
+from larkspur.operators.ordering import exact_quantiles, next_values
 
 TRADING_DAYS = 252
 
@@ -25,17 +25,17 @@ def weekly_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataF
 
 
 def growth(value: str, *order: str) -> Column:
-    """Last over first, minus one, as an aggregate."""
+    """Last over first, minus one, as an aggregate; null when the first value is zero."""
     at = F.struct(*order)
-    return F.max_by(value, at) / F.min_by(value, at) - 1
+    return F.try_divide(F.max_by(value, at), F.min_by(value, at)) - 1
 
 
 def with_log_return(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: Column, out: str = "log_return",
 ) -> DataFrame:
-    """ln(p_t / p_t+1) per series; null on the last row."""
-    ahead = next_value(df, keys, order, F.col(value), "_next", block)
-    return ahead.withColumn(out, F.ln(F.col(value) / F.col("_next"))).drop("_next")
+    """ln(p_t / p_t+1) per series; null on the last row and where a value is not positive."""
+    ahead = next_values(df, keys, order, F.col(value), ["_next"], block)
+    return ahead.withColumn(out, F.ln(F.try_divide(value, "_next"))).drop("_next")
 
 
 def volatility(log_return: str = "log_return", periods: int = TRADING_DAYS) -> Column:
@@ -85,7 +85,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     columns = list(columns or df.columns)
     counts = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     return counts.unpivot(["_n"], columns, "column", "null_count").select(
-        "column", "null_count", (F.col("null_count") / F.col("_n")).alias("null_share")
+        "column", "null_count", F.try_divide("null_count", "_n").alias("null_share")
     )
 
 
@@ -146,8 +146,9 @@ def t_test(df: DataFrame, value: str, is_first_group: Column) -> DataFrame:
         F.count(b).alias("n2"), F.avg(b).alias("mean2"), F.var_samp(b).alias("v2"),
     )
     dof = F.col("n1") + F.col("n2") - 2
-    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / dof
-    t = (F.col("mean1") - F.col("mean2")) / F.sqrt(pooled * (F.lit(1) / F.col("n1") + F.lit(1) / F.col("n2")))
+    pooled = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), dof)
+    spread = F.sqrt(pooled * (F.try_divide(F.lit(1), "n1") + F.try_divide(F.lit(1), "n2")))
+    t = F.try_divide(F.col("mean1") - F.col("mean2"), spread)
     return s.select("n1", "n2", "mean1", "mean2", t.alias("t"), dof.alias("df"))
 
 

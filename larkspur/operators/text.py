@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.functions.scalar import EMAIL, PHONE, ngrams, ratio, words
-from larkspur.operators.ordering import top_k
+from larkspur.functions.scalar import PHONE, emails, ngrams, ratio, words
+from larkspur.operators.ordering import computed_once, join_group_stats, semi_join, top_k
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def split_overlap(
     held = held_out.select(words(F.col(held_text)).alias("w"))
     grams = docs.select(id_col, F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("gram"))
     held_grams = held.select(F.explode(ngrams(F.col("w"), n)).alias("gram")).distinct()
-    shared = grams.join(held_grams, "gram", "left_semi").groupBy(id_col).agg(F.count("*").alias("shared_ngrams"))
+    shared = semi_join(grams, held_grams, "gram", [id_col]).groupBy(id_col).agg(F.count("*").alias("shared_ngrams"))
     normal = F.sha2(F.array_join("w", " "), 256).alias("h")
-    same = docs.select(id_col, normal).join(held.select(normal).distinct(), "h", "left_semi")
+    same = semi_join(docs.select(id_col, normal), held.select(normal).distinct(), "h", [id_col])
     return shared.join(same.select(id_col, F.lit(True).alias("_same")), id_col, "left").select(
         id_col, F.col("_same").isNotNull().alias("same_text"), "shared_ngrams"
     )
@@ -103,11 +103,11 @@ def build_requests(
 
 def contacts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """E-mail addresses and phone numbers found in a text, one row per hit."""
-    def hits(kind: str, pattern: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    def hits(kind: str, found: Column) -> Column:
         return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x).alias("contact")))
 
-    return df.select(id_col, F.inline(F.concat(hits("email", EMAIL), hits("phone", PHONE))))
+    phones = F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
+    return df.select(id_col, F.inline(F.concat(hits("email", emails(F.col(text))), hits("phone", phones))))
 
 
 def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -124,20 +124,21 @@ def dictionary_mentions(counts: DataFrame, names: DataFrame, name: str) -> DataF
 
 
 def tf_idf(counts: DataFrame, id_col: str, n_texts: Column) -> DataFrame:
-    """tf * ln(N / df). The frequency table has one row per term; a term of a third of all texts is one
-    big key of that join, which adaptive execution splits."""
+    """tf * ln(N / df). The frequency table has one row per term; terms of very many texts are salted."""
     df_table = counts.groupBy("term").agg(F.count("*").alias("df"))
-    return counts.join(df_table, "term").withColumn("tf_idf", F.col("tf") * F.ln(n_texts / F.col("df")))
+    joined = join_group_stats(counts, df_table, ["term"], "df", [id_col])
+    return joined.withColumn("tf_idf", F.col("tf") * F.ln(n_texts / F.col("df")))
 
 
 def class_words(counts: DataFrame, classes: DataFrame, id_col: str, label: str, k: int) -> DataFrame:
     """The k words whose share in a class most exceeds their share in all classes together."""
     by_class = counts.join(classes.select(id_col, label), id_col).groupBy(label, "term").agg(F.sum("tf").alias("n"))
-    class_total = by_class.groupBy(label).agg(F.sum("n").alias("class_n"))
+    class_total = by_class.groupBy(label).agg(F.sum("n").alias("class_n"), F.count("*").alias("_terms"))
     per_term = by_class.groupBy("term").agg(F.sum("n").alias("term_n"))
     total = by_class.agg(F.sum("n")).scalar()
     lift = F.col("n") / F.col("class_n") - F.col("term_n") / F.col("_total")
-    scored = by_class.join(class_total, label).join(per_term, "term").withColumn("_total", total).withColumn(
+    in_class = join_group_stats(by_class, class_total, [label], "_terms", ["term"])
+    scored = in_class.join(per_term, "term").withColumn("_total", total).withColumn(
         "lift", F.round(lift, 9)
     )
     return top_k(scored, [label], [F.desc("lift"), F.col("term")], k).select(label, "term", "n", "lift", "rn")
@@ -173,7 +174,7 @@ def chunks(df: DataFrame, id_col: str, text: str, size: int, overlap: int) -> Da
 def ngram_overlap(df: DataFrame, ids: list[str], candidate: str, reference: str, n: int) -> DataFrame:
     """Clipped n-gram precision, recall and F1 of a candidate text against its reference text."""
     def counted(text: str, side: str) -> DataFrame:
-        grams = df.select(*ids, F.explode(ngrams(words(F.col(text)), n)).alias("gram"))
+        grams = df.select(*ids, words(F.col(text)).alias("_w")).select(*ids, F.explode(ngrams(F.col("_w"), n)).alias("gram"))
         return grams.groupBy(*ids, "gram").agg(F.count("*").alias(side))
 
     both = counted(candidate, "c").join(counted(reference, "r"), [*ids, "gram"], "full").na.fill(0, ["c", "r"])
@@ -187,12 +188,11 @@ def ngram_overlap(df: DataFrame, ids: list[str], candidate: str, reference: str,
 def quality_measures(df: DataFrame, text: str) -> DataFrame:
     """Length, share of symbols and share of distinct words of a text."""
     w = words(F.col(text))
-    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", ""))
-    return df.withColumn("_w", w).withColumns({
-        "n_words": F.size("_w"),
-        "symbol_share": ratio(symbols, F.length(text)),
-        "distinct_share": ratio(F.size(F.array_distinct("_w")), F.size("_w")),
-    }).drop("_w")
+    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", ""))
+    return computed_once(
+        df.withColumn("_w", w), n_words=F.size("_w"), symbol_share=ratio(symbols, F.length(text)),
+        distinct_share=ratio(F.size(F.array_distinct("_w")), F.size("_w")),
+    ).drop("_w")
 
 
 def quality_filter(measured: DataFrame, min_words: int = 20, max_symbols: float = 0.1, min_distinct: float = 0.2) -> DataFrame:

@@ -84,7 +84,7 @@ def mean_similarity_to_earlier(
     running vector sum replaces the comparison of all pairs."""
     v = F.transform(vector, lambda x: x.cast("double"))
     unit = df.withColumn("_v", v).withColumn("_len", F.sqrt(dot(F.col("_v"), F.col("_v"))))
-    parts = {f"_u{i}": F.col("_v")[i] / F.col("_len") for i in range(dims)}
+    parts = {f"_u{i}": F.try_divide(F.col("_v")[i], F.col("_len")) for i in range(dims)}
     rows = unit.withColumns({**parts, "_b": block}).drop("_v", "_len", vector)
     names = list(parts)
     sums = rows.groupBy(group, "_b").agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in names])

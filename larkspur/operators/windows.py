@@ -6,19 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.operators.ordering import first_value, next_value, running_sum, seeded_rank
+from larkspur.operators.ordering import first_value, join_group_stats, next_values, running_sum, seeded_rank
 
 
 def sort_by_group_max(df: DataFrame, group: str, value: str, *ties: str) -> DataFrame:
     """Order rows by the largest value of their group, descending. The maximum is a combined
     aggregate joined back, so a hot group is never gathered for a window."""
-    largest = df.groupBy(group).agg(F.max(value).alias("group_max"))
-    return df.join(largest, group).orderBy(F.desc("group_max"), group, *ties)
+    largest = df.groupBy(group).agg(F.max(value).alias("group_max"), F.count("*").alias("_rows"))
+    rows = join_group_stats(df, largest, [group], "_rows", ties).drop("_rows")
+    return rows.orderBy(F.desc("group_max"), group, *ties)
 
 
 def index_to_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
-    """Value relative to the first value of its series."""
-    return first_value(df, keys, order, value, "_first").withColumn(out, F.col(value) / F.col("_first")).drop("_first")
+    """Value relative to the first value of its series; null when that is zero."""
+    return first_value(df, keys, order, value, "_first", order).withColumn(out, F.try_divide(value, "_first")).drop("_first")
 
 
 def context_before(turns: DataFrame, conversation: str, turn: str, tokens: str, out: str, block_turns: int = 1024) -> DataFrame:
@@ -48,8 +49,7 @@ def iob_spans(tokens: DataFrame, doc: str, pos: str, token: str, tag: str, block
 
 def learning_prefixes(df: DataFrame, id_col: str, seed: str, fractions: Sequence[float]) -> DataFrame:
     """Nested prefixes of a seeded shuffle: each row once per fraction it belongs to."""
-    total = df.agg(F.count("*")).scalar()
-    ranked = seeded_rank(df, id_col, seed, out="_rn").withColumn("_total", total)
+    ranked = seeded_rank(df, id_col, seed, out="_rn", total="_total")
     inside = F.filter(F.array(*[F.lit(f) for f in fractions]), lambda f: F.col("_rn") <= F.floor(f * F.col("_total")))
     return ranked.withColumn("fraction", F.explode(inside)).drop("_rn", "_total")
 
@@ -59,10 +59,7 @@ def step_paths(
 ) -> DataFrame:
     """Frequency of every path of ``length`` consecutive steps within a session, and how often the
     step right after it is ``goal``. Sessions are cut into blocks, so none is gathered whole."""
-    rows = steps
-    for k in range(1, length + 1):
-        source = step if k == 1 else f"_s{k - 1}"
-        rows = next_value(rows, session, order, F.col(source), f"_s{k}", block)
+    rows = next_values(steps, session, order, F.col(step), [f"_s{k}" for k in range(1, length + 1)], block)
     parts = [F.col(step), *[F.col(f"_s{k}") for k in range(1, length)]]
     return (
         rows.where(F.col(f"_s{length - 1}").isNotNull() if length > 1 else F.lit(True))

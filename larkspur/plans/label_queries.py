@@ -275,17 +275,17 @@ def natural_labels(t):
            CASE WHEN mail THEN 'contact' WHEN conf >= 0.7 THEN 'text-' || lang ELSE 'review' END AS answer, count(*) AS n FROM d GROUP BY ALL""")
 def routing_cascade(t):
     tiers = N.route(
-        F.when(F.col("text").rlike(S.EMAIL), "contact"), F.concat(F.lit("text-"), "lang"),
+        F.when(F.size(S.emails(F.col("text"))) > 0, "contact"), F.concat(F.lit("text-"), "lang"),
         S.seeded_score("conf", "doc_id") / 65535.0, F.lit("review"),
     )
-    return t.documents.select(*[c.alias(n) for n, c in tiers.items()]).groupBy("tier", "answer").agg(F.count("*").alias("n"))
+    return t.spread("documents", "doc_id").select(*[c.alias(n) for n, c in tiers.items()]).groupBy("tier", "answer").agg(F.count("*").alias("n"))
 
 
 @query("logreg_text")
 def logreg_text(t):
     """Logistic regression on hashed tf-idf words; confusion counts on the test part of a split."""
     rows = L.stratified_split(t.labels, "quality", "doc_id", "12").select("doc_id", "quality", "split")
-    data = t.documents.select("doc_id", S.words(F.col("text")).alias("words")).join(rows, "doc_id").withColumn(
+    data = t.spread("documents", "doc_id").select("doc_id", S.words(F.col("text")).alias("words")).join(rows, "doc_id").withColumn(
         "label", F.col("quality").cast("double")
     )
     stages = [

@@ -207,7 +207,7 @@ def fk_violations(t):
     SELECT doc_id, array_to_string(w, ' ') IN (SELECT array_to_string(w, ' ') FROM b) AS same_text, shared_ngrams
     FROM s JOIN d USING (doc_id)""")
 def split_overlap_query(t):
-    return split_overlap(t.documents, "doc_id", "text", t.benchmark, "text", n=8)
+    return split_overlap(t.spread("documents", "doc_id"), "doc_id", "text", t.benchmark, "text", n=8)
 
 
 @query("usage_x_price", f"""
@@ -319,7 +319,7 @@ COMMON_WORDS = ["the", "and", "of", "le", "la", "de", "que", "der", "und", "el"]
     FROM d""")
 def array_set_ops(t):
     common = F.array(*[F.lit(w) for w in COMMON_WORDS])
-    docs = t.documents.select("doc_id", F.array_distinct(S.words(F.col("text"))).alias("w"), common.alias("c"))
+    docs = t.spread("documents", "doc_id").select("doc_id", F.array_distinct(S.words(F.col("text"))).alias("w"), common.alias("c"))
     return docs.select(
         "doc_id",
         F.array_join(F.array_sort(F.array_intersect("w", "c")), " ").alias("common"),
@@ -375,12 +375,11 @@ def transpose_summary(t):
     SELECT doc_id, unnest(CASE WHEN len(u) = 0 THEN [NULL] ELSE u END) AS mailbox,
            unnest(CASE WHEN len(h) = 0 THEN [NULL] ELSE h END) AS host FROM m""")
 def explode_unnest(t):
-    address = r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
-    found = [F.regexp_extract_all("text", F.lit(address), F.lit(i)) for i in (1, 2)]
-    mails = F.arrays_zip(found[0].alias("mailbox"), found[1].alias("host"))
-    return t.documents.select("doc_id", F.explode_outer(mails).alias("m")).select(
-        "doc_id", F.col("m.mailbox").alias("mailbox"), F.col("m.host").alias("host")
-    )
+    def part(x, i):
+        return F.split(x, "@")[i]
+
+    mails = F.transform(S.emails(F.col("text")), lambda x: F.struct(part(x, 0).alias("mailbox"), part(x, 1).alias("host")))
+    return t.spread("documents", "doc_id").select("doc_id", F.explode_outer(mails).alias("m")).select("doc_id", "m.*")
 
 
 @query("category_cloud", """

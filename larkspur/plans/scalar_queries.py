@@ -94,7 +94,7 @@ def json_funcs(t):
     WITH k AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS token FROM documents)
     SELECT token, count(*) AS n FROM k GROUP BY token""")
 def tokenize_words(t):
-    return t.documents.select(F.explode(S.split_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return t.spread("documents", "doc_id").select(F.explode(S.split_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query("parse_labelled_lines", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalar as S
 from larkspur.operators import metrics as M, stats as A
+from larkspur.operators.ordering import join_group_stats
 from larkspur.operators.text import link_edges
 from larkspur.operators.windows import learning_prefixes
 from larkspur.plans.registry import query
@@ -99,8 +100,8 @@ def month_facet(t):
                FROM events WHERE year(ts) >= 2017)
     SELECT user_id, week, count(value) AS trading_days, arg_min(value, (ts, event_id)) AS first,
            arg_max(value, (ts, event_id)) AS last, max(value) AS high, min(value) AS low,
-           round(arg_max(value, (ts, event_id)) / arg_min(value, (ts, event_id)) - 1, 6) + 0.0 AS growth,
-           round(stddev_pop(ln(value / nxt)) * sqrt(252), 6) + 0.0 AS volatility
+           round(arg_max(value, (ts, event_id)) / nullif(arg_min(value, (ts, event_id)), 0) - 1, 6) + 0.0 AS growth,
+           round(stddev_pop(CASE WHEN value > 0 AND nxt > 0 THEN ln(value / nxt) END) * sqrt(252), 6) + 0.0 AS volatility
     FROM e GROUP BY user_id, week""")
 def ohlc_yearly(t):
     events = t.events.where(F.year("ts") >= 2017).withColumn("week", F.date_format(A.week_start("ts"), "yyyy-MM-dd"))
@@ -109,15 +110,15 @@ def ohlc_yearly(t):
 
 
 @query("growth", """
-    SELECT user_id, round(arg_max(value, (ts, event_id)) / arg_min(value, (ts, event_id)) - 1, 6) + 0.0 AS growth
+    SELECT user_id, round(arg_max(value, (ts, event_id)) / nullif(arg_min(value, (ts, event_id)), 0) - 1, 6) + 0.0 AS growth
     FROM events GROUP BY user_id""")
 def growth(t):
     return t.events.groupBy("user_id").agg(S.rounded(A.growth("value", "ts", "event_id"), 6).alias("growth"))
 
 
 @query("volatility", """
-    WITH e AS (SELECT user_id, ln(value / lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS r FROM events)
-    SELECT user_id, round(stddev_pop(r) * sqrt(252), 6) + 0.0 AS volatility FROM e GROUP BY user_id""")
+    WITH e AS (SELECT user_id, value AS v, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+    SELECT user_id, round(stddev_pop(CASE WHEN v > 0 AND nxt > 0 THEN ln(v / nxt) END) * sqrt(252), 6) + 0.0 AS volatility FROM e GROUP BY user_id""")
 def volatility(t):
     returns = A.with_log_return(t.events, ["user_id"], ["ts", "event_id"], "value", F.date_trunc("day", "ts"))
     return returns.groupBy("user_id").agg(S.rounded(A.volatility(), 6).alias("volatility"))
@@ -263,7 +264,7 @@ def aspect_counts(t):
     def normalise(a):
         return F.struct(F.lower(a["term"]).alias("term"), F.lower(a["polarity"]).alias("polarity"))
 
-    sets = t.documents.select("doc_id", found.alias("found")).select("doc_id", gold.alias("gold"), pred.alias("pred"))
+    sets = t.spread("documents", "doc_id").select("doc_id", found.alias("found")).select("doc_id", gold.alias("gold"), pred.alias("pred"))
     counts = M.set_counts(F.col("gold"), F.col("pred"), normalise)
     return sets.select("doc_id", *[c.alias(n) for n, c in counts.items()])
 
@@ -474,9 +475,10 @@ def degree_centrality(t):
     FROM events JOIN e USING (event_type) GROUP BY ALL""")
 def sequence_success(t):
     """Steps are counted per session and type first; the failure rates join those counts."""
-    rates = t.events.groupBy("event_type").agg((F.count_if(F.col("value") < 5) / F.count("*")).alias("e"))
+    rates = t.events.groupBy("event_type").agg((F.count_if(F.col("value") < 5) / F.count("*")).alias("e"), F.count("*").alias("n"))
     steps = t.events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("k"))
-    return steps.join(rates, "event_type").groupBy("user_id", "day").agg(
+    rated = join_group_stats(steps, rates, ["event_type"], "n", ["user_id", "day"])
+    return rated.groupBy("user_id", "day").agg(
         F.sum("k").alias("steps"),
         F.round(F.exp(F.sum(F.col("k") * F.ln(1 - F.col("e")))), 6).alias("success"),
         F.round(F.pow(1 - F.max("e"), F.sum("k")), 6).alias("worst_case"),

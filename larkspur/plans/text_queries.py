@@ -8,6 +8,7 @@ from larkspur.functions import scalar as S
 from larkspur.operators import billing as B, quality as Q, text as X, vectors as V
 from larkspur.plans.registry import query
 from larkspur.plans.sqltext import tokens, words
+from larkspur.operators.ordering import join_group_stats
 from larkspur.operators.relational import foreign_key_violations
 from larkspur.sources.files import inline_table
 
@@ -23,7 +24,7 @@ SYSTEM = "Analyze news articles. Strictly stick to the allowed labels."
     SELECT doc_id, part::int AS part, n_words::int AS n_words, md5('{{"messages":[{{"role":"system","content":"{SYSTEM}"}},{{"role":"user","content":' || to_json('Text: ' || content)
            || '}}],"max_tokens":1024}}') AS request_md5 FROM c""")
 def build_requests(t):
-    requests = X.build_requests(t.documents.select("doc_id", "text"), "text", SYSTEM, 500, 1024, "Text: ")
+    requests = X.build_requests(t.spread("documents", "doc_id").select("doc_id", "text"), "text", SYSTEM, 500, 1024, "Text: ")
     return requests.select("doc_id", "part", "n_words", F.md5("request").alias("request_md5"))
 
 
@@ -60,7 +61,7 @@ def token_ratio_by_language(t):
     SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS contact FROM documents
     UNION ALL SELECT doc_id, 'phone', trim(unnest(regexp_extract_all(text, '\+?[0-9]{0,2} ?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}'))) FROM documents""")
 def regex_contacts(t):
-    return X.contacts(t.documents, "doc_id", "text")
+    return X.contacts(t.spread("documents", "doc_id"), "doc_id", "text")
 
 
 COUNTS_SQL = f"""
@@ -73,7 +74,7 @@ COUNTS_SQL = f"""
     SELECT term, sum(tf)::bigint AS mentions, count(*) AS texts FROM c JOIN d USING (term) WHERE length(term) >= 5 GROUP BY term""")
 def dictionary_mentions(t):
     names = t.benchmark.select(F.explode(S.words(F.col("text"))).alias("name")).where(F.length("name") >= 5)
-    return X.dictionary_mentions(X.term_counts(t.documents, "doc_id", "text"), names, "name")
+    return X.dictionary_mentions(X.term_counts(t.spread("documents", "doc_id"), "doc_id", "text"), names, "name")
 
 
 @query("tf_idf", COUNTS_SQL + """,
@@ -81,7 +82,7 @@ def dictionary_mentions(t):
     SELECT doc_id, term, tf, df, round(tf * ln((SELECT count(*) FROM documents) / df), 6) + 0.0 AS tf_idf FROM c JOIN f USING (term)""")
 def tf_idf(t):
     n_texts = t.documents.agg(F.count("*")).scalar()
-    scored = X.tf_idf(X.term_counts(t.documents, "doc_id", "text"), "doc_id", n_texts)
+    scored = X.tf_idf(X.term_counts(t.spread("documents", "doc_id"), "doc_id", "text"), "doc_id", n_texts)
     return scored.select("doc_id", "term", "tf", "df", S.rounded(F.col("tf_idf"), 6).alias("tf_idf"))
 
 
@@ -91,7 +92,7 @@ def tf_idf(t):
     SELECT quality, term, n::bigint AS n, lift, row_number() OVER (PARTITION BY quality ORDER BY lift DESC, term)::int AS rn FROM s QUALIFY rn <= 20""")
 def class_typical_words(t):
     labels = t.labels.select("doc_id", "quality")
-    counts = X.term_counts(t.documents.join(labels, "doc_id", "left_semi"), "doc_id", "text")
+    counts = X.term_counts(t.spread("documents", "doc_id").join(labels, "doc_id", "left_semi"), "doc_id", "text")
     return X.class_words(counts, labels, "doc_id", "quality", 20)
 
 
@@ -112,8 +113,9 @@ def augment_text(t):
     """Labelled texts with as many copies per class as the largest class allows."""
     sizes = t.labels.groupBy("quality").agg(F.count("*").alias("n"))
     copies = sizes.withColumn("copies", F.floor(sizes.agg(F.max("n")).scalar() / F.col("n")).cast("int"))
-    train = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id").join(copies, "quality")
-    rows = train.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    train = t.spread("documents", "doc_id").select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
+    copied = join_group_stats(train, copies, ["quality"], "n", ["doc_id"])
+    rows = copied.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     made = X.augment(rows, "doc_id", "text", "copy", CONTRACTIONS, SYNONYMS, 2, "aug")
     return made.select("doc_id", "copy", F.md5("text").alias("text_md5"))
 
@@ -123,7 +125,7 @@ def augment_text(t):
     c AS (SELECT doc_id, w, unnest(range(greatest(ceil((len(w) - 20) / 80), 1)::bigint)) AS chunk FROM w WHERE len(w) > 0)
     SELECT doc_id, chunk::int AS chunk, len(w[chunk * 80 + 1:chunk * 80 + 100])::int AS n_words, md5(array_to_string(w[chunk * 80 + 1:chunk * 80 + 100], ' ')) AS chunk_md5 FROM c""")
 def chunk_documents(t):
-    pieces = X.chunks(t.documents, "doc_id", "text", 100, 20)
+    pieces = X.chunks(t.spread("documents", "doc_id"), "doc_id", "text", 100, 20)
     return pieces.select("doc_id", "chunk", "n_words", F.md5("chunk_text").alias("chunk_md5"))
 
 
@@ -138,10 +140,11 @@ def chunk_documents(t):
            round(2 * m / (c + r), 6) AS f1 FROM s""")
 def ngram_overlap(t):
     """Bigrams of each answer against those of the question right before it."""
-    questions = t.conversations.where(F.col("role") == "user").select(
+    turns = t.spread("conversations", "conv_id")
+    questions = turns.where(F.col("role") == "user").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question")
     )
-    pairs = t.conversations.where(F.col("role") == "assistant").join(questions, ["conv_id", "turn"])
+    pairs = turns.where(F.col("role") == "assistant").join(questions, ["conv_id", "turn"])
     scored = X.ngram_overlap(pairs, ["conv_id", "turn"], "text", "question", 2)
     return scored.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
@@ -151,7 +154,7 @@ def ngram_overlap(t):
     q AS (SELECT doc_id, len(w) AS n_words, round(s, 6) AS symbol_share, round(len(list_distinct(w)) / len(w), 6) AS distinct_share FROM m)
     SELECT doc_id, n_words::int AS n_words, symbol_share, distinct_share FROM q WHERE n_words >= 20 AND symbol_share <= 0.1 AND distinct_share >= 0.2""")
 def quality_filter(t):
-    measured = X.quality_measures(t.documents.select("doc_id", "text"), "text").drop("text")
+    measured = X.quality_measures(t.spread("documents", "doc_id").select("doc_id", "text"), "text").drop("text")
     measured = measured.withColumns({c: F.round(c, 6) for c in ("symbol_share", "distinct_share")})
     return X.quality_filter(measured)
 
@@ -162,7 +165,7 @@ def quality_filter(t):
 @query("search_index", COUNTS_SQL + """
     SELECT doc_id, sum(tf)::bigint AS hits FROM c WHERE term IN ('the', 'and', 'erth') GROUP BY doc_id HAVING count(*) = 3""")
 def search_index(t):
-    postings = X.term_counts(t.documents, "doc_id", "text")
+    postings = X.term_counts(t.spread("documents", "doc_id"), "doc_id", "text")
     return X.search(postings, "doc_id", ["the", "and", "Erth"])
 
 

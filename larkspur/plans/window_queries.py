@@ -35,7 +35,7 @@ def row_number_in_class(t):
 
 
 @query("index_to_first", """
-    SELECT event_id, user_id, round(value / first_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS indexed FROM events""")
+    SELECT event_id, user_id, round(value / nullif(first_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 6) AS indexed FROM events""")
 def index_to_first(t):
     events = t.events.select("event_id", "user_id", "ts", "value")
     indexed = W.index_to_first(events, ["user_id"], ["ts", "event_id"], "value", "indexed")
@@ -43,7 +43,8 @@ def index_to_first(t):
 
 
 @query("lead_log_return", """
-    SELECT event_id, user_id, round(ln(value / lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 6) + 0.0 AS log_return FROM events""")
+    WITH e AS (SELECT *, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+    SELECT event_id, user_id, round(CASE WHEN value > 0 AND nxt > 0 THEN ln(value / nxt) END, 6) + 0.0 AS log_return FROM e""")
 def lead_log_return(t):
     events = t.events.select("event_id", "user_id", "ts", "value")
     returns = A.with_log_return(events, ["user_id"], ["ts", "event_id"], "value", F.date_trunc("day", "ts"))
@@ -90,7 +91,7 @@ def cumulative_context(t):
     FROM i WHERE tag <> 'O' GROUP BY doc_id, island HAVING arg_min(tag, pos) LIKE 'B-%'""")
 def iob_spans(t):
     split = F.regexp_extract_all("text", F.lit(S.SPACE_WORD), F.lit(0))
-    tokens_of = t.documents.select("doc_id", F.posexplode(split).alias("pos", "token"))
+    tokens_of = t.spread("documents", "doc_id").select("doc_id", F.posexplode(split).alias("pos", "token"))
     s = S.seeded_score("tag", "doc_id", "pos") % 10
     tag = F.when(s == 0, "B-PER").when(s == 1, "B-LOC").when(s.isin(2, 3), "I-PER").otherwise("O")
     return W.iob_spans(tokens_of.withColumn("tag", tag), "doc_id", "pos", "token", "tag")

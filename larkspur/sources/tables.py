@@ -25,6 +25,13 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(self.path(name))
 
+    def spread(self, name: str, *keys: str) -> DataFrame:
+        """The table with at least one partition per core, for heavy work per row. Large tables have
+        that anyway and are returned as they are; a small table in one file would be one task."""
+        table = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, *keys)
+
     def stream(self, name: str, **options) -> DataFrame:
         """The same table as an unbounded file source. A stream wants a folder or a pattern, and the
         table may be one file, hence the one-letter pattern."""
