@@ -94,8 +94,8 @@ def image_tokens(width: Column, height: Column, detail: str = "high") -> Column:
 
 
 def daytime(hour: Column, as_published: bool = False) -> Column:
-    """Night 22-6, Morning 6-12, Afternoon 12-18, Evening otherwise. ``as_published`` keeps the
-    article's unreachable Night test, which sends the night hours to Evening."""
+    """Night 22-6, Morning 6-12, Afternoon 12-18, Evening otherwise. ``as_published`` uses
+    22 <= hour < 6, which no hour meets, so that the night hours become Evening."""
     late, early = hour >= 22, hour < 6
     night = (late & early) if as_published else (late | early)
     return (

@@ -92,10 +92,12 @@ def from_chat(chat: Column) -> Column:
 
 
 def few_shot_prompts(
-    examples: DataFrame, pool: DataFrame, id_col: str, text: str, label: str, k: int, seed: str,
+    examples: DataFrame, pool: DataFrame, id_col: str, text: str, label: str, k: int, seed: str, max_classes: int = 100,
 ) -> DataFrame:
     """Up to k seeded demos per class of ``pool``, put before every example. The demos are a scalar
-    subquery of at most k rows per class."""
+    subquery of at most k rows per class; the number of classes is checked."""
+    if pool.select(label).distinct().limit(max_classes + 2).count() > max_classes + 1:
+        raise ValueError(f"more than {max_classes} classes; a prompt cannot hold demos of each")
     order = [seeded_hash(seed, id_col), F.col(id_col)]
     demos = top_k(pool.where(F.col(label).isNotNull()), [label], order, k, "_rn")
     shot = F.concat(F.lit("Text: "), F.col(text), F.lit("\nLabel: "), F.col(label).cast("string"), F.lit("\n\n"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.scalar import ratio
+from larkspur.session import shared_root
 
 
 def set_counts(gold: Column, predicted: Column, normalise: Callable[[Column], Column] = F.lower) -> dict[str, Column]:
@@ -135,6 +136,7 @@ def bradley_terry(matches: DataFrame, iterations: int = 50, checkpoint_every: in
     Matches are reduced to one row per ordered pair before the first step. Competitors without a win
     have strength 0. Every few steps the strengths are checkpointed to the shared folder, which cuts
     the lineage and survives lost executors."""
+    shared_root(matches.sparkSession)
     both = F.array(
         F.struct(F.col("competitor_1").alias("i"), F.col("competitor_2").alias("j"), F.col("w1").alias("w"), "n"),
         F.struct(F.col("competitor_2").alias("i"), F.col("competitor_1").alias("j"), (F.col("n") - F.col("w1")).alias("w"), "n"),

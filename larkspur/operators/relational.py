@@ -72,7 +72,7 @@ def all_pairs(
 
 
 def not_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    return work.join(done.select(key), key, "left_anti")
+    return work.join(done.select(key).distinct(), key, "left_anti")
 
 
 def change_selected(df: DataFrame, selected: DataFrame, key: str, column: str, change: Column) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.functions.scalar import PHONE, emails, ngrams, ratio, words
+from larkspur.functions.scalar import PHONE, SPACE_WORD, emails, ngrams, ratio, words
 from larkspur.operators.ordering import computed_once, join_group_stats, semi_join, top_k
 
 
@@ -24,14 +25,17 @@ def split_overlap(
 
     Held-out n-grams are made distinct first, so each training n-gram finds at most one partner and
     no pair list is built, however often a passage is repeated."""
-    docs = train.select(id_col, words(F.col(text)).alias("w"))
+    to_grams = NGram(n=n, inputCol="w", outputCol="grams")
+    whole = F.unhex(F.md5(F.array_join("w", " "))).alias("whole")
+    once = F.explode(F.array_distinct("grams")).alias("gram")
+    grams = to_grams.transform(train.select(id_col, words(F.col(text)).alias("w"))).select(id_col, whole, once)
     held = held_out.select(words(F.col(held_text)).alias("w"))
-    grams = docs.select(id_col, F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("gram"))
-    held_grams = held.select(F.explode(ngrams(F.col("w"), n)).alias("gram")).distinct()
-    shared = semi_join(grams, held_grams, "gram", [id_col]).groupBy(id_col).agg(F.count("*").alias("shared_ngrams"))
-    normal = F.sha2(F.array_join("w", " "), 256).alias("h")
-    same = semi_join(docs.select(id_col, normal), held.select(normal).distinct(), "h", [id_col])
-    return shared.join(same.select(id_col, F.lit(True).alias("_same")), id_col, "left").select(
+    held_grams = to_grams.transform(held).select(once).distinct()
+    shared = semi_join(grams, held_grams, "gram", [id_col]).groupBy(id_col).agg(
+        F.count("*").alias("shared_ngrams"), F.first("whole").alias("whole")
+    )
+    same = held.select(whole).distinct().withColumn("_same", F.lit(True))
+    return shared.join(same, "whole", "left").select(
         id_col, F.col("_same").isNotNull().alias("same_text"), "shared_ngrams"
     )
 
@@ -88,7 +92,7 @@ def build_requests(
     (``long_text='split'``, numbered by ``part``) or is cut (``'truncate'``)."""
     if long_text not in ("split", "truncate"):
         raise ValueError("long_text must be 'split' or 'truncate'")
-    all_words = F.regexp_extract_all(text, F.lit(r"[^ \n\t]+"), F.lit(0))
+    all_words = F.regexp_extract_all(text, F.lit(SPACE_WORD), F.lit(0))
     rows = df.withColumn("_w", all_words).withColumn("n_words", F.size("_w"))
     last = F.greatest(F.ceil(F.col("n_words") / max_words), F.lit(1)).cast("int") if long_text == "split" else F.lit(1)
     parts = rows.withColumn("part", F.explode(F.sequence(F.lit(1), last)))
@@ -125,7 +129,8 @@ def dictionary_mentions(counts: DataFrame, names: DataFrame, name: str) -> DataF
 
 def tf_idf(counts: DataFrame, id_col: str, n_texts: Column) -> DataFrame:
     """tf * ln(N / df). The frequency table has one row per term; terms of very many texts are salted."""
-    df_table = counts.groupBy("term").agg(F.count("*").alias("df"))
+    # Counting by tf keeps that column on both sides, so that Spark computes the counts once.
+    df_table = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     joined = join_group_stats(counts, df_table, ["term"], "df", [id_col])
     return joined.withColumn("tf_idf", F.col("tf") * F.ln(n_texts / F.col("df")))
 
@@ -164,7 +169,7 @@ def augment(df: DataFrame, id_col: str, text: str, copy: str, contractions: dict
 def chunks(df: DataFrame, id_col: str, text: str, size: int, overlap: int) -> DataFrame:
     """Consecutive pieces of ``size`` words, each repeating the last ``overlap`` of the one before."""
     step = size - overlap
-    rows = df.select(id_col, F.regexp_extract_all(text, F.lit(r"[^ \n\t]+"), F.lit(0)).alias("_w"))
+    rows = computed_once(df.select(id_col, text), _w=F.regexp_extract_all(text, F.lit(SPACE_WORD), F.lit(0))).drop(text)
     n = F.greatest(F.ceil((F.size("_w") - overlap) / step), F.lit(1)).cast("int")
     numbered = rows.where(F.size("_w") > 0).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
     piece = F.slice("_w", F.col("chunk") * step + 1, size)

@@ -14,7 +14,7 @@ from larkspur.sources.files import inline_table
 
 # ---- requests and tokens ---------------------------------------------------------------------
 
-SYSTEM = "Analyze news articles. Strictly stick to the allowed labels."
+SYSTEM = "Label the text. Use the allowed labels only."
 
 
 @query("build_requests", rf"""

@@ -22,8 +22,12 @@ class Collector:
         return f"{self.folder}/state/batch={batch_id}"
 
     def _state_before(self, spark, batch_id: int) -> DataFrame | None:
+        if batch_id == 0:
+            return None
         path = self.state_path(batch_id - 1)
-        return spark.read.parquet(path) if batch_id > 0 and is_complete(spark, path) else None
+        if not is_complete(spark, path):
+            raise FileNotFoundError(f"the marks of batch {batch_id - 1} are missing: {path}")
+        return spark.read.parquet(path)
 
     def collect_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark, key = batch.sparkSession, self.key

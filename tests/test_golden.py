@@ -23,7 +23,7 @@ def test_split_sizes(spark):
 
 
 def test_round_robin(spark):
-    names = spark.createDataFrame([("Streamio",), ("MelodiX",), ("SoundWave",), ("MelodiX",)], "name STRING")
+    names = spark.createDataFrame([("red",), ("green",), ("blue",), ("green",)], "name STRING")
     pairs = R.all_pairs(names, "name", ["memorability", "pronounceability"])
     assert pairs.count() == 12 and pairs.distinct().count() == 12
     assert pairs.where("competitor_1 < competitor_2").count() == 6
