@@ -78,7 +78,7 @@ def derive_price_cols(t):
         ((F.col("p_retailprice") + F.col("p_size")) / 2).alias("avg_price"),
         F.concat((F.col("p_retailprice") / 100).cast("smallint").cast("string"), F.lit("k")).alias("size_label"),
     )
-    return R.round_floats(derived, 2).orderBy("avg_price")
+    return R.round_floats(derived, 2).orderBy("avg_price", "p_partkey")
 
 
 @query("drop_any_null", """

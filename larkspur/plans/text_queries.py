@@ -140,7 +140,7 @@ def chunk_documents(t):
            round(2 * m / (c + r), 6) AS f1 FROM s""")
 def ngram_overlap(t):
     """Bigrams of each answer against those of the question right before it."""
-    turns = t.spread("conversations", "conv_id")
+    turns = t.spread("conversations", "conv_id", "turn")
     questions = turns.where(F.col("role") == "user").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question")
     )
@@ -301,16 +301,18 @@ def chat_billing_comparison(t):
 
 @query("blended_and_tiered_price", CALLS_SQL + """,
     s AS (SELECT conv_id, sum(fresh + cached) AS fresh, sum(output) AS output FROM k GROUP BY conv_id),
-    p AS (SELECT *, CASE WHEN fresh > 2720 THEN (fresh * 10.0::double + output * 45.0::double) / 1e6::double ELSE (fresh * 5.0::double + output * 30.0::double) / 1e6::double END AS cost FROM s)
-    SELECT conv_id, round(cost, 7) AS cost, round(cost * 0.5::double, 7) AS batch_cost, round((fresh + output) * ((7 * 0.5::double + 2 * 5 + 1 * 30) / 10) / 1e6::double, 9) AS blended_cost FROM p""")
+    p AS (SELECT *, (fresh * 10.0::double + output * 45.0::double) / 1e6::double AS high, (fresh * 5.0::double + output * 30.0::double) / 1e6::double AS low FROM s),
+    steps AS (SELECT *, CASE WHEN fresh > 272000 THEN high ELSE low END AS cost, CASE WHEN fresh > 2720 THEN high ELSE low END AS low_step FROM p)
+    SELECT conv_id, round(cost, 7) AS cost, round(low_step, 7) AS cost_low_step, round(cost * 0.5::double, 7) AS batch_cost, round((fresh + output) * ((7 * 0.5::double + 2 * 5 + 1 * 30) / 10) / 1e6::double, 9) AS blended_cost FROM steps""")
 def blended_and_tiered_price(t):
-    """Prices per conversation without a cache. The conversations are short, so the step to the high
-    price is set at 2,720 input tokens instead of 272,000."""
+    """Prices per conversation without a cache; the step to the high price is at 272,000 input tokens
+    and, because these conversations are short, once more at 2,720."""
     sums = calls(t).groupBy("conv_id").agg(F.sum(F.col("fresh") + F.col("cached")).alias("fresh"), F.sum("output").alias("output"))
     fresh, output = F.col("fresh"), F.col("output")
     return sums.select(
-        "conv_id", F.round(B.tiered_cost(fresh, output, threshold=2720), 7).alias("cost"),
-        F.round(B.tiered_cost(fresh, output, threshold=2720, batch=True), 7).alias("batch_cost"),
+        "conv_id", F.round(B.tiered_cost(fresh, output), 7).alias("cost"),
+        F.round(B.tiered_cost(fresh, output, threshold=2720), 7).alias("cost_low_step"),
+        F.round(B.tiered_cost(fresh, output, batch=True), 7).alias("batch_cost"),
         F.round((fresh + output) * F.lit(B.blended_price(B.Price())) / 1e6, 9).alias("blended_cost"),
     )
 

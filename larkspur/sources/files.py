@@ -49,6 +49,7 @@ def create_table_as(spark: SparkSession, name: str, df: DataFrame, casts: dict[s
     df.createOrReplaceTempView(view)
     columns = ", ".join(f"CAST(`{c}` AS {t}) AS `{c}`" for c, t in casts.items())
     spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}' AS SELECT {columns} FROM {view}")
+    spark.catalog.dropTempView(view)
     return spark.table(name)
 
 
