@@ -27,31 +27,34 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def join_group_stats(
     rows: DataFrame, stats: DataFrame, keys: Sequence[str], n_rows: str, spread: Sequence[str],
-    salts: int = 256, hot_fraction: int = 1000,
+    hot_fraction: int = 1000, slices: int = 16384,
 ) -> DataFrame:
-    """Put per-group statistics on every row, with hot groups split over ``salts`` tasks.
+    """Put per-group statistics on every row, with hot groups cut into slices.
 
     ``stats`` has one row per group, ``n_rows`` of it counts the group's rows. A group is hot when it
     holds more than 1/``hot_fraction`` of all rows; so there are fewer than ``hot_fraction`` hot
-    groups, which bounds the broadcast that marks them. ``spread`` columns pick a row's salt.
+    groups, which bounds the broadcast that marks them. A hot group gets as many salts as it takes to
+    make each slice about 1/``slices`` of all rows, so the copies of statistics stay below
+    ``slices + hot_fraction`` rows. ``spread`` columns pick a row's salt.
     (Adaptive skew handling does not reach this case: an aggregate feeds the join directly.)"""
-    known = stats.withColumn("_g", _group(keys)).drop(*keys)
     total = stats.agg(F.sum(n_rows)).scalar()
-    is_hot = F.col(n_rows) * hot_fraction > F.col("_total")
-    marked = known.withColumn("_total", total).withColumn("_hot", is_hot).drop("_total")
-    hot = marked.where("_hot").select("_g", "_hot")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
+    known = stats.withColumn("_g", _group(keys)).drop(*keys).withColumn("_total", total)
+    salts = F.ceil(F.col(n_rows) * F.lit(slices) / F.col("_total")).cast("int")
+    marked = known.withColumn(
+        "_salts", F.when(F.col(n_rows) * hot_fraction > F.col("_total"), salts).otherwise(F.lit(1))
+    ).drop("_total")
+    hot = marked.where(F.col("_salts") > 1).select("_g", "_salts")
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")
     left = (
         rows.withColumn("_g", _group(keys)).join(F.broadcast(hot), "_g", "left")
-        .withColumn("_salt", salt.cast("int")).drop("_hot")
+        .withColumn("_salt", salt).drop("_salts")
     )
-    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = marked.withColumn("_salt", F.explode(all_salts)).drop("_hot")
+    right = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return left.join(right, ["_g", "_salt"]).drop("_g", "_salt")
 
 
 def semi_join(
-    rows: DataFrame, wanted: DataFrame, key: str, spread: Sequence[str], max_broadcast_rows: int = 1_000_000, salts: int = 32,
+    rows: DataFrame, wanted: DataFrame, key: str, spread: Sequence[str], max_broadcast_rows: int = 1_000_000, salts: int = 256,
 ) -> DataFrame:
     """Rows whose key is in ``wanted`` (one row per key). The size of ``wanted`` is counted: a small
     one is broadcast and ``rows`` are not shuffled; a larger one is copied to ``salts`` salts, so that

@@ -105,7 +105,7 @@ def month_facet(t):
     FROM e GROUP BY user_id, week""")
 def ohlc_yearly(t):
     events = t.events.where(F.year("ts") >= 2017).withColumn("week", F.date_format(A.week_start("ts"), "yyyy-MM-dd"))
-    series = A.ohlc(events, ["user_id", "week"], ["ts", "event_id"], "value", F.date_trunc("day", "ts"))
+    series = A.ohlc(events, ["user_id", "week"], ["ts", "event_id"], "value", F.date_trunc("minute", "ts"))
     return series.withColumns({c: S.rounded(F.col(c), 6) for c in ("growth", "volatility")})
 
 
@@ -120,7 +120,7 @@ def growth(t):
     WITH e AS (SELECT user_id, value AS v, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
     SELECT user_id, round(stddev_pop(CASE WHEN v > 0 AND nxt > 0 THEN ln(v / nxt) END) * sqrt(252), 6) + 0.0 AS volatility FROM e GROUP BY user_id""")
 def volatility(t):
-    returns = A.with_log_return(t.events, ["user_id"], ["ts", "event_id"], "value", F.date_trunc("day", "ts"))
+    returns = A.with_log_return(t.events, ["user_id"], ["ts", "event_id"], "value", F.date_trunc("minute", "ts"))
     return returns.groupBy("user_id").agg(S.rounded(A.volatility(), 6).alias("volatility"))
 
 

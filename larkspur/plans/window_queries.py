@@ -47,7 +47,7 @@ def index_to_first(t):
     SELECT event_id, user_id, round(CASE WHEN value > 0 AND nxt > 0 THEN ln(value / nxt) END, 6) + 0.0 AS log_return FROM e""")
 def lead_log_return(t):
     events = t.events.select("event_id", "user_id", "ts", "value")
-    returns = A.with_log_return(events, ["user_id"], ["ts", "event_id"], "value", F.date_trunc("day", "ts"))
+    returns = A.with_log_return(events, ["user_id"], ["ts", "event_id"], "value", F.date_trunc("minute", "ts"))
     return returns.select("event_id", "user_id", S.rounded(F.col("log_return"), 6).alias("log_return"))
 
 
@@ -105,6 +105,6 @@ def iob_spans(t):
 def path_mining(t):
     events = t.events.select("event_id", "user_id", "ts", "event_type", F.to_date("ts").alias("day"))
     paths = W.step_paths(
-        events, ["user_id", "day"], ["ts", "event_id"], "event_type", "purchase", 3, F.date_trunc("hour", "ts")
+        events, ["user_id", "day"], ["ts", "event_id"], "event_type", "purchase", 3, F.date_trunc("minute", "ts")
     )
     return paths.withColumn("success_rate", F.round("success_rate", 6))

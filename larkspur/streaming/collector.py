@@ -11,6 +11,9 @@ from larkspur.sources.files import is_complete
 class Collector:
     """Appends the rows of a stream that are newer than the key's ``since_id`` and keeps the state.
 
+    Ids grow over time, as in a service that is asked for everything since the last id; a row that
+    comes in a later batch with an id at or below the mark counts as collected already.
+
     ``folder`` (shared by all executors) holds ``rows/batch=N`` and ``state/batch=N``. A batch reads
     the state of the batch before it and overwrites its own folders, so a batch that is run again
     after a failure leaves the same result, and everything finished before a failure stays."""

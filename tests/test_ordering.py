@@ -89,11 +89,11 @@ def test_value_block_never_decreases(spark):
     assert blocks == sorted(blocks)
 
 
-@pytest.mark.parametrize("hot_fraction", [2, 1000])
+@pytest.mark.parametrize("hot_fraction", [2, 4, 1000])
 def test_join_group_stats(hot, hot_fraction):
     pdf, df = hot
     stats = df.groupBy("k").agg(F.max("v").alias("top"), F.count("*").alias("n"))
-    got = O.join_group_stats(df, stats, ["k"], "n", ["t"], salts=4, hot_fraction=hot_fraction).toPandas().sort_values("t")
+    got = O.join_group_stats(df, stats, ["k"], "n", ["t"], hot_fraction, slices=8).toPandas().sort_values("t")
     assert len(got) == len(pdf)
     want = by_key(pdf)["v"].transform("max").loc[pdf.sort_values("t").index]
     np.testing.assert_array_equal(got["top"].to_numpy(), want.to_numpy())
