@@ -18,6 +18,12 @@ def _group(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.lit(1)
 
 
+def order_key(order: Sequence[str]) -> Column:
+    """What ``min_by`` and ``max_by`` compare: one plain column keeps the aggregation hash-based, a
+    struct of several makes Spark sort each task's rows by group first. Prefer one unique column."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns so that filters on them do not compute them again. A filter is pushed below
     a projection together with copies of its expressions; it is not pushed below a generator."""
@@ -101,7 +107,7 @@ def next_values(
     rows = df.withColumns({"_g": _group(keys), "_b": block, "_v": F.struct(value.alias("v"))})
     inner = Window.partitionBy("_g", "_b").orderBy(*order)
     if k == 1:
-        heads = rows.groupBy("_g", "_b").agg(F.array(F.min_by("_v", F.struct(*order))).alias("_h"))
+        heads = rows.groupBy("_g", "_b").agg(F.array(F.min_by("_v", order_key(order))).alias("_h"))
     else:
         first = rows.withColumn("_i", F.row_number().over(inner)).where(F.col("_i") <= k)
         heads = first.groupBy("_g", "_b").agg(
@@ -152,7 +158,7 @@ def first_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, spread: Sequence[str],
 ) -> DataFrame:
     """First value per key on every row: a combined aggregate joined back, no whole-key window."""
-    heads = df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(out), F.count("*").alias("_rows"))
+    heads = df.groupBy(*keys).agg(F.min_by(value, order_key(order)).alias(out), F.count("*").alias("_rows"))
     return join_group_stats(df, heads, keys, "_rows", spread).drop("_rows")
 
 

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.operators.ordering import exact_quantiles, next_values
+from larkspur.operators.ordering import exact_quantiles, next_values, order_key
 
 TRADING_DAYS = 252
 
@@ -26,7 +26,7 @@ def weekly_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataF
 
 def growth(value: str, *order: str) -> Column:
     """Last over first, minus one, as an aggregate; null when the first value is zero."""
-    at = F.struct(*order)
+    at = order_key(order)
     return F.try_divide(F.max_by(value, at), F.min_by(value, at)) - 1
 
 
@@ -45,7 +45,7 @@ def volatility(log_return: str = "log_return", periods: int = TRADING_DAYS) -> C
 
 def ohlc(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: Column) -> DataFrame:
     """Per series: first, last, high, low, number of values, growth, volatility."""
-    at = F.struct(*order)
+    at = order_key(order)
     return (
         with_log_return(df, keys, order, value, block)
         .groupBy(*keys)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.scalar import PHONE, SPACE_WORD, emails, ngrams, ratio, words
 from larkspur.operators.ordering import computed_once, join_group_stats, semi_join, top_k
+from larkspur.session import shared_root
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -136,8 +137,12 @@ def tf_idf(counts: DataFrame, id_col: str, n_texts: Column) -> DataFrame:
 
 
 def class_words(counts: DataFrame, classes: DataFrame, id_col: str, label: str, k: int) -> DataFrame:
-    """The k words whose share in a class most exceeds their share in all classes together."""
-    by_class = counts.join(classes.select(id_col, label), id_col).groupBy(label, "term").agg(F.sum("tf").alias("n"))
+    """The k words whose share in a class most exceeds their share in all classes together. The counts
+    per class and term are used four times; they are checkpointed, far smaller than the texts."""
+    shared_root(counts.sparkSession)
+    by_class = (
+        counts.join(classes.select(id_col, label), id_col).groupBy(label, "term").agg(F.sum("tf").alias("n")).checkpoint()
+    )
     class_total = by_class.groupBy(label).agg(F.sum("n").alias("class_n"), F.count("*").alias("_terms"))
     per_term = by_class.groupBy("term").agg(F.sum("n").alias("term_n"))
     total = by_class.agg(F.sum("n")).scalar()

@@ -32,7 +32,7 @@ def build_requests(t):
     WITH e AS (SELECT doc_id, {tokens('text')} AS tokens FROM documents)
     SELECT doc_id, tokens, ceil(tokens / 665)::bigint AS pages, tokens > 4096 AS too_long FROM e""")
 def estimate_tokens(t):
-    counted = t.documents.select("doc_id", S.estimated_tokens(F.col("text")).alias("tokens"))
+    counted = t.spread("documents", "doc_id").select("doc_id", S.estimated_tokens(F.col("text")).alias("tokens"))
     return counted.select(
         "doc_id", "tokens", F.ceil(F.col("tokens") / 665).alias("pages"), (F.col("tokens") > 4096).alias("too_long")
     )
@@ -43,11 +43,11 @@ def estimate_tokens(t):
     SELECT lang, round(tokens, 4) AS mean_tokens, round(tokens / (SELECT tokens FROM l WHERE lang = 'en'), 6) AS token_ratio,
            round(bytes_per_char / (SELECT bytes_per_char FROM l WHERE lang = 'en'), 6) AS byte_ratio FROM l""")
 def token_ratio_by_language(t):
-    stats = t.documents.groupBy("lang").agg(
+    stats = t.spread("documents", "doc_id").groupBy("lang").agg(
         F.avg(S.estimated_tokens(F.col("text"))).alias("tokens"),
         (F.sum(F.octet_length("text")) / F.sum(F.length("text"))).alias("bytes_per_char"),
     )
-    english = stats.where(F.col("lang") == "en").select(F.struct("tokens", "bytes_per_char")).scalar()
+    english = stats.agg(F.max(F.when(F.col("lang") == "en", F.struct("tokens", "bytes_per_char")))).scalar()
     return stats.select(
         "lang", F.round("tokens", 4).alias("mean_tokens"), F.round(F.col("tokens") / english["tokens"], 6).alias("token_ratio"),
         F.round(F.col("bytes_per_char") / english["bytes_per_char"], 6).alias("byte_ratio"),
@@ -321,7 +321,7 @@ def blended_and_tiered_price(t):
     WITH g AS (SELECT text, count(*) AS n, max({tokens('text')}) AS tok FROM documents GROUP BY text)
     SELECT sum(n)::bigint AS requests, sum(n - 1)::bigint AS repeats, round(sum(n - 1) / sum(n), 6) AS repeat_share, round(sum((n - 1) * tok) * 5.0::double / 1e6::double, 6) AS saved FROM g""")
 def cache_savings(t):
-    saved = B.cache_savings(t.documents, "text", S.estimated_tokens(F.col("text")), 5.0)
+    saved = B.cache_savings(t.spread("documents", "doc_id"), "text", S.estimated_tokens(F.col("text")), 5.0)
     return saved.withColumns({c: F.round(c, 6) for c in ("repeat_share", "saved")})
 
 

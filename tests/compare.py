@@ -1,6 +1,8 @@
 """Run registered queries in Spark and their SQL in DuckDB and compare the rows exactly.
 
-    python tests/compare.py [--sf 0.01] [key ...]
+    python tests/compare.py [--sf 0.01] [--shuffle] [key ...]
+
+``--shuffle`` forbids broadcasts chosen by size, so that the joins for large tables are taken.
 """
 
 from __future__ import annotations
@@ -70,6 +72,10 @@ def main(argv: list[str]) -> int:
         sf, argv = argv[1], argv[2:]
     spark = local_session(8, memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
+    if argv[:1] == ["--shuffle"]:
+        argv = argv[1:]
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     con = connect(sf)
     known, sqls, failed = queries(), oracle_sql(), []
     for key in argv or known:
