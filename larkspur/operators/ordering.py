@@ -18,6 +18,15 @@ def _group(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.lit(1)
 
 
+BLOCK = ["_k", "_g", "_b"]
+
+
+def _in_blocks(df: DataFrame) -> DataFrame:
+    """Add a hash of key and block as first sort column: Spark sorts by a long much faster than by the
+    structs behind it, which only decide between equal hashes."""
+    return df.withColumn("_k", F.xxhash64("_g", "_b"))
+
+
 def order_key(order: Sequence[str]) -> Column:
     """What ``min_by`` and ``max_by`` compare: one plain column keeps the aggregation hash-based, a
     struct of several makes Spark sort each task's rows by group first. Prefer one unique column."""
@@ -56,7 +65,10 @@ def join_group_stats(
         .withColumn("_salt", salt).drop("_salts")
     )
     right = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    return left.join(right, ["_g", "_salt"]).drop("_g", "_salt")
+    slice_hash = F.xxhash64("_g", "_salt")
+    return left.withColumn("_k", slice_hash).join(right.withColumn("_k", slice_hash), ["_k", "_g", "_salt"]).drop(
+        "_k", "_g", "_salt"
+    )
 
 
 def semi_join(
@@ -78,55 +90,71 @@ def running_sum(
 ) -> DataFrame:
     """Cumulative sum of ``value`` per key in ``order``, and on request the key's ``total``. ``block``
     must not decrease along ``order``; choose it so that one (key, block) fits a task."""
-    rows = df.withColumns({"_g": _group(keys), "_b": block, "_v": value})
-    totals = rows.groupBy("_g", "_b").agg(F.sum("_v").alias("_t"))
+    rows = _in_blocks(df.withColumns({"_g": _group(keys), "_b": block, "_v": value}))
+    totals = rows.groupBy(*BLOCK).agg(F.sum("_v").alias("_t"))
     by_key = Window.partitionBy("_g")
     earlier = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off")]
     if total:
         carried.append(F.sum("_t").over(by_key).alias(total))
-    offsets = totals.select("_g", "_b", *carried)
-    upto = Window.partitionBy("_g", "_b").orderBy(*order).rowsBetween(
+    offsets = totals.select(*BLOCK, *carried)
+    upto = Window.partitionBy(*BLOCK).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
     return (
-        rows.join(offsets, ["_g", "_b"])
+        rows.join(offsets, BLOCK)
         .withColumn(out, F.col("_off") + F.coalesce(F.sum("_v").over(upto), F.lit(0)))
-        .drop("_g", "_b", "_v", "_off")
+        .drop(*BLOCK, "_v", "_off")
+    )
+
+
+def with_hot_block(df: DataFrame, keys: Sequence[str], block: Column, out: str, hot_fraction: int = 100_000) -> DataFrame:
+    """Add ``block`` for hot keys only; other keys stay in one piece, which keeps block tables small. A
+    key is hot above 1/``hot_fraction`` of all rows, so fewer than ``hot_fraction`` keys are broadcast."""
+    sizes = df.groupBy(_group(keys).alias("_g")).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n")).scalar()
+    hot = sizes.withColumn("_total", total).where(F.col("_n") * hot_fraction > F.col("_total"))
+    marked = df.withColumn("_g", _group(keys)).join(
+        F.broadcast(hot.select("_g", F.lit(True).alias("_hot"))), "_g", "left"
     )
+    return marked.withColumn(out, F.struct(F.when(F.col("_hot"), block).alias("block"))).drop("_g", "_hot")
 
 
 def next_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, outs: Sequence[str], block: Column,
+    hot_fraction: int = 100_000,
 ) -> DataFrame:
-    """The values 1, 2, ... rows later per key, one column of ``outs`` each, null past the end.
+    """The values 1, 2, ... rows later per key, one column of ``outs`` each, null past the end. Hot keys
+    are cut by ``block``, which must not decrease along ``order``.
 
     The first rows of every block are kept in a block table; the last rows of the block before read
     them from there. Every block has a row, so as many blocks as columns are far enough."""
     k = len(outs)
-    rows = df.withColumns({"_g": _group(keys), "_b": block, "_v": F.struct(value.alias("v"))})
-    inner = Window.partitionBy("_g", "_b").orderBy(*order)
+    rows = _in_blocks(with_hot_block(df, keys, block, "_b", hot_fraction).withColumns(
+        {"_g": _group(keys), "_v": F.struct(value.alias("v"))}
+    ))
+    inner = Window.partitionBy(*BLOCK).orderBy(*order)
     if k == 1:
-        heads = rows.groupBy("_g", "_b").agg(F.array(F.min_by("_v", order_key(order))).alias("_h"))
+        heads = rows.groupBy(*BLOCK).agg(F.array(F.min_by("_v", order_key(order))).alias("_h"))
     else:
         first = rows.withColumn("_i", F.row_number().over(inner)).where(F.col("_i") <= k)
-        heads = first.groupBy("_g", "_b").agg(
+        heads = first.groupBy(*BLOCK).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_h")
         )
     after = Window.partitionBy("_g").orderBy("_b").rowsBetween(1, k)
-    following = heads.select("_g", "_b", F.flatten(F.collect_list("_h").over(after)).alias("_n"))
+    following = heads.select(*BLOCK, F.flatten(F.collect_list("_h").over(after)).alias("_n"))
     if k == 1:
         ahead = F.coalesce(F.lead("_v").over(inner), F.get("_n", F.lit(0)))
-        return rows.join(following, ["_g", "_b"]).withColumn(outs[0], ahead["v"]).drop("_g", "_b", "_v", "_n")
-    whole = Window.partitionBy("_g", "_b")
+        return rows.join(following, BLOCK).withColumn(outs[0], ahead["v"]).drop(*BLOCK, "_v", "_n")
+    whole = Window.partitionBy(*BLOCK)
     rest = F.count("*").over(whole) - F.row_number().over(inner)
-    placed = rows.join(following, ["_g", "_b"]).withColumn("_rest", rest.cast("int"))
+    placed = rows.join(following, BLOCK).withColumn("_rest", rest.cast("int"))
     for i, out in enumerate(outs, start=1):
         ahead = F.when(F.col("_rest") >= i, F.lead("_v", i).over(inner)).otherwise(
             F.get("_n", F.lit(i - 1) - F.col("_rest"))
         )
         placed = placed.withColumn(out, ahead["v"])
-    return placed.drop("_g", "_b", "_v", "_n", "_rest")
+    return placed.drop(*BLOCK, "_v", "_n", "_rest")
 
 
 def seeded_rank(

@@ -38,10 +38,11 @@ def test_running_sum(hot, block_size, inclusive):
 
 @pytest.mark.parametrize("block_size", [1, 7, 10_000])
 @pytest.mark.parametrize("steps", [1, 3])
-def test_next_values(hot, block_size, steps):
+@pytest.mark.parametrize("hot_fraction", [1, 4, 100_000])
+def test_next_values(hot, block_size, steps, hot_fraction):
     pdf, df = hot
     outs = [f"n{i}" for i in range(1, steps + 1)]
-    got = O.next_values(df, ["k"], ["t"], F.col("v"), outs, F.floor(F.col("t") / block_size)).toPandas().sort_values("t")
+    got = O.next_values(df, ["k"], ["t"], F.col("v"), outs, F.floor(F.col("t") / block_size), hot_fraction).toPandas().sort_values("t")
     ordered = pdf.sort_values("t")
     for i, out in enumerate(outs, start=1):
         want = by_key(pdf)["v"].shift(-i).loc[ordered.index]
