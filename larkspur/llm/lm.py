@@ -1,0 +1,136 @@
+"""Language-model scoring by cross-entropy difference.
+
+Two word bigram models of the same form, one of the target texts and one of all texts, share one vocabulary: words are
+hashed to ``WORDS`` numbers and bigrams to ``PAIRS`` cells, so both models and what is sent to the tasks have a fixed
+size, while the counts come from every word of every text. A text's score is its mean loss per word under the target
+model less that under the background model; the lower, the more like the target.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from larkspur.llm.arrays import STEP, Texts, chunks, mix, string_batches, words
+from larkspur.session import work_path
+
+#: Size of the shared vocabulary and number of bigram cells; they bound the models at (WORDS + PAIRS) * 16 bytes.
+WORDS = 1 << 17
+PAIRS = 1 << 19
+#: Weight of the unigram estimate in a bigram estimate, in words.
+BACKOFF = 64.0
+
+
+def tokens(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers, cells of the bigrams that end at each word, numbers of the words before, and text numbers.
+
+    Before the first word of a text stands the number WORDS - 1, which marks the beginning.
+    """
+    found = words(part)
+    number = (found.hash % np.uint64(WORDS - 1)).astype(np.int64)
+    before = np.concatenate([[WORDS - 1], number[:-1]])[:len(number)]
+    before[found.first[:-1][found.counts > 0]] = WORDS - 1
+    cell = (mix(before.astype(np.uint64) * STEP + number.astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
+    return number, cell, before, found.text
+
+
+def count_cells(docs: DataFrame) -> DataFrame:
+    """(cell, target, background): counts over all texts of ``docs`` (text, is_target).
+
+    Cells below WORDS are words, then come words as a beginning of a bigram, then bigrams. Each task sends at most one row
+    for each cell.
+    """
+    total = 2 * WORDS + PAIRS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, total), np.int64)
+        for batch in batches:
+            target = batch.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
+            for part in chunks(batch.column("text")):
+                number, cell, before, text = tokens(part)
+                chosen = target[part.first + text]
+                for i, rows in ((0, chosen), (1, slice(None))):
+                    for values, base in ((number, 0), (before, WORDS), (cell, 2 * WORDS)):
+                        found = np.bincount(values[rows])
+                        sums[i, base:base + len(found)] += found
+        some = np.flatnonzero(sums[1])
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0][some]), pa.array(sums[1][some])], ["cell", "target", "background"])
+
+    parts = docs.select("text", "is_target").mapInArrow(count, "cell long, target long, background long")
+    return parts.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+class Model:
+    """Loss tables of one model: of words by the unigram estimate, and what the bigram estimate needs."""
+
+    def __init__(self, counts: np.ndarray):
+        words_, heads, self.pairs = counts[:WORDS], counts[WORDS:2 * WORDS], counts[2 * WORDS:]
+        self.unigram = (words_ + 1.0) / (words_.sum() + WORDS)
+        self.heads = heads + BACKOFF
+
+    def losses(self, number: np.ndarray, cell: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return -np.log((self.pairs[cell] + BACKOFF * self.unigram[number]) / self.heads[before])
+
+
+def fit(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the target and of the background model. ``target`` has the doc_ids of the target texts.
+
+    The background is all of ``docs``; both models have the same vocabulary, cells and smoothing.
+    """
+    ids = target.select(F.col("doc_id").alias("target_id")).where("target_id IS NOT NULL").distinct()
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("target_id"), "left")
+    path = work_path(docs.sparkSession, "lm-counts")
+    count_cells(marked.select(F.coalesce("text", F.lit("")).alias("text"), F.isnotnull("target_id").alias("is_target"))).write.parquet(path)
+    table = docs.sparkSession.read.parquet(path).toArrow()
+    out = np.zeros((2, 2 * WORDS + PAIRS), np.float64)
+    cells = table["cell"].to_numpy()
+    out[0][cells], out[1][cells] = table["target"].to_numpy(), table["background"].to_numpy()
+    return out[0], out[1]
+
+
+def score(docs: DataFrame, target: np.ndarray, background: np.ndarray, text: str = "text", column: str = "lm") -> DataFrame:
+    """Add a struct: n_words, target_loss, background_loss and score, the difference of the mean losses per word."""
+    sent = docs.sparkSession.sparkContext.broadcast((target.astype(np.float32), background.astype(np.float32)))  # of fixed size
+    held: list[Model] = []
+
+    @F.arrow_udf("n_words long, target_loss double, background_loss double")
+    def look(batch: pa.Array) -> pa.Array:
+        if not held:
+            held.extend(Model(counts.astype(np.float64)) for counts in sent.value)
+        n_words, means = [], [[], []]
+        for part in chunks(string_batches(batch)):
+            number, cell, before, owner = tokens(part)
+            n = np.bincount(owner, minlength=part.n)
+            n_words.append(n)
+            for i, model in enumerate(held):
+                total = np.bincount(owner, model.losses(number, cell, before), minlength=part.n)
+                means[i].append(total / np.maximum(n, 1))
+        n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
+        none = n == 0
+        losses = [np.concatenate(m) if m else np.zeros(0) for m in means]
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), *(pa.array(x, mask=none) for x in losses)], ["n_words", "target_loss", "background_loss"])
+
+    found = F.col(column)
+    return docs.withColumn(column, look(F.col(text).cast("string"))).withColumn(
+        column, found.withField("score", found["target_loss"] - found["background_loss"]))
+
+
+def target_ids(labels: DataFrame) -> DataFrame:
+    """Documents labelled as good and never as bad."""
+    return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("low")).where("low >= 1").select("doc_id")
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_words, target_loss, background_loss, score.
+
+    Texts without words, null texts among them, have 0 words and null losses and score. Repeated rows are counted as often
+    as they occur and get equal results. Without target texts the target model is even over the vocabulary. Extra
+    columns are not read.
+    """
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    target, background = fit(slim, target_ids(labels))
+    return score(slim, target, background).select("doc_id", "lm.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import checks, decontamination, jaccard, language, lines, mixing, quality
+from larkspur.llm import checks, decontamination, html, jaccard, language, licenses, lines, lm, mixing, quality, urls
 from larkspur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,30 @@ def query(key: str, sql: str | None = None):
     return register
 
 
+@query("op1_license_scan")
+def op1_license_scan(t: Tables) -> DataFrame:
+    found = licenses.license_scan(t.documents)
+    best = F.coalesce(F.array_max("spans.containment"), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ", ").alias("licenses"),
+        F.size("spans").cast("long").alias("n_spans"), F.round(best, 6).alias("containment"), F.to_json("spans").alias("spans"))
+
+
 @query("op2_language_id")
 def op2_language_id(t: Tables) -> DataFrame:
     return language.language_id(t.documents)
 
 
+@query("op3_lm_scoring")
+def op3_lm_scoring(t: Tables) -> DataFrame:
+    return lm.cross_entropy_difference(t.documents, t.labels)
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(t: Tables) -> DataFrame:
+    return html.extract(t.pages)
+
+
 @query("op5_line_dedup", checks.LINE_DEDUP)
 def op5_line_dedup(t: Tables) -> DataFrame:
     return lines.dedup_lines(t.documents).select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
@@ -43,6 +62,16 @@ def op7_ngram_jaccard_join(t: Tables) -> DataFrame:
     return jaccard.jaccard_join(t.documents)
 
 
+#: The rules of the contract, in its order.
+URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
+
+
+@query("op8_url_filters")
+def op8_url_filters(t: Tables) -> DataFrame:
+    found = urls.url_verdicts(t.pages, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), "block_odds")
+
+
 @query("op9_mixing", checks.MIXING)
 def op9_mixing(t: Tables) -> DataFrame:
     return mixing.mixed(t.documents).select("doc_id", "source", F.col("copy").cast("long").alias("copy"), "shuffle_key", "text")
