@@ -1,6 +1,6 @@
 """SQL (DuckDB) that gives the rows of the queries which SQL can express."""
 
-from larkspur.llm.lines import DEPTH, MASS, SIMILARITY
+from larkspur.llm.lines import DEPTH, MASS, SEGMENTS, SIMILARITY
 from larkspur.llm.mixing import PART, POWER, SEED
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,15 +40,18 @@ masks AS (
     SELECT doc_id, line_no, line, regexp_replace(tidy, '[^ ]*[0-9@][^ ]*', '<*>', 'g') AS masked FROM plain),
 parsed AS (
     SELECT doc_id, line_no, masked, string_split(masked, ' ') AS tokens FROM masks WHERE masked <> ''),
-leafed AS (SELECT *, len(tokens) AS n, array_to_string(tokens[1:{DEPTH}], ' ') AS lead FROM parsed),
+leafed AS (
+    SELECT doc_id, line_no, masked, len(tokens) AS n, array_to_string(tokens[1:{DEPTH}], ' ') AS lead, least(len(tokens), {SEGMENTS}) AS m,
+           list_transform(range(0, least(len(tokens), {SEGMENTS})), lambda i: array_to_string(tokens[i * len(tokens) // least(len(tokens), {SEGMENTS}) + 1:(i + 1) * len(tokens) // least(len(tokens), {SEGMENTS})], ' ')) AS segments
+    FROM parsed),
 variants AS (
-    SELECT n, lead, masked, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS n_docs, min((doc_id, line_no)) AS first
-    FROM leafed GROUP BY n, lead, masked),
+    SELECT n, m, lead, masked, any_value(segments) AS segments, count(*) AS n_lines, min((doc_id, line_no)) AS first
+    FROM leafed GROUP BY n, m, lead, masked),
 ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY n, lead ORDER BY n_docs DESC, first) AS place FROM variants),
+    SELECT *, row_number() OVER (PARTITION BY n, lead ORDER BY n_lines DESC, first) AS place FROM variants),
 assigned AS (
     SELECT v.n, v.lead, v.masked,
-           CASE WHEN len(list_filter(range(1, v.n + 1), lambda i: v.tokens[i] = l.tokens[i])) >= {SIMILARITY} * v.n THEN l.masked ELSE v.masked END AS template
+           CASE WHEN v.m - 1 >= {SIMILARITY} * v.m AND len(list_filter(range(1, v.m + 1), lambda i: v.segments[i] = l.segments[i])) >= {SIMILARITY} * v.m THEN l.masked ELSE v.masked END AS template
     FROM variants v JOIN ranked l ON v.n = l.n AND v.lead = l.lead AND l.place = 1),
 templated AS (SELECT doc_id, line_no, n, lead, template FROM leafed JOIN assigned USING (n, lead, masked)),
 recurring AS (
