@@ -13,12 +13,14 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from larkspur.llm.arrays import string_batches
 
 # HTML elements by their part in a page.
 SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button".split())
+#: Elements that show nothing and so do not end a block.
+UNSEEN = frozenset("script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog search fieldset".split())
@@ -34,13 +36,13 @@ BOILERPLATE_NAME = re.compile(
     r"comments?|replies|reply|disqus|discussion|respond|copyright|legal|disclaimer|skip|search)(?:$|[\s_-])", re.I)
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body)(?:$|[\s_-])", re.I)
 BOILERPLATE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)|'([^']*)|([^\s"'>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 
 #: Weights of the classifier: positive speaks for content.
 BIAS = 0.4
-IN_BOILERPLATE = -6.0
+IN_BOILERPLATE = -8.0
 IN_CONTENT = 3.0
 LINKS = -3.5
 LONG_TEXT = 1.6
@@ -128,7 +130,7 @@ def blocks(page: str) -> list[Block]:
             if at == match.start():
                 at += 1
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             if tag in ("br", "wbr"):
                 if current is not None and tag == "br":
                     current.parts.append(" ")
@@ -268,7 +270,7 @@ def main_text(page: str | None) -> str:
     return "\n".join(t for (_, t), keep in zip(pairs, kept) if keep)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def extracted(batch: pa.Array) -> pa.Array:
     return pa.array([main_text(page) for page in string_batches(batch).to_pylist()], pa.string())
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from larkspur.llm.arrays import Texts, chunks, distinct_pairs, mix, shingles, string_batches, words
 from larkspur.session import work_path
@@ -108,7 +108,7 @@ def set_hashes(part: Texts) -> tuple[np.ndarray, np.ndarray]:
     return distinct_pairs(*shingles(words(part), SHINGLE))
 
 
-@F.arrow_udf("key long, size int, sig binary")
+@F.arrow_udf(T.StructType([T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("sig", T.BinaryType())]))
 def sketch(batch: pa.Array) -> pa.Array:
     """Key of a text's shingle set, the set's size and its signature; nulls for a text without words."""
     keys, sizes, sigs = [], [], []
@@ -126,7 +126,7 @@ def sketch(batch: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(columns, ["key", "size", "sig"])
 
 
-@F.arrow_udf("array<long>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def band_keys(batch: pa.Array) -> pa.Array:
     """Bucket number of a signature in each band."""
     column = string_batches(batch)
@@ -139,7 +139,7 @@ def band_keys(batch: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, BANDS), pa.int32()), pa.array(key.view(np.int64).ravel()))
 
 
-@F.arrow_udf("array<binary>")
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
 def shingle_sets(batch: pa.Array) -> pa.Array:
     """The distinct shingles of each text, as one binary in an array (empty for a text without words)."""
     out: list[list[bytes]] = []

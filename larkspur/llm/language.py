@@ -20,9 +20,11 @@ from larkspur.llm.arrays import CHUNK, Texts, chunks, string_batches
 #: Bounds of the learning sample: excerpts per language, and bytes of each excerpt.
 EXCERPTS = 64
 EXCERPT_BYTES = 384
+#: Bytes of all samples together; with many languages each gets fewer excerpts. Bounds the table at about 150 MB.
+SAMPLE_BYTES = 400_000
 PIECE = 1024
 UNKNOWN = "und"
-ENDED = np.int32(1 << 30)
+ENDED = 1 << 29
 
 
 class SuffixAutomaton:
@@ -60,7 +62,8 @@ class SuffixAutomaton:
 class Parser:
     """Automata of all languages in one table, with a column for each byte class.
 
-    An entry holds the row to go to; where no match goes on, the row of a new phrase begun with this byte, and ENDED.
+    An entry holds the row to go to, plus ENDED for each phrase that ends here. Where no match goes on, the phrase ends
+    and a new one begins with this byte; a byte that the sample does not have is a phrase of its own.
     Byte classes: 0 for all ASCII that is no letter, one for each other byte value of the samples, one for the rest.
     """
 
@@ -76,17 +79,18 @@ class Parser:
         self.roots = np.zeros(len(built), np.int32)
         parts, base = [], 0
         for i, states in enumerate(built):
-            row = np.zeros(width, np.int64) + base
+            row = np.full(width, base * width + 2 * ENDED, np.int64)
             for symbol, to in states[0].items():
-                row[symbol] = base + to
-            table = np.tile(row * width + ENDED, (len(states), 1))
+                row[symbol] = (base + to) * width + ENDED
+            table = np.tile(row, (len(states), 1))
+            table[0] -= ENDED  # no phrase is open at the start
             for at, out in enumerate(states):
                 for symbol, to in out.items():
                     table[at, symbol] = (base + to) * width
             self.roots[i] = base * width
             parts.append(table.astype(np.int32).ravel())
             base += len(states)
-        if base * width >= int(ENDED):
+        if base * width >= ENDED:
             raise ValueError("the samples of all languages together are too large for one table")
         self.table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.weight = np.array([np.log2(max(2, len(samples[l]))) for l in self.languages])
@@ -108,14 +112,14 @@ class Parser:
         for t in range(int(size[0]) if len(size) else 0):
             n = active[t]
             got = self.table[state[:n] + codes[begin[:n] + t][:, None]]
-            count[:n] += got >> 30
-            state[:n] = got & (ENDED - 1)
+            count[:n] += got >> 29
+            state[:n] = got & np.int32(ENDED - 1)
+        count += state != self.roots  # the last phrase of each piece
         out = np.zeros((part.n, len(self.languages)))
         if len(owner):
             back = np.argsort(owner, kind="stable")
             heads = np.flatnonzero(pieces)
-            sums = np.add.reduceat(count[back], (np.cumsum(pieces) - pieces)[heads], axis=0)
-            out[heads] = sums + pieces[heads][:, None]  # the last phrase of each piece
+            out[heads] = np.add.reduceat(count[back], (np.cumsum(pieces) - pieces)[heads], axis=0)
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -157,6 +161,7 @@ def learn(docs: DataFrame, excerpts: int = EXCERPTS, excerpt_bytes: int = EXCERP
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
+    excerpts = max(1, min(excerpts, SAMPLE_BYTES // (excerpt_bytes * len(counts))))
     rate = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 2.0 * excerpts / r.n)))])
     draw = F.pmod(F.xxhash64(F.lit("pick"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     start = F.pmod(F.xxhash64(F.lit("at"), "doc_id"), F.greatest(F.lit(1), F.length("text") - excerpt_bytes)) + 1

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from larkspur.llm.arrays import (
     NOT_SPACE, Hashes, Texts, chunks, covered, repeated, shingles, string_batches, within, words,
@@ -30,9 +30,9 @@ LEAF_SAMPLE = 256
 LOSS = 0.0005
 SEED = 20
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATS = T.StructType([T.StructField(name, T.LongType()) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 USED = ("n_words", "word_chars", "n_symbols")
-STATS_ARROW = pa.struct([(x.split()[0], pa.int64()) for x in STATS.split(", ")])
+STATS_ARROW = pa.struct([(name, pa.int64()) for name in STATS.names])
 
 
 def count_texts(part: Texts) -> dict[str, np.ndarray]:

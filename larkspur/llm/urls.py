@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.llm.arrays import string_batches
 
+# Words of both kinds of hosts; they say nothing about either.
+COMMON = "example test sample demo en de fr es it nl pt index html htm page pages www m blog mobile static"
 # Labelled seed texts of the naive Bayes model; their words also are in the unigram model.
 SEEDS = {
     "block": (
@@ -33,7 +35,7 @@ SEEDS = {
         "school college university library science research paper study museum archive history book books",
         "shop store product catalog garden home kitchen food recipe travel city map weather sport music film art",
         "forum community group team project code data open source software tech engineering",
-        "example test sample demo en de fr es it nl pt index html htm page pages www m blog mobile static about contact home category tag author",
+        "about contact home category tag author site welcome",
         "health care doctor clinic family bank finance law office company service public local council",
     ),
 }
@@ -110,7 +112,7 @@ class NaiveBayes:
 
     def __init__(self, texts: dict[str, tuple[str, ...]] = SEEDS):
         self.classes = sorted(texts)
-        words = {c: " ".join(texts[c]).split() for c in self.classes}
+        words = {c: " ".join([COMMON, *texts[c]]).split() for c in self.classes}
         known = sorted({w for c in self.classes for w in words[c]})
         self.number = {w: i for i, w in enumerate(known)}
         counts = np.ones((len(self.classes), len(known)))
@@ -132,7 +134,7 @@ SUFFIX = re.compile(r"(?:\.(?:com|net|org|edu|gov|info|biz|io|co|[a-z]{2}))+$")
 
 class Judge:
     def __init__(self, counts: dict[str, float]):
-        seeds = " ".join(t for texts in SEEDS.values() for t in texts).split()
+        seeds = " ".join([COMMON, *(t for texts in SEEDS.values() for t in texts)]).split()
         share = SEED_SHARE * max(1000.0, sum(counts.values())) / 1000
         merged = dict(counts)
         for word in seeds:
