@@ -20,6 +20,8 @@ from larkspur.session import work_path
 #: Size of the shared vocabulary and number of bigram cells; they bound the models at (WORDS + PAIRS) * 16 bytes.
 WORDS = 1 << 17
 PAIRS = 1 << 19
+#: Target ids up to this many are broadcast (8 bytes each); beyond it texts and ids are joined by a shuffle.
+BROADCAST_IDS = 8_000_000
 #: Weight of the unigram estimate in a bigram estimate, in words.
 BACKOFF = 64.0
 
@@ -76,16 +78,21 @@ class Model:
         return -np.log((self.pairs[cell] + BACKOFF * self.unigram[number]) / self.heads[before])
 
 
+def saved(frame: DataFrame, name: str) -> DataFrame:
+    path = work_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def fit(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the target and of the background model. ``target`` has the doc_ids of the target texts.
 
     The background is all of ``docs``; both models have the same vocabulary, cells and smoothing.
     """
-    ids = target.select(F.col("doc_id").alias("target_id")).where("target_id IS NOT NULL").distinct()
+    ids = saved(target.select(F.col("doc_id").alias("target_id")).where("target_id IS NOT NULL").distinct(), "lm-target")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("target_id"), "left")
-    path = work_path(docs.sparkSession, "lm-counts")
-    count_cells(marked.select(F.coalesce("text", F.lit("")).alias("text"), F.isnotnull("target_id").alias("is_target"))).write.parquet(path)
-    table = docs.sparkSession.read.parquet(path).toArrow()
+    table = saved(count_cells(marked.select(F.coalesce("text", F.lit("")).alias("text"), F.isnotnull("target_id").alias("is_target"))), "lm-counts").toArrow()
     out = np.zeros((2, 2 * WORDS + PAIRS), np.float64)
     cells = table["cell"].to_numpy()
     out[0][cells], out[1][cells] = table["target"].to_numpy(), table["background"].to_numpy()
