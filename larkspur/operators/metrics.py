@@ -93,7 +93,7 @@ def annotator_agreement(df: DataFrame, first: str, second: str) -> DataFrame:
     total = cells.agg(F.sum("n")).scalar()
     rows = cells.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("ra"))
     cols = cells.groupBy(F.col("b").alias("c")).agg(F.sum("n").alias("rb"))
-    chance = rows.join(cols, "c").agg(F.try_divide(F.sum(F.col("ra") * F.col("rb")), total * total)).scalar()
+    chance = rows.join(cols, "c").agg(F.try_divide(F.sum(F.col("ra").cast("double") * F.col("rb")), total.cast("double") * total)).scalar()
     observed = F.try_divide(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)), F.sum("n"))
     s = cells.agg(F.sum("n").alias("n"), observed.alias("observed")).withColumn("expected", chance)
     kappa = ratio(F.col("observed") - F.col("expected"), 1 - F.col("expected"))

@@ -42,7 +42,7 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def join_group_stats(
     rows: DataFrame, stats: DataFrame, keys: Sequence[str], n_rows: str, spread: Sequence[str],
-    hot_fraction: int = 1000, slices: int = 16384,
+    hot_fraction: int = 16384, slices: int = 16384,
 ) -> DataFrame:
     """Put per-group statistics on every row, with hot groups cut into slices.
 
@@ -157,6 +157,14 @@ def next_values(
     return placed.drop(*BLOCK, "_v", "_n", "_rest")
 
 
+def range_block(df: DataFrame, column: str, blocks: int = 4096) -> Column:
+    """Block number that never decreases with the column: equal parts of its range in ``df``, so that ids
+    far apart do not get a block each."""
+    ends = df.agg(F.struct(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high")).alias("b")).scalar()
+    share = (F.col(column).cast("double") - ends["low"]) / (ends["high"] - ends["low"] + 1.0)
+    return F.floor(share * blocks)
+
+
 def seeded_rank(
     df: DataFrame, id_col: str, seed: str, by: Sequence[str] = (), out: str = "rn", hex_digits: int = 4,
     total: str | None = None,
@@ -174,10 +182,8 @@ def seeded_rank(
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
     """First k rows per key. Spark keeps k rows per key and task before the shuffle, so a hot key
-    ships k rows per task and not all its rows. It does so up to k = 1000; take ``running_sum`` or
-    ``seeded_rank`` for more."""
-    if k > 1000:
-        raise ValueError("top_k is for k up to 1000")
+    ships k rows per task and not all its rows. It does so up to k = 1000 (a setting); for more, take
+    ``running_sum`` or ``seeded_rank`` where keys may be hot."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
 

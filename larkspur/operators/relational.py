@@ -121,9 +121,11 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name
 
 
 def long_to_wide(df: DataFrame, index: str, columns: str, value: str, known: Sequence) -> DataFrame:
-    """Pivot with one value per cell; two rows for one cell raise. The column list is given, which
-    saves the extra pass that would look for it."""
-    one = F.when(F.count("*") > 1, F.raise_error(F.lit("more than one row per cell"))).otherwise(F.first(value))
+    """Pivot with one value per cell; two rows for one cell raise, and so does a value that is not among
+    the ``known`` columns (the list saves the extra pass that would look for it)."""
+    one = F.when(F.count("*") > 1, F.raise_error(F.lit("more than one row per cell"))).when(
+        F.coalesce(F.first(columns).isin(list(known)), F.lit(False)), F.first(value)
+    ).otherwise(F.raise_error(F.lit("a value is not among the known columns")))
     cells = df.groupBy(index, columns).agg(one.alias("_v"))
     return cells.groupBy(index).pivot(columns, list(known)).agg(F.first("_v"))
 

@@ -25,8 +25,8 @@ def weekly_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataF
 
 
 def growth(value: str, *order: str) -> Column:
-    """Last over first, minus one, as an aggregate; null when the first value is zero."""
-    at = order_key(order)
+    """Last over first known value, minus one, as an aggregate; null when the first is zero."""
+    at = F.when(F.col(value).isNotNull(), order_key(order))
     return F.try_divide(F.max_by(value, at), F.min_by(value, at)) - 1
 
 
@@ -44,8 +44,8 @@ def volatility(log_return: str = "log_return", periods: int = TRADING_DAYS) -> C
 
 
 def ohlc(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, block: Column) -> DataFrame:
-    """Per series: first, last, high, low, number of values, growth, volatility."""
-    at = order_key(order)
+    """Per series: first and last known value, high, low, number of values, growth, volatility."""
+    at = F.when(F.col(value).isNotNull(), order_key(order))
     return (
         with_log_return(df, keys, order, value, block)
         .groupBy(*keys)
@@ -183,17 +183,23 @@ def hist_2d(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:
 
 
 def distribution_shift(part: DataFrame, whole: DataFrame, column: str) -> DataFrame:
-    """Share of each category in ``part`` and in ``whole``, and the difference."""
-    def shares(df: DataFrame, out: str) -> DataFrame:
-        total = df.agg(F.count("*")).scalar()
-        return df.groupBy(F.col(column).alias("category")).agg((F.count("*") / total).alias(out))
+    """Share of each category (null is one) in ``part`` and in ``whole``, and the difference."""
+    def side(df: DataFrame, in_part: int) -> DataFrame:
+        return df.select(F.col(column).alias("category"), F.lit(in_part).alias("p"), F.lit(1 - in_part).alias("w"))
 
-    both = shares(part, "part_share").join(shares(whole, "whole_share"), "category", "full").na.fill(0.0)
+    def share(counted: str, df: DataFrame) -> Column:
+        return F.coalesce(F.try_divide(F.sum(counted), df.agg(F.count("*")).scalar()), F.lit(0.0))
+
+    both = side(part, 1).unionAll(side(whole, 0)).groupBy("category").agg(
+        share("p", part).alias("part_share"), share("w", whole).alias("whole_share")
+    )
     return both.withColumn("shift", F.col("part_share") - F.col("whole_share"))
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Row count and order-free sum of 40-bit row hashes: equal tables give equal fingerprints."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns])
-    part = F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.sum(part).cast("string").alias("fingerprint"))
+    """Row count and two order-free sums of 60 bits of the row hashes: equal tables give equal
+    fingerprints. Values go into a row's hash with their length before them, so that columns keep apart."""
+    values = [F.col(c).cast("string") for c in columns]
+    text = F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("null;")) for v in values])
+    halves = [F.sum(F.conv(F.substring("_h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16)]
+    return df.select(F.md5(text).alias("_h")).agg(F.count("*").alias("n_rows"), F.concat(halves[0], F.lit("-"), halves[1]).alias("fingerprint"))

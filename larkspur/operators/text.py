@@ -10,6 +10,9 @@ from larkspur.operators.ordering import computed_once, join_group_stats, semi_jo
 from larkspur.session import shared_root
 
 
+HREFS = (r'href="([^"]+)"', r"href='([^']+)'")
+
+
 def page_metadata(pages: DataFrame) -> DataFrame:
     return pages.withColumns({
         "title": F.regexp_extract("html", r"<title>([^<]*)</title>", 1),
@@ -21,43 +24,59 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 def split_overlap(
     train: DataFrame, id_col: str, text: str, held_out: DataFrame, held_text: str, n: int = 8,
 ) -> DataFrame:
-    """Rows of ``train`` that share an n-gram of words with a held-out text: the number of shared
-    n-grams and whether the whole normalised text is there too.
+    """Rows of ``train`` that share an n-gram of words with a held-out text, or are the same text in words:
+    whether the whole normalised text is there, and the number of shared n-grams (0 for a text of
+    fewer than ``n`` words). Texts without words are never the same.
 
     Held-out n-grams are made distinct first, so each training n-gram finds at most one partner and
     no pair list is built, however often a passage is repeated."""
     to_grams = NGram(n=n, inputCol="w", outputCol="grams")
-    whole = F.unhex(F.md5(F.array_join("w", " "))).alias("whole")
-    once = F.explode(F.array_distinct("grams")).alias("gram")
-    grams = to_grams.transform(train.select(id_col, words(F.col(text)).alias("w"))).select(id_col, whole, once)
-    held = held_out.select(words(F.col(held_text)).alias("w"))
-    held_grams = to_grams.transform(held).select(once).distinct()
-    shared = semi_join(grams, held_grams, "gram", [id_col]).groupBy(id_col).agg(
-        F.count("*").alias("shared_ngrams"), F.first("whole").alias("whole")
-    )
-    same = held.select(whole).distinct().withColumn("_same", F.lit(True))
-    return shared.join(same, "whole", "left").select(
-        id_col, F.col("_same").isNotNull().alias("same_text"), "shared_ngrams"
+    # the whole text goes along as one more gram, told apart by its first letter
+    whole = F.when(F.size("w") > 0, F.concat(F.lit("="), F.md5(F.array_join("w", " "))))
+    marked = F.explode(F.concat(
+        F.transform(F.array_distinct("grams"), lambda g: F.concat(F.lit("~"), g)), F.array_compact(F.array(whole)))).alias("gram")
+    grams = to_grams.transform(train.select(id_col, words(F.col(text)).alias("w"))).select(id_col, marked)
+    held_grams = to_grams.transform(held_out.select(words(F.col(held_text)).alias("w"))).select(marked).distinct()
+    return semi_join(grams, held_grams, "gram", [id_col]).groupBy(id_col).agg(
+        F.bool_or(F.startswith("gram", F.lit("="))).alias("same_text"), F.count_if(F.startswith("gram", F.lit("~"))).alias("shared_ngrams")
     )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """One row per link of a page: (page_id, host, path) to (to_host, to_path). Root-relative links
-    stay on the page's host; absolute links carry their own; other links are left out."""
+    """One row per link of a page: (page_id, host, path) to (to_host, to_path), in double or single quotes.
+    Absolute links and those that begin with ``//`` carry their host; the others stay on the page's,
+    relative ones below its folder, with ``.`` and ``..`` resolved. Links to a place in the same page and
+    those of other schemes (mailto, javascript) are left out."""
     own = pages.select(
         "page_id",
         F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"),
         F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)", 1).alias("path"),
-        F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).alias("href"),
+        F.explode(F.concat(*[F.regexp_extract_all("html", F.lit(q), F.lit(1)) for q in HREFS])).alias("href"),
     )
-    absolute = F.col("href").rlike(r"^https?://")
-    target = F.when(absolute, F.regexp_extract("href", r"^https?://([^/?#]+)", 1)).otherwise(F.col("host"))
-    path = F.when(absolute, F.regexp_extract("href", r"^https?://[^/?#]+(/[^?#]*)", 1)).otherwise(
-        F.regexp_extract("href", r"^(/[^?#]*)", 1)
+    href = F.col("href")
+    hosted = href.rlike(r"^(https?:)?//")
+    plain = F.regexp_extract("href", r"^([^?#]*)", 1)
+    folder = F.regexp_extract("path", r"^(.*/)", 1)
+    below = F.when(plain == "", F.col("path")).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), plain))
+    target = F.when(hosted, F.regexp_extract("href", r"^(?:https?:)?//([^/?#]+)", 1)).otherwise(F.col("host"))
+    path = F.when(hosted, F.regexp_extract("href", r"^(?:https?:)?//[^/?#]+(/[^?#]*)", 1)).when(
+        F.startswith("href", F.lit("/")), plain
+    ).otherwise(below)
+    return own.where(hosted | ~href.rlike(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)")).select(
+        "page_id", "host", "path", target.alias("to_host"), without_dots(path).alias("to_path")
     )
-    return own.where(absolute | F.startswith("href", F.lit("/"))).select(
-        "page_id", "host", "path", target.alias("to_host"), path.alias("to_path")
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` steps taken."""
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    folder_end = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    taken = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))),
     )
+    return F.when(F.contains(path, F.lit("/.")), F.array_join(F.concat(taken, folder_end), "/")).otherwise(path)
 
 
 def parse_labelled_lines(df: DataFrame, answer: str) -> DataFrame:

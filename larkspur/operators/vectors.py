@@ -13,19 +13,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from larkspur.functions.scalar import dot
 from larkspur.operators.ordering import top_k
 
-MAX_QUERIES = 4096
+#: Query vectors that travel to the tasks at a time.
+SLICE = 4096
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5, metric: str = "l2") -> DataFrame:
     """Exact k nearest corpus rows per query row: (query_id, id, distance, rank).
 
-    The query vectors (their number is checked) travel to the tasks; every task keeps k rows per query
-    from each Arrow batch, and only those candidates are shuffled."""
+    The query vectors travel to the tasks in slices of about ``SLICE``, one pass over the corpus each; every
+    task keeps k rows per query from each Arrow batch, and only those candidates are shuffled."""
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
-    picked = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).limit(MAX_QUERIES + 1).collect()
-    if len(picked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; split them into several calls")
+    wanted = queries.select("query_id", F.col(vector).cast("array<double>").alias("v"))
+    slices = -(-wanted.count() // SLICE)
+    found = corpus.sparkSession.createDataFrame([], "query_id LONG, id LONG, distance DOUBLE")
+    for i in range(slices):
+        picked = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i).collect()
+        found = found.unionAll(nearest_candidates(corpus, picked, id_col, vector, k, metric)) if picked else found
+    return top_k(found, ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
+
+
+def nearest_candidates(corpus: DataFrame, picked: list, id_col: str, vector: str, k: int, metric: str) -> DataFrame:
+    """(query_id, id, distance): the k nearest rows of every Arrow batch for each of the picked vectors."""
     ids = np.array([r["query_id"] for r in picked], dtype=np.int64)
     q = np.array([r["v"] for r in picked], dtype=np.float64)
     q_norm = np.linalg.norm(q, axis=1)
@@ -49,11 +58,8 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vector: str,
             columns = [np.concatenate(c) for c in zip(*parts)]
             yield pd.DataFrame(dict(zip(("query_id", "id", "distance"), columns)))
 
-    if not picked:
-        return corpus.sparkSession.createDataFrame([], "query_id LONG, id LONG, distance DOUBLE, rank INT")
     rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    candidates = rows.mapInPandas(nearest, "query_id LONG, id LONG, distance DOUBLE")
-    return top_k(candidates, ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
+    return rows.mapInPandas(nearest, "query_id LONG, id LONG, distance DOUBLE")
 
 
 def vector_ann(
@@ -81,8 +87,9 @@ def mean_similarity_to_earlier(
     """Mean cosine similarity of each row to all earlier rows of its group, null for the first.
 
     The mean of dot products equals the dot product with the sum of the earlier unit vectors, so a
-    running vector sum replaces the comparison of all pairs."""
-    v = F.transform(vector, lambda x: x.cast("double"))
+    running vector sum replaces the comparison of all pairs. A vector of another size than ``dims`` raises."""
+    right_size = F.coalesce(F.size(vector) == dims, F.lit(True))
+    v = F.when(right_size, F.transform(vector, lambda x: x.cast("double"))).otherwise(F.raise_error(F.lit(f"a vector does not have {dims} entries")))
     unit = df.withColumn("_v", v).withColumn("_len", F.sqrt(dot(F.col("_v"), F.col("_v"))))
     parts = {f"_u{i}": F.try_divide(F.col("_v")[i], F.col("_len")) for i in range(dims)}
     rows = unit.withColumns({**parts, "_b": block}).drop("_v", "_len", vector)

@@ -203,28 +203,31 @@ def fk_violations(t):
     b AS (SELECT {words('text')} AS w FROM benchmark),
     bg AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM b),
     dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM d),
-    s AS (SELECT doc_id, count(*) AS shared_ngrams FROM dg JOIN bg USING (g) GROUP BY doc_id)
-    SELECT doc_id, array_to_string(w, ' ') IN (SELECT array_to_string(w, ' ') FROM b) AS same_text, shared_ngrams
-    FROM s JOIN d USING (doc_id)""")
+    s AS (SELECT doc_id, count(*) AS shared_ngrams FROM dg JOIN bg USING (g) GROUP BY doc_id),
+    t AS (SELECT doc_id, len(w) > 0 AND array_to_string(w, ' ') IN (SELECT array_to_string(w, ' ') FROM b) AS same_text FROM d)
+    SELECT doc_id, same_text, coalesce(shared_ngrams, 0) AS shared_ngrams FROM t LEFT JOIN s USING (doc_id) WHERE same_text OR shared_ngrams > 0""")
 def split_overlap_query(t):
     return split_overlap(t.spread("documents", "doc_id"), "doc_id", "text", t.benchmark, "text", n=8)
 
 
 @query("usage_x_price", f"""
     WITH p(role, usd_per_million) AS (VALUES ('system', 5.0::double), ('user', 10.0), ('assistant', 30.0))
-    SELECT conv_id, sum(tok)::bigint AS tokens, round(sum(tok * usd_per_million / 1e6::double), 6) AS cost
-    FROM (SELECT conv_id, role, {tokens('text')} AS tok FROM conversations) JOIN p USING (role) GROUP BY conv_id""")
+    SELECT conv_id, sum(tok)::bigint AS tokens, coalesce(round(sum(tok * usd_per_million / 1e6::double), 6), 0.0) AS cost,
+           coalesce(sum(tok) FILTER (usd_per_million IS NULL), 0)::bigint AS unpriced_tokens
+    FROM (SELECT conv_id, role, {tokens('text')} AS tok FROM conversations) LEFT JOIN p USING (role) GROUP BY conv_id""")
 def usage_x_price(t):
+    """Tokens of a role without a price are counted and shown, they cost nothing here."""
     prices = inline_table(
         t.spark, [("system", 5.0), ("user", 10.0), ("assistant", 30.0)], "role STRING, usd_per_million DOUBLE"
     )
     usage = t.conversations.select("conv_id", "role", S.estimated_tokens(F.col("text")).alias("tok"))
     return (
-        usage.join(F.broadcast(prices), "role")
+        usage.join(F.broadcast(prices), "role", "left")
         .groupBy("conv_id")
         .agg(
             F.sum("tok").alias("tokens"),
-            F.round(F.sum(F.col("tok") * F.col("usd_per_million") / 1e6), 6).alias("cost"),
+            F.coalesce(F.round(F.sum(F.col("tok") * F.col("usd_per_million") / 1e6), 6), F.lit(0.0)).alias("cost"),
+            F.coalesce(F.sum(F.when(F.col("usd_per_million").isNull(), F.col("tok"))), F.lit(0)).alias("unpriced_tokens"),
         )
     )
 

@@ -82,14 +82,14 @@ def inline_table(t):
 
 
 @query("ctas_cast", """
-    SELECT cast(event_id AS INTEGER) AS event_id, strftime(cast(ts AS DATE), '%Y-%m-%d') AS day,
+    SELECT cast(event_id AS BIGINT) AS event_id, strftime(cast(ts AS DATE), '%Y-%m-%d') AS day,
            cast(user_id AS VARCHAR) AS user_id, cast(value AS FLOAT)::DOUBLE AS value
     FROM events""")
 def ctas_cast(t):
     name = f"typed_events_{uuid.uuid4().hex}"
     made = files.create_table_as(
         t.spark, name, t.events,
-        {"event_id": "INT", "ts": "DATE", "user_id": "STRING", "value": "FLOAT"}, work_path(t.spark, "ctas"),
+        {"event_id": "BIGINT", "ts": "DATE", "user_id": "STRING", "value": "FLOAT"}, work_path(t.spark, "ctas"),
     )
     return made.select(
         "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id", F.col("value").cast("double").alias("value")

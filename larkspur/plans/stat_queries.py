@@ -97,14 +97,15 @@ def month_facet(t):
 @query("ohlc_yearly", """
     WITH e AS (SELECT user_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, ts, event_id, value,
                       lead(value) OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id) AS nxt
-               FROM events WHERE year(ts) >= 2017)
+               FROM events WHERE ts >= TIMESTAMP '2017-01-01')
     SELECT user_id, week, count(value) AS trading_days, arg_min(value, (ts, event_id)) AS first,
            arg_max(value, (ts, event_id)) AS last, max(value) AS high, min(value) AS low,
            round(arg_max(value, (ts, event_id)) / nullif(arg_min(value, (ts, event_id)), 0) - 1, 6) + 0.0 AS growth,
            round(stddev_pop(CASE WHEN value > 0 AND nxt > 0 THEN ln(value / nxt) END) * sqrt(252), 6) + 0.0 AS volatility
     FROM e GROUP BY user_id, week""")
 def ohlc_yearly(t):
-    events = t.events.where(F.year("ts") >= 2017).withColumn("week", F.date_format(A.week_start("ts"), "yyyy-MM-dd"))
+    since = F.lit("2017-01-01").cast(t.events.schema["ts"].dataType)
+    events = t.events.where(F.col("ts") >= since).withColumn("week", F.date_format(A.week_start("ts"), "yyyy-MM-dd"))
     series = A.ohlc(events, ["user_id", "week"], ["ts", "event_id"], "value", F.date_trunc("minute", "ts"))
     return series.withColumns({c: S.rounded(F.col(c), 6) for c in ("growth", "volatility")})
 
@@ -470,7 +471,7 @@ def degree_centrality(t):
 
 @query("sequence_success", """
     WITH e AS (SELECT event_type, count(*) FILTER (value < 5) / count(*) AS e FROM events GROUP BY event_type)
-    SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS steps, round(exp(sum(ln(1 - e))), 6) AS success,
+    SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS steps, CASE WHEN max(e) >= 1 THEN 0.0 ELSE round(exp(sum(CASE WHEN e < 1 THEN ln(1 - e) END)), 6) END AS success,
            round(pow(1 - max(e), count(*)), 6) AS worst_case
     FROM events JOIN e USING (event_type) GROUP BY ALL""")
 def sequence_success(t):
@@ -480,7 +481,7 @@ def sequence_success(t):
     rated = join_group_stats(steps, rates, ["event_type"], "n", ["user_id", "day"])
     return rated.groupBy("user_id", "day").agg(
         F.sum("k").alias("steps"),
-        F.round(F.exp(F.sum(F.col("k") * F.ln(1 - F.col("e")))), 6).alias("success"),
+        F.when(F.max("e") >= 1, F.lit(0.0)).otherwise(F.round(F.exp(F.sum(F.col("k") * F.ln(1 - F.col("e")))), 6)).alias("success"),
         F.round(F.pow(1 - F.max("e"), F.sum("k")), 6).alias("worst_case"),
     )
 
@@ -507,16 +508,21 @@ def row_and_time_range(t):
 @query("distribution_shift", """
     WITH p AS (SELECT source AS category, count(*) / sum(count(*)) OVER () AS s FROM documents JOIN labels USING (doc_id) GROUP BY source),
     w AS (SELECT source AS category, count(*) / sum(count(*)) OVER () AS s FROM documents GROUP BY source)
-    SELECT category, round(coalesce(p.s, 0), 6) AS part_share, round(coalesce(w.s, 0), 6) AS whole_share,
-           round(coalesce(p.s, 0) - coalesce(w.s, 0), 6) + 0.0 AS shift FROM p FULL JOIN w USING (category)""")
+    SELECT category, round(coalesce(p, 0), 6) AS part_share, round(coalesce(w, 0), 6) AS whole_share,
+           round(coalesce(p, 0) - coalesce(w, 0), 6) + 0.0 AS shift FROM (SELECT category, max(p) AS p, max(w) AS w FROM
+        (SELECT category, s AS p, NULL AS w FROM p UNION ALL SELECT category, NULL, s FROM w) GROUP BY category)""")
 def distribution_shift(t):
     docs = t.documents.select("doc_id", "source")
     shift = A.distribution_shift(docs.join(t.labels, "doc_id", "left_semi"), docs, "source")
     return shift.withColumns({c: S.rounded(F.col(c), 6) for c in ("part_share", "whole_share", "shift")})
 
 
-@query("dataset_fingerprint", """
-    SELECT count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', doc_id::varchar, text, lang, source)), 1, 10))::hugeint)::varchar AS fingerprint
-    FROM documents""")
+FINGERPRINT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@query("dataset_fingerprint", f"""
+    WITH h AS (SELECT md5(concat({', '.join(f"coalesce(length({c}::varchar)::varchar || ':' || {c}::varchar, 'null;')" for c in FINGERPRINT_COLUMNS)})) AS h FROM documents)
+    SELECT count(*) AS n_rows, concat(sum(('0x' || substr(h, 1, 15))::hugeint)::varchar, '-', sum(('0x' || substr(h, 16, 15))::hugeint)::varchar) AS fingerprint
+    FROM h""")
 def dataset_fingerprint(t):
-    return A.fingerprint(t.documents, ["doc_id", "text", "lang", "source"])
+    return A.fingerprint(t.documents, FINGERPRINT_COLUMNS)

@@ -8,7 +8,7 @@ from larkspur.functions import scalar as S
 from larkspur.operators import billing as B, quality as Q, text as X, vectors as V
 from larkspur.plans.registry import query
 from larkspur.plans.sqltext import tokens, words
-from larkspur.operators.ordering import join_group_stats
+from larkspur.operators.ordering import join_group_stats, range_block
 from larkspur.operators.relational import foreign_key_violations
 from larkspur.sources.files import inline_table
 
@@ -71,9 +71,9 @@ COUNTS_SQL = f"""
 
 @query("dictionary_mentions", COUNTS_SQL + f""",
     d AS (SELECT DISTINCT unnest({words('text')}) AS term FROM benchmark)
-    SELECT term, sum(tf)::bigint AS mentions, count(*) AS texts FROM c JOIN d USING (term) WHERE length(term) >= 5 GROUP BY term""")
+    SELECT term, sum(tf)::bigint AS mentions, count(*) AS texts FROM c JOIN d USING (term) GROUP BY term""")
 def dictionary_mentions(t):
-    names = t.benchmark.select(F.explode(S.words(F.col("text"))).alias("name")).where(F.length("name") >= 5)
+    names = t.benchmark.select(F.explode(S.words(F.col("text"))).alias("name"))
     return X.dictionary_mentions(X.term_counts(t.spread("documents", "doc_id"), "doc_id", "text"), names, "name")
 
 
@@ -171,11 +171,17 @@ def search_index(t):
 
 PAGES_SQL = r"""
     WITH p AS (SELECT page_id, html, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path FROM pages),
-    l AS (SELECT page_id, host, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM p),
-    e AS (SELECT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN regexp_extract(href, '^https?://([^/?#]+)', 1) ELSE host END AS to_host,
-                 CASE WHEN regexp_matches(href, '^https?://') THEN regexp_extract(href, '^https?://[^/?#]+(/[^?#]*)', 1)
-                      ELSE regexp_extract(href, '^(/[^?#]*)', 1) END AS to_path
-          FROM l WHERE regexp_matches(href, '^(https?:/)?/'))"""
+    l AS (SELECT page_id, host, path, unnest(list_concat(regexp_extract_all(html, 'href="([^"]+)"', 1), regexp_extract_all(html, 'href=''([^'']+)''', 1))) AS href FROM p),
+    f AS (SELECT page_id, CASE WHEN regexp_matches(href, '^(https?:)?//') THEN regexp_extract(href, '^(?:https?:)?//([^/?#]+)', 1) ELSE host END AS to_host,
+                 CASE WHEN regexp_matches(href, '^(https?:)?//') THEN regexp_extract(href, '^(?:https?:)?//[^/?#]+(/[^?#]*)', 1)
+                      WHEN href[1] = '/' THEN regexp_extract(href, '^([^?#]*)', 1)
+                      WHEN regexp_matches(href, '^[?]') THEN path
+                      ELSE CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)', 1) ELSE '/' END || regexp_extract(href, '^([^?#]*)', 1) END AS raw
+          FROM l WHERE regexp_matches(href, '^(https?:)?//') OR NOT regexp_matches(href, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)')),
+    e AS (SELECT page_id, to_host, CASE WHEN NOT contains(raw, '/.') THEN raw ELSE
+                 array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(raw, '/'), lambda s: [s])),
+                     lambda done, x: CASE x[1] WHEN '.' THEN done WHEN '..' THEN done[1:greatest(len(done) - 1, 1)] ELSE list_concat(done, x) END), '/')
+                 || CASE WHEN regexp_matches(raw, '/[.][.]?$') THEN '/' ELSE '' END END AS to_path FROM f)"""
 
 
 @query("link_graph", PAGES_SQL + """
@@ -184,17 +190,27 @@ def link_graph(t):
     return X.link_edges(t.pages).groupBy("page_id", "to_host", "to_path").agg(F.count("*").alias("n"))
 
 
+@query("backlinks", PAGES_SQL + """
+    SELECT p.page_id AS to_page, count(DISTINCT e.page_id) AS linking_pages, count(*) AS links
+    FROM e JOIN p ON p.host = to_host AND p.path = to_path AND p.page_id <> e.page_id GROUP BY p.page_id""")
+def backlinks(t):
+    """Links between the pages, counted at their target."""
+    return X.link_report(X.link_edges(t.pages), page_places(t))[0]
+
+
+def page_places(t):
+    return t.pages.select(
+        "page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"),
+        F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)", 1).alias("path"),
+    )
+
+
 @query("link_orphans", PAGES_SQL + """,
     b AS (SELECT DISTINCT p.page_id FROM e JOIN p ON p.host = to_host AND p.path = to_path AND p.page_id <> e.page_id)
     SELECT page_id, host FROM p WHERE page_id NOT IN (SELECT page_id FROM b)""")
 def link_orphans(t):
     """Pages that no other page links to."""
-    edges = X.link_edges(t.pages)
-    nodes = t.pages.select(
-        "page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"),
-        F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)", 1).alias("path"),
-    )
-    return X.link_report(edges, nodes)[1].select("page_id", "host")
+    return X.link_report(X.link_edges(t.pages), page_places(t))[1].select("page_id", "host")
 
 
 # ---- quality rules ---------------------------------------------------------------------------
@@ -263,7 +279,7 @@ def vector_ann(t):
                FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id)
     SELECT vec_id, label, count(s) AS earlier, round(avg(s), 5) + 0.0 AS similarity FROM p GROUP BY ALL""")
 def novelty_similarity(t):
-    block = F.floor(F.col("vec_id") / 4096)
+    block = range_block(t.embeddings, "vec_id", 1024)
     scored = V.mean_similarity_to_earlier(t.embeddings, "label", "vec_id", "embedding", 64, block)
     return scored.withColumn("similarity", S.rounded(F.col("similarity"), 5))
 

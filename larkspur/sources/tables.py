@@ -26,11 +26,11 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
     def spread(self, name: str, *keys: str) -> DataFrame:
-        """The table with at least one partition per core, for heavy work per row. Large tables have
-        that anyway and are returned as they are; a small table in one file would be one task."""
+        """The table for heavy work per row. One that is read as a single partition, which only a small
+        table in one file is, would be one task and is dealt to all cores; all others stay as they are."""
         table = getattr(self, name)
         cores = self.spark.sparkContext.defaultParallelism
-        return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, *keys)
+        return table.repartition(cores, *keys) if table.rdd.getNumPartitions() == 1 else table
 
     def stream(self, name: str, **options) -> DataFrame:
         """The same table as an unbounded file source. A stream wants a folder or a pattern, and the

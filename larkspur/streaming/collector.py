@@ -9,10 +9,12 @@ from larkspur.sources.files import is_complete
 
 
 class Collector:
-    """Appends the rows of a stream that are newer than the key's ``since_id`` and keeps the state.
+    """Appends the rows of a stream that are not yet collected, each (key, id) once, and keeps the state:
+    the largest id per key as ``since_id``.
 
-    Ids grow over time, as in a service that is asked for everything since the last id; a row that
-    comes in a later batch with an id at or below the mark counts as collected already.
+    Files may come out of id order: a row counts as collected only when its id is among the collected
+    rows, not when it is below the mark. Only rows with ids from the batch's smallest on are read for
+    that, which for ids in order are none. Within a batch every id is expected once.
 
     ``folder`` (shared by all executors) holds ``rows/batch=N`` and ``state/batch=N``. A batch reads
     the state of the batch before it and overwrites its own folders, so a batch that is run again
@@ -38,10 +40,10 @@ class Collector:
         rows_path = f"{self.folder}/rows/batch={batch_id}"
         newer = batch
         if state is not None:
-            marks = state.select(key, F.col("since_id").alias("_mark"))
-            newer = batch.join(marks, key, "left").where(
-                F.col("_mark").isNull() | (F.col(self.id_col) > F.col("_mark"))
-            ).drop("_mark")
+            low = batch.agg(F.min(self.id_col)).first()[0]
+            known = spark.read.parquet(f"{self.folder}/rows").where((F.col("batch") < batch_id) & (F.col(self.id_col) >= F.lit(low)))
+            known = known.select(F.col(key).alias("_key"), F.col(self.id_col).alias("_id"))
+            newer = batch.join(known, (batch[self.id_col] == F.col("_id")) & batch[key].eqNullSafe(F.col("_key")), "left_anti")
         newer.write.mode("overwrite").parquet(rows_path)
         seen = spark.read.schema(batch.schema).parquet(rows_path).groupBy(key).agg(
             F.max(self.id_col).alias("since_id"), F.max(self.ts).alias("last_search"), F.count("*").alias("collected")
@@ -63,9 +65,9 @@ class Collector:
 
     def state(self, spark) -> DataFrame:
         """The newest finished state: one row per key."""
-        states = spark.read.parquet(f"{self.folder}/state")
-        newest = states.agg(F.max("batch")).scalar()
-        return states.where(F.col("batch") == newest).drop("batch")
+        batches = [r.batch for r in spark.read.parquet(f"{self.folder}/state").select("batch").distinct().collect()]
+        newest = next(b for b in sorted(batches, reverse=True) if is_complete(spark, self.state_path(b)))
+        return spark.read.parquet(self.state_path(newest))
 
     def rows(self, spark) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/rows").drop("batch")
