@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.llm.arrays import string_batches
+from larkspur.session import work_path
 
 # Words of both kinds of hosts; they say nothing about either.
 COMMON = "example test sample demo en de fr es it nl pt index html htm page pages www m blog mobile static"
@@ -160,12 +161,23 @@ class Judge:
 
 
 def title_words(pages: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """Counts of the words in the titles of all pages: the ``vocabulary`` most frequent ones, ties by word."""
+    """Counts of the words in the titles of all pages: the most frequent ones, at most ``vocabulary``; of
+    equally frequent ones all or none."""
     title = F.regexp_extract(F.col("html").cast("string"), "(?is)<title[^>]*>(.*?)</title", 1)
     plain = F.regexp_replace(F.lower(title), "&[#a-z0-9]+;?|<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = words.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
-    return {r.word: float(r.n) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
+    path = work_path(pages.sparkSession, "title-words")
+    counts.write.parquet(path)
+    counts = pages.sparkSession.read.parquet(path)
+    # the lowest count with which all words of that count or more fit
+    least, total = 1, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        total += r.words
+        if total > vocabulary:
+            least = r.n + 1
+            break
+    return {r.word: float(r.n) for r in counts.where(F.col("n") >= least).collect()}
 
 
 def url_verdicts(pages: DataFrame, rules: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
