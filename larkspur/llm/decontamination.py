@@ -194,7 +194,7 @@ def search(docs: DataFrame, items: list[tuple[int, str]], window: int = WINDOW,
     def look(batch: pa.Array) -> pa.Array:
         if not held:
             held.append(Queries(items, window))
-        rows = [row for part in chunks(string_batches(batch), CHUNK // 2) for row in search_shard(part, held[0])]
+        rows = [row for part in chunks(string_batches(batch), 2 * CHUNK) for row in search_shard(part, held[0])]
         return pa.array(rows, FOUND_ARROW)
 
     return docs.withColumn(column, look(F.col(text)))

@@ -130,7 +130,7 @@ class Parser:
         names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         if not self.languages:
             return names.tolist(), score
-        for part in chunks(lower, CHUNK):
+        for part in chunks(lower, 4 * CHUNK):
             cost = self.phrases(part) * self.weight
             rows = np.flatnonzero(letters[part.first:part.first + part.n])
             cost = cost[rows]
