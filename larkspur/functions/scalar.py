@@ -10,6 +10,7 @@ SPACE_WORD = r"[^ \n\t]+"
 TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9]{0,2} ?\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}"
+# Fixed value: tokens a word in English text, as published.
 TOKENS_PER_WORD = 1.33
 
 
@@ -86,6 +87,7 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num / den)
 
 
+# The published token rule for images (85 flat, 170 for each tile of 512 x 512).
 def image_tokens(width: Column, height: Column, detail: str = "high") -> Column:
     """85 tokens flat at low detail; at high detail plus 170 per 512 x 512 tile."""
     if detail == "low":

@@ -13,6 +13,7 @@ from larkspur.operators.ordering import running_sum
 class Price:
     """US dollars per million tokens."""
 
+    # A published price list.
     fresh: float = 5.0
     cached: float = 0.5
     output: float = 30.0
@@ -66,6 +67,7 @@ def blended_price(price: Price, cache: float = 7, fresh: float = 2, output: floa
     return (cache * price.cached + fresh * price.fresh + output * price.output) / (cache + fresh + output)
 
 
+# Both prices and the threshold of a published price list.
 def tiered_cost(
     fresh: Column, output: Column, low: Price = Price(5.0, 0.5, 30.0), high: Price = Price(10.0, 1.0, 45.0),
     threshold: int = 272_000, batch: bool = False,

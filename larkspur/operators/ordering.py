@@ -162,7 +162,7 @@ def range_block(df: DataFrame, column: str, blocks: int = 4096) -> Column:
     far apart do not get a block each."""
     ends = df.agg(F.struct(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high")).alias("b")).scalar()
     share = (F.col(column).cast("double") - ends["low"]) / (ends["high"] - ends["low"] + 1.0)
-    return F.floor(share * blocks)
+    return F.least(F.floor(share * blocks), F.lit(blocks - 1))
 
 
 def seeded_rank(

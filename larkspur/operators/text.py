@@ -35,8 +35,8 @@ def split_overlap(
     whole = F.when(F.size("w") > 0, F.concat(F.lit("="), F.md5(F.array_join("w", " "))))
     marked = F.explode(F.concat(
         F.transform(F.array_distinct("grams"), lambda g: F.concat(F.lit("~"), g)), F.array_compact(F.array(whole)))).alias("gram")
-    grams = to_grams.transform(train.select(id_col, words(F.col(text)).alias("w"))).select(id_col, marked)
-    held_grams = to_grams.transform(held_out.select(words(F.col(held_text)).alias("w"))).select(marked).distinct()
+    grams = to_grams.transform(train.select(id_col, words(F.coalesce(text, F.lit(""))).alias("w"))).select(id_col, marked)
+    held_grams = to_grams.transform(held_out.select(words(F.coalesce(held_text, F.lit(""))).alias("w"))).select(marked).distinct()
     return semi_join(grams, held_grams, "gram", [id_col]).groupBy(id_col).agg(
         F.bool_or(F.startswith("gram", F.lit("="))).alias("same_text"), F.count_if(F.startswith("gram", F.lit("~"))).alias("shared_ngrams")
     )
