@@ -17,8 +17,9 @@ SEED = "mix-1"
 POWER = 0.5
 #: Larger means are drawn as sums of Poisson variates with a mean of at most this, as exp(-mean) would vanish.
 PART = 256
-#: With more sources than this the rates are joined by a shuffle in place of a broadcast.
-BROADCAST_SOURCES = 100_000
+#: With more sources than this the rates are joined by a shuffle in place of a broadcast. A source's distribution has
+#: fewer than 500 steps of 8 bytes, so 40 MB at most are sent.
+BROADCAST_SOURCES = 10_000
 
 
 def hashed_bits(*parts) -> Column:

@@ -178,8 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Judge:
     picked = known.where("quality >= 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionAll(
         known.where("quality < 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    table = rows.select("doc_id", "quality", rule_stats("text").alias("s")).select("doc_id", "quality", "s.*").toPandas()
-    table = table.sort_values(["doc_id", "n_words", "word_chars", "n_symbols"]).drop_duplicates("doc_id")
+    stats = rows.select("doc_id", "quality", rule_stats("text").alias("s"))
+    one = F.min(F.struct("s.n_words", "s.word_chars", "s.n_symbols", "s.n_repeat_words")).alias("s")  # however often an id occurs
+    table = stats.groupBy("doc_id", "quality").agg(one).select("doc_id", "quality", "s.*").toPandas().sort_values("doc_id")
     table = table[(table.n_words >= MIN_WORDS) & (100 * table.n_repeat_words <= REPEAT_PERCENT * table.n_words)]
     made = features(*(table[name].to_numpy() for name in USED))
     good = table["quality"].to_numpy() >= 1
