@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.operators.ordering import computed_once
+from larkspur.operators.ordering import computed_once, top_k
 
 # The labels an answer may use.
 TOPICS = ["ARTS", "BUSINESS", "ENTERTAINMENT", "HEALTH", "POLITICS", "SCIENCE", "SPORTS", "TECHNOLOGY"]
@@ -71,6 +71,14 @@ def polarity_report(df: DataFrame, aspect: str, polarity: str) -> DataFrame:
     return counts.withColumn("positive_share", F.col("positive") / F.col("mentions"))
 
 
+def entity_counts(parsed: DataFrame, k: int = 5) -> DataFrame:
+    """How often each entity (text, label) is named, the ``k`` most frequent of each label with their rank; equal counts
+    in the order of their texts. Counts are made before the ranking, so a frequent entity is one row."""
+    named = parsed.select(F.explode("entities").alias("e")).select("e.text", "e.label")
+    counts = named.groupBy("text", "label").agg(F.count("*").alias("n"))
+    return top_k(counts, ["label"], [F.desc("n"), F.col("text")], k, "rank")
+
+
 def route(rule: Column, model: Column, confidence: Column, fallback: Column, threshold: float = 0.7) -> dict[str, Column]:
     """Cheapest tier that can answer: the rule, then the model if it is confident, then the fallback."""
     sure = model.isNotNull() & (confidence >= threshold)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.scalar import seeded_hash
+from larkspur.session import saved
 
 
 def _group(keys: Sequence[str]) -> Column:
@@ -196,42 +197,49 @@ def first_value(
     return join_group_stats(df, heads, keys, "_rows", spread).drop("_rows")
 
 
-def value_block(x: Column, per_octave: int = 4096) -> Column:
+def value_block(x: Column, per_octave: int = 32) -> Column:
     """Block number that never decreases with x: ``per_octave`` blocks between any value and its
     double, the same for every group, so that no group's range must be looked up."""
     base = 1100 * per_octave
-    size = F.lit(base) + F.floor(F.log2(F.abs(x)) * per_octave)
+    size = F.lit(base) + F.floor(F.least(F.log2(F.abs(x)), F.lit(1100.0)) * per_octave)
     return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), per_octave: int = 4096,
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), per_octave: int = 32, parts: int = 4096,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per (by, prob).
+    """Exact quantiles with linear interpolation, one row per (by, prob). Nulls and NaN are left out.
 
-    Equal values are counted first, then ordered in blocks of the value range; only positions, not
-    values, are carried across blocks. Nulls and NaN are left out."""
+    The values are never shuffled or sorted. The first pass counts them by blocks of their magnitude; each further one
+    cuts those intervals that hold a wanted rank into ``parts`` equal parts and counts again, until every such interval
+    holds one value only. Counts are combined before the shuffle, so a hot key or a narrow range is no burden. An
+    interval's least and greatest value always part, and a pass leaves about 1/``parts`` of its width."""
     keys = list(by)
-    x = F.col(value).cast("double")
-    counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n"))
-    ranked = running_sum(
-        counts, keys, ["_x"], F.col("_n"), "_upto", value_block(F.col("_x"), per_octave), total="_all"
-    )
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    at = F.col("prob") * (F.col("_all") - 1)
-
-    def holds(index: Column) -> Column:
-        return (F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto"))
-
-    below, above = F.floor(at), F.ceil(at)
-    return (
-        ranked.select("*", wanted)
-        .where(holds(below) | holds(above))
-        .groupBy(*keys, "prob")
-        .agg(
-            F.max(F.when(holds(below), F.col("_x"))).alias("_a"),
-            F.max(F.when(holds(above), F.col("_x"))).alias("_z"),
-            F.max(at - below).alias("_w"),
-        )
-        .select(*keys, "prob", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")).alias("quantile"))
-    )
+    x = F.col(value).cast("double") + F.lit(0.0)
+    known = df.where(x.isNotNull() & ~F.isnan(x)).select(_group(keys).alias("_g"), x.alias("_x"))
+    rows = known.withColumn("_b", value_block(F.col("_x"), per_octave))
+    ends = [F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count("*").alias("_n")]
+    prob, at = F.explode(F.array(*[F.lit(float(p)) for p in probs])), F.col("prob") * (F.col("_all") - 1)
+
+    group = Window.partitionBy("_g")
+    before = F.sum("_n").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    first = rows.groupBy("_g", "_b").agg(*ends).withColumns({"_from": before, "_all": F.sum("_n").over(group)})
+    wanted = F.explode(F.array_distinct(F.array(*[f(F.lit(float(p)) * (F.col("_all") - 1)) for p in probs for f in (F.floor, F.ceil)])))
+    holds = "_from <= _rank AND _rank < _from + _n"
+    columns = ["_g", "_b", "_all", "_rank", "_from", "_low", "_high"]
+    spots = saved(first.withColumn("_rank", wanted).where(holds).select(*columns), "quantiles")
+    while not (wide := spots.where("_low < _high")).isEmpty():
+        open_ = wide.select("_g", "_b", "_from", F.col("_low").alias("_l"), F.col("_high").alias("_h")).distinct()
+        part = F.least(F.floor((F.col("_x") - F.col("_l")) / (F.col("_h") - F.col("_l")) * parts), F.lit(parts - 1))
+        counts = rows.join(open_, ["_g", "_b"]).where("_l <= _x AND _x <= _h").groupBy("_g", "_b", "_l", "_from", part.alias("_p")).agg(*ends)
+        upto = Window.partitionBy("_g", "_b", "_l").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        narrow = counts.withColumn("_from", F.col("_from") + F.sum("_n").over(upto) - F.col("_n"))
+        ranks = wide.select("_g", "_b", "_all", "_rank", F.col("_low").alias("_l"))
+        spots = saved(spots.where("_low = _high").unionByName(narrow.join(ranks, ["_g", "_b", "_l"]).where(holds).select(*columns)), "quantiles")
+
+    named = spots.select(*[F.col("_g")[k].alias(k) for k in keys], "_all", "_rank", "_low", prob.alias("prob"))
+    below, above = F.col("_rank") == F.floor(at), F.col("_rank") == F.ceil(at)
+    found = named.where(below | above).groupBy(*keys, "prob").agg(
+        F.max(F.when(below, F.col("_low"))).alias("_a"), F.max(F.when(above, F.col("_low"))).alias("_z"), F.max(at - F.floor(at)).alias("_w"))
+    between = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")
+    return found.select(*keys, "prob", F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise(between).alias("quantile"))

@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.scalar import dot
 from larkspur.operators.ordering import top_k
+from larkspur.session import saved
 
 #: Query vectors that travel to the tasks at a time.
 SLICE = 4096
@@ -64,21 +66,28 @@ def nearest_candidates(corpus: DataFrame, picked: list, id_col: str, vector: str
 
 def vector_ann(
     corpus: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5,
-    bucket_length: float = 2.0, tables: int = 8, reach: float = 10.0, seed: int = 7,
+    bucket_length: float | None = None, tables: int = 8, seed: int = 7,
 ) -> DataFrame:
     """Approximate k nearest rows by random-projection hashing: only rows that share a bucket with a
-    query are compared. Fewer than k rows come back when the buckets hold fewer."""
+    query are compared. A bucket is, without a given length, as long as the standard deviation of the vectors on a
+    random line. Queries whose buckets hold fewer than k rows are answered by the exact search."""
     def as_vector(df: DataFrame, key: str) -> DataFrame:
         return df.select(F.col(key).alias("key"), array_to_vector(F.col(vector).cast("array<double>")).alias("vec"))
 
+    if bucket_length is None:
+        variance = as_vector(corpus, id_col).agg(Summarizer.variance(F.col("vec")).alias("v")).first()["v"]
+        bucket_length = float(np.sqrt(np.mean(variance.toArray()))) if variance is not None else 1.0
     lsh = BucketedRandomProjectionLSH(
-        inputCol="vec", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
+        inputCol="vec", outputCol="hashes", bucketLength=bucket_length or 1.0, numHashTables=tables, seed=seed
     )
     base = as_vector(corpus, id_col)
-    pairs = lsh.fit(base).approxSimilarityJoin(as_vector(queries, "query_id"), base, reach, "distance").select(
+    pairs = lsh.fit(base).approxSimilarityJoin(as_vector(queries, "query_id"), base, float("inf"), "distance").select(
         F.col("datasetA.key").alias("query_id"), F.col("datasetB.key").alias("id"), "distance"
     )
-    return top_k(pairs, ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
+    near = saved(top_k(pairs, ["query_id"], [F.col("distance"), F.col("id")], k, "rank"), "neighbours")
+    full = near.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    return near.join(full, "query_id", "left_semi").unionByName(vector_topk(corpus, short, id_col, vector, k))
 
 
 def mean_similarity_to_earlier(

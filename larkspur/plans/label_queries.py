@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from larkspur.functions import scalar as S
 from larkspur.operators import answers as N, labels as L
@@ -97,6 +97,14 @@ def grouped_histogram(t):
     return topics.na.drop().groupBy("topic", "sentiment").agg(F.count("*").alias("n"))
 
 
+@query("entity_counts", ANSWERS_SQL + f""",
+    e AS (SELECT unnest(entities) AS e FROM fixed WHERE NOT parse_error AND {_VALID}),
+    c AS (SELECT e.text AS text, e.label AS label, count(*) AS n FROM e GROUP BY ALL)
+    SELECT text, label, n, row_number() OVER (PARTITION BY label ORDER BY n DESC, text NULLS FIRST)::int AS rank FROM c QUALIFY rank <= 5""")
+def entity_counts(t):
+    return N.entity_counts(usable_answers(t))
+
+
 @query("aspect_sentiment_report", ANSWERS_SQL + f""",
     u AS (SELECT sentiment, unnest(topics) AS topic FROM fixed WHERE NOT parse_error AND {_VALID})
     SELECT topic, count(*) AS mentions, count(*) FILTER (sentiment = 'POSITIVE') AS positive, count(*) FILTER (sentiment = 'NEGATIVE') AS negative,
@@ -281,9 +289,23 @@ def routing_cascade(t):
     return t.spread("documents", "doc_id").select(*[c.alias(n) for n, c in tiers.items()]).groupBy("tier", "answer").agg(F.count("*").alias("n"))
 
 
-@query("logreg_text")
+@query("logreg_text", f"""
+    WITH r AS ({ranked_sql('12')}),
+    s AS (SELECT quality, CASE WHEN rn <= floor(0.6::double * n) THEN 'train' WHEN rn <= floor(0.6::double * n) + floor(0.2::double * n) THEN 'test'
+          ELSE 'valid' END AS split FROM r JOIN documents USING (doc_id))
+    SELECT split, quality, count(*) AS n, true AS as_good_as_majority FROM s WHERE split <> 'train' GROUP BY split, quality""")
 def logreg_text(t):
-    """Logistic regression on hashed tf-idf words; confusion counts on the test part of a split."""
+    """Logistic regression on hashed tf-idf words; rows of each class in the held-out parts of a split, and whether
+    the model is right there at least as often as the answer that is always the most frequent class."""
+    counts = logreg_confusion(t)
+    n, right = F.sum("n").alias("n"), F.sum(F.when(F.col("quality") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right")
+    classes = counts.groupBy("split", "quality").agg(n, right)
+    part = Window.partitionBy("split")
+    return classes.select("split", "quality", "n", (F.sum("right").over(part) >= F.max("n").over(part)).alias("as_good_as_majority"))
+
+
+def logreg_confusion(t):
+    """(split, quality, predicted, n) outside the train part."""
     rows = L.stratified_split(t.labels, "quality", "doc_id", "12").select("doc_id", "quality", "split")
     data = t.spread("documents", "doc_id").select("doc_id", S.words(F.col("text")).alias("words")).join(rows, "doc_id").withColumn(
         "label", F.col("quality").cast("double")

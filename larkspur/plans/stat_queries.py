@@ -11,7 +11,7 @@ from larkspur.operators.text import link_edges
 from larkspur.operators.windows import learning_prefixes
 from larkspur.plans.registry import query
 from larkspur.plans.relational_queries import COMMON_WORDS
-from larkspur.plans.sqltext import score, shuffle, tokens, words
+from larkspur.plans.sqltext import score, shuffle, student_p, tokens, words
 
 
 
@@ -180,8 +180,10 @@ def simple_regression(t):
     r AS (SELECT 'quantity' AS term, ca AS coef, sqrt(s2 * sbb / det) AS se, n, 1 - sse / syy AS r2 FROM f
           UNION ALL SELECT 'returned', cb, sqrt(s2 * saa / det), n, 1 - sse / syy FROM f
           UNION ALL SELECT 'intercept', c0, sqrt(s2 * (1 / n + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det)),
-                 n, 1 - sse / syy FROM f)
-    SELECT term, round(coef, 6) + 0.0 AS coef, round(se, 6) AS se, round(coef / se, 4) + 0.0 AS t, n, round(r2, 6) AS r2 FROM r""")
+                 n, 1 - sse / syy FROM f),
+    l AS (SELECT *, 1.959963984540054::double AS z, z + (pow(z, 3) + z) / (4 * (n - 3)) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * pow(n - 3, 2)) AS limit_ FROM r)
+    SELECT term, round(coef, 6) + 0.0 AS coef, round(se, 6) AS se, round(coef / se, 4) + 0.0 AS t, round(""" + student_p("coef / se", "n - 3") + """, 6) + 0.0 AS p,
+           round(coef - limit_ * se, 4) + 0.0 AS low, round(coef + limit_ * se, 4) + 0.0 AS high, n, round(r2, 6) AS r2 FROM l""")
 def ols(t):
     rows = t.lineitem.select(
         (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("quantity"),
@@ -190,7 +192,8 @@ def ols(t):
     fit = A.ols(rows, "price", ["quantity", "returned"])
     return fit.select(
         "term", S.rounded(F.col("coef"), 6).alias("coef"), F.round("se", 6).alias("se"),
-        S.rounded(F.col("t"), 4).alias("t"), "n", F.round("r2", 6).alias("r2"),
+        S.rounded(F.col("t"), 4).alias("t"), S.rounded(F.col("p"), 6).alias("p"),
+        S.rounded(F.col("low"), 4).alias("low"), S.rounded(F.col("high"), 4).alias("high"), "n", F.round("r2", 6).alias("r2"),
     )
 
 
@@ -198,15 +201,15 @@ def ols(t):
     WITH s AS (SELECT count(*) FILTER (quality = 1) AS n1, avg(n_chars) FILTER (quality = 1) AS m1,
                       var_samp(n_chars) FILTER (quality = 1) AS v1, count(*) FILTER (quality <> 1) AS n2,
                       avg(n_chars) FILTER (quality <> 1) AS m2, var_samp(n_chars) FILTER (quality <> 1) AS v2
-               FROM documents JOIN labels USING (doc_id))
-    SELECT n1, n2, round(m1, 4) AS mean1, round(m2, 4) AS mean2,
-           round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6) + 0.0 AS t,
-           n1 + n2 - 2 AS df FROM s""")
+               FROM documents JOIN labels USING (doc_id)),
+    u AS (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) AS t, n1 + n2 - 2 AS df FROM s)
+    SELECT n1, n2, round(m1, 4) AS mean1, round(m2, 4) AS mean2, round(t, 6) + 0.0 AS t, df,
+           round(""" + student_p("t", "df") + """, 6) + 0.0 AS p FROM u""")
 def t_test(t):
     joined = t.documents.select("doc_id", "n_chars").join(t.labels, "doc_id")
     result = A.t_test(joined, "n_chars", F.col("quality") == 1)
     return result.select("n1", "n2", F.round("mean1", 4).alias("mean1"), F.round("mean2", 4).alias("mean2"),
-                         S.rounded(F.col("t"), 6).alias("t"), "df")
+                         S.rounded(F.col("t"), 6).alias("t"), "df", S.rounded(F.col("p"), 6).alias("p"))
 
 
 @query("box_stats", """

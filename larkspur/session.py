@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "larkspur", memory: str = "16g") -> SparkSession:
@@ -43,3 +43,10 @@ def shared_root(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_root(spark), "larkspur", f"{name}-{uuid.uuid4().hex}")
+
+
+def saved(frame: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared folder and read it back: later steps do not depend on lost executors."""
+    path = work_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)

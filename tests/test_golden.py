@@ -223,7 +223,24 @@ def test_ols_and_t_test(spark):
     two = df.select("y", (F.col("a") > 0).alias("g"))
     test = A.t_test(two, "y", F.col("g"))
     slope = [r for r in A.ols(two, "y", ["g"]).collect() if r["term"] == "g"][0]
-    assert abs(test.first()["t"] - slope["t"]) < 1e-9 and abs(A.t_test_p_value(test) - slope["p"]) < 1e-12
+    assert abs(test.first()["t"] - slope["t"]) < 1e-9 and abs(test.first()["p"] - slope["p"]) < 1e-9
+
+
+def test_student_p_of_known_values(spark):
+    # tabled two-sided 5 % points, and the exact values of one and two degrees of freedom
+    cases = [(12.7062047, 1, 0.05), (4.3026527, 2, 0.05), (2.2281389, 10, 0.05), (1.9623391, 1000, 0.05), (1.0, 1, 0.5), (0.0, 7, 1.0)]
+    df = spark.createDataFrame([(t, float(v), p) for t, v, p in cases], "t DOUBLE, v DOUBLE, p DOUBLE")
+    for r in df.select("t", "v", "p", A.student_p(F.col("t"), F.col("v")).alias("got"), A.student_p(-F.col("t"), F.col("v")).alias("other")).collect():
+        assert abs(r["got"] - r["p"]) < 1e-7 and r["got"] == r["other"]
+        if 0 < r["p"] < 1:
+            assert abs(A.student_limit(1 - r["p"], r["v"]) - r["t"]) < 1e-5 * r["t"]
+
+
+def test_entities_are_counted_by_text_and_label(spark):
+    rows = [([("a", "ORG"), ("a", "ORG")],), ([("a", "PERSON"), ("b", "ORG"), ("c", "ORG")],), (None,), ([],)]
+    df = spark.createDataFrame(rows, "entities ARRAY<STRUCT<text: STRING, label: STRING>>")
+    got = {(r["label"], r["text"]): (r["n"], r["rank"]) for r in N.entity_counts(df, 2).collect()}
+    assert got == {("ORG", "a"): (2, 1), ("ORG", "b"): (1, 2), ("PERSON", "a"): (1, 1)}
 
 
 def test_bradley_terry_order_and_fit(spark):
@@ -258,7 +275,10 @@ def test_vectors(spark):
             d = np.linalg.norm(x - x[q], axis=1) if metric == "l2" else 1 - x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
             assert [r["id"] for r in got if r["query_id"] == q] == list(np.argsort(d, kind="stable")[:4])
     near = V.vector_ann(df, queries, "id", "e", 4, tables=16).collect()
-    assert {(r["query_id"], r["id"]) for r in near} >= {(5, 5), (7, 7)}
+    assert {(r["query_id"], r["id"]) for r in near} >= {(5, 5), (7, 7)} and len(near) == 8
+    tight = V.vector_ann(df, queries, "id", "e", 4, bucket_length=1e-6).collect()  # buckets hold the query alone
+    exact = V.vector_topk(df, queries, "id", "e", 4).collect()
+    assert {(r["query_id"], r["id"], r["rank"]) for r in tight} == {(r["query_id"], r["id"], r["rank"]) for r in exact}
     sim = V.mean_similarity_to_earlier(df, "g", "id", "e", 8, F.floor(F.col("id") / 16)).orderBy("id").collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     for i in (0, 1, 2, 50, 299):
