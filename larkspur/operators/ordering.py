@@ -206,13 +206,13 @@ def value_block(x: Column, per_octave: int = 32) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), per_octave: int = 32, parts: int = 4096,
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), per_octave: int = 32, parts: int = 4096, few: int = 65536,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per (by, prob). Nulls and NaN are left out.
 
     The values are never shuffled or sorted. The first pass counts them by blocks of their magnitude; each further one
-    cuts those intervals that hold a wanted rank into ``parts`` equal parts and counts again, until every such interval
-    holds one value only. Counts are combined before the shuffle, so a hot key or a narrow range is no burden. An
+    cuts those intervals that hold a wanted rank into ``parts`` equal parts, or into its values where it has ``few`` rows
+    at most, and counts again, until every such interval holds one value only. Counts are combined before the shuffle, so a hot key or a narrow range is no burden. An
     interval's least and greatest value always part, and a pass leaves about 1/``parts`` of its width."""
     keys = list(by)
     x = F.col(value).cast("double") + F.lit(0.0)
@@ -226,16 +226,20 @@ def exact_quantiles(
     first = rows.groupBy("_g", "_b").agg(*ends).withColumns({"_from": before, "_all": F.sum("_n").over(group)})
     wanted = F.explode(F.array_distinct(F.array(*[f(F.lit(float(p)) * (F.col("_all") - 1)) for p in probs for f in (F.floor, F.ceil)])))
     holds = "_from <= _rank AND _rank < _from + _n"
-    columns = ["_g", "_b", "_all", "_rank", "_from", "_low", "_high"]
+    columns = ["_g", "_b", "_all", "_rank", "_from", "_low", "_high", "_n"]
     spots = saved(first.withColumn("_rank", wanted).where(holds).select(*columns), "quantiles")
-    while not (wide := spots.where("_low < _high")).isEmpty():
-        open_ = wide.select("_g", "_b", "_from", F.col("_low").alias("_l"), F.col("_high").alias("_h")).distinct()
+    while (most := (wide := spots.where("_low < _high")).agg(F.max("_n")).first()[0]) is not None:
+        open_ = wide.select("_g", "_b", "_from", F.col("_low").alias("_l"), F.col("_high").alias("_h"), (F.col("_n") <= few).alias("_few")).distinct()
         part = F.least(F.floor((F.col("_x") - F.col("_l")) / (F.col("_h") - F.col("_l")) * parts), F.lit(parts - 1))
+        part = F.when(F.col("_few"), F.col("_x")).otherwise(part)
         counts = rows.join(open_, ["_g", "_b"]).where("_l <= _x AND _x <= _h").groupBy("_g", "_b", "_l", "_from", part.alias("_p")).agg(*ends)
         upto = Window.partitionBy("_g", "_b", "_l").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         narrow = counts.withColumn("_from", F.col("_from") + F.sum("_n").over(upto) - F.col("_n"))
         ranks = wide.select("_g", "_b", "_all", "_rank", F.col("_low").alias("_l"))
-        spots = saved(spots.where("_low = _high").unionByName(narrow.join(ranks, ["_g", "_b", "_l"]).where(holds).select(*columns)), "quantiles")
+        spots = spots.where("_low = _high").unionByName(narrow.join(ranks, ["_g", "_b", "_l"]).where(holds).select(*columns))
+        if most <= few:  # this pass counts single values
+            break
+        spots = saved(spots, "quantiles")
 
     named = spots.select(*[F.col("_g")[k].alias(k) for k in keys], "_all", "_rank", "_low", prob.alias("prob"))
     below, above = F.col("_rank") == F.floor(at), F.col("_rank") == F.ceil(at)
