@@ -1,9 +1,11 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word bigram models of the same form, one of the target texts and one of all texts, share one vocabulary: words are
-hashed to ``WORDS`` numbers and bigrams to ``PAIRS`` cells, so both models and what is sent to the tasks have a fixed
-size, while the counts come from every word of every text. A text's score is its mean loss per word under the target
-model less that under the background model; the lower, the more like the target.
+Two word bigram models of the same form, one of the target texts and one of all texts, share one vocabulary: every word
+of the corpus. The models are tables with one row per word and per bigram, exact counts of the whole corpus, so they
+grow with it and stay on the cluster. Texts are put into blocks of about ``BLOCK`` bytes. A block is counted inside
+its task, and gets back the losses of the bigrams that it has, so neither single words nor whole models are sent around:
+what is shuffled is each block's distinct bigrams and its texts. A text's score is its mean loss per word under the
+target model less that under the background model; the lower, the more like the target.
 """
 
 from __future__ import annotations
@@ -12,118 +14,192 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.llm.arrays import STEP, Texts, chunks, mix, string_batches, words
-from larkspur.session import work_path
+from larkspur.session import saved
 
-#: Size of the shared vocabulary and number of bigram cells; they bound the models at (WORDS + PAIRS) * 16 bytes.
-WORDS = 1 << 17
-PAIRS = 1 << 19
+#: Bytes of text in a block; a longer text is a block of its own. A task holds one block at a time.
+BLOCK = 16 << 20
 #: Target ids up to this many are broadcast (8 bytes each); beyond it texts and ids are joined by a shuffle.
 BROADCAST_IDS = 8_000_000
 #: Weight of the unigram estimate in a bigram estimate, in words.
 BACKOFF = 64.0
+#: Stands before the first word of a text.
+START = np.uint64(0)
 
+GRAMS = "block long, before long, word long, target long, background long"
+SCORES = "doc_id long, n_words long, target_loss double, background_loss double"
 
-def tokens(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, cells of the bigrams that end at each word, numbers of the words before, and text numbers.
 
-    Before the first word of a text stands the number WORDS - 1, which marks the beginning.
-    """
+def bigrams(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, hash of the word before, one key of both, and text numbers."""
     found = words(part)
-    number = (found.hash % np.uint64(WORDS - 1)).astype(np.int64)
-    before = np.concatenate([[WORDS - 1], number[:-1]])[:len(number)]
-    before[found.first[:-1][found.counts > 0]] = WORDS - 1
-    cell = (mix(before.astype(np.uint64) * STEP + number.astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
-    return number, cell, before, found.text
+    before = np.concatenate([[START], found.hash[:-1]])[:len(found.hash)]
+    before[found.first[:-1][found.counts > 0]] = START
+    return found.hash, before, pair_key(before, found.hash), found.text
 
 
-def count_cells(docs: DataFrame) -> DataFrame:
-    """(cell, target, background): counts over all texts of ``docs`` (text, is_target).
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * STEP + word)
 
-    Cells below WORDS are words, then come words as a beginning of a bigram, then bigrams. Each task sends at most one row
-    for each cell.
-    """
-    total = 2 * WORDS + PAIRS
+
+def into_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` (doc_id, text, is_target) with a block number, written to the shared folder so that the numbers are fixed."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            ends = size + np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            if len(ends):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + ends // block)], [*batch.schema.names, "block"])
+                size = int(ends[-1])
+
+    return saved(docs.select("doc_id", "text", "is_target").mapInArrow(number, "doc_id long, text string, is_target boolean, block long"), "lm-blocks")
+
+
+class Counted:
+    """Distinct bigrams of some texts with their counts; merged chunk by chunk, so that memory follows the distinct ones."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, key: np.ndarray, before: np.ndarray, word: np.ndarray, target: np.ndarray, background: np.ndarray) -> None:
+        some, first, group = np.unique(key, return_index=True, return_inverse=True)
+        sums = [np.bincount(group, x, len(some)).astype(np.int64) for x in (target, background)]
+        self.parts.append((some, before[first], word[first], *sums))
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        if len(self.parts) > 1:
+            columns = [np.concatenate(c) for c in zip(*self.parts)]
+            self.parts = []
+            self.add(*columns)
+        return self.parts[0]
+
+    def batch(self, block: int) -> pa.RecordBatch:
+        _, before, word, target, background = self.merged()
+        arrays = [np.full(len(word), block, np.int64), before.view(np.int64), word.view(np.int64), target, background]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["block", "before", "word", "target", "background"])
+
+
+def block_grams(blocks: DataFrame) -> DataFrame:
+    """Distinct bigrams of each block: before, word (hashes), target, background (counts). A block that is read in two tasks
+    has two rows for some bigrams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, total), np.int64)
+        at, held = None, Counted()
         for batch in batches:
-            target = batch.column("is_target").to_numpy(zero_copy_only=False).astype(bool)
-            for part in chunks(batch.column("text")):
-                number, cell, before, text = tokens(part)
-                chosen = target[part.first + text]
-                for i, rows in ((0, chosen), (1, slice(None))):
-                    for values, base in ((number, 0), (before, WORDS), (cell, 2 * WORDS)):
-                        found = np.bincount(values[rows])
-                        sums[i, base:base + len(found)] += found
-        some = np.flatnonzero(sums[1])
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0][some]), pa.array(sums[1][some])], ["cell", "target", "background"])
-
-    parts = docs.select("text", "is_target").mapInArrow(count, "cell long, target long, background long")
-    return parts.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+            numbers = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if numbers[a] != at and held.parts:
+                    yield held.batch(at)
+                    held = Counted()
+                at = int(numbers[a])
+                rows = batch.slice(a, b - a)
+                target = rows.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
+                for part in chunks(rows.column("text")):
+                    word, before, key, text = bigrams(part)
+                    if len(word):
+                        held.add(key, before, word, target[part.first + text], np.ones(len(word), np.int64))
+                if len(held.parts) > 4:
+                    held.merged()
+        if held.parts:
+            yield held.batch(at)
+
+    return saved(blocks.select("text", "is_target", "block").mapInArrow(count, GRAMS), "lm-grams")
 
 
 class Model:
-    """Loss tables of one model: of words by the unigram estimate, and what the bigram estimate needs."""
+    """Tables of one corpus: pairs (before, word), heads (before) and words (word), each with the counts target and
+    background, and their totals."""
+
+    def __init__(self, grams: DataFrame):
+        sums = [F.sum("target").alias("target"), F.sum("background").alias("background")]
+        self.pairs = saved(grams.groupBy("before", "word").agg(*sums), "lm-pairs")
+        self.heads = saved(self.pairs.groupBy("before").agg(*sums), "lm-heads")
+        self.words = saved(self.pairs.groupBy("word").agg(*sums), "lm-words")
+        self.n_words, *totals = self.words.agg(F.count("*"), F.sum("target"), F.sum("background")).first()
+        self.totals = dict(zip(("target", "background"), (t or 0 for t in totals)))
+
+    def losses(self, grams: DataFrame) -> DataFrame:
+        """(before, word, target_loss, background_loss) for distinct ``grams`` (before, word), known or not.
+
+        P(word | before) = (pair + BACKOFF * P(word)) / (head + BACKOFF) and P(word) = (count + 1) / (total + words + 1): one
+        more word stands for all unknown ones.
+        """
+        def named(table: DataFrame, prefix: str) -> DataFrame:
+            return table.withColumnsRenamed({c: f"{prefix}_{c}" for c in self.totals})
+
+        def count(prefix: str, name: str) -> Column:
+            return F.coalesce(F.col(f"{prefix}_{name}"), F.lit(0)).cast("double")
+
+        known = named(self.pairs, "pair") if grams is self.pairs else grams.join(named(self.pairs, "pair"), ["before", "word"], "left")
+        joined = known.join(named(self.words, "word"), "word", "left").join(named(self.heads, "head"), "before", "left")
+        made = []
+        for name, total in self.totals.items():
+            single = (count("word", name) + 1.0) / F.lit(float(total + self.n_words + 1))
+            made.append((-F.log((count("pair", name) + BACKOFF * single) / (count("head", name) + BACKOFF))).alias(f"{name}_loss"))
+        return saved(joined.select("before", "word", *made), "lm-losses")
+
+
+def block_scores(blocks: DataFrame, grams: DataFrame, losses: DataFrame) -> DataFrame:
+    """Scores of the texts of each block, from the losses of the block's bigrams."""
+
+    def look(texts: pa.Table, known: pa.Table) -> pa.Table:
+        key = pair_key(*(known[c].to_numpy().view(np.uint64) for c in ("before", "word")))
+        order = np.argsort(key)
+        key = key[order]
+        tables = [known[c].to_numpy()[order] for c in ("target_loss", "background_loss")]
+        n_words, means = [], [[], []]
+        for part in chunks(string_batches(texts["text"])):
+            _, _, wanted, text = bigrams(part)
+            n = np.bincount(text, minlength=part.n)
+            n_words.append(n)
+            spot = np.searchsorted(key, wanted)
+            for mean, table in zip(means, tables):
+                mean.append(np.bincount(text, table[spot], part.n) / np.maximum(n, 1))
+        n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
+        sums = [np.concatenate(m) if m else np.zeros(0) for m in means]
+        return pa.table({
+            "doc_id": texts["doc_id"], "n_words": pa.array(n, pa.int64()),
+            "target_loss": pa.array(sums[0], mask=n == 0), "background_loss": pa.array(sums[1], mask=n == 0)})
 
-    def __init__(self, counts: np.ndarray):
-        words_, heads, self.pairs = counts[:WORDS], counts[WORDS:2 * WORDS], counts[2 * WORDS:]
-        self.unigram = (words_ + 1.0) / (words_.sum() + WORDS)
-        self.heads = heads + BACKOFF
+    held = grams.select("block", "before", "word").join(losses, ["before", "word"])
+    columns = ["block", "before", "word", "target_loss", "background_loss"]
+    return blocks.select("block", "doc_id", "text").groupBy("block").cogroup(held.select(*columns).groupBy("block")).applyInArrow(look, SCORES)
 
-    def losses(self, number: np.ndarray, cell: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return -np.log((self.pairs[cell] + BACKOFF * self.unigram[number]) / self.heads[before])
 
+def scored(found: DataFrame) -> DataFrame:
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
-def saved(frame: DataFrame, name: str) -> DataFrame:
-    path = work_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
 
+def slim(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a null text has no words, as the empty one."""
+    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-def fit(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the target and of the background model. ``target`` has the doc_ids of the target texts.
 
-    The background is all of ``docs``; both models have the same vocabulary, cells and smoothing.
-    """
+def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """``docs`` with is_target: whether ``target`` has the doc_id."""
     ids = saved(target.select(F.col("doc_id").alias("target_id")).where("target_id IS NOT NULL").distinct(), "lm-target")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("target_id"), "left")
-    table = saved(count_cells(marked.select(F.coalesce("text", F.lit("")).alias("text"), F.isnotnull("target_id").alias("is_target"))), "lm-counts").toArrow()
-    out = np.zeros((2, 2 * WORDS + PAIRS), np.float64)
-    cells = table["cell"].to_numpy()
-    out[0][cells], out[1][cells] = table["target"].to_numpy(), table["background"].to_numpy()
-    return out[0], out[1]
-
-
-def score(docs: DataFrame, target: np.ndarray, background: np.ndarray, text: str = "text", column: str = "lm") -> DataFrame:
-    """Add a struct: n_words, target_loss, background_loss and score, the difference of the mean losses per word."""
-    sent = docs.sparkSession.sparkContext.broadcast((target.astype(np.float32), background.astype(np.float32)))  # of fixed size
-    held: list[Model] = []
-
-    @F.arrow_udf("n_words long, target_loss double, background_loss double")
-    def look(batch: pa.Array) -> pa.Array:
-        if not held:
-            held.extend(Model(counts.astype(np.float64)) for counts in sent.value)
-        n_words, means = [], [[], []]
-        for part in chunks(string_batches(batch)):
-            number, cell, before, owner = tokens(part)
-            n = np.bincount(owner, minlength=part.n)
-            n_words.append(n)
-            for i, model in enumerate(held):
-                total = np.bincount(owner, model.losses(number, cell, before), minlength=part.n)
-                means[i].append(total / np.maximum(n, 1))
-        n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-        none = n == 0
-        losses = [np.concatenate(m) if m else np.zeros(0) for m in means]
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), *(pa.array(x, mask=none) for x in losses)], ["n_words", "target_loss", "background_loss"])
+    return docs.join(ids, F.col("doc_id") == F.col("target_id"), "left").withColumn("is_target", F.isnotnull("target_id"))
+
+
+def fit(docs: DataFrame, target: DataFrame, block: int = BLOCK) -> Model:
+    """The models of ``docs``: the target model of the documents with the doc_ids of ``target``, the background of all."""
+    return Model(block_grams(into_blocks(marked(slim(docs), target), block)))
+
 
-    found = F.col(column)
-    return docs.withColumn(column, look(F.col(text).cast("string"))).withColumn(
-        column, found.withField("score", found["target_loss"] - found["background_loss"]))
+def score(docs: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
+    """Scores of any documents under a fitted model, in the form of ``cross_entropy_difference``."""
+    blocks = into_blocks(slim(docs).withColumn("is_target", F.lit(False)), block)
+    grams = block_grams(blocks)
+    return scored(block_scores(blocks, grams, model.losses(grams.select("before", "word").distinct())))
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
@@ -131,13 +207,14 @@ def target_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("low")).where("low >= 1").select("doc_id")
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_words, target_loss, background_loss, score.
 
     Texts without words, null texts among them, have 0 words and null losses and score. Repeated rows are counted as often
     as they occur and get equal results. Without target texts the target model is even over the vocabulary. Extra
-    columns are not read.
+    columns are not read. Words are told apart by 64 bits of their hash.
     """
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    target, background = fit(slim, target_ids(labels))
-    return score(slim, target, background).select("doc_id", "lm.*")
+    blocks = into_blocks(marked(slim(docs), target_ids(labels)), block)
+    grams = block_grams(blocks)
+    model = Model(grams)
+    return scored(block_scores(blocks, grams, model.losses(model.pairs)))

@@ -71,12 +71,15 @@ def test_odd_rows_of_the_scan(spark, odd_docs):
 
 # ---------------------------------------------------------------- language-model scoring
 
-def test_scores_follow_the_definition(spark, monkeypatch):
-    """Against counts in dictionaries; words and bigrams of this small text do not collide."""
+@pytest.mark.parametrize("block", [lm.BLOCK, 100])
+def test_scores_follow_the_definition(spark, block):
+    """Against counts in dictionaries, with texts in one block and in many."""
     random.seed(2)
     docs = [(i, " ".join(random.choices(["red", "blue", "green", "grey", "Pink"] if i % 2 else ["one", "two", "three", "red"], k=random.choice([1, 5, 30])))) for i in range(40)]
     labels = [(i, 1, 0) for i in range(1, 40, 4)] + [(i, 0, 0) for i in range(0, 40, 4)]
-    out = lm.cross_entropy_difference(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    corpus, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = lm.cross_entropy_difference(corpus, marks, block).collect()
+    assert len(out) == len(docs)
     models = []
     for chosen in ([t for i, t in docs if i % 4 == 1], [t for _, t in docs]):
         words, heads, pairs = Counter(), Counter(), Counter()
@@ -93,17 +96,29 @@ def test_scores_follow_the_definition(spark, monkeypatch):
         words, heads, pairs, n = model
         total, before = 0.0, None
         for w in plain_words(text):
-            total -= math.log((pairs[before, w] + lm.BACKOFF * (words[w] + 1) / (n + lm.WORDS)) / (heads[before] + lm.BACKOFF))
+            total -= math.log((pairs[before, w] + lm.BACKOFF * (words[w] + 1) / (n + vocabulary + 1)) / (heads[before] + lm.BACKOFF))
             before = w
         return total / len(plain_words(text))
 
-    texts = dict(docs)
+    vocabulary = len(models[1][0])
+    new = [(100, "red red unheard blue"), (101, "of nothing known"), (102, "")]
+    out += lm.score(spark.createDataFrame(new, "doc_id long, text string"), lm.fit(corpus, lm.target_ids(marks), block), block).where("n_words > 0").collect()
+    assert len(out) == len(docs) + 2
+    texts = dict(docs + new)
     for r in out:
         target, background = (loss(texts[r.doc_id], m) for m in models)
         assert math.isclose(r.target_loss, target, rel_tol=1e-5) and math.isclose(r.background_loss, background, rel_tol=1e-5)
         assert math.isclose(r.score, target - background, rel_tol=1e-4, abs_tol=1e-5)
 
 
+def test_models_grow_with_the_corpus(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id, ' other', id % 1000, ' same') AS text")
+    for n in (1000, 3000):
+        model = lm.fit(docs.where(f"doc_id < {n}"), docs.where("doc_id < 10"))
+        assert model.n_words == n + 1001 and model.words.count() == n + 1001
+        assert model.pairs.count() == 2 * n + 1000 and model.totals == {"target": 30, "background": 3 * n}
+
+
 def test_good_documents_score_lower(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
     held = labels.where("doc_id % 2 = 0")
