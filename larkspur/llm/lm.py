@@ -1,181 +1,252 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word bigram models of the same form, one of the target texts and one of all texts, share one vocabulary: every word
-of the corpus. The models are tables with one row per word and per bigram, exact counts of the whole corpus, so they
-grow with it and stay on the cluster. Texts are put into blocks of about ``BLOCK`` bytes. A block is counted inside
-its task, and gets back the losses of the bigrams that it has, so neither single words nor whole models are sent around:
-what is shuffled is each block's distinct bigrams and its texts. A text's score is its mean loss per word under the
-target model less that under the background model; the lower, the more like the target.
+Two class bigram models of the same form, one of the target texts and one of all texts, share one vocabulary: every word of
+the corpus. A word's probability is that of its class after the class of the word before, times its own within its class;
+classes are a hash of the word. The counts of all words are exact and cover the whole corpus, so what is gathered grows
+with it; it stays on the cluster. Only the counts of pairs of classes, whose number is a parameter of the model, are sent
+to all tasks. Texts are put into blocks of about ``BLOCK`` bytes. A block sends its distinct words as sorted 64-bit keys,
+packed by ranges of the keys (buckets, whose number follows the corpus). A bucket adds up the counts of all blocks and
+answers each block with the totals of its own keys, in order, so an answer needs no keys. A frequent word is sent once a
+block, not once a document. A text's score is its mean loss per word under the target model less that under the background
+model; the lower, the more like the target.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from larkspur.llm.arrays import STEP, Texts, chunks, mix, string_batches, words
-from larkspur.session import saved
+from larkspur.llm.arrays import chunks, string_batches, words
+from larkspur.session import saved, work_path
 
 #: Bytes of text in a block; a longer text is a block of its own. A task holds one block at a time.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+#: Bytes of text for each bucket of keys; a task holds one bucket at a time.
+BUCKET = 32 << 20
+#: Classes of words; the class number CLASSES stands before the first word of a text.
+CLASSES = 512
+CELLS = (CLASSES + 1) * CLASSES
 #: Target ids up to this many are broadcast (8 bytes each); beyond it texts and ids are joined by a shuffle.
 BROADCAST_IDS = 8_000_000
-#: Weight of the unigram estimate in a bigram estimate, in words.
+#: Weight of a class alone in the estimate of the class after another, in words.
 BACKOFF = 64.0
-#: Stands before the first word of a text.
-START = np.uint64(0)
+NAMES = ("target", "background")
 
-GRAMS = "block long, before long, word long, target long, background long"
+ROWS = "doc_id long, text string, target int, background int, wanted boolean, block long, row long"
+#: A piece is the run of a block's texts that one task has read: mostly all of them.
+PIECE = "block long, first_row long, n_rows long, wanted boolean"
+SENT = f"bucket long, {PIECE}, keys binary, target binary, background binary"
+ANSWERS = f"bucket long, {PIECE}, target binary, background binary, n_words array<long>"
 SCORES = "doc_id long, n_words long, target_loss double, background_loss double"
 
 
-def bigrams(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, hash of the word before, one key of both, and text numbers."""
-    found = words(part)
-    before = np.concatenate([[START], found.hash[:-1]])[:len(found.hash)]
-    before[found.first[:-1][found.counts > 0]] = START
-    return found.hash, before, pair_key(before, found.hash), found.text
-
-
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * STEP + word)
-
-
 def into_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` (doc_id, text, is_target) with a block number, written to the shared folder so that the numbers are fixed."""
+    """``docs`` with a block and a row number, written to the shared folder so that the numbers are fixed. The columns: doc_id,
+    text, how often a word of the text counts in the target and in the background model, and whether a score is wanted."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, size = TaskContext.get().partitionId() << 32, 0
+        first, size, rows = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             ends = size + np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
             if len(ends):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + ends // block)], [*batch.schema.names, "block"])
-                size = int(ends[-1])
+                numbers = first + 2 * (ends // block) + batch.column("wanted").to_numpy(zero_copy_only=False)
+                places = np.arange(rows, rows + len(ends))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers), pa.array(places)], [*batch.schema.names, "block", "row"])
+                size, rows = int(ends[-1]), rows + len(ends)
 
-    return saved(docs.select("doc_id", "text", "is_target").mapInArrow(number, "doc_id long, text string, is_target boolean, block long"), "lm-blocks")
+    path = work_path(docs.sparkSession, "lm-blocks")
+    docs.select("doc_id", "text", "target", "background", "wanted").mapInArrow(number, ROWS).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
-class Counted:
-    """Distinct bigrams of some texts with their counts; merged chunk by chunk, so that memory follows the distinct ones."""
+@dataclass
+class Vocabulary:
+    """Distinct words of some texts as keys in order with their counts; for each word of the texts its text, its place among the
+    keys, and the cell of its class and the class before it."""
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
+    key: np.ndarray
+    counts: list[np.ndarray]
+    text: np.ndarray
+    place: np.ndarray
+    cell: np.ndarray
 
-    def add(self, key: np.ndarray, before: np.ndarray, word: np.ndarray, target: np.ndarray, background: np.ndarray) -> None:
-        some, first, group = np.unique(key, return_index=True, return_inverse=True)
-        sums = [np.bincount(group, x, len(some)).astype(np.int64) for x in (target, background)]
-        self.parts.append((some, before[first], word[first], *sums))
 
-    def merged(self) -> tuple[np.ndarray, ...]:
-        if len(self.parts) > 1:
-            columns = [np.concatenate(c) for c in zip(*self.parts)]
-            self.parts = []
-            self.add(*columns)
-        return self.parts[0]
+def classes(key: np.ndarray) -> np.ndarray:
+    return (key % np.uint64(CLASSES)).astype(np.int64)
 
-    def batch(self, block: int) -> pa.RecordBatch:
-        _, before, word, target, background = self.merged()
-        arrays = [np.full(len(word), block, np.int64), before.view(np.int64), word.view(np.int64), target, background]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["block", "before", "word", "target", "background"])
 
+def vocabulary(texts: pa.Table | pa.RecordBatch) -> Vocabulary:
+    parts = [(part.first, words(part)) for part in chunks(string_batches(texts["text"]))]
+    text = np.concatenate([first + found.text for first, found in parts] or [np.zeros(0, np.int64)])
+    key, place = np.unique(np.concatenate([found.hash for _, found in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    own = classes(key)[place]
+    before = np.concatenate([[CLASSES], own[:-1]])[:len(own)]
+    before[1:][text[1:] != text[:-1]] = CLASSES
+    counts = [np.bincount(place, texts[c].to_numpy()[text], len(key)).astype(np.int64) for c in NAMES]
+    return Vocabulary(key, counts, text, place, before * CLASSES + own)
 
-def block_grams(blocks: DataFrame) -> DataFrame:
-    """Distinct bigrams of each block: before, word (hashes), target, background (counts). A block that is read in two tasks
-    has two rows for some bigrams."""
+
+def class_pairs(blocks: DataFrame) -> np.ndarray:
+    """[model, class before, class]: counts of the pairs of classes. A task sends at most one row for each of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, Counted()
-        for batch in batches:
-            numbers = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                if numbers[a] != at and held.parts:
-                    yield held.batch(at)
-                    held = Counted()
-                at = int(numbers[a])
-                rows = batch.slice(a, b - a)
-                target = rows.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
-                for part in chunks(rows.column("text")):
-                    word, before, key, text = bigrams(part)
-                    if len(word):
-                        held.add(key, before, word, target[part.first + text], np.ones(len(word), np.int64))
-                if len(held.parts) > 4:
-                    held.merged()
-        if held.parts:
-            yield held.batch(at)
-
-    return saved(blocks.select("text", "is_target", "block").mapInArrow(count, GRAMS), "lm-grams")
+        sums = np.zeros((2, CELLS), np.int64)
+        for texts in pieces(batches):
+            found = vocabulary(texts)
+            for total, name in zip(sums, NAMES):
+                total += np.bincount(found.cell, texts[name].to_numpy()[found.text], CELLS).astype(np.int64)
+        some = np.flatnonzero(sums[1])
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, sums[0][some], sums[1][some])], ["cell", *NAMES])
+
+    parts = blocks.drop("doc_id").mapInArrow(count, "cell long, target long, background long")
+    table = saved(parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in NAMES]), "lm-classes").toArrow()
+    out = np.zeros((2, CELLS))
+    for total, name in zip(out, NAMES):
+        total[table["cell"].to_numpy()] = table[name].to_numpy()
+    return out.reshape(2, CLASSES + 1, CLASSES)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The texts of one block that follow each other, as one table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        block, row = (batch.column(c).to_numpy() for c in ("block", "row"))
+        cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(row) != 1)) + 1).tolist(), len(row)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if held and last != (block[a], row[a] - 1):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = block[b - 1], row[b - 1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """First all lowest bytes, then the next ones: the highest are mostly zeros, which compress."""
+    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data).view(np.uint64), dtype=np.uint64)
+
+
+def sent_keys(blocks: DataFrame, n_buckets: int) -> DataFrame:
+    """What each piece sends to each bucket: the keys of its distinct words in order and their counts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in pieces(batches):
+            found = vocabulary(texts)
+            key = found.key
+            if not len(found.text):
+                continue
+            bucket = ((key >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
+            spans = list(zip(cuts[:-1], cuts[1:]))
+            piece = [texts["block"][0].as_py(), texts["row"][0].as_py(), len(texts), texts["wanted"][0].as_py()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(bucket[cuts[:-1]]), *(pa.array([x] * len(spans)) for x in piece),
+                pa.array([packed_keys(key[a:b]) for a, b in spans], pa.binary()),
+                *(pa.array([packed(c[a:b]) for a, b in spans], pa.binary()) for c in found.counts),
+            ], ["bucket", "block", "first_row", "n_rows", "wanted", "keys", "target", "background"])
+
+    return blocks.drop("doc_id").mapInArrow(send, SENT)
+
+
+def answers(sent: DataFrame) -> DataFrame:
+    """For each piece and bucket the totals of the piece's keys in order, and one row a bucket, without a block, that has the
+    number of its distinct background words in each class."""
+
+    def answer(rows: pa.Table) -> pa.Table:
+        lists = [unpacked_keys(x) for x in rows["keys"].to_pylist()]
+        some, group = np.unique(np.concatenate(lists), return_inverse=True)
+        totals = [np.bincount(group, np.concatenate([unpacked(x) for x in rows[c].to_pylist()]), len(some)).astype(np.int64) for c in NAMES]
+        ends = np.cumsum([len(x) for x in lists])
+        spans = [(e - len(x), e) for x, e, ok in zip(lists, ends, rows["wanted"].to_pylist()) if ok]
+        found = rows.filter(rows["wanted"]).select(["bucket", "block", "first_row", "n_rows", "wanted"])
+        replies = {c: [packed(t[group[a:b]]) for a, b in spans] for c, t in zip(NAMES, totals)}
+        columns = {**found.to_pydict(), **replies, "n_words": [None] * len(spans)}
+        last = {"bucket": rows["bucket"][0].as_py(), "n_words": np.bincount(classes(some[totals[1] > 0]), minlength=CLASSES).tolist()}
+        return pa.table({c: v + [last.get(c)] for c, v in columns.items()}, answer_schema)
+
+    answer_schema = pa.schema([
+        *((c, pa.int64()) for c in ("bucket", "block", "first_row", "n_rows")), ("wanted", pa.bool_()), ("target", pa.binary()),
+        ("background", pa.binary()), ("n_words", pa.list_(pa.int64()))])
+    return saved(sent.groupBy("bucket").applyInArrow(answer, ANSWERS), "lm-answers")
 
 
 class Model:
-    """Tables of one corpus: pairs (before, word), heads (before) and words (word), each with the counts target and
-    background, and their totals."""
-
-    def __init__(self, grams: DataFrame):
-        sums = [F.sum("target").alias("target"), F.sum("background").alias("background")]
-        self.pairs = saved(grams.groupBy("before", "word").agg(*sums), "lm-pairs")
-        self.heads = saved(self.pairs.groupBy("before").agg(*sums), "lm-heads")
-        self.words = saved(self.pairs.groupBy("word").agg(*sums), "lm-words")
-        self.n_words, *totals = self.words.agg(F.count("*"), F.sum("target"), F.sum("background")).first()
-        self.totals = dict(zip(("target", "background"), (t or 0 for t in totals)))
-
-    def losses(self, grams: DataFrame) -> DataFrame:
-        """(before, word, target_loss, background_loss) for distinct ``grams`` (before, word), known or not.
+    """Losses of one model from the counts of its pairs of classes and the number of words in each class.
 
-        P(word | before) = (pair + BACKOFF * P(word)) / (head + BACKOFF) and P(word) = (count + 1) / (total + words + 1): one
-        more word stands for all unknown ones.
-        """
-        def named(table: DataFrame, prefix: str) -> DataFrame:
-            return table.withColumnsRenamed({c: f"{prefix}_{c}" for c in self.totals})
+    P(class | before) = (pair + BACKOFF * P(class)) / (head + BACKOFF) with P(class) = (count + 1) / (all + CLASSES), and
+    P(word | class) = (word + 1) / (count + words + 1): one more word stands for all unknown ones of the class.
+    """
 
-        def count(prefix: str, name: str) -> Column:
-            return F.coalesce(F.col(f"{prefix}_{name}"), F.lit(0)).cast("double")
+    def __init__(self, pairs: np.ndarray, n_words: np.ndarray):
+        count = pairs.sum(0)
+        alone = (count + 1) / (count.sum() + CLASSES)
+        self.of_class = -np.log((pairs + BACKOFF * alone) / (pairs.sum(1, keepdims=True) + BACKOFF)).ravel()
+        self.within = np.log(count + n_words + 1)
 
-        known = named(self.pairs, "pair") if grams is self.pairs else grams.join(named(self.pairs, "pair"), ["before", "word"], "left")
-        joined = known.join(named(self.words, "word"), "word", "left").join(named(self.heads, "head"), "before", "left")
-        made = []
-        for name, total in self.totals.items():
-            single = (count("word", name) + 1.0) / F.lit(float(total + self.n_words + 1))
-            made.append((-F.log((count("pair", name) + BACKOFF * single) / (count("head", name) + BACKOFF))).alias(f"{name}_loss"))
-        return saved(joined.select("before", "word", *made), "lm-losses")
+    def losses(self, cell: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Loss of each word from its cell and its count."""
+        return self.of_class[cell] + self.within[cell % CLASSES] - np.log(counts + 1)
 
 
-def block_scores(blocks: DataFrame, grams: DataFrame, losses: DataFrame) -> DataFrame:
-    """Scores of the texts of each block, from the losses of the block's bigrams."""
+def block_scores(blocks: DataFrame, replies: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """Scores of the wanted texts of each block."""
+    sizes = replies.where("block IS NULL").select(F.posexplode("n_words").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect()
+    n_words = np.zeros(CLASSES)
+    for r in sizes:
+        n_words[r["class"]] = r.n
+    models = [Model(p, n_words) for p in pairs]
 
     def look(texts: pa.Table, known: pa.Table) -> pa.Table:
-        key = pair_key(*(known[c].to_numpy().view(np.uint64) for c in ("before", "word")))
-        order = np.argsort(key)
-        key = key[order]
-        tables = [known[c].to_numpy()[order] for c in ("target_loss", "background_loss")]
-        n_words, means = [], [[], []]
-        for part in chunks(string_batches(texts["text"])):
-            _, _, wanted, text = bigrams(part)
-            n = np.bincount(text, minlength=part.n)
-            n_words.append(n)
-            spot = np.searchsorted(key, wanted)
-            for mean, table in zip(means, tables):
-                mean.append(np.bincount(text, table[spot], part.n) / np.maximum(n, 1))
-        n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-        sums = [np.concatenate(m) if m else np.zeros(0) for m in means]
-        return pa.table({
-            "doc_id": texts["doc_id"], "n_words": pa.array(n, pa.int64()),
-            "target_loss": pa.array(sums[0], mask=n == 0), "background_loss": pa.array(sums[1], mask=n == 0)})
-
-    held = grams.select("block", "before", "word").join(losses, ["before", "word"])
-    columns = ["block", "before", "word", "target_loss", "background_loss"]
-    return blocks.select("block", "doc_id", "text").groupBy("block").cogroup(held.select(*columns).groupBy("block")).applyInArrow(look, SCORES)
-
-
-def scored(found: DataFrame) -> DataFrame:
-    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+        texts = texts.sort_by("row")
+        row, piece = texts["row"].to_numpy(), known["first_row"].to_numpy()
+        n, sums = np.zeros(len(row), np.int64), np.zeros((2, len(row)))
+        for first in np.unique(piece):
+            own = known.filter(pa.array(piece == first)).sort_by("bucket")
+            at = int(np.searchsorted(row, first))
+            found = vocabulary(texts.slice(at, own["n_rows"][0].as_py()))
+            text = at + found.text
+            n += np.bincount(text, minlength=len(n))
+            for i, (name, model) in enumerate(zip(NAMES, models)):
+                counts = np.concatenate([unpacked(x) for x in own[name].to_pylist()])
+                sums[i] += np.bincount(text, model.losses(found.cell, counts[found.place]), len(n))
+        means = [pa.array(x / np.maximum(n, 1), mask=n == 0) for x in sums]
+        return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n), "target_loss": means[0], "background_loss": means[1]})
+
+    told = replies.where("block IS NOT NULL").select("block", "bucket", "first_row", "n_rows", *NAMES)
+    wanted = blocks.where("wanted").drop("wanted").groupBy("block").cogroup(told.groupBy("block"))
+    return wanted.applyInArrow(look, SCORES).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def weighted_scores(rows: DataFrame, block: int, bucket: int) -> DataFrame:
+    """Scores of the wanted ``rows`` under the models of all of them; see ``into_blocks``."""
+    blocks = into_blocks(rows, block)
+    size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(1, -(-size // bucket))
+    return block_scores(blocks, answers(sent_keys(blocks, n_buckets)), class_pairs(blocks))
 
 
 def slim(docs: DataFrame) -> DataFrame:
@@ -183,23 +254,12 @@ def slim(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """``docs`` with is_target: whether ``target`` has the doc_id."""
+def corpus_rows(docs: DataFrame, target: DataFrame, wanted: bool) -> DataFrame:
+    """The documents as rows that count: all of them in the background, those with a doc_id of ``target`` in the target."""
     ids = saved(target.select(F.col("doc_id").alias("target_id")).where("target_id IS NOT NULL").distinct(), "lm-target")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, F.col("doc_id") == F.col("target_id"), "left").withColumn("is_target", F.isnotnull("target_id"))
-
-
-def fit(docs: DataFrame, target: DataFrame, block: int = BLOCK) -> Model:
-    """The models of ``docs``: the target model of the documents with the doc_ids of ``target``, the background of all."""
-    return Model(block_grams(into_blocks(marked(slim(docs), target), block)))
-
-
-def score(docs: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
-    """Scores of any documents under a fitted model, in the form of ``cross_entropy_difference``."""
-    blocks = into_blocks(slim(docs).withColumn("is_target", F.lit(False)), block)
-    grams = block_grams(blocks)
-    return scored(block_scores(blocks, grams, model.losses(grams.select("before", "word").distinct())))
+    rows = slim(docs).join(ids, F.col("doc_id") == F.col("target_id"), "left")
+    return rows.select("doc_id", "text", F.isnotnull("target_id").cast("int").alias("target"), F.lit(1).alias("background"), F.lit(wanted).alias("wanted"))
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
@@ -207,14 +267,18 @@ def target_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("low")).where("low >= 1").select("doc_id")
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, n_words, target_loss, background_loss, score.
 
     Texts without words, null texts among them, have 0 words and null losses and score. Repeated rows are counted as often
     as they occur and get equal results. Without target texts the target model is even over the vocabulary. Extra
     columns are not read. Words are told apart by 64 bits of their hash.
     """
-    blocks = into_blocks(marked(slim(docs), target_ids(labels)), block)
-    grams = block_grams(blocks)
-    model = Model(grams)
-    return scored(block_scores(blocks, grams, model.losses(model.pairs)))
+    return weighted_scores(corpus_rows(docs, target_ids(labels), True), block, bucket)
+
+
+def score_others(docs: DataFrame, corpus: DataFrame, target: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """Scores of documents that are not counted, in the same form, under the models of ``corpus`` and of its documents with
+    the doc_ids of ``target``."""
+    others = slim(docs).select("doc_id", "text", F.lit(0).alias("target"), F.lit(0).alias("background"), F.lit(True).alias("wanted"))
+    return weighted_scores(corpus_rows(corpus, target, False).unionAll(others), block, bucket)
