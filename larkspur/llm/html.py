@@ -198,7 +198,7 @@ def distance(a: Node, b: Node) -> int:
 
 
 class Network:
-    """Maximum flow from a source to a sink by shortest augmenting paths."""
+    """Maximum flow from a source to a sink; all shortest paths are filled together, so a few rounds do for a long page."""
 
     def __init__(self, n: int):
         self.to: list[int] = []
@@ -211,28 +211,48 @@ class Network:
             self.to.append(y)
             self.left.append(capacity)
 
-    def reachable(self, source: int) -> dict[int, int]:
-        """Nodes that can still be reached, with the edge that leads to each."""
-        seen, line = {source: -1}, [source]
+    def steps(self, source: int) -> dict[int, int]:
+        """Nodes that can still be reached, with their number of steps from the source."""
+        seen, line = {source: 0}, [source]
         for x in line:
             for e in self.out[x]:
                 if self.left[e] > 1e-9 and self.to[e] not in seen:
-                    seen[self.to[e]] = e
+                    seen[self.to[e]] = seen[x] + 1
                     line.append(self.to[e])
         return seen
 
+    def push(self, source: int, sink: int, steps: dict[int, int]) -> None:
+        """Push as much as the shortest paths can take; every edge is given up once at most."""
+        at = [0] * len(self.out)
+        path: list[int] = []
+        x = source
+        while True:
+            if x == sink:
+                amount = min(self.left[e] for e in path)
+                for e in path:
+                    self.left[e] -= amount
+                    self.left[e ^ 1] += amount
+                full = next(i for i, e in enumerate(path) if self.left[e] <= 1e-9)
+                x = self.to[path[full] ^ 1]
+                del path[full:]
+            elif at[x] < len(self.out[x]):
+                e = self.out[x][at[x]]
+                if self.left[e] > 1e-9 and steps.get(self.to[e]) == steps[x] + 1:
+                    path.append(e)
+                    x = self.to[e]
+                else:
+                    at[x] += 1
+            elif path:
+                x = self.to[path.pop() ^ 1]
+                at[x] += 1
+            else:
+                return
+
     def cut(self, source: int, sink: int) -> dict[int, int]:
         """Push as much as can be; the nodes on the source's side of the minimum cut."""
-        while sink in (seen := self.reachable(source)):
-            path, x = [], sink
-            while x != source:
-                path.append(seen[x])
-                x = self.to[seen[x] ^ 1]
-            amount = min(self.left[e] for e in path)
-            for e in path:
-                self.left[e] -= amount
-                self.left[e ^ 1] += amount
-        return seen
+        while sink in (steps := self.steps(source)):
+            self.push(source, sink, steps)
+        return steps
 
 
 def label(found: list[Block], texts: list[str]) -> list[bool]:

@@ -221,6 +221,25 @@ def test_cut_is_the_cheapest_labelling():
         assert math.isclose(cost([i in side for i in range(n)]), best, abs_tol=1e-6)
 
 
+def test_cut_of_a_long_page():
+    """The cut of a chain of very many blocks against the cheapest labelling by dynamic programming."""
+    random.seed(4)
+    n = 30_000
+    beliefs, ties = [random.uniform(-2, 2) for _ in range(n)], [random.uniform(0, 2) for _ in range(n - 1)]
+    flow = html.Network(n + 2)
+    for i, x in enumerate(beliefs):
+        flow.edge(n, i, x) if x > 0 else flow.edge(i, n + 1, -x)
+    for i, t in enumerate(ties):
+        flow.edge(i, i + 1, t, t)
+    side = flow.cut(n, n + 1)
+    labels = [i in side for i in range(n)]
+    cost = sum(max(0, x) if not l else max(0, -x) for x, l in zip(beliefs, labels)) + sum(t for t, a, b in zip(ties, labels, labels[1:]) if a != b)
+    best = (max(0, beliefs[0]), max(0, -beliefs[0]))
+    for x, t in zip(beliefs[1:], ties):
+        best = (min(best[0], best[1] + t) + max(0, x), min(best[1], best[0] + t) + max(0, -x))
+    assert math.isclose(cost, min(best), rel_tol=1e-6)
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", PAGES["plain"][0]), (2, "u", PAGES["plain"][0]), (3, "v", "<p>" * 3000 + "deep" + "<div>" * 3000)], "page_id long, url string, html string")
     out = [(r.page_id, r.text, r.n_chars) for r in html.extract(pages.selectExpr("*", "1 AS text", "2 AS n_chars")).collect()]
