@@ -13,7 +13,7 @@ model; the lower, the more like the target.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,12 +150,12 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data).view(np.uint64), dtype=np.uint64)
 
 
-def sent_keys(blocks: DataFrame, n_buckets: int) -> DataFrame:
-    """What each piece sends to each bucket: the keys of its distinct words in order and their counts."""
+def sent_keys(blocks: DataFrame, n_buckets: int, of: Callable = vocabulary) -> DataFrame:
+    """What each piece sends to each bucket: the keys of its distinct words (what ``of`` finds) in order and their counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in pieces(batches):
-            found = vocabulary(texts)
+            found = of(texts)
             key = found.key
             if not len(found.text):
                 continue
@@ -172,9 +172,14 @@ def sent_keys(blocks: DataFrame, n_buckets: int) -> DataFrame:
     return blocks.drop("doc_id").mapInArrow(send, SENT)
 
 
-def answers(sent: DataFrame) -> DataFrame:
+def class_sizes(key: np.ndarray, totals: list[np.ndarray]) -> list[int]:
+    """The number of distinct background words in each class."""
+    return np.bincount(classes(key[totals[1] > 0]), minlength=CLASSES).tolist()
+
+
+def answers(sent: DataFrame, summary: Callable = class_sizes) -> DataFrame:
     """For each piece and bucket the totals of the piece's keys in order, and one row a bucket, without a block, that has the
-    number of its distinct background words in each class."""
+    ``summary`` of its keys and totals."""
 
     def answer(rows: pa.Table) -> pa.Table:
         lists = [unpacked_keys(x) for x in rows["keys"].to_pylist()]
@@ -185,7 +190,7 @@ def answers(sent: DataFrame) -> DataFrame:
         found = rows.filter(rows["wanted"]).select(["bucket", "block", "first_row", "n_rows", "wanted"])
         replies = {c: [packed(t[group[a:b]]) for a, b in spans] for c, t in zip(NAMES, totals)}
         columns = {**found.to_pydict(), **replies, "n_words": [None] * len(spans)}
-        last = {"bucket": rows["bucket"][0].as_py(), "n_words": np.bincount(classes(some[totals[1] > 0]), minlength=CLASSES).tolist()}
+        last = {"bucket": rows["bucket"][0].as_py(), "n_words": summary(some, totals)}
         return pa.table({c: v + [last.get(c)] for c, v in columns.items()}, answer_schema)
 
     answer_schema = pa.schema([
@@ -212,13 +217,25 @@ class Model:
         return self.of_class[cell] + self.within[cell % CLASSES] - np.log(counts + 1)
 
 
-def block_scores(blocks: DataFrame, replies: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """Scores of the wanted texts of each block."""
+def summed(replies: DataFrame, n: int) -> np.ndarray:
+    """The summaries of all buckets added up."""
     sizes = replies.where("block IS NULL").select(F.posexplode("n_words").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect()
-    n_words = np.zeros(CLASSES)
+    out = np.zeros(n)
     for r in sizes:
-        n_words[r["class"]] = r.n
+        out[r["class"]] = r.n
+    return out
+
+
+def block_scores(blocks: DataFrame, replies: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """Scores of the wanted texts of each block."""
+    n_words = summed(replies, CLASSES)
     models = [Model(p, n_words) for p in pairs]
+    return scores_of(blocks, replies, vocabulary, lambda found, i, counts: models[i].losses(found.cell, counts[found.place]))
+
+
+def scores_of(blocks: DataFrame, replies: DataFrame, of: Callable, losses: Callable) -> DataFrame:
+    """Scores of the wanted texts of each block; ``losses`` has the loss of each word from what ``of`` finds, the number of the
+    model and the totals of the keys."""
 
     def look(texts: pa.Table, known: pa.Table) -> pa.Table:
         texts = texts.sort_by("row")
@@ -227,12 +244,12 @@ def block_scores(blocks: DataFrame, replies: DataFrame, pairs: np.ndarray) -> Da
         for first in np.unique(piece):
             own = known.filter(pa.array(piece == first)).sort_by("bucket")
             at = int(np.searchsorted(row, first))
-            found = vocabulary(texts.slice(at, own["n_rows"][0].as_py()))
+            found = of(texts.slice(at, own["n_rows"][0].as_py()))
             text = at + found.text
             n += np.bincount(text, minlength=len(n))
-            for i, (name, model) in enumerate(zip(NAMES, models)):
+            for i, name in enumerate(NAMES):
                 counts = np.concatenate([unpacked(x) for x in own[name].to_pylist()])
-                sums[i] += np.bincount(text, model.losses(found.cell, counts[found.place]), len(n))
+                sums[i] += np.bincount(text, losses(found, i, counts), len(n))
         means = [pa.array(x / np.maximum(n, 1), mask=n == 0) for x in sums]
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n), "target_loss": means[0], "background_loss": means[1]})
 

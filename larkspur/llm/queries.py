@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import checks, decontamination, html, jaccard, language, licenses, lines, lm, mixing, quality, urls
+from larkspur.llm import bigrams, checks, decontamination, html, jaccard, language, licenses, lines, mixing, quality, urls
 from larkspur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,7 @@ def op2_language_id(t: Tables) -> DataFrame:
 
 @query("op3_lm_scoring")
 def op3_lm_scoring(t: Tables) -> DataFrame:
-    return lm.cross_entropy_difference(t.documents, t.labels)
+    return bigrams.cross_entropy_difference(t.documents, t.labels)
 
 
 @query("op4_html_extraction")
