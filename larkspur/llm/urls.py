@@ -2,20 +2,23 @@
 
 Names run together in a host are split into words by Viterbi over a unigram model; a multinomial naive Bayes model
 scores the words of host and path. Word counts come from the titles of all pages and the seed words below; the naive
-Bayes model is trained on the labelled seed texts.
+Bayes model is trained on the labelled seed texts. All counts stay in a written table: urls are put into blocks, a block
+sends the distinct parts of its runs of letters and gets back the counts of those that are words.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.llm.arrays import string_batches
-from larkspur.session import work_path
+from larkspur.session import saved
 
 # Words of both kinds of hosts; they say nothing about either.
 COMMON = "example test sample demo en de fr es it nl pt index html htm page pages www m blog mobile static"
@@ -44,9 +47,12 @@ SEEDS = {
 PRIOR = -1.0
 #: A word that no model knows costs as much as this many factors of ten for each of its characters.
 UNKNOWN_CHAR = 1.6
-LONGEST = 24
-#: Unigram words kept, the most frequent first; with this it bounds what is sent to the tasks.
-VOCABULARY = 50_000
+#: Longer runs of letters are split in pieces of this length, which bounds the time.
+PIECE = 256
+#: Bytes of all parts of the runs of a block's urls; a longer url is a block of its own. A task holds one block at a time.
+BLOCK = 64 << 20
+#: Bytes that a part of a run takes beside its letters.
+PART = 60
 #: Pseudo-count of a seed word in the unigram model, per thousand counted words.
 SEED_SHARE = 2.0
 
@@ -82,8 +88,9 @@ def rule_of(host: Column, path: Column, rules: list[str]) -> Column:
 class Segmenter:
     """Viterbi over a unigram model; unknown words pay for each character."""
 
-    def __init__(self, counts: dict[str, float]):
-        total = sum(counts.values()) or 1.0
+    def __init__(self, counts: dict[str, float], total: float | None = None):
+        """``total`` is the sum of all counts, if ``counts`` are only those of words that can occur."""
+        total = total or sum(counts.values()) or 1.0
         self.cost = {w: -math.log10(c / total) for w, c in counts.items() if w and c > 0}
         self.unknown = math.log10(total) + 1
 
@@ -92,7 +99,7 @@ class Segmenter:
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             options = []
-            for start in range(max(0, end - LONGEST), end):
+            for start in range(end):
                 cost = self.cost.get(name[start:end])
                 if cost is None:
                     cost = self.unknown + UNKNOWN_CHAR * (end - start)
@@ -133,68 +140,115 @@ class NaiveBayes:
 SUFFIX = re.compile(r"(?:\.(?:com|net|org|edu|gov|info|biz|io|co|[a-z]{2}))+$")
 
 
+def runs_of(text: str) -> list[str]:
+    """Runs of letters in pieces."""
+    return [run[at:at + PIECE] for run in re.findall(r"[^\W\d_]+", text.lower()) for at in range(0, len(run), PIECE)]
+
+
+def runs_of_url(host: str, path: str) -> list[str]:
+    return runs_of(SUFFIX.sub("", host)) + runs_of(path)
+
+
 class Judge:
-    def __init__(self, counts: dict[str, float]):
+    """``counts`` are those of the title words that can occur, ``total`` is the number of all title words."""
+
+    def __init__(self, counts: dict[str, float], total: float, bayes: NaiveBayes):
         seeds = " ".join([COMMON, *(t for texts in SEEDS.values() for t in texts)]).split()
-        share = SEED_SHARE * max(1000.0, sum(counts.values())) / 1000
+        share = SEED_SHARE * max(1000.0, total) / 1000
         merged = dict(counts)
         for word in seeds:
             merged[word] = merged.get(word, 0.0) + share
-        self.segmenter, self.bayes = Segmenter(merged), NaiveBayes()
+        self.segmenter, self.bayes = Segmenter(merged, total + share * len(seeds)), bayes
         self.seen: dict[str, list[str]] = {}
 
-    def words(self, text: str) -> list[str]:
-        out: list[str] = []
-        for run in re.findall(r"[^\W\d_]+", text.lower()):
-            if run not in self.seen:
-                if len(self.seen) > 100_000:
-                    self.seen.clear()
-                # very long runs are split in pieces, which bounds the time
-                self.seen[run] = [w for at in range(0, len(run), 256) for w in self.segmenter.split(run[at:at + 256])]
-            out += self.seen[run]
-        return out
-
     def judge(self, host: str, path: str) -> tuple[list[str], float]:
-        name = SUFFIX.sub("", host)
-        tokens = self.words(name) + self.words(path)
+        tokens: list[str] = []
+        for run in runs_of_url(host, path):
+            if run not in self.seen:
+                self.seen[run] = self.segmenter.split(run)
+            tokens += self.seen[run]
         return tokens, self.bayes.block_odds(tokens)
 
 
-def title_words(pages: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """Counts of the words in the titles of all pages: the most frequent ones, at most ``vocabulary``; of
-    equally frequent ones all or none."""
+def title_words(pages: DataFrame) -> DataFrame:
+    """word, n: the counts of all words in the titles of all pages."""
     title = F.regexp_extract(F.col("html").cast("string"), "(?is)<title[^>]*>(.*?)</title", 1)
     plain = F.regexp_replace(F.lower(title), "&[#a-z0-9]+;?|<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(plain, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
-    path = work_path(pages.sparkSession, "title-words")
-    counts.write.parquet(path)
-    counts = pages.sparkSession.read.parquet(path)
-    # the lowest count with which all words of that count or more fit
-    least, total = 1, 0
-    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        total += r.words
-        if total > vocabulary:
-            least = r.n + 1
-            break
-    return {r.word: float(r.n) for r in counts.where(F.col("n") >= least).collect()}
-
-
-def url_verdicts(pages: DataFrame, rules: list[str], vocabulary: int = VOCABULARY) -> DataFrame:
+    return saved(words.groupBy("word").agg(F.count("*").alias("n")), "title-words")
+
+
+def into_blocks(urls: DataFrame, longest: int, limit: int) -> DataFrame:
+    """``urls`` (host, path and others) with a block number, written to the shared folder so that the numbers are fixed."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            blocks = []
+            for host, path in zip(*(string_batches(batch.column(c)).to_pylist() for c in ("host", "path"))):
+                own = sum(len(run) * (k := min(len(run), longest)) * (PART + k / 2) for run in runs_of_url(host, path))
+                if size and size + own > limit:
+                    block, size = block + 1, 0
+                size += own
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], [*batch.schema.names, "block"])
+
+    schema = urls.withColumn("block", F.lit(0).cast("long")).schema
+    return saved(urls.mapInArrow(number, schema), "url-blocks")
+
+
+def sent_parts(blocks: DataFrame, longest: int) -> DataFrame:
+    """block, word: the distinct parts, as long as a title word at most, of the runs of each block."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, seen = None, set(), set()
+
+        def parts() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at] * len(held), pa.int64()), pa.array(list(held), pa.string())], ["block", "word"])
+
+        for batch in batches:
+            for host, path, block in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "block"))):
+                if held and (block != at or len(held) > 500_000):
+                    yield parts()
+                    held = set()
+                if block != at:
+                    at, seen = block, set()
+                for run in runs_of_url(host, path):
+                    if run not in seen:
+                        seen.add(run)
+                        held.update(run[a:b] for a in range(len(run)) for b in range(a + 1, min(len(run), a + longest) + 1))
+                        if len(held) > 1_000_000:
+                            yield parts()
+                            held = set()
+        if held:
+            yield parts()
+
+    return blocks.select("host", "path", "block").mapInArrow(send, "block long, word string")
+
+
+def url_verdicts(pages: DataFrame, rules: list[str], block: int = BLOCK) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, words (of host and path), block_odds.
 
     The rule's verdict holds where a rule fits, else block where the odds are above 0. Null urls and urls without ``://``
     have an empty host and path, no words, and are allowed. Repeated rows get repeated results. The html may be null.
     """
-    judge = Judge(title_words(pages, vocabulary))
+    counts = title_words(pages)
+    total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
+    total, longest, bayes = float(total or 0), min(longest or 0, PIECE), NaiveBayes()
     host, path = host_and_path(F.col("url").cast("string"))
-
-    @F.arrow_udf("words array<string>, block_odds double")
-    def look(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        rows = [judge.judge(h or "", p or "") for h, p in zip(string_batches(hosts).to_pylist(), string_batches(paths).to_pylist())]
-        return pa.array([{"words": w, "block_odds": o} for w, o in rows], pa.struct([("words", pa.list_(pa.string())), ("block_odds", pa.float64())]))
-
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    ruled = parts.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("found", look("host", "path"))
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("found.block_odds") > 0, "block").otherwise("allow"))
-    return ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "found.words", "found.block_odds")
+    ruled = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
+    blocks = into_blocks(ruled, longest, block)
+    # a block that is read in two tasks sends some parts twice
+    known = sent_parts(blocks, longest).join(counts, "word").select("block", "word", "n")
+
+    def look(urls: pa.Table, found: pa.Table) -> pa.Table:
+        judge = Judge(dict(zip(found["word"].to_pylist(), map(float, found["n"].to_pylist()))), total, bayes)
+        rows = [judge.judge(h, p) for h, p in zip(urls["host"].to_pylist(), urls["path"].to_pylist())]
+        words, odds = pa.array([w for w, _ in rows], pa.list_(pa.string())), pa.array([o for _, o in rows], pa.float64())
+        return urls.drop_columns(["block"]).append_column("words", words).append_column("block_odds", odds)
+
+    schema = blocks.drop("block").selectExpr("*", "CAST(NULL AS array<string>) AS words", "CAST(NULL AS double) AS block_odds").schema
+    judged = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(look, schema)
+    verdict = F.coalesce("verdict", F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "words", "block_odds")
