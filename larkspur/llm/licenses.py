@@ -2,13 +2,17 @@
 
 Templates are cut into windows of at most ``WIDTH`` words, texts into windows of the same widths at every word. Window and
 template window that share a band of MinHash values meet; with ``BANDS`` bands of ``ROWS`` values a pair at similarity 0.8
-meets with a probability above 0.9999. A met template is verified on the words around the window: the share of its
-distinct shingles that occur there must reach ``CONTAINMENT``. Windows without a single shingle of a template have
+meets with a probability above 0.9999. The met windows of a template in a text are taken together and the template is verified
+around them, as far as its own length on both sides, so it may be interrupted: the share of its distinct shingles that
+occur in a span must reach ``CONTAINMENT``. Windows without a single shingle of a template have
 similarity 0 to all of them, so only the others are hashed.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,7 +87,7 @@ class Library:
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
-        self.length, self.shingles, self.size = [], [], []
+        self.length, self.shingles, self.size, self.often = [], [], [], []
         self.tables: dict[tuple[int, int], dict] = {}
         column = pa.array([templates[n] for n in self.names], pa.large_string())
         for part in chunks(column):
@@ -96,6 +100,7 @@ class Library:
                 self.length.append(len(own))
                 self.size.append(size)
                 self.shingles.append(np.unique(values))
+                self.often.append(Counter(values.tolist()))
                 if not len(values):
                     continue
                 wide = min(len(values), WIDTH - SHINGLE + 1)
@@ -120,11 +125,48 @@ def known_marks(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
+def best_end(places: list[int], values: list[int], often: Counter, size: int, i: int, limit: int) -> tuple[int, int, int, int] | None:
+    """The best span that begins with the i-th shingle and ends up to word ``limit``, as (-score, words, i, last shingle). Each
+    shingle scores 1, or -1 where the span has it more often than the template, so that copies are not taken together."""
+    seen: Counter = Counter()
+    score, best = 0, None
+    for j in range(i, min(len(places), i + 2 * often.total())):
+        if places[j] + size > limit:
+            break
+        seen[values[j]] += 1
+        score += 1 if seen[values[j]] <= often[values[j]] else -1
+        if best is None or score > -best[0]:
+            best = -score, places[j] + size - places[i], i, j
+    return best
+
+
+def tightest(places: list[int], values: list[int], often: Counter, size: int) -> Iterator[tuple[int, int, float]]:
+    """(first word, end, containment) of the spans without overlap that reach ``CONTAINMENT``, from the places of shingles of a
+    template in order; the highest score first, then the shortest span."""
+    end = places[-1] + size
+    heap = [found for i in range(len(places)) if (found := best_end(places, values, often, size, i, end))]
+    heapq.heapify(heap)
+    taken: list[tuple[int, int]] = []
+    while heap:
+        _, n, i, j = heapq.heappop(heap)
+        first, at = places[i], bisect_right(taken, (places[i], 1 << 62))
+        if at and taken[at - 1][1] > first:
+            continue
+        if at < len(taken) and taken[at][0] < first + n:
+            if again := best_end(places, values, often, size, i, taken[at][0]):
+                heapq.heappush(heap, again)
+            continue
+        share = len(set(values[i:j + 1])) / len(often)
+        if share >= CONTAINMENT:
+            insort(taken, (first, first + n))
+            yield first, first + n, share
+
+
 def scan(found: Words, library: Library) -> Iterator[tuple[int, int, int, int, float]]:
-    """(text, template, first word, words, containment) of the verified places, one for each run of overlapping windows."""
+    """(text, template, first word, words, containment) of the verified places."""
     left = found.left()
     by_size = {size: runs_of(found.hash, size) for size in {s for s, _ in library.tables}}
-    best: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+    best: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for (size, wide), table in library.tables.items():
         values = by_size[size]
         whole = left[:len(values)] >= size
@@ -141,23 +183,25 @@ def scan(found: Words, library: Library) -> Iterator[tuple[int, int, int, int, f
             rows, bands = np.nonzero(np.isin(keys, table["keys"]))
             met = {(int(some[r]), number, start) for r, b in zip(rows, bands) for number, start in table["bands"][int(keys[r, b])]}
             for window, number, start in met:
-                text = int(found.text[window])
-                first = max(window - start, int(found.first[text]))
-                end = min(window - start + library.length[number], int(found.first[text + 1]))
-                own = library.shingles[number]
-                near = values[first:max(first, end - size + 1)]
-                share = len(np.intersect1d(near, own)) / len(own)
-                if share >= CONTAINMENT:
-                    best.setdefault((text, number), []).append((first, end, share))
-    for (text, number), places in sorted(best.items()):
-        places.sort()
-        group: list[tuple[int, int, float]] = []
-        for place in [*places, (1 << 62, 0, 0.0)]:
-            if group and place[0] >= max(p[1] for p in group):
-                first, end, share = max(group, key=lambda p: (p[2], -p[0]))
-                yield text, number, first - int(found.first[text]), end - first, share
-                group = []
-            group.append(place)
+                best.setdefault((int(found.text[window]), number), []).append((window - start, window - start + library.length[number]))
+    for (text, number), met in sorted(best.items()):
+        size, margin, often, values = library.size[number], library.length[number], library.often[number], by_size[library.size[number]]
+        low, high = int(found.first[text]), int(found.first[text + 1])
+        areas: list[list[int]] = []
+        for first, end in sorted(met):
+            if areas and first - margin <= areas[-1][1]:
+                areas[-1][1] = max(areas[-1][1], end + margin)
+            else:
+                areas.append([first - margin, end + margin])
+        spans = []
+        for first, end in areas:
+            first, end = max(first, low), min(end, high)
+            near = values[first:max(first, end - size + 1)]
+            hits = np.flatnonzero(np.isin(near, library.shingles[number]))
+            if len(hits) and len(np.unique(near[hits])) >= CONTAINMENT * len(often):
+                spans += tightest((first + hits).tolist(), near[hits].tolist(), often, size)
+        for first, end, share in sorted(spans):
+            yield text, number, first - low, end - first, share
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -165,7 +209,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
 
     ``templates`` (name to text) is a list that fits a task's memory; those without a word are never found. Templates of fewer
     than five words are one shingle. Null and empty texts have no words and no licenses. Repeated rows get repeated results.
-    Overlapping places of one template count once, with the highest containment, then the first. Extra columns are not read.
+    Overlapping places of one template count once, as the tightest span of the most shingles. Extra columns are not read.
     """
     chosen = dict(TEMPLATES if templates is None else templates)
     held: list[Library] = []
