@@ -14,6 +14,7 @@ import heapq
 from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,13 @@ TEMPLATES = {
         "http://creativecommons.org/licenses/by/4.0/"),
 }
 
+
+def all_templates() -> dict[str, str]:
+    """``TEMPLATES`` and the texts of the data file beside this module: a line ``== name``, then the text."""
+    parts = Path(__file__).with_name("license_texts.txt").read_text(encoding="utf-8").split("== ")[1:]
+    return TEMPLATES | {name: text for name, _, text in (part.partition("\n") for part in parts)}
+
+
 SPANS = "array<struct<license:string,word:int,n_words:int,containment:double>>"
 SPANS_ARROW = pa.list_(pa.struct([("license", pa.string()), ("word", pa.int32()), ("n_words", pa.int32()), ("containment", pa.float64())]))
 

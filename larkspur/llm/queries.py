@@ -25,7 +25,7 @@ def query(key: str, sql: str | None = None):
 
 @query("op1_license_scan")
 def op1_license_scan(t: Tables) -> DataFrame:
-    found = licenses.license_scan(t.documents)
+    found = licenses.license_scan(t.documents, licenses.all_templates())
     best = F.coalesce(F.array_max("spans.containment"), F.lit(0.0))
     return found.select(
         "doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ", ").alias("licenses"),
