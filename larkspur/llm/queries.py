@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import bigrams, checks, decontamination, html, jaccard, language, licenses, lines, mixing, quality, urls
+from larkspur.llm import alignment, bigrams, checks, decontamination, html, jaccard, language, licenses, lines, mixing, quality, urls
 from larkspur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op10_decontamination(t: Tables) -> DataFrame:
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12_cross_tokenizer_alignment(t: Tables) -> DataFrame:
+    return alignment.aligned_documents(t.documents)
