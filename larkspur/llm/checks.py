@@ -93,3 +93,45 @@ exploded AS (
 
 
 MIXING = f"WITH {mixing('documents')} SELECT doc_id, source, copy, shuffle_key, text FROM exploded JOIN documents USING (doc_id)"
+
+
+#: One step of the CRC-32 for a byte that is already mixed in: a fixed value of that checksum.
+CRC_STEP = "list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, {start})"
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text of plain ASCII."""
+    step = CRC_STEP.format(start="xor(s, ascii(x)::BIGINT)")
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda s, x: {step.replace('ascii(x)::BIGINT', 'x')}, 4294967295::BIGINT), 4294967295)"
+
+
+PREFIX_TRIE = rf"""
+WITH turns AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS pos, key, strlen(text) AS n_bytes
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 substr(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 30) AS key
+          FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+    SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, any_value({crc32('conv_id::VARCHAR')}) % 9 AS h FROM turns GROUP BY conv_id),
+parts AS (
+    SELECT c.conv_id, 0 AS part, t.pos, t.key, t.n_bytes FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos < c.h
+    UNION ALL
+    SELECT c.conv_id, 1, t.pos, t.key, t.n_bytes FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+paths AS (
+    SELECT conv_id, coalesce(list(key ORDER BY part, pos) FILTER (WHERE key IS NOT NULL), []) AS keys, coalesce(list(n_bytes ORDER BY part, pos) FILTER (WHERE key IS NOT NULL), []) AS sizes
+    FROM convs LEFT JOIN parts USING (conv_id) GROUP BY conv_id),
+steps AS (
+    SELECT conv_id, d AS depth, len(keys) AS length, md5(array_to_string(keys[1:d], ',')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(keys[1:d - 1], ',')) END AS parent,
+           CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS n_bytes
+    FROM paths, unnest(range(0, len(keys) + 1)) AS r(d)),
+nodes AS (
+    SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(length) = depth AS leaf, (count(*) - 1) * any_value(n_bytes) AS cost,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE length = depth), '')) AS ends_sha256
+    FROM steps GROUP BY depth, node),
+above AS (
+    SELECT s.depth, s.node, sum(n.leaf::INT)::BIGINT AS n_leaves, sum(n.cost)::BIGINT AS saved_tokens
+    FROM nodes n JOIN steps s ON s.conv_id = n.conv_id AND s.depth <= n.depth GROUP BY s.depth, s.node),
+children AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY depth, parent)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, a.n_leaves, a.saved_tokens, n.ends_sha256
+FROM nodes n JOIN above a USING (depth, node) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.parent LEFT JOIN children c ON c.depth = n.depth AND c.node = n.node
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import alignment, bigrams, checks, decontamination, html, jaccard, language, licenses, lines, mixing, quality, urls
+from larkspur.llm import alignment, bigrams, checks, decontamination, html, jaccard, language, licenses, lines, mixing, quality, trie, urls
 from larkspur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,12 @@ def op10_decontamination(t: Tables) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+@query("op11_conversation_prefix_trie", checks.PREFIX_TRIE)
+def op11_conversation_prefix_trie(t: Tables) -> DataFrame:
+    return trie.node_rows(t.conversations)
+
+
 @query("op12_cross_tokenizer_alignment")
 def op12_cross_tokenizer_alignment(t: Tables) -> DataFrame:
     return alignment.aligned_documents(t.documents)
+
