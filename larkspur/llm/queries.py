@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import alignment, bigrams, checks, decontamination, html, jaccard, language, licenses, lines, mixing, quality, trie, urls
+from larkspur.llm import alignment, bigrams, checks, decontamination, html, jaccard, language, licenses, lines, mixing, quality, suffixes, trie, urls
 from larkspur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,7 @@ def op11_conversation_prefix_trie(t: Tables) -> DataFrame:
 def op12_cross_tokenizer_alignment(t: Tables) -> DataFrame:
     return alignment.aligned_documents(t.documents)
 
+
+@query("op13_suffix_array_dedup")
+def op13_suffix_array_dedup(t: Tables) -> DataFrame:
+    return suffixes.cleaned_documents(t.documents)
