@@ -30,14 +30,32 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ENDS_P = frozenset((
     "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul"
 ).split())
-BOILERPLATE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar|side|footer|foot|header|masthead|cookies?|consent|"
-    r"notices?|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|"
-    r"comments?|replies|reply|disqus|discussion|respond|copyright|legal|disclaimer|skip|search)(?:$|[\s_-])", re.I)
+# Parts of names that say what an element is, wherever it stands; and those that also occur in names of what wraps
+# the whole page or as anchors in a text.
+OWN_PARTS = (
+    "ads? advert\\w* banner sponsor\\w* promo\\w* breadcrumbs? cookies? consent gdpr popup modal newsletter subscribe signup login share sharing social "
+    "related recommended widget toolbar pagination pager comments? replies reply disqus discussion respond skip")
+WRAP_PARTS = "nav\\w* menus? sidebar side footer foot header masthead notices? copyright legal disclaimer search"
+
+
+def named_by(parts: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[_-])(?:{'|'.join(parts.split())})(?:$|[_-])", re.I)
+
+
+OWN_NAME, WRAP_NAME = named_by(OWN_PARTS), named_by(WRAP_PARTS)
+#: A name that ends so is the thing itself, as left-sidebar; one that begins so may be of what wraps it, as sidebar-layout.
+WRAP_HEAD = re.compile(rf"(?:^|[_-])(?:{'|'.join(WRAP_PARTS.split())})$", re.I)
+#: A name that begins so tells what an element has or is beside, not what it is.
+MODIFIER = re.compile(r"(?:has|have|no|with|without|is|not|js|hide|show|layout|page|wide|full)[_-]", re.I)
+#: Elements of a running text, whose id is an anchor.
+TEXT_TAGS = frozenset("section p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tr td th figure".split())
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body)(?:$|[\s_-])", re.I)
 BOILERPLATE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)|'([^']*)|([^\s"'>]+)))?""", re.I)
+#: A value begins with a quote or goes on to the next blank or ``>``; a quote anywhere else is part of a name or value.
+VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=[>\s]|\Z))"""
+TAG = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</>|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+{VALUE})?+|=)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*))?)?+""", re.I)
 SPACE = re.compile(r"\s+")
 
 #: Weights of the classifier: positive speaks for content.
@@ -45,6 +63,8 @@ BIAS = 0.4
 IN_BOILERPLATE = -8.0
 IN_CONTENT = 3.0
 LINKS = -3.5
+#: In an article links are references, and speak less against it.
+LINKS_IN_CONTENT = -1.5
 LONG_TEXT = 1.6
 SENTENCES = 0.8
 LIST_ITEM = -0.5
@@ -60,10 +80,11 @@ class Node:
     tag: str
     parent: Node | None
     depth: int
+    #: Boilerplate by what it is itself, and by what only may wrap the page: an article or main text below ends the latter.
     boiler: bool
+    wrapped: bool
     content: bool
     skipped: bool
-    number: int = 0
 
 
 @dataclass
@@ -77,30 +98,42 @@ class Block:
 
 
 def opened(tag: str, attributes: str, parent: Node) -> Node:
-    """A child node; what its tag, class, id and role say holds for all that is in it."""
-    names, role, hidden = [], "", False
+    """A child node; what its tag, class, id and role say holds for all that is in it, but for an article or main text below a
+    wrapper: a form around the page, or an element whose name only mentions a part of the page."""
+    classes: list[str] = []
+    anchor, role, hidden = "", "", False
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = a or b or c
             name = name.lower()
-            if name in ("class", "id"):
-                names.append(value)
+            if name == "class":
+                classes += value.split()
+            elif name == "id":
+                anchor = value.strip()
             elif name == "role":
-                role = value.lower()
+                role = value.strip().lower()
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 hidden = True
-    named = " ".join(names)
     top = tag in ("body", "html")
-    inner_header = tag == "header" and parent.content and not parent.boiler
-    boiler = parent.boiler or not top and (
-        tag in BOILERPLATE and not inner_header or role in BOILERPLATE_ROLE or bool(named and tag not in CONTENT and BOILERPLATE_NAME.search(named)))
-    content = parent.content or tag in CONTENT or role in ("main", "article") or bool(named and not top and CONTENT_NAME.search(named))
-    return Node(tag, parent, parent.depth + 1, boiler, content, parent.skipped or tag in SKIPPED or hidden)
+    content_tag = tag in CONTENT or role in ("main", "article")
+    in_text = parent.content and not parent.boiler
+    names = [] if top else [x for x in (*classes, anchor) if x and not MODIFIER.match(x)]
+    own = any(OWN_NAME.search(x) for x in names)
+    parts = [] if content_tag else [x for x in names if not (in_text and tag in TEXT_TAGS and x == anchor)]
+    own = own or any(WRAP_HEAD.search(x) for x in parts)
+    wraps = any(WRAP_NAME.search(x) for x in parts)
+    tagged = tag in BOILERPLATE and not (tag == "header" and in_text)
+    hard = not top and (own or role in BOILERPLATE_ROLE - {"form"} or tagged and tag not in ("form", "fieldset"))
+    soft = not top and (wraps or tagged or role == "form")
+    boiler = parent.boiler or hard or soft and in_text
+    wrapped = (parent.wrapped or soft) and not content_tag
+    content = parent.content or content_tag or any(CONTENT_NAME.search(x) for x in names)
+    return Node(tag, parent, parent.depth + 1, boiler, wrapped, content, parent.skipped or tag in SKIPPED or hidden)
 
 
 def blocks(page: str) -> list[Block]:
     """Runs of text between the tags of block elements, in page order; unclosed and cut-off markup is tolerated."""
-    root = Node("", None, 0, False, False, False)
+    root = Node("", None, 0, False, False, False, False)
     node, found, current, links, at = root, [], None, 0, 0
 
     def add(text: str) -> None:
@@ -179,8 +212,10 @@ def blocks(page: str) -> list[Block]:
 def belief(block: Block, text: str) -> float:
     """Linear classifier: how much speaks for content."""
     n = len(text)
-    score = BIAS + IN_BOILERPLATE * block.parent.boiler + IN_CONTENT * block.parent.content
-    score += LINKS * min(1.0, block.linked / max(1, n)) + LONG_TEXT * min(1.0, n / 200)
+    boiler = block.parent.boiler or block.parent.wrapped
+    links = LINKS_IN_CONTENT if block.parent.content and not boiler else LINKS
+    score = BIAS + IN_BOILERPLATE * boiler + IN_CONTENT * block.parent.content
+    score += links * min(1.0, block.linked / max(1, n)) + LONG_TEXT * min(1.0, n / 200)
     score += SENTENCES * (text[-1:] in ".!?。！？…\"”»" and n > 20) + LIST_ITEM * (block.parent.tag == "li")
     return score
 
