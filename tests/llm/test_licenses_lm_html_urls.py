@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from test_decontamination import plain_words
 
-from larkspur.llm import html, licenses, lm, urls
+from larkspur.llm import html, licenses, urls
 from larkspur.llm.queries import URL_RULES
 
 DATA = "/root/testdata/sf0.01"
@@ -71,95 +71,6 @@ def test_odd_rows_of_the_scan(spark, odd_docs):
     assert {tuple(r.licenses) for r in own.where("doc_id = 1").collect()} == {("fox", "river")}
 
 
-# ---------------------------------------------------------------- language-model scoring
-
-def word_class(word):
-    texts = pa.table({"text": [word], "target": [0], "background": [1]})
-    return int(lm.vocabulary(texts).cell[0]) % lm.CLASSES
-
-
-@pytest.mark.parametrize("block, bucket", [(lm.BLOCK, lm.BUCKET), (100, 200)])
-def test_scores_follow_the_definition(spark, block, bucket):
-    """Against counts in dictionaries, with texts in one block and in many, and of texts that are not counted."""
-    random.seed(2)
-    docs = [(i, " ".join(random.choices(["red", "blue", "green", "grey", "Pink"] if i % 2 else ["one", "two", "three", "red"], k=random.choice([1, 5, 30])))) for i in range(40)]
-    labels = [(i, 1, 0) for i in range(1, 40, 4)] + [(i, 0, 0) for i in range(0, 40, 4)]
-    corpus, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    out = lm.cross_entropy_difference(corpus, marks, block, bucket).collect()
-    assert len(out) == len(docs)
-    new = [(100, "red red unheard blue"), (101, "of nothing known"), (102, "")]
-    out += lm.score_others(spark.createDataFrame(new, "doc_id long, text string"), corpus, lm.target_ids(marks), block, bucket).where("n_words > 0").collect()
-    assert len(out) == len(docs) + 2
-    texts = dict(docs + new)
-    class_of = {w: word_class(w) for t in texts.values() for w in plain_words(t)}
-    members = Counter(class_of[w] for w in {w for _, t in docs for w in plain_words(t)})
-    models = []
-    for chosen in ([t for i, t in docs if i % 4 == 1], [t for _, t in docs]):
-        each, own, heads, pairs = Counter(), Counter(), Counter(), Counter()
-        for text in chosen:
-            before = None
-            for w in plain_words(text):
-                each[w] += 1
-                own[class_of[w]] += 1
-                heads[before] += 1
-                pairs[before, class_of[w]] += 1
-                before = class_of[w]
-        models.append((each, own, heads, pairs, sum(own.values())))
-
-    def loss(text, model):
-        each, own, heads, pairs, n = model
-        total, before = 0.0, None
-        for w in plain_words(text):
-            c = class_of[w]
-            after = (pairs[before, c] + lm.BACKOFF * (own[c] + 1) / (n + lm.CLASSES)) / (heads[before] + lm.BACKOFF)
-            total -= math.log(after) + math.log((each[w] + 1) / (own[c] + members[c] + 1))
-            before = c
-        return total / len(plain_words(text))
-
-    for r in out:
-        target, background = (loss(texts[r.doc_id], m) for m in models)
-        assert math.isclose(r.target_loss, target, rel_tol=1e-9) and math.isclose(r.background_loss, background, rel_tol=1e-9)
-        assert math.isclose(r.score, target - background, rel_tol=1e-6, abs_tol=1e-9)
-
-
-def test_probabilities_of_a_model_sum_to_one():
-    random.seed(3)
-    pairs = np.array([[random.choice([0, 0, 1, 7]) for _ in range(lm.CLASSES)] for _ in range(lm.CLASSES + 1)], float)
-    count = pairs.sum(0).astype(int)
-    model = lm.Model(pairs, np.minimum(count, 2))
-    for before in (0, 5, lm.CLASSES):
-        total = 0.0
-        for c, n in enumerate(count.tolist()):
-            of_words = [n - 1, 1] if n > 1 else [n] * n  # the class's words, and the unknown one
-            total += np.exp(-model.losses(np.full(len(of_words) + 1, before * lm.CLASSES + c), np.array(of_words + [0]))).sum()
-        assert math.isclose(total, 1, rel_tol=1e-9)
-
-
-def test_what_is_gathered_grows_with_the_corpus(spark):
-    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id, ' other', id % 1000, ' same') AS text", "0 AS target", "1 AS background", "true AS wanted")
-    for n in (1000, 3000):
-        sent = lm.sent_keys(lm.into_blocks(docs.where(f"doc_id < {n}")), 3)
-        found = lm.answers(sent).where("block IS NULL").collect()
-        assert sum(sum(r.n_words) for r in found) == n + 1001
-        assert len({k for r in sent.collect() for k in lm.unpacked_keys(r["keys"]).tolist()}) == n + 1001
-
-
-def test_good_documents_score_lower(spark):
-    docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
-    held = labels.where("doc_id % 2 = 0")
-    out = lm.cross_entropy_difference(docs, labels.where("doc_id % 2 = 1")).join(held, "doc_id").toPandas()
-    good, bad = out[out.quality == 1].score, out[out.quality == 0].score
-    auc = sum((good < b).mean() for b in bad) / len(bad)
-    assert auc > 0.75  # the target has few words at this size
-
-
-def test_odd_rows_of_scoring(spark, odd_docs, odd_labels):
-    out = {(r.doc_id, r.n_words): r.score for r in lm.cross_entropy_difference(odd_docs, odd_labels).collect()}
-    assert out[(2, 0)] is None and out[(3, 0)] is None and out[(1, 14)] is not None
-    assert lm.cross_entropy_difference(odd_docs.limit(0), odd_labels).count() == 0
-    assert lm.cross_entropy_difference(odd_docs, odd_labels.limit(0)).count() == odd_docs.count()
-
-
 # ---------------------------------------------------------------- HTML
 
 PAGES = {
