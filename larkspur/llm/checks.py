@@ -1,6 +1,6 @@
 """SQL (DuckDB) that gives the rows of the queries which SQL can express."""
 
-from larkspur.llm.lines import DEPTH, MASS, SEGMENTS, SIMILARITY
+from larkspur.llm.lines import DEPTH, MASS, SIMILARITY, UNSPACED
 from larkspur.llm.mixing import PART, POWER, SEED
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,35 +29,54 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+#: Rounds of leaders that the SQL writes out; the plan goes on until none is left.
+LEADER_ROUNDS = 8
+
+
+def leader_round(k: int) -> str:
+    """From the buckets b{k} to who joins whom in this round (j{k}) and the buckets that are left."""
+    return f"""
+best{k} AS (SELECT leaf, part, run, min(rank) AS top FROM b{k} GROUP BY ALL),
+seen{k} AS MATERIALIZED (SELECT leaf, masked, rank, top FROM b{k} JOIN best{k} USING (leaf, part, run)),
+leads{k} AS MATERIALIZED (SELECT leaf, masked FROM seen{k} GROUP BY ALL HAVING bool_and(rank = top)),
+j{k} AS MATERIALIZED (
+    SELECT s.leaf, s.masked, min(s.top) AS top FROM (SELECT DISTINCT leaf, masked, top FROM seen{k} WHERE top.masked <> masked) s
+    JOIN leads{k} l ON l.leaf = s.leaf AND l.masked = s.top.masked JOIN variants v ON v.leaf = s.leaf AND v.masked = s.masked JOIN variants o ON o.leaf = s.leaf AND o.masked = s.top.masked
+    WHERE len(list_filter(range(1, v.n + 1), lambda i: v.tokens[i] = o.tokens[i])) >= ceil(v.n * {SIMILARITY}::DOUBLE - 1e-9::DOUBLE) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (
+    SELECT * FROM b{k} b WHERE NOT EXISTS (SELECT 1 FROM leads{k} l WHERE l.leaf = b.leaf AND l.masked = b.masked) AND NOT EXISTS (SELECT 1 FROM j{k} j WHERE j.leaf = b.leaf AND j.masked = b.masked)),"""
+
+
 def line_dedup(table: str, keep_first: bool) -> str:
     """Common table expressions up to ``deduped`` (doc_id, n_lines, n_dropped, text) for a table of documents."""
     first = "AND doc_id <> first_doc" if keep_first else ""
+    unspaced = "[" + "".join(rf"\p{{{x}}}" for x in UNSPACED) + "]"
     return rf"""
-split_lines AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM {table}),
+split_lines AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM {table}),
 plain AS (
     SELECT doc_id, line_no, line, trim(regexp_replace(line, ' [ \t\x0B\f\r]+|[\t\x0B\f\r][ \t\x0B\f\r]*', ' ', 'g')) AS tidy FROM split_lines),
 masks AS (
     SELECT doc_id, line_no, line, regexp_replace(tidy, '[^ ]*[0-9@][^ ]*', '<*>', 'g') AS masked FROM plain),
-parsed AS (
-    SELECT doc_id, line_no, masked, string_split(masked, ' ') AS tokens FROM masks WHERE masked <> ''),
-leafed AS (
-    SELECT doc_id, line_no, masked, len(tokens) AS n, array_to_string(tokens[1:{DEPTH}], ' ') AS lead, least(len(tokens), {SEGMENTS}) AS m,
-           list_transform(range(0, least(len(tokens), {SEGMENTS})), lambda i: array_to_string(tokens[i * len(tokens) // least(len(tokens), {SEGMENTS}) + 1:(i + 1) * len(tokens) // least(len(tokens), {SEGMENTS})], ' ')) AS segments
-    FROM parsed),
-variants AS (
-    SELECT n, m, lead, masked, any_value(segments) AS segments, count(*) AS n_lines, min((doc_id, line_no)) AS first
-    FROM leafed GROUP BY n, m, lead, masked),
-ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY n, lead ORDER BY n_lines DESC, first) AS place FROM variants),
-assigned AS (
-    SELECT v.n, v.lead, v.masked,
-           CASE WHEN v.m - 1 >= {SIMILARITY} * v.m AND len(list_filter(range(1, v.m + 1), lambda i: v.segments[i] = l.segments[i])) >= {SIMILARITY} * v.m THEN l.masked ELSE v.masked END AS template
-    FROM variants v JOIN ranked l ON v.n = l.n AND v.lead = l.lead AND l.place = 1),
-templated AS (SELECT doc_id, line_no, n, lead, template FROM leafed JOIN assigned USING (n, lead, masked)),
+parsed AS MATERIALIZED (
+    SELECT doc_id, line_no, masked, string_split(masked, ' ') AS tokens, len(string_split(masked, ' ')) AS n,
+           len(string_split(masked, ' ')) + (length(masked) - length(regexp_replace(masked, '{unspaced}', '', 'g'))) // 2 AS words FROM masks WHERE masked <> ''),
+leafed AS MATERIALIZED (SELECT *, n::VARCHAR || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf FROM parsed),
+counted AS (
+    SELECT leaf, masked, any_value(n) AS n, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS n_docs, min({{'b': doc_id, 'c': line_no}}) AS first FROM leafed GROUP BY leaf, masked),
+variants AS MATERIALIZED (
+    SELECT leaf, masked, n, tokens, {{'a': -n_docs, 'b': first.b, 'c': first.c, 'masked': masked}} AS rank, (n - ceil(n * {SIMILARITY}::DOUBLE - 1e-9::DOUBLE))::INT AS d, n - {DEPTH} AS rest FROM counted
+    WHERE n > {DEPTH} AND ceil(n * {SIMILARITY}::DOUBLE - 1e-9::DOUBLE) < n QUALIFY count(*) OVER (PARTITION BY leaf) > 1),
+cut AS (
+    SELECT leaf, masked, rank, p AS part, CASE WHEN d >= rest THEN '' ELSE
+        array_to_string(tokens[{DEPTH} + 1 + p * rest // least(d + 1, rest):{DEPTH} + (p + 1) * rest // least(d + 1, rest)], ' ') END AS run
+    FROM variants, unnest(range(CASE WHEN d >= rest THEN 1 ELSE d + 1 END)) AS r(p)),
+b0 AS MATERIALIZED (SELECT * FROM cut QUALIFY count(*) OVER (PARTITION BY leaf, part, run) > 1),""" + "".join(leader_round(k) for k in range(LEADER_ROUNDS)) + f"""
+assigned AS (""" + " UNION ALL ".join(f"SELECT leaf, masked, top.masked AS template FROM j{k}" for k in range(LEADER_ROUNDS)) + f"""),
+templated AS MATERIALIZED (SELECT doc_id, line_no, words, leaf, coalesce(template, masked) AS template FROM leafed LEFT JOIN assigned USING (leaf, masked)),
 recurring AS (
-    SELECT n, lead, template, min(doc_id) AS first_doc FROM templated GROUP BY n, lead, template
-    HAVING count(DISTINCT doc_id) > 1 AND count(DISTINCT doc_id) * n >= {MASS}),
-dropped AS (SELECT doc_id, line_no FROM templated JOIN recurring USING (n, lead, template) WHERE true {first}),
+    SELECT leaf, template, min(doc_id) AS first_doc FROM templated GROUP BY leaf, template
+    HAVING count(DISTINCT doc_id) > 1 AND count(DISTINCT doc_id) * min(words) >= {MASS}),
+dropped AS (SELECT doc_id, line_no FROM templated JOIN recurring USING (leaf, template) WHERE true {first}),
 deduped AS (
     SELECT doc_id, count(*) AS n_lines, count(d.line_no) AS n_dropped,
            coalesce(string_agg(line, chr(10) ORDER BY s.line_no) FILTER (WHERE d.line_no IS NULL), '') AS text
@@ -86,10 +105,10 @@ cumulative AS (
     SELECT source, parts, list(c ORDER BY k) AS sums
     FROM (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM masses) GROUP BY source, parts),
 drawn AS (
-    SELECT doc_id, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(sums, lambda c: c < ({bits(f"'{SEED}'", 'i', 'doc_id')}::DOUBLE + 0.5) / {float(1 << 52)!r}::DOUBLE)))) AS n
-    FROM {table} d JOIN cumulative s ON d.source IS NOT DISTINCT FROM s.source),
+    SELECT doc_id, digest, list_sum(list_transform(range(1, parts + 1), lambda i: len(list_filter(sums, lambda c: c < ({bits(f"'{SEED}'", 'i', 'doc_id', 'digest')}::DOUBLE + 0.5) / {float(1 << 52)!r}::DOUBLE)))) AS n
+    FROM (SELECT *, md5(coalesce(text, '')) AS digest FROM {table}) d JOIN cumulative s ON d.source IS NOT DISTINCT FROM s.source),
 exploded AS (
-    SELECT doc_id, copy, {bits(f"'{SEED}-order'", 'doc_id', 'copy')} AS shuffle_key FROM drawn, unnest(range(1, n::BIGINT + 1)) AS r(copy))"""
+    SELECT doc_id, copy, {bits(f"'{SEED}-order'", 'doc_id', 'copy', 'digest')} AS shuffle_key FROM drawn, unnest(range(1, n::BIGINT + 1)) AS r(copy))"""
 
 
 MIXING = f"WITH {mixing('documents')} SELECT doc_id, source, copy, shuffle_key, text FROM exploded JOIN documents USING (doc_id)"

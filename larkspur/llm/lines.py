@@ -1,26 +1,29 @@
 """Line dedup with a tree of line templates, in DataFrame functions only.
 
 A line is parsed through a tree of fixed depth: its number of tokens, then its first ``DEPTH`` tokens, where tokens with a
-digit or @ count as a variable field ``<*>``. In a leaf the masked line that occurs most often is the leader. Lines are
-compared with it in ``SEGMENTS`` runs of tokens of equal length (shorter lines token by token); those that agree in at
-least ``SIMILARITY`` of the runs belong to its template, in which the other runs are variable. Every other masked line is a
-template of its own. Templates that recur across documents are dropped. Only hashes of lines are shuffled, and after
-the first count only those of leaves with two lines or more.
+digit or @ count as a variable field ``<*>``. A leaf holds the different masked lines (variants) with these in common, and as many
+templates as it takes: the variant in most documents leads, and variants that agree with it in at least ``SIMILARITY`` of
+the tokens, place by place, belong to its template, in which the other tokens are variable. Templates that recur across
+documents are dropped.
+
+Leaders are found in rounds. Two variants alike enough differ in at most d tokens, so of d + 1 runs of their tokens at least one is
+equal: variants meet in buckets of equal runs. One that is the best in all its buckets leads; the others join the best leader of
+the round that they meet and are like enough; who is left goes on to the next round. No pairs are listed: a variant is only
+compared with the best of each of its buckets. Only hashes of lines are shuffled; tokens are hashed for one line of each variant
+of leaves with several.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.session import work_path
+from larkspur.session import saved
 
 DEPTH = 3
 SIMILARITY = 0.8
-#: A template recurs when it is in two documents or more and documents * tokens reaches this: a line of ten tokens is
-#: enough in two documents, a line of one token only in twenty.
+#: A template recurs when it is in two documents or more and documents * words reaches this: a line of ten words is
+#: enough in two documents, a line of one word only in twenty. Two characters of a script without blanks count as a word.
 MASS = 20
-#: Runs of tokens of a line that are compared.
-SEGMENTS = 10
 
 BLANKS = "[ \\t\\x0B\\f\\r]"
 
@@ -34,46 +37,94 @@ def masked(line: Column) -> Column:
     return F.when(plain.rlike("[0-9@]"), F.regexp_replace(plain, "[^ ]*[0-9@][^ ]*", "<*>")).otherwise(plain)
 
 
-def saved(frame: DataFrame, name: str) -> DataFrame:
-    path = work_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+#: Scripts that are written without blanks.
+UNSPACED = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]
 
 
-def parsed(docs: DataFrame, depth: int) -> DataFrame:
-    """One row per line with a token: doc_id, k (tells texts of one id apart), line_no, n, leaf, line_key, segments."""
+def words_in(masked_line: Column, n: Column) -> Column:
+    """Tokens, and half the characters of scripts without blanks."""
+    pattern = "[" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "]"
+    unspaced = F.length(masked_line) - F.length(F.regexp_replace(masked_line, pattern, ""))
+    return n + F.when(masked_line.rlike(pattern), F.floor(unspaced / 2)).otherwise(F.lit(0)).cast("int")
+
+
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    """One row per line with a token: doc_id, k (tells texts of one id apart), line_no, masked."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = rows.select("doc_id", "k", "line_no", masked(F.col("line")).alias("masked")).where("masked <> ''")
-    lines = lines.select("doc_id", "k", "line_no", F.xxhash64("masked").alias("line_key"), F.split("masked", " ").alias("tokens"))
-    lines = lines.withColumn("n", F.size("tokens"))
-    segments = F.expr(
-        f"transform(sequence(0, least(n, {SEGMENTS}) - 1), i -> hash(slice(tokens, cast(i * n div least(n, {SEGMENTS}) AS int) + 1, "
-        f"cast((i + 1) * n div least(n, {SEGMENTS}) - i * n div least(n, {SEGMENTS}) AS int))))")
-    return lines.select("doc_id", "k", "line_no", "n", F.xxhash64("n", F.slice("tokens", 1, depth)).alias("leaf"), "line_key", segments.alias("segments"))
-
-
-def generalised(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, line_key, template) for the masked lines that belong to the template of their leaf's leader."""
-    open_ = lines.where(F.col("several") & (F.size("segments") - 1 >= similarity * F.size("segments")))
-    variants = saved(open_.groupBy("leaf", "line_key", "segments").agg(F.count("*").alias("n_lines"), F.min(F.struct("doc_id", "line_no")).alias("first")), "variants")
-    rank = F.struct("n_lines", (-F.col("first.doc_id")).alias("id"), (-F.col("first.line_no")).alias("no"), "line_key", "segments")
-    leaders = variants.groupBy("leaf").agg(F.max(rank).alias("top")).select("leaf", F.col("top.line_key").alias("template"), F.col("top.segments").alias("own"))
-    leaders = saved(leaders, "leaders")  # both sides of the join are plain tables, so that a leaf of very many lines can be split
-    same = F.aggregate(F.zip_with("segments", "own", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return variants.join(leaders, "leaf").where((F.col("line_key") != F.col("template")) & (same >= similarity * F.size("segments"))).select("leaf", "line_key", "template")
+    return rows.select("doc_id", "k", "line_no", masked(F.col("line")).alias("masked")).where("masked <> ''")
+
+
+def in_leaves(lines: DataFrame, depth: int) -> DataFrame:
+    """Add tokens, n, leaf and line_key."""
+    split = lines.withColumn("tokens", F.split("masked", " ")).withColumn("n", F.size("tokens"))
+    return split.withColumns({"leaf": F.xxhash64("n", F.slice("tokens", 1, depth)), "line_key": F.xxhash64("masked")})
+
+
+def most_changes(n: Column, similarity: float) -> Column:
+    """In how many tokens two lines of n tokens may differ."""
+    return (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9))).cast("int")
+
+
+def variants_of(docs: DataFrame, lines: DataFrame, depth: int) -> DataFrame:
+    """leaf, line_key, n, rank (the best is the least), tokens (hashes) of the different lines of ``lines``."""
+    per_doc = lines.groupBy("leaf", "line_key", "doc_id", "k").agg(F.min("n").alias("n"), F.min("line_no").alias("line_no"))
+    found = per_doc.groupBy("leaf", "line_key").agg(F.min("n").alias("n"), F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "k", "line_no")).alias("first"))
+    found = saved(found, "variants")
+    picked = found.groupBy(F.col("first.doc_id").alias("id"), F.col("first.k").alias("k")).agg(F.collect_set("first.line_no").alias("wanted"))
+    texts = docs.withColumn("k", F.xxhash64("doc_id", "text")).join(picked.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    own = texts.select(F.explode(F.transform("wanted", lambda i: F.get(F.split("text", "\n"), i))).alias("line")).select(masked(F.col("line")).alias("masked"))
+    spelled = in_leaves(own, depth).select("leaf", "line_key", F.transform("tokens", lambda x: F.hash(x)).alias("tokens")).dropDuplicates(["leaf", "line_key"])
+    rank = F.struct((-F.col("n_docs")).alias("a"), F.col("first.doc_id").alias("b"), F.col("first.line_no").alias("c"), "line_key")
+    return saved(found.join(spelled, ["leaf", "line_key"]).select("leaf", "line_key", "n", rank.alias("rank"), "tokens"), "spelled")
+
+
+def generalised(docs: DataFrame, lines: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, line_key, template) for the variants that belong to the template of another one."""
+    least = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9))
+    open_ = lines.where(F.col("several") & (F.col("n") > depth) & (least < F.col("n")))
+    variants = variants_of(docs, open_, depth)
+    d = most_changes(F.col("n"), similarity)
+    rest = F.col("n") - depth
+    parts = F.least(d + 1, rest)
+    runs = F.transform(
+        F.sequence(F.lit(0), parts - 1),
+        lambda p: F.struct(p.alias("part"), F.xxhash64(F.slice("tokens", (F.lit(depth + 1) + F.floor(p * rest / parts)).cast("int"), (F.floor((p + 1) * rest / parts) - F.floor(p * rest / parts)).cast("int"))).alias("run")))
+    # more changes than tokens after the first ones: all of the leaf meet
+    met = F.when(d >= rest, F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("run")))).otherwise(runs)
+    buckets = saved(variants.select("leaf", "line_key", "rank", F.inline(met)), "buckets")
+    bucket = ["leaf", "part", "run"]
+    shared = buckets.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    buckets = saved(buckets.join(shared, bucket), "buckets")  # who shares no run has its own template
+    tokens = variants.select("leaf", "line_key", "tokens")
+    found = None
+    while not buckets.isEmpty():
+        best = saved(buckets.groupBy(*bucket).agg(F.min("rank").alias("top")), "best")
+        seen = saved(buckets.join(best, bucket).select(*bucket, "line_key", "rank", "top"), "seen")
+        leads = saved(seen.groupBy("leaf", "line_key").agg(F.bool_and(F.col("rank") == F.col("top")).alias("leads")).where("leads").select("leaf", "line_key"), "leads")
+        others = seen.where(F.col("top.line_key") != F.col("line_key")).select("leaf", "line_key", "top").distinct()
+        led = others.join(leads.withColumnRenamed("line_key", "lead"), (others["leaf"] == leads["leaf"]) & (F.col("top.line_key") == F.col("lead"))).select(others["leaf"], "line_key", "top", "lead")
+        beside = led.join(tokens, ["leaf", "line_key"]).join(tokens.select("leaf", F.col("line_key").alias("lead"), F.col("tokens").alias("own")), ["leaf", "lead"])
+        same = F.aggregate(F.zip_with("tokens", "own", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        alike = beside.where(same >= F.ceil(F.size("tokens") * F.lit(similarity) - F.lit(1e-9)))
+        joined = saved(alike.groupBy("leaf", "line_key").agg(F.min("top").alias("top")).select("leaf", "line_key", F.col("top.line_key").alias("template")), "joined")
+        found = joined if found is None else found.unionAll(joined)
+        done = leads.unionAll(joined.select("leaf", "line_key"))
+        buckets = saved(buckets.join(done, ["leaf", "line_key"], "left_anti"), "buckets")
+    return found if found is not None else variants.limit(0).select("leaf", "line_key", F.col("line_key").alias("template"))
 
 
 def recurring_lines(docs: DataFrame, keep_first: bool, depth: int = DEPTH, similarity: float = SIMILARITY, mass: int = MASS) -> DataFrame:
     """(doc_id, k, dropped): the numbers of the lines of a text that are dropped."""
-    lines = saved(parsed(docs, depth), "lines")
+    lines = in_leaves(numbered_lines(docs), depth)
+    lines = saved(lines.select("doc_id", "k", "line_no", "n", words_in(F.col("masked"), F.col("n")).alias("words"), "leaf", "line_key"), "lines")
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n_lines"), F.min("line_key").alias("low"), F.max("line_key").alias("high"))
     leaves = saved(leaves.where("n_lines > 1").select("leaf", (F.col("low") != F.col("high")).alias("several")), "leaves")
     lines = saved(lines.join(leaves, "leaf"), "shared")
-    joined = saved(generalised(lines, similarity), "templates")
-    lines = lines.join(joined, ["leaf", "line_key"], "left").select("doc_id", "k", "line_no", "n", "leaf", F.coalesce("template", "line_key").alias("template"))
-    per_doc = lines.groupBy("leaf", "template", "doc_id", "k").agg(F.min("n").alias("n"))
-    totals = per_doc.groupBy("leaf", "template").agg(F.min("n").alias("n"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    recurring = saved(totals.where(f"n_docs > 1 AND n_docs * n >= {int(mass)}").select("leaf", "template", "first_doc"), "recurring")
+    joined = saved(generalised(docs, lines, depth, similarity), "templates")
+    lines = lines.join(joined, ["leaf", "line_key"], "left").select("doc_id", "k", "line_no", "words", "leaf", F.coalesce("template", "line_key").alias("template"))
+    per_doc = lines.groupBy("leaf", "template", "doc_id", "k").agg(F.min("words").alias("words"))
+    totals = per_doc.groupBy("leaf", "template").agg(F.min("words").alias("words"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    recurring = saved(totals.where(f"n_docs > 1 AND n_docs * words >= {int(mass)}").select("leaf", "template", "first_doc"), "recurring")
     hit = lines.join(recurring, ["leaf", "template"])
     if keep_first:
         hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))

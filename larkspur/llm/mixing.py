@@ -62,9 +62,9 @@ def repetition_rates(docs: DataFrame, weights: dict[str | None, float] | None =
     return counts.select("source", rate.alias("rate")).withColumn("parts", parts).withColumn("sums", cumulative(F.col("rate") / F.col("parts")))
 
 
-def copies(seed: str, parts: Column, sums: Column) -> Column:
-    """The Poisson count of a row with doc_id."""
-    numbers = F.transform(F.sequence(F.lit(1), parts), lambda i: uniform(seed, i, F.col("doc_id")))
+def copies(seed: str, parts: Column, sums: Column, digest: Column) -> Column:
+    """The Poisson count of a row with doc_id and the digest of its text."""
+    numbers = F.transform(F.sequence(F.lit(1), parts), lambda i: uniform(seed, i, F.col("doc_id"), digest))
     each = F.transform(numbers, lambda u: F.size(F.filter(sums, lambda c: c < u)))
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
@@ -72,9 +72,10 @@ def copies(seed: str, parts: Column, sums: Column) -> Column:
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, size: float = 1.0, seed: str = SEED) -> DataFrame:
     """The documents repeated by their counts in random order, with two more columns: copy (from 1) and shuffle_key.
 
-    A document with count 0 has no row. A null source is a source. The count follows from seed and doc_id alone, so
-    repeated rows of an id, and rows without an id, get equal counts. Nothing but ``source`` and ``doc_id`` matters, texts may be
-    null. Extra columns stay; those called copy or shuffle_key are replaced. An empty table stays empty.
+    A document with count 0 has no row. A null source is a source. Count and shuffle_key follow from seed, doc_id and text, so
+    texts under one id, or under none, have counts of their own; only rows that repeat both get equal counts, and these are
+    dealt to places by their numbers in the table, so that no task gets all of them. Texts may be null. Extra columns stay; those
+    called copy or shuffle_key are replaced. An empty table stays empty.
     """
     spark = docs.sparkSession
     path = work_path(spark, "rates")
@@ -82,12 +83,15 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, power
     rates = spark.read.parquet(path)
     few = rates.count() <= BROADCAST_SOURCES
     taken = {c.lower() for c in docs.columns}
-    names = [next(x for x in (stem + "_" * i for i in range(1, 99)) if x not in taken) for stem in ("s", "r")]
+    names = [next(x for x in (stem + "_" * i for i in range(1, 99)) if x not in taken) for stem in ("s", "r", "d", "tie")]
     held = rates.select(F.col("source").alias(names[0]), F.struct("parts", "sums").alias(names[1]))
     rows = docs.join(F.broadcast(held) if few else held, docs["source"].cast("string").eqNullSafe(F.col(names[0])), "left")
-    n = copies(seed, F.col(names[1])["parts"], F.col(names[1])["sums"])
+    has_text = any(c.lower() == "text" for c in docs.columns)
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))) if has_text else F.lit(None).cast("string")
+    n = copies(seed, F.col(names[1])["parts"], F.col(names[1])["sums"], F.col(names[2]))
     columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
-    counted = rows.select(*columns, n.alias(names[0])).where(F.col(names[0]) > 0)
-    exploded = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col(names[0]))).alias("copy"))
-    keyed = exploded.withColumn("shuffle_key", hashed_bits(seed + "-order", F.col("doc_id"), F.col("copy")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    told = rows.withColumn(names[2], digest).select(*columns, names[1], names[2])
+    counted = told.select(*columns, names[2], n.alias(names[0])).where(F.col(names[0]) > 0)
+    exploded = counted.select(*columns, names[2], F.explode(F.sequence(F.lit(1), F.col(names[0]))).alias("copy"))
+    keyed = exploded.select(*columns, "copy", hashed_bits(seed + "-order", F.col("doc_id"), F.col("copy"), F.col(names[2])).alias("shuffle_key"), F.monotonically_increasing_id().alias(names[3]))
+    return keyed.repartition("shuffle_key", names[3]).sortWithinPartitions("shuffle_key").drop(names[3])
