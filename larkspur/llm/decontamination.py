@@ -4,7 +4,8 @@ Every run of whole documents (a shard) is sorted into a word suffix array inside
 of the benchmark is binary-searched in every shard, which gives its verbatim occurrences with their places; runs of
 occurrences on one diagonal are put together to the longest matches. Documents are never shuffled: all that is
 known of a document comes from its own shard. The benchmark is the stated query set; it goes to the tasks in blocks
-of about ``block_words`` words, one pass for each block, so it may be of any size.
+of about ``block_words`` words, one pass for each block, of which only the hit documents' places are written before the
+next block is read, so it may be of any size.
 """
 
 from __future__ import annotations
@@ -15,16 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from larkspur.llm.arrays import CHUNK, Texts, Words, chunks, covered, string_batches, words
+from larkspur.llm.arrays import CHUNK, Texts, Words, chunks, covered, runs, string_batches, words
+from larkspur.session import saved
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
 #: A document is contaminated when at least one word in so many is hit.
 ONE_IN = 20
 
-FOUND = "n_words long, n_hit long, items array<long>, matches array<struct<item_id:long, item_word:int, word:int, n_words:int>>"
+FOUND = "n_words long, n_hit long, items array<long>, hits array<struct<word:int, n_words:int>>, matches array<struct<item_id:long, item_word:int, word:int, n_words:int>>"
 FOUND_ARROW = pa.struct([
-    ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())),
+    ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("word", pa.int32()), ("n_words", pa.int32())]))),
     ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("word", pa.int32()), ("n_words", pa.int32())]))),
 ])
 
@@ -131,8 +133,9 @@ def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - begin, count)
 
 
-def search_shard(part: Texts, queries: Queries) -> Iterator[dict]:
-    """What is known of each document of a shard."""
+def search_shard(part: Texts, queries: Queries, matched: bool = True) -> Iterator[dict]:
+    """What is known of each document of a shard: its hit stretches, the items that share a window with it and, if ``matched``, the
+    longest matches, which are as many as an item's occurrences times the items that share it."""
     found = words(part)
     counts = found.counts
     hit = np.zeros(len(found.hash), bool)
@@ -149,16 +152,22 @@ def search_shard(part: Texts, queries: Queries) -> Iterator[dict]:
     by_text = np.argsort(found.text[places], kind="stable")
     places, windows = places[by_text], windows[by_text]
     ends = np.searchsorted(found.text[places], np.arange(part.n + 1))
+    first, last = runs(hit, found.first)
+    cuts = np.searchsorted(first, found.first)
     for i in range(part.n):
         items: list[int] = []
         matches: list[dict] = []
+        hits: list[dict] = []
         if n_hit[i]:
             window, place = windows[ends[i]:ends[i + 1]], places[ends[i]:ends[i + 1]] - found.first[i]
-            each = queries.slots[window + 1] - queries.slots[window]
-            slot = spread(queries.slots[window], each)
-            matches = longest(queries.owner[slot], queries.place[slot], np.repeat(place, each), np.repeat(queries.sizes[window], each))
-            items = sorted(set(queries.owner[slot].tolist()))
-        yield {"n_words": int(counts[i]), "n_hit": int(n_hit[i]), "items": items, "matches": matches}
+            hits = [{"word": int(a), "n_words": int(b)} for a, b in zip(first[cuts[i]:cuts[i + 1]] - found.first[i], (last - first)[cuts[i]:cuts[i + 1]])]
+            met = np.unique(window)
+            items = np.unique(queries.owner[spread(queries.slots[met], queries.slots[met + 1] - queries.slots[met])]).tolist()
+            if matched:
+                each = queries.slots[window + 1] - queries.slots[window]
+                slot = spread(queries.slots[window], each)
+                matches = longest(queries.owner[slot], queries.place[slot], np.repeat(place, each), np.repeat(queries.sizes[window], each))
+        yield {"n_words": int(counts[i]), "n_hit": int(n_hit[i]), "items": items, "hits": hits, "matches": matches}
 
 
 def longest(item: np.ndarray, start: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[dict]:
@@ -177,7 +186,8 @@ def longest(item: np.ndarray, start: np.ndarray, place: np.ndarray, size: np.nda
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about ``block_words`` words, each read on its own. Items without words are left out."""
+    """The benchmark in blocks of about ``block_words`` words, each read on its own when it is asked for. Items without words are
+    left out; there is one block at least."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // (4 * block_words)))
@@ -186,15 +196,17 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
         yield [(r.item_id, r.text) for r in part.distinct().orderBy("item_id", "text").collect()]
 
 
-def search(docs: DataFrame, items: list[tuple[int, str]], window: int = WINDOW, text: str = "text", column: str = "found") -> DataFrame:
-    """Add a struct: n_words, n_hit, items (sorted ids with an occurring window) and the longest matches."""
+def search(docs: DataFrame, items: list[tuple[int, str]], window: int = WINDOW, text: str = "text", column: str = "found", matched: bool = True) -> DataFrame:
+    """Add a struct: n_words, n_hit, items (sorted ids with an occurring window), hits (stretches of hit words) and, if ``matched``, the
+    longest matches."""
     held: list[Queries] = []
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     @F.arrow_udf(FOUND)
     def look(batch: pa.Array) -> pa.Array:
         if not held:
-            held.append(Queries(items, window))
-        rows = [row for part in chunks(string_batches(batch), 2 * CHUNK) for row in search_shard(part, held[0])]
+            held.append(Queries(sent.value, window))
+        rows = [row for part in chunks(string_batches(batch), 2 * CHUNK) for row in search_shard(part, held[0], matched)]
         return pa.array(rows, FOUND_ARROW)
 
     return docs.withColumn(column, look(F.col(text)))
@@ -204,48 +216,67 @@ def judged(n_words, n_hit):
     return (n_hit > 0) & (n_hit * ONE_IN >= n_words)
 
 
-def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def hit_rows(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, matched: bool) -> DataFrame:
+    """key (of id and text), n_words, n_hit, items, matches of the distinct documents that a window of a benchmark of several blocks
+    occurs in: each block's are written before the next is read."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").dropDuplicates(["key"])
+    keyed = saved(keyed, "texts")
+    written = None
+    for items in blocks(benchmark, block_words):
+        found = saved(search(keyed, items, window, matched=matched).where("found.n_hit > 0").select("key", "found.*"), "hits")
+        written = found if written is None else written.unionAll(found)
+    whole = written.groupBy("key").agg(
+        F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches"))
+    n_hit = F.aggregate(
+        "hits", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda s, m: F.struct(
+            F.greatest(s["end"], m["word"] + m["n_words"]).alias("end"),
+            (s["n"] + F.greatest(F.lit(0), m["word"] + m["n_words"] - F.greatest(s["end"], m["word"]))).alias("n")),
+        lambda s: s["n"])
+    return whole.select("key", "n_words", n_hit.alias("n_hit"), "items", "matches")
+
+
+def several(benchmark: DataFrame, block_words: int) -> tuple[bool, list[tuple[int, str]]]:
+    """Whether the benchmark has several blocks, and the first one."""
+    parts = blocks(benchmark, block_words)
+    first = next(parts)
+    return next(parts, None) is not None, first
+
+
+def overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, matched: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted array), matches, contaminated.
 
     A word is hit when it lies inside any occurrence of a window. Null and empty texts have no words and are not
     contaminated. Repeated rows give repeated rows. Items with equal ids count as one item with the windows of all their
     texts; null item ids and null item texts are left out; an empty benchmark hits nothing. Extra columns are not read.
-    With a benchmark of several blocks the hits of a document are put together from its longest matches.
+    Without ``matched`` the list of longest matches, which grows with the items that share a window, stays empty.
     """
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    parts = list(blocks(benchmark, block_words))
-    if len(parts) == 1:
-        out = search(slim, parts[0], window).select("doc_id", "found.*")
+    more, items = several(benchmark, block_words)
+    if not more:
+        out = search(slim, items, window, matched=matched).select("doc_id", "found.n_words", "found.n_hit", "found.items", "found.matches")
     else:
-        whole = slim
-        for i, items in enumerate(parts):
-            whole = search(whole, items, window, column=f"part{i}")
-        each = [F.col(f"part{i}") for i in range(len(parts))]
-        spans = F.array_sort(F.flatten(F.array(*[F.transform(p["matches"], lambda m: F.struct(m["word"].alias("a"), (m["word"] + m["n_words"]).alias("b"))) for p in each])))
-        size = F.aggregate(
-            spans, F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
-            lambda s, m: F.struct(F.greatest(s["end"], m["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), m["b"] - F.greatest(s["end"], m["a"]))).alias("n")),
-            lambda s: s["n"])
-        out = whole.select(
-            "doc_id", each[0]["n_words"].alias("n_words"), size.alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.array(*[p["items"] for p in each])))).alias("items"),
-            F.flatten(F.array(*[p["matches"] for p in each])).alias("matches"))
+        hit = hit_rows(slim, benchmark, window, block_words, matched).drop("n_words")
+        counted = search(slim, [], window, matched=False).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "found.n_words")
+        out = counted.join(hit, "key", "left").select(
+            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), "matches")
     return out.withColumn("contaminated", judged(F.col("n_words"), F.col("n_hit")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that are not contaminated, with all their columns as they were, whatever these are called.
 
-    Hits are judged over the whole benchmark: with several blocks, longest matches of all blocks count together.
+    Hits are judged over the whole benchmark, with several blocks over the words that any of them hits.
     """
     name = "found_"
     while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
-    parts = list(blocks(benchmark, block_words))
-    if len(parts) == 1:
-        marked = search(docs, parts[0], window, column=name)
+    more, items = several(benchmark, block_words)
+    if not more:
+        marked = search(docs, items, window, column=name, matched=False)
         return marked.where(~judged(F.col(name)["n_words"], F.col(name)["n_hit"])).drop(name)
-    keyed = docs.withColumn(name, F.xxhash64("doc_id", "text"))
-    bad = overlap(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, window, block_words)
-    bad = bad.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return keyed.join(bad, name, "left_anti").select(*docs.columns)
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    bad = hit_rows(slim, benchmark, window, block_words, False).where(judged(F.col("n_words"), F.col("n_hit"))).select(F.col("key").alias(name))
+    return docs.withColumn(name, F.xxhash64("doc_id", F.col("text").cast("string"))).join(bad, name, "left_anti").select(*docs.columns)
