@@ -22,27 +22,30 @@ from larkspur.session import saved
 
 # Words of both kinds of hosts; they say nothing about either.
 COMMON = "example test sample demo en de fr es it nl pt index html htm page pages www m blog mobile static"
-# Labelled seed texts of the naive Bayes model; their words also are in the unigram model.
+# Labelled seed words of the naive Bayes model, each once, by the topics that block and allow lists usually have; they
+# are in the unigram model too.
 SEEDS = {
     "block": (
-        "casino win poker bet bets betting slots jackpot roulette lottery bingo gamble gambling odds wager free spins bonus",
-        "casino casino poker bets free bets online casino win money big win jackpot",
-        "adult sex porn xxx x nude cams escort hot girls dating hookup erotic adult adult x x video",
-        "cheap pills viagra cialis pharmacy drugs meds tablets weight loss diet pills cheap cheap pills pills online",
-        "spam farm link farm clickbait clicks traffic seo backlinks bulk mail spam spam farm farm doorway",
-        "ads ad track tracker tracking pixel banner popup popunder adserver click affiliate ads track ads track promo",
-        "crack keygen warez torrent serial nulled free download hack cheat replica fake watches payday loan fast cash",
+        "casino win poker bet bets betting slots jackpot roulette lottery bingo gamble gambling odds wager spins blackjack baccarat sweepstakes",
+        "adult sex porn xxx nude cams escort hot hookup erotic webcam fetish milf naked sexy dating singles affair",
+        "cheap pills viagra cialis drugs meds tablets diet steroids weight loss miracle cure detox slim botox replica fake",
+        "spam farm link clickbait clicks traffic backlinks bulk doorway cloaking autoblog scraper giveaway prize winner claim",
+        "ads ad track tracker tracking pixel popup popunder adserver click affiliate banner redirect retarget syndication",
+        "crack keygen warez torrent serial nulled hack cheat pirated leaked phishing malware exploit botnet ransom",
+        "payday loan cash fast rich earn forex crypto pump investment scheme pyramid doubler profit guaranteed",
     ),
     "allow": (
-        "news blog article post story daily times press journal magazine weekly report review",
-        "wiki docs documentation manual guide tutorial reference help faq support learn course",
-        "school college university library science research paper study museum archive history book books",
+        "news blog article post story daily times press journal magazine weekly report review interview column",
+        "wiki docs documentation manual guide tutorial reference help faq support learn course lesson lecture",
+        "school college university library science research paper study museum archive history book encyclopedia",
         "shop store product catalog garden home kitchen food recipe travel city map weather sport music film art",
-        "forum community group team project code data open source software tech engineering",
-        "about contact home category tag author site welcome",
-        "health care doctor clinic family bank finance law office company service public local council",
+        "forum community group team project data code open source software tech engineering developer",
+        "about contact category tag author welcome privacy terms team careers events calendar gallery",
+        "health care doctor clinic family bank finance law office company service public local council government",
     ),
 }
+#: Pseudo-count of every word in either class.
+SMOOTHING = 0.1
 #: Log odds of block before a word is seen; most hosts are no spam.
 PRIOR = -1.0
 #: A word that no model knows costs as much as this many factors of ten for each of its characters.
@@ -51,8 +54,8 @@ UNKNOWN_CHAR = 1.6
 PIECE = 256
 #: Bytes of all parts of the runs of a block's urls; a longer url is a block of its own. A task holds one block at a time.
 BLOCK = 64 << 20
-#: Bytes that a part of a run takes beside its letters.
-PART = 60
+#: Bytes that a part of a run takes beside its letters, and a url beside its own.
+PART, ROW = 60, 400
 #: Pseudo-count of a seed word in the unigram model, per thousand counted words.
 SEED_SHARE = 2.0
 
@@ -116,14 +119,14 @@ class Segmenter:
 
 
 class NaiveBayes:
-    """Multinomial model with add-one smoothing, learned from the seed texts."""
+    """Multinomial model with smoothed counts, learned from the seed words."""
 
     def __init__(self, texts: dict[str, tuple[str, ...]] = SEEDS):
         self.classes = sorted(texts)
         words = {c: " ".join([COMMON, *texts[c]]).split() for c in self.classes}
         known = sorted({w for c in self.classes for w in words[c]})
         self.number = {w: i for i, w in enumerate(known)}
-        counts = np.ones((len(self.classes), len(known)))
+        counts = np.full((len(self.classes), len(known)), SMOOTHING)
         for i, c in enumerate(self.classes):
             for w in words[c]:
                 counts[i, self.number[w]] += 1
@@ -186,7 +189,7 @@ def into_blocks(urls: DataFrame, longest: int, limit: int) -> DataFrame:
         for batch in batches:
             blocks = []
             for host, path in zip(*(string_batches(batch.column(c)).to_pylist() for c in ("host", "path"))):
-                own = sum(len(run) * (k := min(len(run), longest)) * (PART + k / 2) for run in runs_of_url(host, path))
+                own = ROW + len(host) + len(path) + sum(len(run) * (k := min(len(run), longest)) * (PART + k / 2) for run in runs_of_url(host, path))
                 if size and size + own > limit:
                     block, size = block + 1, 0
                 size += own
@@ -230,7 +233,8 @@ def url_verdicts(pages: DataFrame, rules: list[str], block: int = BLOCK) -> Data
     """One row per page: page_id, host, path, rule, verdict, words (of host and path), block_odds.
 
     The rule's verdict holds where a rule fits, else block where the odds are above 0. Null urls and urls without ``://``
-    have an empty host and path, no words, and are allowed. Repeated rows get repeated results. The html may be null.
+    have an empty host and path, no words, and are allowed. Repeated rows get repeated results. The html may be null. An empty
+    table gives no rows; extra columns are not read. Runs of letters of more than 256 are split in pieces of that length.
     """
     counts = title_words(pages)
     total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
