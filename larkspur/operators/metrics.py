@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.scalar import ratio
-from larkspur.session import shared_root
+from larkspur.session import saved
 
 
 def set_counts(gold: Column, predicted: Column, normalise: Callable[[Column], Column] = F.lower) -> dict[str, Column]:
@@ -129,14 +129,31 @@ def pairwise_wins(matches: DataFrame) -> DataFrame:
     )
 
 
-def bradley_terry(matches: DataFrame, iterations: int = 50, checkpoint_every: int = 5) -> DataFrame:
-    """Strengths r with P(i beats j) = r_i / (r_i + r_j), by minorise-maximise steps
-    r_i = wins_i / sum_j n_ij / (r_i + r_j), scaled to mean 1 at the end.
+def components(pairs: DataFrame) -> DataFrame:
+    """(i, component): the smallest competitor that each one is tied to by pairs (i, j), both ways. Rounds take the smallest
+    name among the neighbours and then the name of that name, so long chains take few rounds."""
+    name = saved(pairs.groupBy("i").agg(F.least(F.min("j"), F.col("i")).alias("component")), "components")
+    while True:
+        seen = pairs.join(name.select(F.col("i").alias("j"), "component"), "j").groupBy("i").agg(F.min("component").alias("seen"))
+        lower = name.join(seen, "i").select("i", "component", F.least("component", "seen").alias("next"))
+        of = name.select(F.col("i").alias("next"), F.col("component").alias("further"))
+        found = saved(lower.join(of, "next", "left").select("i", "component", F.least("next", "further").alias("next")), "components")
+        name = found.select("i", F.col("next").alias("component"))
+        if found.where("next <> component").isEmpty():
+            return name
 
-    Matches are reduced to one row per ordered pair before the first step. Competitors without a win
-    have strength 0. Every few steps the strengths are checkpointed to the shared folder, which cuts
-    the lineage and survives lost executors."""
-    shared_root(matches.sparkSession)
+
+def bradley_terry(matches: DataFrame, tolerance: float = 1e-10, max_steps: int = 500, steps: int = 5) -> DataFrame:
+    """Strengths r with P(i beats j) = r_i / (r_i + r_j): competitor, wins, matches, component, strength, log_error.
+
+    Minorise-maximise steps r_i = wins_i / sum_j n_ij / (r_i + r_j) go on until the mean log-likelihood of a match changes by no
+    more than ``tolerance`` in ``steps`` steps. Competitors that are tied by no chain of matches cannot be compared: strengths have
+    the mean 1 in each component. log_error is the standard error of ln(strength) with the others held fixed; it is null, as
+    there is none, without a win or without a loss. Competitors without a win have strength 0; one without a loss has no
+    largest likelihood, its strength is what the last step gave.
+
+    Matches are reduced to one row per ordered pair before the first step. The strengths are written every ``steps`` steps,
+    which cuts the lineage and survives lost executors."""
     both = F.array(
         F.struct(F.col("competitor_1").alias("i"), F.col("competitor_2").alias("j"), F.col("w1").alias("w"), "n"),
         F.struct(F.col("competitor_2").alias("i"), F.col("competitor_1").alias("j"), (F.col("n") - F.col("w1")).alias("w"), "n"),
@@ -146,22 +163,28 @@ def bradley_terry(matches: DataFrame, iterations: int = 50, checkpoint_every: in
         .agg(F.count_if(F.col("preferred") == 1).alias("w1"), F.count("*").alias("n"))
         .select(F.inline(both))
         .groupBy("i", "j").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-        .checkpoint()
     )
-    wins = pairs.groupBy("i").agg(F.sum("w").alias("wins"))
-    strength = wins.select("i", "wins", F.lit(1.0).alias("r"))
-    for step in range(1, iterations + 1):
-        other = strength.select(F.col("i").alias("j"), F.col("r").alias("rj"))
-        strength = (
-            pairs.join(strength, "i").join(other, "j")
-            .groupBy("i")
-            .agg(
-                F.first("wins").alias("wins"),
-                F.try_divide(F.first("wins"), F.sum(F.try_divide("n", F.col("r") + F.col("rj")))).alias("r"),
-            )
-        )
-        if step % checkpoint_every == 0 and step < iterations:
-            strength = strength.checkpoint()
-    strength = strength.checkpoint()
-    mean = strength.agg(F.avg("r")).scalar()
-    return strength.select(F.col("i").alias("competitor"), "wins", (F.col("r") / mean).alias("strength"))
+    pairs = saved(pairs, "pairs")
+    wins = saved(pairs.groupBy("i").agg(F.sum("w").alias("wins"), F.sum("n").alias("matches")).join(components(pairs), "i"), "wins")
+
+    def beside(strength: DataFrame) -> DataFrame:
+        """The pairs with both strengths."""
+        return pairs.join(strength.select("i", "r"), "i").join(strength.select(F.col("i").alias("j"), F.col("r").alias("rj")), "j")
+
+    strength, before = saved(wins.select("i", F.lit(1.0).alias("r")), "strengths"), None
+    for _ in range(-(-max_steps // steps)):
+        for _ in range(steps):
+            shared = beside(strength).groupBy("i").agg(F.sum(F.try_divide("n", F.col("r") + F.col("rj"))).alias("shared"))
+            strength = wins.join(shared, "i").select("i", F.coalesce(F.try_divide("wins", "shared"), F.lit(0.0)).alias("r"))
+        strength = saved(strength, "strengths")
+        chance = F.when(F.col("w") > 0, F.col("w") * F.ln(F.col("r") / (F.col("r") + F.col("rj")))).otherwise(F.lit(0.0))
+        likelihood = beside(strength).agg(F.try_divide(F.sum(chance), F.sum("w"))).first()[0] or 0.0
+        if before is not None and abs(likelihood - before) <= tolerance:
+            break
+        before = likelihood
+    r, rj = F.col("r"), F.col("rj")
+    known = beside(strength).groupBy("i").agg(F.sum(F.try_divide(F.col("n") * r * rj, (r + rj) * (r + rj))).alias("information"))
+    means = wins.join(strength, "i").groupBy("component").agg(F.avg("r").alias("mean"))
+    error = F.when((F.col("wins") > 0) & (F.col("wins") < F.col("matches")), F.try_divide(F.lit(1.0), F.sqrt("information")))
+    return wins.join(strength, "i").join(known, "i").join(means, "component").select(
+        F.col("i").alias("competitor"), "wins", "matches", "component", F.try_divide("r", "mean").alias("strength"), error.alias("log_error"))

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalar as S
 from larkspur.operators import metrics as M, stats as A
+from larkspur.operators.graph import page_rank
 from larkspur.operators.ordering import join_group_stats
+from larkspur.operators.reliability import reliability
 from larkspur.operators.text import link_edges
 from larkspur.operators.windows import learning_prefixes
 from larkspur.plans.registry import query
 from larkspur.plans.relational_queries import COMMON_WORDS
 from larkspur.plans.sqltext import score, shuffle, student_p, tokens, words
+from larkspur.plans.text_queries import PAGES_SQL
 
 
 
@@ -373,7 +376,8 @@ def pairwise_wins(t):
     return M.pairwise_wins(nation_matches(t)).withColumn("first_win_rate", F.round("first_win_rate", 6))
 
 
-BT_STEPS = 10
+#: Steps that the SQL writes out; the plan stops by itself.
+BT_STEPS = 60
 BT_SQL = MATCHES_SQL + """,
     pairs AS MATERIALIZED (SELECT i, j, sum(w) AS w, count(*) AS n FROM (
         SELECT c1 AS i, c2 AS j, (preferred = 1)::int AS w FROM matches
@@ -382,14 +386,16 @@ BT_SQL = MATCHES_SQL + """,
     s0 AS (SELECT i, 1.0::double AS r FROM wins)""" + "".join(f""",
     s{k + 1} AS MATERIALIZED (SELECT p.i, any_value(wins) / sum(n / (a.r + b.r)) AS r FROM pairs p JOIN s{k} a ON p.i = a.i
         JOIN s{k} b ON p.j = b.i JOIN wins ON wins.i = p.i GROUP BY p.i)""" for k in range(BT_STEPS)) + f"""
-    SELECT i AS competitor, wins::bigint AS wins, round(r / (SELECT avg(r) FROM s{BT_STEPS}), 6) AS strength
-    FROM s{BT_STEPS} JOIN wins USING (i)"""
+    , errors AS (SELECT p.i, 1 / sqrt(sum(n * a.r * b.r / pow(a.r + b.r, 2))) AS log_error FROM pairs p JOIN s{BT_STEPS} a ON p.i = a.i JOIN s{BT_STEPS} b ON p.j = b.i GROUP BY p.i)
+    SELECT i AS competitor, wins::bigint AS wins, round(r / (SELECT avg(r) FROM s{BT_STEPS}), 6) AS strength, round(log_error, 6) AS log_error
+    FROM s{BT_STEPS} JOIN wins USING (i) JOIN errors USING (i)"""
 
 
 @query("bradley_terry", BT_SQL)
 def bradley_terry(t):
-    ranked = M.bradley_terry(nation_matches(t), iterations=BT_STEPS)
-    return ranked.withColumn("strength", F.round("strength", 6)).orderBy(F.desc("strength"), "competitor")
+    """Every nation is tied to every other one here, so there is one component."""
+    ranked = M.bradley_terry(nation_matches(t), tolerance=1e-13)
+    return ranked.select("competitor", "wins", F.round("strength", 6).alias("strength"), F.round("log_error", 6).alias("log_error")).orderBy(F.desc("strength"), "competitor")
 
 
 # ---- counts, votes and label checks ----------------------------------------------------------
@@ -426,6 +432,36 @@ def annotator_agreement(t):
     return result.withColumns({c: F.round(c, 6) for c in ("observed", "expected", "kappa")})
 
 
+#: Seeded rates (of 65536) at which five made-up annotators turn a label round, and the rounds that the SQL writes out.
+TURNED = {"ann": 1300, "ben": 3300, "cai": 6600, "dia": 9800, "eve": 16400}
+EM_ROUNDS = 40
+EM_SQL = "WITH a AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT doc_id AS item, '{name}' AS who, CASE WHEN {score(name, 'doc_id')} < {rate} THEN 1 - quality ELSE quality END AS answer FROM labels WHERE quality IS NOT NULL"
+    for name, rate in TURNED.items()) + """),
+    l AS (SELECT DISTINCT answer AS label FROM a),
+    b0 AS MATERIALIZED (SELECT item, label, avg((answer = label)::int) AS p FROM a, l GROUP BY ALL)""" + "".join(f""",
+    s{k} AS (SELECT label, (sum(p) + 0.01::double) / (sum(sum(p)) OVER () + 0.01::double * (SELECT count(*) FROM l)) AS share FROM b{k} GROUP BY label),
+    c{k} AS (SELECT who, label, answer, sum(p) AS mass FROM a JOIN b{k} USING (item) GROUP BY ALL),
+    r{k} AS MATERIALIZED (SELECT who, label, answer, (mass + 0.01::double) / (sum(mass) OVER (PARTITION BY who, label) + 0.01::double * (SELECT count(*) FROM l)) AS rate FROM c{k}),
+    e{k} AS (SELECT item, label, exp(sum(ln(rate)) + any_value(ln(share))) AS e FROM a JOIN r{k} USING (who, answer) JOIN s{k} USING (label) GROUP BY ALL),
+    b{k + 1} AS MATERIALIZED (SELECT item, label, e / sum(e) OVER (PARTITION BY item) AS p FROM e{k})""" for k in range(EM_ROUNDS))
+
+
+def answers_of_five(t):
+    """The labels as five annotators with known rates of error would give them."""
+    given = [F.struct(F.lit(name).alias("who"), F.when(S.seeded_score(name, "doc_id") < rate, 1 - F.col("quality")).otherwise(F.col("quality")).alias("answer")) for name, rate in TURNED.items()]
+    return t.labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("item"), F.inline(F.array(*given)))
+
+
+@query("annotator_reliability", EM_SQL + f"""
+    SELECT who, count(*) AS answers, round(sum(CASE WHEN label = answer THEN p ELSE 0 END) / sum(p), 5) AS accuracy
+    FROM a JOIN b{EM_ROUNDS} USING (item) GROUP BY who""".replace("count(*) AS answers", "round(sum(p))::bigint AS answers"))
+def annotator_reliability(t):
+    """How reliable five annotators are, found from their answers alone."""
+    found = reliability(answers_of_five(t), "item", "who", "answer", tolerance=1e-9)
+    return found.annotators.withColumn("accuracy", F.round("accuracy", 5))
+
+
 @query("class_balance", """
     SELECT quality, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share,
            round(max(count(*)) OVER () / count(*), 6) AS imbalance FROM labels GROUP BY quality""")
@@ -453,14 +489,25 @@ def mention_counts(t):
     )
 
 
-@query("degree_centrality", r"""
-    WITH l AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path,
-                      unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages),
-    e AS (SELECT host, path, CASE WHEN regexp_matches(href, '^https?://') THEN regexp_extract(href, '^https?://([^/?#]+)', 1) ELSE host END AS th,
-                 CASE WHEN regexp_matches(href, '^https?://') THEN regexp_extract(href, '^https?://[^/?#]+(/[^?#]*)', 1)
-                      ELSE regexp_extract(href, '^(/[^?#]*)', 1) END AS tp
-          FROM l WHERE regexp_matches(href, '^(https?:/)?/')),
-    n AS (SELECT host, path, 1 AS o, 0 AS i FROM e UNION ALL SELECT th, tp, 0, 1 FROM e)
+LINKS_SQL = PAGES_SQL + """,
+    links AS (SELECT {'host': host, 'path': path} AS src, {'host': to_host, 'path': to_path} AS dst, 1.0::double AS w FROM e JOIN p USING (page_id))"""
+
+
+def rank_sql(steps: int) -> str:
+    """Common table expressions from ``links`` (src, dst, w) to ``ranks`` (node, rank), with so many rounds written out."""
+    return """,
+    edges AS MATERIALIZED (SELECT src, dst, sum(w) AS w FROM links WHERE src IS NOT NULL AND dst IS NOT NULL AND w > 0 GROUP BY src, dst),
+    flow AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM edges),
+    nodes AS MATERIALIZED (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+    y0 AS (SELECT node, 1 / 0.15::double AS y FROM nodes)""" + "".join(f""",
+    y{k + 1} AS MATERIALIZED (SELECT n.node, 1 + 0.85::double * coalesce(b.s, 0) AS y FROM nodes n
+        LEFT JOIN (SELECT dst, sum(y * share) AS s FROM flow JOIN y{k} ON node = src GROUP BY dst) b ON b.dst = n.node)""" for k in range(steps)) + f""",
+    ranks AS (SELECT node, y / sum(y) OVER () AS rank FROM y{steps})"""
+
+
+@query("degree_centrality", PAGES_SQL + """,
+    k AS (SELECT host, path, to_host, to_path FROM e JOIN p USING (page_id)),
+    n AS (SELECT host, path, 1 AS o, 0 AS i FROM k UNION ALL SELECT to_host, to_path, 0, 1 FROM k)
     SELECT host, path, sum(o)::bigint AS out_degree, sum(i)::bigint AS in_degree FROM n GROUP BY ALL""")
 def degree_centrality(t):
     ends = F.array(
@@ -472,6 +519,32 @@ def degree_centrality(t):
     )
 
 
+@query("page_rank", LINKS_SQL + rank_sql(8) + """
+    SELECT node.host AS host, node.path AS path, round(rank, 9) AS rank FROM ranks""")
+def page_rank_query(t):
+    """PageRank of the places that pages link to and from. In these links no place is reached that has links of its own, so two
+    rounds are enough for the SQL."""
+    links = link_edges(t.pages).select(F.struct("host", "path").alias("src"), F.struct(F.col("to_host").alias("host"), F.col("to_path").alias("path")).alias("dst"))
+    return page_rank(links).select("node.host", "node.path", F.round("rank", 9).alias("rank"))
+
+
+@query("trade_rank", """
+    WITH links AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity)::double AS w
+                   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
+                   WHERE c_nationkey <> s_nationkey GROUP BY ALL)""" + rank_sql(30) + """
+    SELECT n_name, round(rank, 8) AS rank FROM ranks JOIN nation ON n_nationkey = node""")
+def trade_rank(t):
+    """PageRank of nations in the network of their trade: what customers of one order from suppliers of another."""
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    per_pair = lines.groupBy("o_custkey", "l_suppkey").agg(F.sum("l_quantity").alias("w"))
+    buyers = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src"))
+    sellers = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
+    links = per_pair.join(buyers, "o_custkey").join(sellers, "l_suppkey").where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    ranked = page_rank(links, weight="w", tolerance=1e-12)
+    nations = t.nation.select(F.col("n_nationkey").alias("node"), "n_name")
+    return ranked.join(nations, "node").select("n_name", F.round("rank", 8).alias("rank"))
+
+
 @query("sequence_success", """
     WITH e AS (SELECT event_type, count(*) FILTER (value < 5) / count(*) AS e FROM events GROUP BY event_type)
     SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS steps, CASE WHEN max(e) >= 1 THEN 0.0 ELSE round(exp(sum(CASE WHEN e < 1 THEN ln(1 - e) END)), 6) END AS success,
