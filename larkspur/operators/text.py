@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.scalar import PHONE, SPACE_WORD, emails, ngrams, ratio, words
 from larkspur.operators.ordering import computed_once, join_group_stats, semi_join, top_k
-from larkspur.session import shared_root
+from larkspur.session import saved, shared_root
 
 
 HREFS = (r'href="([^"]+)"', r"href='([^']+)'")
@@ -28,15 +28,31 @@ def split_overlap(
     whether the whole normalised text is there, and the number of shared n-grams (0 for a text of
     fewer than ``n`` words). Texts without words are never the same.
 
-    Held-out n-grams are made distinct first, so each training n-gram finds at most one partner and
+    Rows are looked for by 64-bit hashes of their n-grams first; only those that meet one of a held-out text are compared by the
+    n-grams themselves. Held-out n-grams are made distinct, so each training n-gram finds at most one partner and
     no pair list is built, however often a passage is repeated."""
+    w = words(F.coalesce(F.col(text), F.lit("")))
+
+    def hashes(df: DataFrame, *keep: str) -> DataFrame:
+        """A row for the hash of each n-gram and of the whole text, the latter told apart by its length in n-grams."""
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1)))
+        grams = F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, n)))
+        whole = F.when(F.size("w") > 0, F.array(F.xxhash64("w", F.lit("whole"))))
+        empty = F.array().cast("array<bigint>")
+        return df.select(*keep, F.explode(F.array_distinct(F.concat(F.coalesce(grams, empty), F.coalesce(whole, empty)))).alias("hash"))
+
+    held = held_out.select(words(F.coalesce(held_text, F.lit(""))).alias("w"))
+    rows = train.select(F.xxhash64(id_col, text).alias("row"), id_col, w.alias("w"))
+    met = semi_join(hashes(rows, "row"), hashes(held).distinct(), "hash", ["row"]).select("row").distinct()
+    few = saved(rows.join(met, "row", "left_semi").drop("row"), "overlap")
+
     to_grams = NGram(n=n, inputCol="w", outputCol="grams")
     # the whole text goes along as one more gram, told apart by its first letter
-    whole = F.when(F.size("w") > 0, F.concat(F.lit("="), F.md5(F.array_join("w", " "))))
+    text_gram = F.when(F.size("w") > 0, F.concat(F.lit("="), F.md5(F.array_join("w", " "))))
     marked = F.explode(F.concat(
-        F.transform(F.array_distinct("grams"), lambda g: F.concat(F.lit("~"), g)), F.array_compact(F.array(whole)))).alias("gram")
-    grams = to_grams.transform(train.select(id_col, words(F.coalesce(text, F.lit(""))).alias("w"))).select(id_col, marked)
-    held_grams = to_grams.transform(held_out.select(words(F.coalesce(held_text, F.lit(""))).alias("w"))).select(marked).distinct()
+        F.transform(F.array_distinct("grams"), lambda g: F.concat(F.lit("~"), g)), F.array_compact(F.array(text_gram)))).alias("gram")
+    grams = to_grams.transform(few).select(id_col, marked)
+    held_grams = to_grams.transform(held).select(marked).distinct()
     return semi_join(grams, held_grams, "gram", [id_col]).groupBy(id_col).agg(
         F.bool_or(F.startswith("gram", F.lit("="))).alias("same_text"), F.count_if(F.startswith("gram", F.lit("~"))).alias("shared_ngrams")
     )

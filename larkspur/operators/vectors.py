@@ -17,6 +17,8 @@ from larkspur.session import saved
 
 #: Query vectors that travel to the tasks at a time.
 SLICE = 4096
+#: Corpus rows that are compared with them by one product.
+PIECE = 1024
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5, metric: str = "l2") -> DataFrame:
@@ -35,32 +37,49 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, id_col: str, vector: str,
     return top_k(found, ["query_id"], [F.col("distance"), F.col("id")], k, "rank")
 
 
+def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, id and distance of the k nearest rows of x, equal distances in order of ids.
+
+    One product gives all distances up to rounding; those within it of the k-th are measured exactly, however many
+    equal vectors there are."""
+    if not len(q) or not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if cosine:
+        lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rough = 1 - (q @ x.T) / lengths
+        scale = np.ones((len(q), 1))
+    else:
+        qq, xx = (q * q).sum(1)[:, None], (x * x).sum(1)[None, :]
+        rough = qq - 2 * (q @ x.T) + xx
+        scale = qq + xx.max()
+    last = np.partition(rough, min(k, len(x)) - 1, 1)[:, min(k, len(x)) - 1][:, None]
+    row, at = np.nonzero((rough <= last + 1e-9 * scale) | np.isnan(last) | (np.isnan(rough) & (last == np.inf)))
+    if cosine:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            exact = 1.0 - (x[at] * q[row]).sum(1) / (np.linalg.norm(q, axis=1)[row] * np.linalg.norm(x, axis=1)[at])
+    else:
+        exact = np.sqrt(((x[at] - q[row]) ** 2).sum(1))
+    order = np.lexsort((ids[at], exact, row))
+    row, at, exact = row[order], at[order], exact[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], ids[at[place < k]], exact[place < k]
+
+
 def nearest_candidates(corpus: DataFrame, picked: list, id_col: str, vector: str, k: int, metric: str) -> DataFrame:
-    """(query_id, id, distance): the k nearest rows of every Arrow batch for each of the picked vectors."""
+    """(query_id, id, distance): the k nearest rows of every piece of an Arrow batch for each of the picked vectors."""
     ids = np.array([r["query_id"] for r in picked], dtype=np.int64)
     q = np.array([r["v"] for r in picked], dtype=np.float64)
-    q_norm = np.linalg.norm(q, axis=1)
-
-    def distances(x: np.ndarray, i: int) -> np.ndarray:
-        if metric == "l2":
-            return np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-        return 1.0 - (x @ q[i]) / (q_norm[i] * np.linalg.norm(x, axis=1))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack(batch["v"].to_numpy()).astype(np.float64)
-            row_ids = batch["id"].to_numpy()
-            parts = []
-            for i in range(len(q)):
-                d = distances(x, i)
-                best = np.lexsort((row_ids, d))[:k]
-                parts.append((np.full(len(best), ids[i]), row_ids[best], d[best]))
-            columns = [np.concatenate(c) for c in zip(*parts)]
-            yield pd.DataFrame(dict(zip(("query_id", "id", "distance"), columns)))
-
-    rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+            for at in range(0, len(batch), PIECE):
+                part = batch.iloc[at:at + PIECE]
+                x = np.stack(part["v"].to_numpy()).astype(np.float64)
+                row, near, distance = best_rows(q, x, part["id"].to_numpy(), k, metric == "cosine")
+                yield pd.DataFrame({"query_id": ids[row], "id": near, "distance": distance})
+
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where(F.col(vector).isNotNull())
     return rows.mapInPandas(nearest, "query_id LONG, id LONG, distance DOUBLE")
 
 

@@ -58,11 +58,12 @@ def step_paths(
     steps: DataFrame, session: Sequence[str], order: Sequence[str], step: str, goal: str, length: int, block: Column,
 ) -> DataFrame:
     """Frequency of every path of ``length`` consecutive steps within a session, and how often the
-    step right after it is ``goal``. Sessions are cut into blocks, so none is gathered whole."""
-    rows = next_values(steps, session, order, F.col(step), [f"_s{k}" for k in range(1, length + 1)], block)
+    step right after it is ``goal``; a session of fewer steps is one path. Sessions are cut into blocks, so none is gathered whole."""
+    placed = running_sum(steps.withColumn("_at", block), session, order, F.lit(1), "_pos", F.col("_at"), inclusive=False, total="_all")
+    rows = next_values(placed, session, order, F.col(step), [f"_s{k}" for k in range(1, length + 1)], F.col("_at"))
     parts = [F.col(step), *[F.col(f"_s{k}") for k in range(1, length)]]
     return (
-        rows.where(F.col(f"_s{length - 1}").isNotNull() if length > 1 else F.lit(True))
+        rows.where(F.col("_pos") <= F.greatest(F.col("_all") - length, F.lit(0)))
         .groupBy(F.concat_ws(" > ", *parts).alias("path"))
         .agg(F.count("*").alias("n"), F.count_if(F.col(f"_s{length}") == goal).alias("n_goal"))
         .withColumn("success_rate", F.col("n_goal") / F.col("n"))

@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalar as S
 from larkspur.operators import billing as B, quality as Q, text as X, vectors as V
+from larkspur.operators.names import name_hits, name_mentions
+from larkspur.operators.overlap import bleu, rouge_l
+from larkspur.operators.search_index import SearchIndex
+from larkspur.operators.vector_index import VectorIndex
 from larkspur.plans.registry import query
 from larkspur.plans.sqltext import tokens, words
 from larkspur.operators.ordering import join_group_stats, range_block
 from larkspur.operators.relational import foreign_key_violations
+from larkspur.session import saved, work_path
 from larkspur.sources.files import inline_table
 
 # ---- requests and tokens ---------------------------------------------------------------------
@@ -69,12 +74,24 @@ COUNTS_SQL = f"""
     c AS (SELECT doc_id, term, count(*) AS tf FROM k GROUP BY ALL)"""
 
 
-@query("dictionary_mentions", COUNTS_SQL + f""",
-    d AS (SELECT DISTINCT unnest({words('text')}) AS term FROM benchmark)
-    SELECT term, sum(tf)::bigint AS mentions, count(*) AS texts FROM c JOIN d USING (term) GROUP BY term""")
+#: Names of one to three words: every run of words of the benchmark texts.
+NAME_WORDS = 3
+
+
+@query("dictionary_mentions", f"""
+    WITH b AS (SELECT {words('text')} AS w FROM benchmark),
+    names AS (SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS name, n FROM b, unnest(range(1, {NAME_WORDS + 1})) AS s(n), unnest(range(1, len(w) - n + 2)) AS r(i)),
+    d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+    hits AS (SELECT doc_id, i AS a, i + n AS z, name, n FROM (
+        SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS name FROM d, unnest(range(1, {NAME_WORDS + 1})) AS s(n), unnest(range(1, len(w) - n + 2)) AS r(i))
+        JOIN names USING (name, n)),
+    kept AS (SELECT *, max(z) OVER (PARTITION BY doc_id ORDER BY a, z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits)
+    SELECT name, n::int AS n_words, count(*) AS mentions, count(DISTINCT doc_id) AS texts FROM kept WHERE reach IS NULL OR z > reach GROUP BY ALL""")
 def dictionary_mentions(t):
-    names = t.benchmark.select(F.explode(S.words(F.col("text"))).alias("name"))
-    return X.dictionary_mentions(X.term_counts(t.spread("documents", "doc_id"), "doc_id", "text"), names, "name")
+    """Mentions of names of one to three words; a name inside a longer one that is found there does not count."""
+    w = S.words(F.col("text"))
+    names = t.benchmark.select(F.explode(F.flatten(F.array(*[S.ngrams(w, n) for n in range(1, NAME_WORDS + 1)]))).alias("name"))
+    return name_mentions(name_hits(t.spread("documents", "doc_id"), "doc_id", "text", names, "name"))
 
 
 @query("tf_idf", COUNTS_SQL + """,
@@ -149,6 +166,41 @@ def ngram_overlap(t):
     return scored.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+@query("answer_similarity", f"""
+    WITH p AS MATERIALIZED (SELECT a.conv_id, a.turn, 'question' AS kind, {words('a.text')} AS c, {words('u.text')} AS r FROM conversations a
+               JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user'
+        UNION ALL SELECT conv_id, turn, 'reworded', flatten(list_transform(w, lambda x, i: CASE s[i] WHEN '0' THEN []::VARCHAR[] WHEN '1' THEN ['x'] WHEN '2' THEN [x, x] ELSE [x] END)), w
+               FROM (SELECT conv_id, turn, w, list_transform(range(1, len(w) + 1), lambda i: substr(md5(concat_ws('|', 'word', conv_id::varchar, turn::varchar, i::varchar)), 1, 1)) AS s
+                     FROM (SELECT conv_id, turn, {words('text')} AS w FROM conversations WHERE role = 'assistant'))),
+    g AS (SELECT conv_id, turn, kind, k, unnest(list_transform(range(1, len(c) - k + 2), lambda i: array_to_string(c[i:i + k - 1], ' '))) AS g, 1 AS c, 0 AS r FROM p, unnest(range(1, 5)) AS s(k)
+          UNION ALL SELECT conv_id, turn, kind, k, unnest(list_transform(range(1, len(r) - k + 2), lambda i: array_to_string(r[i:i + k - 1], ' '))), 0, 1 FROM p, unnest(range(1, 5)) AS s(k)),
+    n AS (SELECT conv_id, turn, kind, k, g, sum(c) AS c, sum(r) AS r FROM g GROUP BY ALL),
+    m AS (SELECT conv_id, turn, kind, k, sum(least(c, r)) / sum(c) AS p FROM n GROUP BY ALL HAVING sum(c) > 0),
+    b AS (SELECT conv_id, turn, kind, count(*) = 4 AND min(p) > 0 AS full_, exp(sum(CASE WHEN p > 0 THEN ln(p) END) / 4) AS mean FROM m GROUP BY ALL),
+    t AS (SELECT conv_id, turn, kind, len(c) AS n_c, len(r) AS n_r, list_last(list_reduce(
+              list_prepend(list_transform(range(len(r) + 1), lambda i: 0), list_transform(c, lambda x: list_prepend(0, list_transform(r, lambda y: (x = y)::INT)))),
+              lambda row, hit: list_reduce(list_transform(range(1, len(row) + 1), lambda j: [j::INT]),
+                  lambda done, j: list_append(done, CASE WHEN len(done) = 0 OR j[1] = 1 THEN 0 WHEN hit[j[1]] = 1 THEN row[j[1] - 1] + 1 ELSE greatest(row[j[1]], done[len(done)]) END), []::INT[]))) AS lcs FROM p)
+    SELECT conv_id, turn, kind, round(CASE WHEN full_ THEN mean * CASE WHEN n_c >= n_r THEN 1 ELSE exp(1 - n_r / n_c) END ELSE 0 END, 6) + 0.0 AS bleu, lcs::int AS lcs,
+           CASE WHEN n_c + n_r = 0 THEN 0 ELSE round(2 * lcs / (n_c + n_r), 6) END AS rouge_l FROM t LEFT JOIN b USING (conv_id, turn, kind)""")
+def answer_similarity(t):
+    """BLEU and ROUGE-L of each answer against the question right before it, and of a reworded answer against itself."""
+    turns = t.spread("conversations", "conv_id", "turn")
+    questions = turns.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    answers = turns.where(F.col("role") == "assistant")
+    asked = answers.join(questions, ["conv_id", "turn"]).select("conv_id", "turn", F.lit("question").alias("kind"), F.col("text").alias("candidate"), "reference")
+
+    def reworded(word, i):
+        digit = F.substring(S.seeded_hash("word", "conv_id", "turn", i + 1), 1, 1)
+        return F.when(digit == "0", F.array().cast("array<string>")).when(digit == "1", F.array(F.lit("x"))).when(digit == "2", F.array(word, word)).otherwise(F.array(word))
+
+    copy = F.array_join(F.flatten(F.transform(S.words(F.col("text")), reworded)), " ")
+    pairs = asked.unionAll(answers.select("conv_id", "turn", F.lit("reworded").alias("kind"), copy.alias("candidate"), F.col("text").alias("reference")))
+    keys = ["conv_id", "turn", "kind"]
+    scored = rouge_l(pairs, "candidate", "reference").select(*keys, "lcs", F.round("lcs_f1", 6).alias("rouge_l"))
+    return bleu(pairs, keys, "candidate", "reference").select(*keys, S.rounded(F.col("bleu"), 6).alias("bleu")).join(scored, keys)
+
+
 @query("quality_filter", rf"""
     WITH m AS (SELECT doc_id, {words('text')} AS w, length(regexp_replace(text, '[\p{{L}}\p{{N}}\s]', '', 'g')) / length(text) AS s FROM documents),
     q AS (SELECT doc_id, len(w) AS n_words, round(s, 6) AS symbol_share, round(len(list_distinct(w)) / len(w), 6) AS distinct_share FROM m)
@@ -162,11 +214,48 @@ def quality_filter(t):
 # ---- search and links ------------------------------------------------------------------------
 
 
-@query("search_index", COUNTS_SQL + """
-    SELECT doc_id, sum(tf)::bigint AS hits FROM c WHERE term IN ('the', 'and', 'erth') GROUP BY doc_id HAVING count(*) = 3""")
+#: The list of searches: words 1 to 3, 4 to 8 and 10 of every benchmark text, 120 on the smallest tables.
+SEARCHES = [(1, 3), (4, 5), (10, 1)]
+SEARCHES_SQL = f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, {words('text')} AS w FROM documents WHERE doc_id IS NOT NULL),
+    q AS MATERIALIZED (SELECT item_id * {len(SEARCHES)} + s AS query_id, list_slice({words('text')}, a, a + n - 1) AS w
+        FROM benchmark, (VALUES {', '.join(f"({s}, {a}, {n})" for s, (a, n) in enumerate(SEARCHES))}) v(s, a, n))"""
+
+
+def searches(t):
+    w = S.words(F.col("text"))
+    asked = F.array(*[F.struct(F.lit(s).alias("s"), F.array_join(F.slice(w, a, n), " ").alias("query")) for s, (a, n) in enumerate(SEARCHES)])
+    return t.benchmark.select("item_id", F.inline(asked)).select((F.col("item_id") * len(SEARCHES) + F.col("s")).alias("query_id"), "query")
+
+
+def kept_index(t) -> SearchIndex:
+    """The index of all documents, written as one segment."""
+    index = SearchIndex(t.spark, work_path(t.spark, "search"))
+    index.add(t.spread("documents", "doc_id"), "doc_id", "text", 0)
+    return index
+
+
+@query("search_index", SEARCHES_SQL + """,
+    c AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+    f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+    l AS (SELECT doc_id, len(w) AS n_words FROM d WHERE len(w) > 0),
+    a AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(w) AS term FROM q) GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, round(sum(times * ln(1 + ((SELECT count(*) FROM l) - df + 0.5::double) / (df + 0.5::double))
+              * (tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n_words / (SELECT avg(n_words) FROM l))))), 9) AS score
+          FROM a JOIN c USING (term) JOIN f USING (term) JOIN l USING (doc_id) GROUP BY ALL)
+    SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::int AS rank FROM s QUALIFY rank <= 10""")
 def search_index(t):
-    postings = X.term_counts(t.spread("documents", "doc_id"), "doc_id", "text")
-    return X.search(postings, "doc_id", ["the", "and", "Erth"])
+    """The ten best documents of every search of the list, from a kept index."""
+    found = kept_index(t).ranked(searches(t), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("phrase_search", SEARCHES_SQL + """,
+    h AS (SELECT query_id, doc_id, q.w AS w, d.w[i:i + len(q.w) - 1] AS here FROM q, d, unnest(range(1, len(d.w) - len(q.w) + 2)) AS r(i) WHERE len(q.w) > 0 AND d.w[i] = q.w[1])
+    SELECT query_id, doc_id, count(*) AS hits FROM h WHERE here = w GROUP BY ALL""")
+def phrase_search(t):
+    """Documents that hold the words of a search one after the other."""
+    return kept_index(t).phrases(searches(t)).withColumnRenamed("id", "doc_id")
 
 
 PAGES_SQL = r"""
@@ -264,16 +353,38 @@ def vector_topk(t):
     return near.withColumn("distance", F.round("distance", 5))
 
 
-@query("vector_ann", """
-    SELECT min(vec_id) AS query_id, least(5, (SELECT count(*) FROM embeddings)) AS found, true AS recall_reached FROM embeddings GROUP BY label""")
+#: Every twentieth vector is a query; nine of ten exact neighbours are to be found.
+ONE_IN, RECALL = 20, 0.9
+
+
+def tuned_index(t):
+    """The index of all vectors, the queries, and the number of cells that finds enough of a bounded set's neighbours."""
+    index = VectorIndex.build(t.embeddings, "vec_id", "embedding", work_path(t.spark, "vectors"))
+    queries = t.embeddings.where(F.col("vec_id") % ONE_IN == 0).select("vec_id", "embedding")
+    probes, share = index.tune(queries, "vec_id", "embedding", 5, RECALL)
+    return index, queries, probes, share
+
+
+@query("vector_ann")
 def vector_ann(t):
-    """Approximate neighbours of each query: how many, and whether at least 0.6 of the exact ones are among them."""
-    queries = first_of_each_label(t)
-    near = V.vector_ann(t.embeddings, queries, "vec_id", "embedding", 5)
-    exact = V.vector_topk(t.embeddings, queries, "vec_id", "embedding", 5).select("query_id", "id", F.lit(True).alias("exact"))
-    judged = exact.join(near.select("query_id", "id", F.lit(True).alias("near")), ["query_id", "id"], "full").groupBy("query_id").agg(
-        F.count("near").alias("found"), (F.count_if(F.col("exact") & F.col("near")) >= 0.6 * F.count("exact")).alias("recall_reached"))
-    return judged
+    """Approximate nearest five of every twentieth vector, from a kept index of cells; a test measures the recall on all of them."""
+    index, queries, probes, _ = tuned_index(t)
+    near = index.search(queries, "vec_id", "embedding", 5, probes)
+    return near.select("query_id", "id", F.round("distance", 5).alias("distance"), "rank")
+
+
+@query("vector_ann_recall", f"""
+    SELECT vec_id AS query_id, true AS itself_first, true AS reached FROM embeddings WHERE vec_id % {ONE_IN} = 0 AND embedding IS NOT NULL""")
+def vector_ann_recall(t):
+    """For each query whether a vector at distance 0 comes first, and whether the search as a whole finds nine of ten exact neighbours, all
+    queries counted."""
+    index, queries, probes, _ = tuned_index(t)
+    near = saved(index.search(queries, "vec_id", "embedding", 5, probes), "near")
+    asked = queries.where("embedding IS NOT NULL").withColumnRenamed("vec_id", "query_id")
+    exact = V.vector_topk(t.embeddings, asked, "vec_id", "embedding", 5).select("query_id", "id", F.lit(1).alias("exact"))
+    hit, wanted = exact.join(near.select("query_id", "id", F.lit(1).alias("near")), ["query_id", "id"], "left").agg(F.count("near"), F.count("*")).first()
+    first = near.where("rank = 1").select("query_id", (F.col("distance") < 1e-9).alias("itself_first"))
+    return asked.select("query_id").join(first, "query_id", "left").withColumn("reached", F.lit(hit >= RECALL * wanted))
 
 
 @query("novelty_similarity", """
@@ -339,8 +450,8 @@ def blended_and_tiered_price(t):
     WITH g AS (SELECT text, count(*) AS n, max({tokens('text')}) AS tok FROM documents GROUP BY text)
     SELECT sum(n)::bigint AS requests, sum(n - 1)::bigint AS repeats, round(sum(n - 1) / sum(n), 6) AS repeat_share, round(sum((n - 1) * tok) * 5.0::double / 1e6::double, 6) AS saved FROM g""")
 def cache_savings(t):
-    saved = B.cache_savings(t.spread("documents", "doc_id"), "text", S.estimated_tokens(F.col("text")), 5.0)
-    return saved.withColumns({c: F.round(c, 6) for c in ("repeat_share", "saved")})
+    cached = B.cache_savings(t.spread("documents", "doc_id"), "text", S.estimated_tokens(F.col("text")), 5.0)
+    return cached.withColumns({c: F.round(c, 6) for c in ("repeat_share", "saved")})
 
 
 @query("image_tokens", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import scalar as S
 from larkspur.operators import relational as R, stats as A, windows as W
 from larkspur.operators.ordering import running_sum, seeded_rank, top_k
+from larkspur.operators.paths import session_paths
 from larkspur.plans.registry import query
 from larkspur.plans.sqltext import shuffle, tokens
 
@@ -98,11 +99,28 @@ def iob_spans(t):
 
 
 @query("path_mining", """
-    WITH s AS (SELECT event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c, lead(event_type, 3) OVER w AS nxt
+    WITH e AS (SELECT user_id, ts::date AS day, ts, event_id, event_type,
+                      row_number() OVER (PARTITION BY user_id, ts::date ORDER BY ts, event_id) AS pos FROM events),
+    g AS (SELECT user_id, day, min(pos) FILTER (event_type = 'purchase') AS goal_at FROM e GROUP BY user_id, day),
+    s AS (SELECT e.user_id, e.day, coalesce(string_agg(event_type, ' > ' ORDER BY pos) FILTER (goal_at IS NULL OR pos < goal_at), '') AS path, any_value(goal_at) IS NOT NULL AS won
+          FROM e JOIN g ON e.user_id = g.user_id AND e.day = g.day GROUP BY e.user_id, e.day)
+    SELECT path, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, ' > ')) END::bigint AS n_steps, count(*) AS n, count(*) FILTER (won) AS n_goal,
+           round(count(*) FILTER (won) / count(*), 6) AS success_rate FROM s GROUP BY path""")
+def path_mining(t):
+    """Paths of whole sessions (a user's day) up to the first purchase, and how often they led to one."""
+    events = t.events.select("event_id", "user_id", "ts", "event_type", F.to_date("ts").alias("day"))
+    paths = session_paths(events, ["user_id", "day"], ["ts", "event_id"], "event_type", "purchase", F.date_trunc("hour", "ts"))
+    return paths.withColumn("success_rate", F.round("success_rate", 6))
+
+
+@query("step_runs", """
+    WITH s AS (SELECT event_type AS a, lead(event_type, 1) OVER w AS b, lead(event_type, 2) OVER w AS c, lead(event_type, 3) OVER w AS nxt,
+                      row_number() OVER w AS pos, count(*) OVER (PARTITION BY user_id, ts::date) AS n
                FROM events WINDOW w AS (PARTITION BY user_id, ts::date ORDER BY ts, event_id))
     SELECT concat_ws(' > ', a, b, c) AS path, count(*) AS n, count(*) FILTER (nxt = 'purchase') AS n_goal,
-           round(count(*) FILTER (nxt = 'purchase') / count(*), 6) AS success_rate FROM s WHERE c IS NOT NULL GROUP BY 1""")
-def path_mining(t):
+           round(count(*) FILTER (nxt = 'purchase') / count(*), 6) AS success_rate FROM s WHERE pos <= greatest(n - 2, 1) GROUP BY 1""")
+def step_runs(t):
+    """Runs of three consecutive steps, and how often the step right after is a purchase; a shorter session is one run."""
     events = t.events.select("event_id", "user_id", "ts", "event_type", F.to_date("ts").alias("day"))
     paths = W.step_paths(
         events, ["user_id", "day"], ["ts", "event_id"], "event_type", "purchase", 3, F.date_trunc("minute", "ts")
