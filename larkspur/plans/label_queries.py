@@ -9,8 +9,10 @@ from pyspark.sql import Window, functions as F
 
 from larkspur.functions import scalar as S
 from larkspur.operators import answers as N, labels as L
+from larkspur.operators.folds import contradicted, out_of_fold
 from larkspur.plans.registry import query
 from larkspur.plans.sqltext import score, shuffle, tokens
+from larkspur.session import saved
 
 # ---- structured answers ----------------------------------------------------------------------
 
@@ -269,6 +271,14 @@ def suspect_labels(t):
     )
 
 
+@query("out_of_fold_labels")
+def out_of_fold_labels(t):
+    """Labels that are contradicted by a model which has not seen them; planted wrong labels are looked for in a test."""
+    rows = t.spread("documents", "doc_id").select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
+    scored = saved(out_of_fold(rows, "doc_id", "quality", "text"), "scored")
+    return contradicted(scored, "quality").select("doc_id", "quality", "predicted", "fold", F.round("confidence", 6).alias("confidence"))
+
+
 @query("natural_labels", """
     SELECT CASE WHEN value >= 40 THEN 'positive' WHEN value < 5 THEN 'negative' ELSE 'neutral' END AS label, event_type, count(*) AS n
     FROM events GROUP BY ALL""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.plans.registry import query
 from larkspur.session import work_path
 from larkspur.streaming.collector import Collector
-from larkspur.streaming.monitor import append_to, dedupe, windowed_mentions
+from larkspur.streaming.monitor import all_windows, append_to, dedupe, state_on_disk, windowed_mentions
 
 
 def stamp(c):
@@ -47,15 +47,17 @@ def trigger_15min(t):
 
 
 @query("windowed_mentions", """
-    SELECT strftime(time_bucket(INTERVAL 15 MINUTES, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n
-    FROM events WHERE time_bucket(INTERVAL 15 MINUTES, ts, TIMESTAMP '1970-01-01') + INTERVAL 15 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
-    GROUP BY ALL""")
+    WITH w AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n,
+           start + INTERVAL 15 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS final FROM w""")
 def windowed_mentions_query(t):
-    """Windows that are final, i.e. end no later than one hour before the newest event."""
+    """Every window of the stream: those that are final, i.e. end no later than one hour before the newest event, and those still
+    open as they stand."""
     folder = work_path(t.spark, "mentions")
-    append_to(windowed_mentions(t.stream("events"), "ts", "event_type"), folder, availableNow=True).awaitTermination()
-    done = t.spark.read.parquet(f"{folder}/rows")
-    return done.select(stamp("window_start").alias("window_start"), "event_type", "n")
+    with state_on_disk(t.spark):
+        append_to(windowed_mentions(t.stream("events"), "ts", "event_type"), folder, availableNow=True).awaitTermination()
+    done = all_windows(t.spark, folder, "event_type")
+    return done.select(stamp("window_start").alias("window_start"), "event_type", "n", "final")
 
 
 @query("dedupe_stream", "SELECT event_type, count(*) AS n, sum(event_id)::bigint AS id_sum FROM events GROUP BY event_type")
@@ -63,7 +65,8 @@ def dedupe_stream(t):
     """Two overlapping pulls of the same events leave every event once."""
     folder = work_path(t.spark, "dedupe")
     both = t.stream("events").union(t.stream("events"))
-    append_to(dedupe(both, "ts", "event_id"), folder, availableNow=True).awaitTermination()
+    with state_on_disk(t.spark):
+        append_to(dedupe(both, "ts", "event_id"), folder, availableNow=True).awaitTermination()
     return t.spark.read.parquet(f"{folder}/rows").groupBy("event_type").agg(
         F.count("*").alias("n"), F.sum("event_id").alias("id_sum")
     )

@@ -9,6 +9,9 @@ NAMES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+#: Bytes of files up to which a table is dealt anew for work per row.
+SMALL = 256 << 20
+
 
 class Tables:
     """``Tables(spark, folder).orders`` is the lazily scanned ``folder/orders.parquet``."""
@@ -26,11 +29,14 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
     def spread(self, name: str, *keys: str) -> DataFrame:
-        """The table for heavy work per row. One that is read as a single partition, which only a small
-        table in one file is, would be one task and is dealt to all cores; all others stay as they are."""
+        """The table for heavy work per row. A small table in fewer files than there are cores may be one row group, and so
+        one task, whatever its number of partitions says; it is dealt to all cores. All others stay as they are."""
         table = getattr(self, name)
         cores = self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores, *keys) if table.rdd.getNumPartitions() == 1 else table
+        size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if len(table.inputFiles()) >= cores or size > SMALL:
+            return table
+        return table.repartition(cores, *keys)
 
     def stream(self, name: str, **options) -> DataFrame:
         """The same table as an unbounded file source. A stream wants a folder or a pattern, and the
