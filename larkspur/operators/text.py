@@ -189,6 +189,17 @@ def class_words(counts: DataFrame, classes: DataFrame, id_col: str, label: str,
     return top_k(scored, [label], [F.desc("lift"), F.col("term")], k).select(label, "term", "n", "lift", "rn")
 
 
+def numbered_copies(df: DataFrame, n: str, out: str, run: int = 4096) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in ``out``. The numbers are made in runs of ``run``, so that many copies of a row are dealt
+    to tasks and are never one long list."""
+    starts = F.sequence(F.lit(0), F.floor((F.col(n) - 1) / run).cast("int"))
+    runs = df.where(F.col(n) > 0).withColumn("_run", F.explode(starts))
+    far = runs.where(F.col("_run") > 0).repartition(F.xxhash64("_run", *df.columns))
+    spread = runs.where(F.col("_run") == 0).unionByName(far)
+    last = F.least(F.col(n) - 1, F.col("_run") * run + (run - 1)).cast("int")
+    return spread.withColumn(out, F.explode(F.sequence((F.col("_run") * run).cast("int"), last))).drop("_run")
+
+
 def augment(df: DataFrame, id_col: str, text: str, copy: str, contractions: dict, synonyms: dict, drop_of_16: int, seed: str) -> DataFrame:
     """Reworded copies: contractions, synonym words, and words dropped at a seeded rate of
     ``drop_of_16`` in 16. Meant for training rows only."""

@@ -91,6 +91,7 @@ def ctas_cast(t):
         t.spark, name, t.events,
         {"event_id": "BIGINT", "ts": "DATE", "user_id": "STRING", "value": "FLOAT"}, work_path(t.spark, "ctas"),
     )
+    t.spark.sql(f"DROP TABLE {name}")  # the name only: the rows lie outside the warehouse and are read below
     return made.select(
         "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id", F.col("value").cast("double").alias("value")
     )

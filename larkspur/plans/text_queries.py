@@ -132,7 +132,7 @@ def augment_text(t):
     copies = sizes.withColumn("copies", F.floor(sizes.agg(F.max("n")).scalar() / F.col("n")).cast("int"))
     train = t.spread("documents", "doc_id").select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
     copied = join_group_stats(train, copies, ["quality"], "n", ["doc_id"])
-    rows = copied.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    rows = X.numbered_copies(copied, "copies", "copy")
     made = X.augment(rows, "doc_id", "text", "copy", CONTRACTIONS, SYNONYMS, 2, "aug")
     return made.select("doc_id", "copy", F.md5("text").alias("text_md5"))
 
@@ -392,7 +392,7 @@ def vector_ann_recall(t):
                FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id)
     SELECT vec_id, label, count(s) AS earlier, round(avg(s), 5) + 0.0 AS similarity FROM p GROUP BY ALL""")
 def novelty_similarity(t):
-    block = range_block(t.embeddings, "vec_id", 1024)
+    block = range_block(t.embeddings, "vec_id", max(1, min(65_536, t.embeddings.count() // 4096)))
     scored = V.mean_similarity_to_earlier(t.embeddings, "label", "vec_id", "embedding", 64, block)
     return scored.withColumn("similarity", S.rounded(F.col("similarity"), 5))
 

@@ -114,3 +114,19 @@ def test_collector_takes_ids_out_of_order(spark, tmp_path):
     collector.start(stream, availableNow=True).awaitTermination()
     assert sorted(r.id for r in collector.rows(spark).collect()) == [1, 2, 3, 4, 5, 6, 7]
     assert collector.state(spark).first().collected == 7 and collector.state(spark).first().since_id == 7
+
+
+def test_numbered_copies(spark):
+    from larkspur.operators.text import numbered_copies
+
+    df = spark.createDataFrame([("a", 3), ("b", 0), ("c", 25), ("d", 10)], "id string, n int")
+    rows = numbered_copies(df, "n", "copy", run=10).collect()
+    assert sorted((r.id, r["copy"]) for r in rows) == [*(("a", i) for i in range(3)), *(("c", i) for i in range(25)), *(("d", i) for i in range(10))]
+
+
+def test_ctas_leaves_no_table(spark):
+    from larkspur.plans import QUERIES
+
+    before = {t.name for t in spark.catalog.listTables()}
+    assert QUERIES["ctas_cast"](spark, "/root/testdata/sf0.001").count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before
