@@ -9,6 +9,7 @@ from larkspur.operators import billing as B, quality as Q, text as X, vectors as
 from larkspur.operators.names import name_hits, name_mentions
 from larkspur.operators.overlap import bleu, rouge_l
 from larkspur.operators.search_index import SearchIndex
+from larkspur.operators.tokens import ratio_by_group
 from larkspur.operators.vector_index import VectorIndex
 from larkspur.plans.registry import query
 from larkspur.plans.sqltext import tokens, words
@@ -59,6 +60,13 @@ def token_ratio_by_language(t):
     )
 
 
+@query("vocabulary_tokens_by_language")
+def vocabulary_tokens_by_language(t):
+    """Tokens of all texts by a published vocabulary, a character and relative to English."""
+    found = ratio_by_group(t.spread("documents", "doc_id"), "lang", "en", "text")
+    return found.withColumns({c: F.round(c, 6) for c in ("tokens_per_char", "ratio")})
+
+
 # ---- words and passages ----------------------------------------------------------------------
 
 

@@ -224,3 +224,22 @@ def test_windows_in_many_batches(spark, tmp_path):
     frame.where("ts >= '2024-01-01 06:10:00'").coalesce(1).write.mode("append").parquet(source)
     assert {k: n for k, (n, _) in run().items()} == wanted(frame)
     assert "rocksdb" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or "").lower()
+
+
+# ---- tokens by a vocabulary ------------------------------------------------------------------
+
+
+def test_tokens_are_those_of_another_library(spark):
+    from tokenizers import Tokenizer
+
+    from larkspur.operators.tokens import ratio_by_group
+
+    rows = [("en", "The quick brown fox, it's 12345 <|endoftext|>!"), ("en", ""), ("de", "Straßenbahnhaltestelle über 東京 \n\n  x"), ("de", None), (None, "abc"), ("fr", "œuvre d'été " * 50)]
+    plain = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    plain.encode_special_tokens = True
+    found = {r.lang: r for r in ratio_by_group(spark.createDataFrame(rows, "lang string, text string"), "lang", "en", "text").collect()}
+    for lang in {r[0] for r in rows}:
+        texts = [t for x, t in rows if x == lang and t is not None]
+        tokens, chars = sum(len(plain.encode(t, add_special_tokens=False).ids) for t in texts), sum(map(len, texts))
+        assert (found[lang].texts, found[lang].tokens) == (len(texts), tokens) and abs(found[lang].tokens_per_char - tokens / chars) < 1e-12
+    assert found["en"].ratio == 1.0
