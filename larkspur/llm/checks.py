@@ -50,7 +50,7 @@ b{k + 1} AS MATERIALIZED (
 def line_dedup(table: str, keep_first: bool) -> str:
     """Common table expressions up to ``deduped`` (doc_id, n_lines, n_dropped, text) for a table of documents."""
     first = "AND doc_id <> first_doc" if keep_first else ""
-    unspaced = "[" + "".join(rf"\p{{{x}}}" for x in UNSPACED) + "]"
+    unspaced = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in UNSPACED) + "]"
     return rf"""
 split_lines AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM {table}),
 plain AS (
@@ -67,9 +67,9 @@ variants AS MATERIALIZED (
     SELECT leaf, masked, n, tokens, {{'a': -n_docs, 'b': first.b, 'c': first.c, 'masked': masked}} AS rank, (n - ceil(n * {SIMILARITY}::DOUBLE - 1e-9::DOUBLE))::INT AS d, n - {DEPTH} AS rest FROM counted
     WHERE n > {DEPTH} AND ceil(n * {SIMILARITY}::DOUBLE - 1e-9::DOUBLE) < n QUALIFY count(*) OVER (PARTITION BY leaf) > 1),
 cut AS (
-    SELECT leaf, masked, rank, p AS part, CASE WHEN d >= rest THEN '' ELSE
+    SELECT leaf, masked, rank, p AS part, CASE WHEN d >= rest THEN '' WHEN d = 1 THEN array_to_string(list_concat(tokens[1:{DEPTH} + p], [''], tokens[{DEPTH} + p + 2:]), ' ') ELSE
         array_to_string(tokens[{DEPTH} + 1 + p * rest // least(d + 1, rest):{DEPTH} + (p + 1) * rest // least(d + 1, rest)], ' ') END AS run
-    FROM variants, unnest(range(CASE WHEN d >= rest THEN 1 ELSE d + 1 END)) AS r(p)),
+    FROM variants, unnest(range(CASE WHEN d >= rest THEN 1 WHEN d = 1 THEN rest ELSE d + 1 END)) AS r(p)),
 b0 AS MATERIALIZED (SELECT * FROM cut QUALIFY count(*) OVER (PARTITION BY leaf, part, run) > 1),""" + "".join(leader_round(k) for k in range(LEADER_ROUNDS)) + f"""
 assigned AS (""" + " UNION ALL ".join(f"SELECT leaf, masked, top.masked AS template FROM j{k}" for k in range(LEADER_ROUNDS)) + f"""),
 templated AS MATERIALIZED (SELECT doc_id, line_no, words, leaf, coalesce(template, masked) AS template FROM leafed LEFT JOIN assigned USING (leaf, masked)),

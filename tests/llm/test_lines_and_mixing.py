@@ -20,6 +20,8 @@ def runs_of(v, similarity=lines.SIMILARITY, depth=lines.DEPTH):
     rest = len(v) - depth
     if d >= rest:
         return {(0, ())}
+    if d == 1:
+        return {(i, v[:i] + ("",) + v[i + 1:]) for i in range(depth, len(v))}
     parts = min(d + 1, rest)
     return {(p, v[depth + p * rest // parts:depth + (p + 1) * rest // parts]) for p in range(parts)}
 
