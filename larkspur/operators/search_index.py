@@ -1,24 +1,33 @@
 """A kept search index: posting lists with places, in buckets of terms, for ranked and phrase search.
 
-A segment is what one batch of texts gave: ``postings`` (a row for each term and at most about ``BLOCK`` texts: ids, counts and
-places, ids and places as distances from their first), ``terms`` (texts a term) and ``texts`` (words a text), the first two in folders of ``bucket``,
-a hash of the term. A search reads the buckets of its terms only. Merging writes all segments as one.
+A segment is what one batch of texts gave. Its texts are dealt to groups by a hash of their id (``part``). ``postings`` has a row for each
+term and group: ids, counts and places (ids and places as distances from their first) and the words of those texts; and a row without a
+term that has all texts of the group, in a folder of its own (``NO_TERM``). ``terms`` has the texts a term. Both are in folders of
+``bucket``, a hash of the term. A search reads the buckets of its terms only and works on a group at a time, so that what it finds is
+cut to the best before it is shuffled. Merging writes all segments as one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkspur.functions.scalar import words
-from larkspur.operators.ordering import join_group_stats, top_k
+from larkspur.operators.ordering import top_k
 from larkspur.session import saved
 
-#: Texts in a posting row, and folders of terms.
-BLOCK, BUCKETS = 4096, 64
+#: Texts and letters in a group, folders of terms, groups in a file, and queries that meet a group at a time.
+BLOCK, LETTERS, BUCKETS, FILE, QUERIES = 4096, 8 << 20, 64, 64, 1024
+#: The folder of the rows that have all texts of a group.
+NO_TERM = -1
 #: Usual constants of the ranking: how soon more occurrences stop to count, and how much long texts lose.
 K1, B = 1.2, 0.75
+POSTINGS = "part long, term string, n int, ids array<long>, tfs array<int>, lengths array<int>, places array<array<int>>"
+FOLDERS = {"postings": f"{POSTINGS}, segment int, bucket int", "terms": "term string, df long, segment int, bucket int"}
 
 
 def coded(values: Column) -> Column:
@@ -30,10 +39,130 @@ def decoded(steps: Column) -> Column:
     return F.transform(steps, lambda x, i: F.when(i == 0, x).otherwise(x + F.get(steps, F.lit(0))))
 
 
-def term_places(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf, places): where each word occurs in each text, counted from 0."""
-    each = df.select(F.col(id_col).cast("long").alias("id"), F.posexplode(words(F.col(text))).alias("pos", "term")).where("id IS NOT NULL")
-    return each.groupBy("id", "term").agg(F.array_sort(F.collect_list(F.col("pos").cast("long"))).alias("places")).withColumn("tf", F.size("places"))
+def flat(table: pa.Table, column: str) -> tuple[np.ndarray, pa.Array]:
+    """Where each list of a column begins in all its values, one more at the end, and the values."""
+    lists = table[column].combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(size)]).astype(np.int64), lists.flatten()
+
+
+def from_first(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What :func:`coded` does, for lists one after the other that begin at ``starts``."""
+    steps = values - np.repeat(values[starts], np.diff(np.append(starts, len(values))))
+    steps[starts] = values[starts]
+    return steps
+
+
+def absolute(steps: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """What :func:`decoded` does, for lists that begin at ``begin``, which ends with the number of all values."""
+    starts = begin[:-1][np.diff(begin) > 0]
+    first = np.repeat(steps[starts], np.diff(np.append(starts, len(steps))))
+    values = steps + first
+    values[starts] = steps[starts]
+    return values
+
+
+def group_postings(texts: pa.Table) -> pa.Table:
+    """The rows of a group of texts (part, id, words): one without a term, then one for each word, with its texts in order of their ids."""
+    begin, values = flat(texts, "words")
+    part, n_words = texts["part"][0].as_py(), np.diff(begin)
+    ids, row = np.unique(texts["id"].to_numpy(), return_inverse=True)
+    encoded = values.dictionary_encode()
+    code, doc = encoded.indices.to_numpy(), np.repeat(row, n_words)
+    pos = np.arange(len(code)) - np.repeat(begin[:-1], n_words)
+    order = np.lexsort((pos, doc, code))
+    code, doc, pos = code[order], doc[order], pos[order]
+    new_term = np.diff(code, prepend=-1) != 0
+    pair = np.flatnonzero(new_term | (np.diff(doc, prepend=-1) != 0))  # where a term's places in a text begin
+    term = np.flatnonzero(new_term[pair])  # where a term's texts begin
+    length = np.bincount(row, n_words, len(ids)).astype(np.int64)
+
+    def lists(values, starts, end: int):
+        return pa.ListArray.from_arrays(pa.array(np.append(starts, end), pa.int32()), values)
+
+    def with_all(all_, own, kind):
+        return lists(pa.array(np.concatenate([all_, own]), kind), np.concatenate([[0], len(all_) + term]), len(all_) + len(own))
+
+    places = lists(pa.array(from_first(pos, pair), pa.int32()), pair, len(pos))
+    return pa.table({
+        "part": pa.array(np.full(len(term) + 1, part), pa.int64()),
+        "term": pa.concat_arrays([pa.array([None], encoded.dictionary.type), encoded.dictionary.take(pa.array(code[pair][term]))]).cast(pa.string()),
+        "n": pa.array(np.append(len(ids), np.diff(np.append(term, len(pair)))), pa.int32()),
+        "ids": with_all(from_first(ids, np.zeros(1, np.int64)), from_first(ids[doc[pair]], pair[:0] if not len(pair) else term), pa.int64()),
+        "tfs": with_all(np.zeros(0, np.int64), np.diff(np.append(pair, len(pos))), pa.int32()),
+        "lengths": with_all(length, length[doc[pair]], pa.int32()),
+        "places": lists(places, np.concatenate([[0], term]), len(pair)),
+    })
+
+
+def by_query(asked: pa.Table) -> tuple[pa.Array, list[list[int]]]:
+    """The queries, and the rows of each in order of terms."""
+    asked_by = asked["query_id"].combine_chunks()
+    asked_by = (asked_by if isinstance(asked_by, pa.Array) else pa.concat_arrays(asked_by.chunks)).dictionary_encode("encode")
+    rows: list[list[int]] = [[] for _ in range(len(asked_by.dictionary))]
+    terms, number = asked["term"].to_pylist(), asked_by.indices.to_numpy()
+    for i in sorted(range(len(terms)), key=terms.__getitem__):
+        rows[number[i]].append(i)
+    return asked_by.dictionary, rows
+
+
+def best_of_group(k: int, k1: float, b: float, digits: int, mean: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def best(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        begin, values = flat(postings, "ids")
+        ids, doc = np.unique(absolute(values.to_numpy(), begin), return_inverse=True)
+        tf, n_words = (flat(postings, c)[1].to_numpy().astype(np.float64) for c in ("tfs", "lengths"))
+        share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n_words / mean))
+        at = {term: slice(begin[i], begin[i + 1]) for i, term in enumerate(postings["term"].to_pylist())}
+        names, rows = by_query(asked)
+        terms, factor = asked["term"].to_pylist(), asked["times"].to_numpy() * asked["weight"].to_numpy()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for q, own in enumerate(rows):
+            met = [i for i in own if terms[i] in at]
+            if not met:
+                continue
+            sums = np.zeros(len(ids))
+            for i in met:
+                sums[doc[at[terms[i]]]] += factor[i] * share[at[terms[i]]]
+            here = np.flatnonzero(sums > 0)
+            score = np.round(sums[here], digits)
+            if len(here) > k:
+                good = score >= np.partition(score, len(here) - k)[len(here) - k]
+                here, score = here[good], score[good]
+            order = np.lexsort((here, -score))[:k]
+            found.append((np.full(len(order), q), ids[here[order]], score[order]))
+        q, near, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": names.take(pa.array(q)), "id": near, "score": score})
+
+    return best
+
+
+def phrases_of_group(postings: pa.Table, asked: pa.Table) -> pa.Table:
+    """Starts of a phrase are looked for at the places of its rarest word; the other words leave those that they follow."""
+    begin, values = flat(postings, "ids")
+    ids, doc = np.unique(absolute(values.to_numpy(), begin), return_inverse=True)
+    _, lists = flat(postings, "places")
+    size = lists.value_lengths().to_numpy()
+    place_begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    spot = (np.repeat(doc, size).astype(np.int64) << 32) + absolute(lists.flatten().to_numpy().astype(np.int64), place_begin)
+    at = {term: spot[place_begin[begin[i]]:place_begin[begin[i + 1]]] for i, term in enumerate(postings["term"].to_pylist())}
+    names, rows = by_query(asked)
+    terms, places = asked["term"].to_pylist(), asked["ats"].to_pylist()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for q, own in enumerate(rows):
+        if any(terms[i] not in at for i in own):
+            continue
+        wanted = sorted(((at[terms[i]], p) for i in own for p in places[i]), key=lambda x: len(x[0]))
+        start, first = wanted[0]
+        start = start[(start & 0xFFFFFFFF) >= first] - first
+        for spots, p in wanted[1:]:
+            where = np.minimum(np.searchsorted(spots, start + p), len(spots) - 1)
+            start = start[spots[where] == start + p]
+        if len(start):
+            here, hits = np.unique(start >> 32, return_counts=True)
+            found.append((np.full(len(here), q), ids[here], hits))
+    q, near, hits = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return pa.table({"query_id": names.take(pa.array(q)), "id": near, "hits": hits.astype(np.int64)})
 
 
 @dataclass
@@ -43,90 +172,91 @@ class SearchIndex:
     buckets: int = BUCKETS
 
     def bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+        return F.when(term.isNull(), F.lit(NO_TERM)).otherwise(F.pmod(F.xxhash64(term), F.lit(self.buckets))).cast("int")
 
     def add(self, df: DataFrame, id_col: str, text: str, segment: int, block: int = BLOCK) -> None:
         """Index texts as a segment (0, 1, ...). An id belongs to one segment and one row; a segment that is written again replaces
         itself. Rows without an id are left out; texts without words have no postings.
 
-        A term of more than ``block`` texts is cut into rows by ranges of ids, so that frequent terms are many rows and not one."""
-        slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-        places = saved(term_places(slim, "id", "text"), "places")
-        texts = places.groupBy("id").agg(F.sum("tf").alias("n_words"))
-        texts.write.mode("overwrite").parquet(f"{self.folder}/texts/segment={segment}")
-        terms = saved(places.groupBy("term").agg(F.count("*").alias("df"), F.min("id").alias("low"), F.max("id").alias("high")), "terms")
-        terms.select("term", "df", self.bucket(F.col("term")).alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/terms/segment={segment}")
-        parts = F.ceil(F.col("df") / block)
-        width = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("high") - F.col("low") + 1) / parts))
-        known = join_group_stats(places, terms.select("term", "df", "low", width.alias("width")), ["term"], "df", ["id"])
-        cut = known.withColumn("part", F.expr("(id - low) div width"))
-        rows = cut.groupBy("term", "part").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "places"))).alias("p"))
-        packed = rows.select(
-            "term", "part", coded(F.col("p")["id"]).alias("ids"), F.col("p")["tf"].alias("tfs"),
-            F.transform("p", lambda x: coded(x["places"])).alias("places"), self.bucket(F.col("term")).alias("bucket"))
-        spread = packed.repartition("bucket", "part").sortWithinPartitions("bucket", "term", "part")
-        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
+        Texts are shuffled once, to groups of about ``block`` texts or ``LETTERS`` bytes, and counted in their group; a frequent term
+        has a row in every group and not one row."""
+        slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+        n, letters = slim.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        groups = max(1, -(-n // block), -(-(letters or 0) // LETTERS))
+        dealt = slim.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups))).repartition("part")
+        texts = dealt.select("part", "id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+        self._write(texts.groupBy("part").applyInArrow(group_postings, POSTINGS), self.folder, segment)
+
+    def _write(self, rows: DataFrame, folder: str, segment: int) -> None:
+        spread = rows.withColumn("bucket", self.bucket(F.col("term"))).repartition("bucket", F.floor(F.col("part") / FILE)).sortWithinPartitions("bucket", "term", "part")
+        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/segment={segment}")
+        terms = SearchIndex(self.spark, folder, self.buckets)._read("postings").where((F.col("segment") == segment) & (F.col("bucket") != NO_TERM))
+        counted = terms.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+        counted.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms/segment={segment}")
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(FOLDERS[name]).parquet(f"{self.folder}/{name}")
+
+    def _groups(self) -> DataFrame:
+        """(segment, part, n, n_words) of each group of texts."""
+        n_words = F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)
+        return self._read("postings").where(F.col("bucket") == NO_TERM).select("segment", "part", "n", n_words.alias("n_words"))
 
     def merge(self, folder: str) -> SearchIndex:
-        """All segments as one in another folder: rows of a term that are neighbours in order of ids become one where they are
-        small. Nothing is counted anew."""
-        self._read("texts").select("id", "n_words").write.mode("overwrite").parquet(f"{folder}/texts/segment=0")
-        terms = self._read("terms").groupBy("bucket", "term").agg(F.sum("df").alias("df"))
-        saved_terms = saved(terms, "terms")
-        saved_terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms/segment=0")
-        rare = saved_terms.where(F.col("df") <= BLOCK).select("bucket", "term", F.lit(True).alias("rare"))
-        rows = self._read("postings").join(rare, ["bucket", "term"], "left")
-        common = rows.where("rare IS NULL").select("term", F.hash("segment", "part").cast("long").alias("part"), "ids", "tfs", "places", "bucket")
-        opened = F.arrays_zip(decoded(F.col("ids")).alias("id"), F.col("tfs").alias("tf"), F.col("places").alias("places"))
-        one = rows.where("rare").select("bucket", "term", F.inline(opened)).groupBy("bucket", "term").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "places"))).alias("p"))
-        joined = one.select("term", F.lit(0).cast("long").alias("part"), coded(F.col("p")["id"]).alias("ids"), F.col("p")["tf"].alias("tfs"), F.col("p")["places"].alias("places"), "bucket")
-        both = common.unionByName(joined).repartition("bucket", "part").sortWithinPartitions("bucket", "term", "part")
-        both.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/segment=0")
+        """All segments as one in another folder: groups of texts that are small become one. Nothing is counted anew."""
+        n, n_words = self._groups().agg(F.sum("n"), F.sum("n_words")).first()
+        groups = max(1, -(-(n or 0) // BLOCK), -(-(n_words or 0) * 8 // LETTERS))
+        part = F.pmod(F.xxhash64("segment", "part"), F.lit(groups))
+        opened = F.arrays_zip(
+            decoded(F.col("ids")).alias("id"), F.when(F.col("term").isNotNull(), F.col("tfs")).otherwise(F.col("lengths")).alias("tf"), F.col("lengths").alias("length"),
+            F.when(F.col("term").isNotNull(), F.col("places")).otherwise(F.transform("ids", lambda x: F.array().cast("array<int>"))).alias("places"))
+        rows = self._read("postings").select(part.alias("part"), "term", "n", opened.alias("p")).groupBy("part", "term").agg(
+            F.sum("n").cast("int").alias("n"), F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+        counted = F.col("term").isNotNull()
+        joined = rows.select(
+            "part", "term", "n", coded(F.col("p")["id"]).alias("ids"), F.when(counted, F.col("p")["tf"]).otherwise(F.array().cast("array<int>")).alias("tfs"),
+            F.col("p")["length"].alias("lengths"), F.when(counted, F.col("p")["places"]).otherwise(F.array().cast("array<array<int>>")).alias("places"))
+        self._write(joined, folder, 0)
         return SearchIndex(self.spark, folder, self.buckets)
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        """(query_id, term, times, bucket): the distinct words of each query."""
-        each = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        """(query_id, term, times, ats, bucket): the distinct words of each query, how often and where it has them."""
+        each = queries.select("query_id", F.posexplode(words(F.col("query"))).alias("at", "term")).groupBy("query_id", "term").agg(F.count("*").alias("times"), F.collect_list("at").alias("ats"))
         return saved(each.withColumn("bucket", self.bucket(F.col("term"))), "asked")
 
-    def _postings(self, asked: DataFrame, places: bool) -> DataFrame:
-        """(query_id, term, times, id, tf[, places]) of the texts that hold a word of a query. The buckets are named in the plan, so that
-        no other folder is read."""
+    def _wanted(self, name: str, asked: DataFrame) -> DataFrame:
+        """Rows of the words of the queries. The buckets are named in the plan, so that no other folder is read."""
         wanted = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most all buckets
-        columns = ["ids", "tfs"] + (["places"] if places else [])
-        rows = self._read("postings").where(F.col("bucket").isin(wanted)).select("bucket", "term", *columns)
-        terms = asked.select("bucket", "term").distinct()
-        met = rows.join(terms, ["bucket", "term"])
-        opened = [decoded(F.col("ids")).alias("id"), F.col("tfs").alias("tf")] + ([F.transform("places", decoded).alias("places")] if places else [])
-        single = met.select("term", F.inline(F.arrays_zip(*opened)))
-        return single.join(asked.select("query_id", "term", "times"), "term")
+        return self._read(name).where(F.col("bucket").isin(wanted)).join(asked.select("bucket", "term").distinct(), ["bucket", "term"])
+
+    def _postings(self, asked: DataFrame, places: bool) -> DataFrame:
+        """(segment, part, term, ids, then tfs and lengths, or places) of the groups that hold a word of a query."""
+        return self._wanted("postings", asked).select("segment", "part", "term", "ids", *(["places"] if places else ["tfs", "lengths"]))
+
+    def _by_group(self, asked: DataFrame, places: bool, work: Callable[[pa.Table, pa.Table], pa.Table], found: str) -> DataFrame:
+        """What ``work`` finds in each group of texts for about ``QUERIES`` queries at a time: the postings of a group are copied for each
+        such part of the queries, the words of the queries for each group."""
+        parts = max(1, -(-asked.select("query_id").distinct().count() // QUERIES))
+        dealt = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("queries")
+        postings = self._postings(asked, places).join(asked.select("term", dealt).distinct(), "term")
+        groups = self._groups().select("segment", "part")  # a row for thousands of texts
+        copies = asked.select(*[c for c in asked.columns if c != "bucket"], dealt).crossJoin(F.broadcast(groups))
+        keys, kind = ["segment", "part", "queries"], dict(asked.dtypes)["query_id"]
+        return postings.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(work, f"query_id {kind}, id long, {found}")
 
     def ranked(self, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, digits: int = 9) -> DataFrame:
         """The k best texts of each query (query_id, query) by BM25: query_id, id, score, rank. Equal scores are in order of ids.
 
-        Words that no text has do not count; a word that a query repeats counts as often."""
+        Words that no text has do not count; a word that a query repeats counts as often. Each group of texts gives k rows a query."""
         asked = self._asked(queries)
-        texts = self._read("texts")
-        n, length = texts.agg(F.count("*"), F.avg("n_words")).first()
-        wanted = [r.bucket for r in asked.select("bucket").distinct().collect()]
-        df = self._read("terms").where(F.col("bucket").isin(wanted)).join(asked.select("bucket", "term").distinct(), ["bucket", "term"]).groupBy("term").agg(F.sum("df").alias("df"))
+        n, n_words = self._groups().agg(F.sum("n"), F.sum("n_words")).first()
+        df = self._wanted("terms", asked).groupBy("term").agg(F.sum("df").alias("df"))
         weight = F.ln(1 + (F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        found = self._postings(asked, False)
-        scored = found.join(df.select("term", weight.alias("weight")), "term").join(texts.select("id", "n_words"), "id")
-        share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_words") / F.lit(length or 1.0)))
-        sums = scored.groupBy("query_id", "id").agg(F.round(F.sum(F.col("times") * F.col("weight") * share), digits).alias("score"))
-        return top_k(sums, ["query_id"], [F.desc("score"), F.col("id")], k, "rank")
+        weighed = saved(asked.join(df.select("term", weight.alias("weight")), "term"), "weighed")
+        found = self._by_group(weighed, False, best_of_group(k, k1, b, digits, n_words / n if n else 1.0), "score double")
+        return top_k(found, ["query_id"], [F.desc("score"), F.col("id")], k, "rank")
 
     def phrases(self, queries: DataFrame) -> DataFrame:
         """Texts that hold the words of a query (query_id, query) one after the other: query_id, id, hits (how often). Queries without
         words find nothing."""
-        each = queries.select("query_id", F.posexplode(words(F.col("query"))).alias("at", "term"))
-        size = each.groupBy("query_id").agg(F.count("*").alias("size"))
-        asked = saved(each.groupBy("query_id", "term").agg(F.collect_list("at").alias("ats"), F.count("*").alias("times")).withColumn("bucket", self.bucket(F.col("term"))), "asked")
-        found = self._postings(asked, True).join(asked.select("query_id", "term", "ats"), ["query_id", "term"])
-        starts = F.flatten(F.transform("ats", lambda at: F.transform("places", lambda p: p - at)))
-        begun = found.select("query_id", "id", F.explode(starts).alias("start")).groupBy("query_id", "id", "start").agg(F.count("*").alias("met"))
-        return begun.join(size, "query_id").where("met = size").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+        return self._by_group(self._asked(queries), True, phrases_of_group, "hits long")

@@ -146,3 +146,18 @@ def test_a_search_reads_the_buckets_of_its_terms_only(spark, tmp_path):
     rows = index._postings(index._asked(spark.createDataFrame([(1, "a b")], "query_id long, query string")), False)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+def test_a_ranked_search_leaves_its_best_of_each_group_only(spark, tmp_path, monkeypatch):
+    """Copies have one score, so that ids decide; queries are dealt to parts, and no group gives more than k rows a query."""
+    monkeypatch.setattr("larkspur.operators.search_index.QUERIES", 1)
+    texts = [(i, "a b") for i in range(200)] + [(500, "b c a"), (501, "c")]
+    index = SearchIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", 0, block=25)
+    asked = spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q3", "c")], "query_id string, query string")
+    got = [tuple(r) for r in index.ranked(asked, 3).select("query_id", "id", "rank").orderBy("query_id", "rank").collect()]
+    assert got == [("q1", 0, 1), ("q1", 1, 2), ("q1", 2, 3), ("q2", 0, 1), ("q2", 1, 2), ("q2", 2, 3), ("q3", 501, 1), ("q3", 500, 2)]
+    groups = index._groups().count()
+    assert groups > 1 and index._groups().groupBy().sum("n").first()[0] == 202
+    plan = index.ranked(asked, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("FlatMapCoGroupsInArrow")
