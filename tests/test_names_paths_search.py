@@ -161,3 +161,16 @@ def test_a_ranked_search_leaves_its_best_of_each_group_only(spark, tmp_path, mon
     assert groups > 1 and index._groups().groupBy().sum("n").first()[0] == 202
     plan = index.ranked(asked, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("FlatMapCoGroupsInArrow")
+
+
+def test_a_phrase_is_looked_for_in_its_group(spark, tmp_path, monkeypatch):
+    """Places are never rows of a shuffle: a phrase of frequent words is met where its words lie together."""
+    monkeypatch.setattr("larkspur.operators.search_index.QUERIES", 2)
+    texts = [(i, "a b " * 50 + "x" * (i % 3 == 0)) for i in range(60)] + [(100, "b a a b"), (101, None)]
+    index = SearchIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", 0, block=9)
+    queries = [(1, "b x"), (2, "a b a"), (3, "a a"), (4, "x a")]
+    frame = index.phrases(spark.createDataFrame(queries, "query_id long, query string"))
+    assert "FlatMapCoGroupsInArrow" in frame._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.query_id, r.id): r.hits for r in frame.collect()}
+    assert found == {(q, i): n for q, text in queries for i, n in brute_phrases(texts, text).items()}
