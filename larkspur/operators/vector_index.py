@@ -57,6 +57,20 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None, :], 0)
 
 
+def nearest_centres(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """Numbers of the nearest centres of each row, nearest first. The product is rounded by what else is in the batch, so centres
+    within that of the nearest are measured exactly: a vector and its copies have one first cell, whatever batch they come in."""
+    rough = squared(x, centres)
+    near = np.argsort(rough, 1, "stable")[:, :probes] if probes > 1 else rough.argmin(1)[:, None]
+    scale = (x * x).sum(1) + (centres * centres).sum(1).max()
+    close = rough <= rough.min(1)[:, None] + 1e-9 * scale[:, None]
+    for i in np.flatnonzero(close.sum(1) > 1):
+        at = np.flatnonzero(close[i])
+        first = at[((centres[at] - x[i]) ** 2).sum(1).argmin()]
+        near[i] = np.concatenate([[first], near[i][near[i] != first]])[:probes]
+    return near
+
+
 @dataclass
 class VectorIndex:
     """An index kept in ``folder``: ``rows/batch=N/cell=C`` has the vectors, ``centres`` and ``about`` what they were dealt by."""
@@ -115,9 +129,7 @@ class VectorIndex:
                 if not batch.num_rows:
                     continue
                 x = matrix(batch.column("v"))
-                near = np.concatenate([
-                    np.argsort(squared(x[at:at + BLOCK], centres), 1, "stable")[:, :probes] if probes > 1 else squared(x[at:at + BLOCK], centres).argmin(1)[:, None]
-                    for at in range(0, len(x), BLOCK)])
+                near = np.concatenate([nearest_centres(x[at:at + BLOCK], centres, probes) for at in range(0, len(x), BLOCK)])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, "cells"])
 
@@ -170,29 +182,36 @@ class VectorIndex:
 
     def recall(self, queries: DataFrame, id_col: str, vector: str, k: int, probes: int, judged: int = JUDGED) -> float:
         """The share of the exact neighbours that a search finds, measured on at most about ``judged`` queries (by a hash of their id)."""
-        places = self._places(queries, id_col, vector, k, judged)
+        places, _, _ = self._places(queries, id_col, vector, k, judged)
         total = sum(places.values())
         return sum(n for place, n in places.items() if place <= probes) / total if total else 1.0
 
-    def tune(self, queries: DataFrame, id_col: str, vector: str, k: int = 5, least: float = 0.9, judged: int = JUDGED) -> tuple[int, float]:
+    def tune(self, queries: DataFrame, id_col: str, vector: str, k: int = 5, least: float = 0.9, judged: int = JUDGED, sure: float = 4.0) -> tuple[int, float]:
         """The smallest number of cells that finds at least ``least`` of the exact neighbours, and the share it finds; measured as in
-        :meth:`recall`."""
-        places = self._places(queries, id_col, vector, k, judged)
+        :meth:`recall`.
+
+        Where not all queries are judged, the share of all of them differs by chance from that of the judged. Then so many cells are
+        taken that the share is above ``least`` by ``sure`` standard errors of its mean over queries, or that all is found."""
+        places, asked, n = self._places(queries, id_col, vector, k, judged)
         total, found = sum(places.values()), 0
         for place in sorted(places):
             found += places[place]
-            if found >= least * total:
-                return place, found / total
+            share = found / total
+            # neighbours of a query may all be missed together, so a query counts as one trial
+            spread = sure * np.sqrt(max(share * (1 - share), 1 / n ** 2) / n) if n < asked else 0.0
+            if found == total or (found >= least * total and share - spread >= least):
+                return place, share
         return 1, 1.0
 
-    def _places(self, queries: DataFrame, id_col: str, vector: str, k: int, judged: int) -> dict[int, int]:
-        """How many exact neighbours are in the nearest cell of their query, in the second, and so on. A search of some cells gives the
+    def _places(self, queries: DataFrame, id_col: str, vector: str, k: int, judged: int) -> tuple[dict[int, int], int, int]:
+        """How many exact neighbours are in the nearest cell of their query, in the second, and so on; all queries, and those judged. A search of some cells gives the
         nearest vectors in them, so it finds every exact neighbour that is there."""
         asked = prepared(queries, id_col, vector, self.metric, self.centres.shape[1]).withColumnRenamed("id", "query_id")
-        one_in = max(1, -(-asked.count() // judged))
+        n = asked.count()
+        one_in = max(1, -(-n // judged))
         few = saved(asked.where(F.pmod(F.xxhash64("query_id", F.lit("judge")), F.lit(one_in)) == 0), "judged")
         exact = vector_topk(self.rows(), few, "id", "v", k, "l2").select("query_id", "id")  # on unit vectors the order is that of the cosine
         cells = self.nearest_cells(few, len(self.centres), ["query_id"])
         met = exact.join(self.rows().select("id", "cell"), "id").join(cells, "query_id")
         counts = met.groupBy(F.array_position("cells", F.col("cell")).cast("int").alias("place")).agg(F.count("*").alias("n"))
-        return {r.place: r.n for r in counts.collect()}  # as many rows as centres
+        return {r.place: r.n for r in counts.collect()}, n, few.count()  # as many rows as centres

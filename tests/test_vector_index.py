@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from larkspur.operators.vector_index import VectorIndex
+from larkspur.operators.vector_index import VectorIndex, nearest_centres
 from larkspur.operators.vectors import best_rows, vector_topk
 
 
@@ -100,3 +100,26 @@ def test_best_rows_with_ties():
     x = np.array([[0.0, 0.0]] * 50 + [[1.0, 0.0]])
     row, ids, distance = best_rows(np.array([[0.0, 0.0], [5.0, 0.0]]), x, np.arange(51)[::-1].copy(), 3, False)
     assert row.tolist() == [0, 0, 0, 1, 1, 1] and ids.tolist() == [1, 2, 3, 0, 1, 2] and distance[:4].tolist() == [0, 0, 0, 4]
+
+
+def test_a_share_of_few_queries_is_reached_by_all(spark, tmp_path):
+    """Where only some queries are judged, so many cells are taken that all queries together find what is asked for."""
+    x = vectors(1500)
+    table = frame(spark, x)
+    index = VectorIndex.build(table, "vec_id", "embedding", str(tmp_path / "index"))
+    queries = table.where("vec_id % 3 = 0")
+    least = 0.9
+    few, _ = index.tune(queries, "vec_id", "embedding", 5, least, judged=60, sure=0.0)
+    probes, share = index.tune(queries, "vec_id", "embedding", 5, least, judged=60)
+    assert probes > few and share > least
+    assert index.recall(queries, "vec_id", "embedding", 5, probes) >= least
+
+
+def test_a_vector_between_two_centres_has_one_first_cell():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (40, 64))
+    centres[20:] = centres[:20]  # every centre twice: rounding alone decides
+    x = rng.normal(0, 1, (300, 64))
+    alone = np.concatenate([nearest_centres(v[None], centres, 3)[:, :1] for v in x])
+    assert (nearest_centres(x, centres, 1) == alone).all() and (nearest_centres(x, centres, 3)[:, :1] == alone).all()
+    assert (alone < 20).all() and all(len(set(row)) == 3 for row in nearest_centres(x, centres, 3).tolist())
