@@ -7,12 +7,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from larkspur.functions.scalar import words
 
 #: Letters of names in a shard of the dictionary: what a task holds of it at a time.
 SHARD = 8 << 20
+#: Bytes of texts that are searched at a time; the hits of so much are held in Python.
+PIECE = 1 << 20
 HITS = "id {id}, text_key long, start int, n_words int, name string"
 
 
@@ -87,6 +90,15 @@ def normalised(names: DataFrame, name: str) -> DataFrame:
     return names.select(F.array_join(words(F.col(name)), " ").alias("name")).where("name <> ''").distinct()
 
 
+def pieces(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``size`` bytes of text; a text is not cut."""
+    n_bytes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(n_bytes) // size)) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
 def shards(names: DataFrame, shard: int) -> Iterator[list[str]]:
     """The dictionary in parts of about ``shard`` letters."""
     size = names.agg(F.sum(F.length("name"))).first()[0] or 0
@@ -110,18 +122,22 @@ def name_hits(df: DataFrame, id_col: str, text: str, names: DataFrame, name: str
         held: list[NameTrie] = []
         sent = df.sparkSession.sparkContext.broadcast(part)
 
+        def found_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found = [held[0].find(x.split(" ")) for x in batch.column("words").to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            if not len(row):
+                return
+            start, size, name = zip(*[h for own in found for h in own])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id").take(row), batch.column("text_key").take(row), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(name)],
+                ["id", "text_key", "start", "n_words", "name"])
+
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not held:
                 held.append(NameTrie(sent.value))
             for batch in batches:
-                found = [held[0].find(x.split(" ")) for x in batch.column("words").to_pylist()]
-                row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                if not len(row):
-                    continue
-                start, size, name = zip(*[h for own in found for h in own])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("id").take(pa.array(row)), batch.column("text_key").take(pa.array(row)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(name)],
-                    ["id", "text_key", "start", "n_words", "name"])
+                for piece in pieces(batch, "words", PIECE):
+                    yield from found_in(piece)
 
         return rows.mapInArrow(look, schema)
 

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.operators import names as names_module
 from larkspur.operators.names import NameTrie, name_hits, name_mentions
 from larkspur.operators.paths import session_paths
 from larkspur.operators.search_index import SearchIndex
@@ -174,3 +176,16 @@ def test_a_phrase_is_looked_for_in_its_group(spark, tmp_path, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in frame._jdf.queryExecution().optimizedPlan().toString()
     found = {(r.query_id, r.id): r.hits for r in frame.collect()}
     assert found == {(q, i): n for q, text in queries for i, n in brute_phrases(texts, text).items()}
+
+
+def test_texts_are_searched_in_pieces(spark, monkeypatch):
+    """Hits of a piece of a batch are held at a time, so that memory does not grow with the rows of a batch."""
+    texts = ["a b c", None, "", "d" * 50, "a", "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["words"])
+    parts = [p.column(0).to_pylist() for p in names_module.pieces(batch, "words", 5)]
+    assert sum(parts, []) == texts and len(parts) == 2 and list(names_module.pieces(batch.slice(0, 0), "words", 5)) == []
+    monkeypatch.setattr(names_module, "PIECE", 30)
+    names, rows = random_names(1, 30), list(enumerate(random_texts(2, 80)))
+    found = name_hits(spark.createDataFrame(rows, "id long, text string"), "id", "text", spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    want = sorted((i, *h) for i, text in rows for h in brute_hits(text, set(names)))
+    assert sorted((r.id, r.start, r.n_words, r.name) for r in found.collect()) == want
