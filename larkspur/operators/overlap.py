@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from larkspur.functions.scalar import ngrams, ratio, words
+from larkspur.functions.scalar import ratio, words
+
+#: Pairs whose runs of words are counted at a time.
+PAIRS = 1024
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -38,27 +42,56 @@ def rouge_l(df: DataFrame, candidate: str, reference: str) -> DataFrame:
     return rows.withColumns({"lcs_precision": ratio(n, c), "lcs_recall": ratio(n, r), "lcs_f1": ratio(2 * n, c + r)}).drop("_c", "_r")
 
 
-def bleu(df: DataFrame, ids: list[str], candidate: str, reference: str, n: int = 4) -> DataFrame:
-    """BLEU of each text: ids, the clipped precision of every length up to ``n`` (p1, p2, ...), brevity and bleu.
+def gram_counts(a: pa.Array, b: pa.Array, n: int) -> np.ndarray:
+    """For each pair of word lists a row: how many runs of 1 to ``n`` words of a are in b too (each as often as both have it), how many a
+    has of each length, and the words of b. Runs get numbers, a length at a time, and are counted for all rows at once."""
+    sizes = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in (a, b)]
+    encoded = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode()
+    word, n_words = encoded.indices.to_numpy().astype(np.int64), max(1, len(encoded.dictionary))
+    size = np.concatenate(sizes).astype(np.int64)
+    row = np.repeat(np.concatenate([np.arange(len(a)), np.arange(len(b))]), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(word))  # words from here to the end of the list
+    first_of_b = int(sizes[0].sum())
+    found = np.zeros((len(a), 2 * n + 1), np.int64)
+    found[:, 2 * n] = sizes[1]
+    run = word
+    for k in range(1, n + 1):
+        at = np.flatnonzero(left >= k)
+        if k > 1:
+            longer = np.zeros(len(word), np.int64)
+            longer[at] = np.unique(run[at] * n_words + word[at + k - 1], return_inverse=True)[1]
+            run = longer
+        of_a = at < first_of_b
+        kinds, kind = np.unique(row[at] * (len(word) + 1) + run[at], return_inverse=True)
+        both = np.minimum(np.bincount(kind[of_a], minlength=len(kinds)), np.bincount(kind[~of_a], minlength=len(kinds)))
+        found[:, k - 1] = np.bincount(kinds // (len(word) + 1), both, len(a))
+        found[:, n + k - 1] = np.bincount(row[at[of_a]], minlength=len(a))
+    return found
+
+
+def with_bleu(df: DataFrame, candidate: str, reference: str, n: int = 4) -> DataFrame:
+    """Add the clipped precision of every length up to ``n`` (p1, p2, ...), brevity and bleu. A pair is counted in its row; nothing is
+    shuffled. Null texts have no words.
 
     bleu is brevity times the geometric mean of the precisions, 0 if one of them is 0. A candidate shorter than the reference
-    has the brevity exp(1 - words of the reference / words of the candidate), any other 1. One row is expected for
-    each set of ids; texts without words have 0 in all columns."""
-    def of_length(k: int) -> Column:
-        return F.transform(ngrams(F.col("_w"), k), lambda g: F.struct(F.lit(k).alias("k"), g.alias("gram")))
-
-    def counted(text: str, side: str) -> DataFrame:
-        w = words(F.coalesce(F.col(text), F.lit("")))
-        grams = F.flatten(F.array(*[of_length(k) for k in range(1, n + 1)]))
-        return df.select(*ids, w.alias("_w")).select(*ids, F.inline(grams)).groupBy(*ids, "k", "gram").agg(F.count("*").alias(side))
-
-    both = counted(candidate, "c").join(counted(reference, "r"), [*ids, "k", "gram"], "full").na.fill(0, ["c", "r"])
-    sums = both.groupBy(*ids).agg(
-        *[F.sum(F.when(F.col("k") == k, F.least("c", "r")).otherwise(0)).alias(f"m{k}") for k in range(1, n + 1)],
-        *[F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(1, n + 1)],
-        F.sum(F.when(F.col("k") == 1, F.col("r")).otherwise(0)).alias("r1"))
-    p = {f"p{k}": ratio(F.col(f"m{k}"), F.col(f"c{k}")) for k in range(1, n + 1)}
-    brevity = F.when(F.col("c1") == 0, F.lit(0.0)).when(F.col("c1") >= F.col("r1"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r1") / F.col("c1")))
-    scored = df.select(*ids).join(sums.select(*ids, *[c.alias(name) for name, c in p.items()], brevity.alias("brevity")), ids, "left").na.fill(0.0)
+    has the brevity exp(1 - words of the reference / words of the candidate), any other 1. A candidate without
+    words has 0 in all columns."""
+    @F.arrow_udf(ArrayType(LongType()))
+    def counted(a: pa.Array, b: pa.Array) -> pa.Array:
+        found = [gram_counts(a.slice(at, PAIRS), b.slice(at, PAIRS), n) for at in range(0, len(a), PAIRS)]
+        counts = np.concatenate([x.ravel() for x in found]) if found else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * (2 * n + 1), pa.int32()), pa.array(counts, pa.int64()))
+
+    w = {c: words(F.coalesce(F.col(text), F.lit(""))) for c, text in (("_c", candidate), ("_r", reference))}
+    rows = df.withColumns(w).withColumn("_n", counted("_c", "_r")).drop("_c", "_r")
+    p = {f"p{k}": ratio(F.col("_n")[k - 1], F.col("_n")[n + k - 1]) for k in range(1, n + 1)}
+    c1, r1 = F.col("_n")[n], F.col("_n")[2 * n]
+    brevity = F.when(c1 == 0, F.lit(0.0)).when(c1 >= r1, F.lit(1.0)).otherwise(F.exp(1 - r1 / c1))
+    scored = rows.withColumns({**p, "brevity": brevity}).drop("_n")
     logs = sum((F.ln(F.col(name)) for name in p), F.lit(0.0)) / n
     return scored.withColumn("bleu", F.when(F.least(*[F.col(name) for name in p]) > 0, F.col("brevity") * F.exp(logs)).otherwise(F.lit(0.0)))
+
+
+def bleu(df: DataFrame, ids: list[str], candidate: str, reference: str, n: int = 4) -> DataFrame:
+    """BLEU of each row: ids and the columns of :func:`with_bleu`."""
+    return with_bleu(df, candidate, reference, n).select(*ids, *[f"p{k}" for k in range(1, n + 1)], "brevity", "bleu")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import scalar as S
 from larkspur.operators import billing as B, quality as Q, text as X, vectors as V
 from larkspur.operators.names import name_hits, name_mentions
-from larkspur.operators.overlap import bleu, rouge_l
+from larkspur.operators.overlap import rouge_l, with_bleu
 from larkspur.operators.search_index import SearchIndex
 from larkspur.operators.tokens import ratio_by_group
 from larkspur.operators.vector_index import VectorIndex
@@ -204,9 +204,8 @@ def answer_similarity(t):
 
     copy = F.array_join(F.flatten(F.transform(S.words(F.col("text")), reworded)), " ")
     pairs = asked.unionAll(answers.select("conv_id", "turn", F.lit("reworded").alias("kind"), copy.alias("candidate"), F.col("text").alias("reference")))
-    keys = ["conv_id", "turn", "kind"]
-    scored = rouge_l(pairs, "candidate", "reference").select(*keys, "lcs", F.round("lcs_f1", 6).alias("rouge_l"))
-    return bleu(pairs, keys, "candidate", "reference").select(*keys, S.rounded(F.col("bleu"), 6).alias("bleu")).join(scored, keys)
+    scored = rouge_l(with_bleu(pairs, "candidate", "reference"), "candidate", "reference")
+    return scored.select("conv_id", "turn", "kind", S.rounded(F.col("bleu"), 6).alias("bleu"), "lcs", F.round("lcs_f1", 6).alias("rouge_l"))
 
 
 @query("quality_filter", rf"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import metrics as M
 from larkspur.operators.folds import contradicted, out_of_fold
-from larkspur.operators.overlap import bleu, common_subsequence, rouge_l
+from larkspur.operators.overlap import bleu, common_subsequence, rouge_l, with_bleu
 from larkspur.operators.reliability import reliability
 from larkspur.session import work_path
 from larkspur.streaming.monitor import all_windows, append_to, state_on_disk, windowed_mentions
@@ -243,3 +243,12 @@ def test_tokens_are_those_of_another_library(spark):
         tokens, chars = sum(len(plain.encode(t, add_special_tokens=False).ids) for t in texts), sum(map(len, texts))
         assert (found[lang].texts, found[lang].tokens) == (len(texts), tokens) and abs(found[lang].tokens_per_char - tokens / chars) < 1e-12
     assert found["en"].ratio == 1.0
+
+
+def test_both_measures_of_a_pair_need_no_shuffle(spark):
+    rows = [(1, "a b c d e", "a b c x e"), (1, "a a a a a", "a a"), (2, None, "a"), (3, "", "")]
+    df = spark.createDataFrame(rows, "id long, c string, r string")
+    scored = rouge_l(with_bleu(df, "c", "r"), "c", "r")
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {(x.id, x.c): (x.p1, x.p2, x.p3, x.p4, x.brevity, x.lcs) for x in scored.collect()}
+    assert got == {(1, "a b c d e"): (0.8, 0.5, 1 / 3, 0.0, 1.0, 4), (1, "a a a a a"): (0.4, 0.25, 0.0, 0.0, 1.0, 2), (2, None): (0, 0, 0, 0, 0, 0), (3, ""): (0, 0, 0, 0, 0, 0)}
