@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from larkspur.operators.ordering import first_value, join_group_stats, next_values, running_sum, seeded_rank
+from larkspur.operators.ordering import computed_once, first_value, join_group_stats, next_values, running_sum, seeded_rank
 
 
 def sort_by_group_max(df: DataFrame, group: str, value: str, *ties: str) -> DataFrame:
@@ -47,6 +47,23 @@ def iob_spans(tokens: DataFrame, doc: str, pos: str, token: str, tag: str, block
     )
 
 
+def iob_spans_of_lists(df: DataFrame, doc: str, tokens: str, tags: str) -> DataFrame:
+    """What :func:`iob_spans` finds, for texts that are a row each with all their tokens and tags as lists: a span is cut out of its
+    row, and nothing is shuffled."""
+    places = F.when(F.size(tags) > 0, F.sequence(F.lit(0), F.size(tags) - 1))
+    starts = F.filter(places, lambda i: ~F.startswith(F.get(tags, i), F.lit("I-")))
+    rows = computed_once(df.select(doc, tokens, tags), _starts=starts)
+
+    def ends(start: Column, i: Column) -> Column:
+        return F.struct(start.alias("start"), F.coalesce(F.get("_starts", i + 1), F.size(tags)).alias("end"))
+
+    spans = F.filter(F.transform("_starts", ends), lambda s: F.startswith(F.get(tags, s["start"]), F.lit("B-")))
+    found = F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), F.substring(F.get(tags, s["start"]), 3, 100).alias("label"),
+        F.array_join(F.slice(tokens, s["start"] + 1, s["end"] - s["start"]), " ").alias("entity")))
+    return rows.select(doc, F.inline(found))
+
+
 def learning_prefixes(df: DataFrame, id_col: str, seed: str, fractions: Sequence[float]) -> DataFrame:
     """Nested prefixes of a seeded shuffle: each row once per fraction it belongs to."""
     ranked = seeded_rank(df, id_col, seed, out="_rn", total="_total")

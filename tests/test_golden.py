@@ -1,6 +1,7 @@
 """Published worked numbers and hand-made edge cases."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -306,3 +307,13 @@ def test_growth_of_zero_start_is_null(spark):
     df = spark.createDataFrame([(1, 1, 0.0), (1, 2, 5.0), (1, 3, 10.0)], "k INT, t INT, v DOUBLE")
     row = A.ohlc(df, ["k"], ["t"], "v", F.lit(0)).first()
     assert row["growth"] is None and row["volatility"] == 0.0 and row["trading_days"] == 3
+
+
+def test_iob_spans_of_lists_are_those_of_tokens_without_a_shuffle(spark):
+    rng = random.Random(5)
+    texts = [(i, [rng.choice(["B-PER", "B-LOC", "I-PER", "I-LOC", "O"]) for _ in range(rng.randint(0, 30))]) for i in range(40)] + [(100, ["I-PER"]), (101, ["B-LOC", "I-LOC"]), (102, None)]
+    df = spark.createDataFrame([(i, tags and [f"w{j}" for j in range(len(tags))], tags) for i, tags in texts], "doc INT, tokens ARRAY<STRING>, tags ARRAY<STRING>")
+    each = df.select("doc", F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "x")).select("doc", "pos", F.col("x.tokens").alias("token"), F.col("x.tags").alias("tag"))
+    found = W.iob_spans_of_lists(df, "doc", "tokens", "tags")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, W.iob_spans(each, "doc", "pos", "token", "tag", block_tokens=4).collect()))
