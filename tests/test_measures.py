@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from larkspur.operators import metrics as M
 from larkspur.operators.folds import contradicted, out_of_fold
 from larkspur.operators.overlap import bleu, common_subsequence, rouge_l, with_bleu
 from larkspur.operators.reliability import reliability
+from larkspur.operators.tokens import texts, token_count
 from larkspur.session import work_path
 from larkspur.streaming.monitor import all_windows, append_to, state_on_disk, windowed_mentions
 
@@ -252,3 +254,11 @@ def test_both_measures_of_a_pair_need_no_shuffle(spark):
     assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
     got = {(x.id, x.c): (x.p1, x.p2, x.p3, x.p4, x.brevity, x.lcs) for x in scored.collect()}
     assert got == {(1, "a b c d e"): (0.8, 0.5, 1 / 3, 0.0, 1.0, 4), (1, "a a a a a"): (0.4, 0.25, 0.0, 0.0, 1.0, 2), (2, None): (0, 0, 0, 0, 0, 0), (3, ""): (0, 0, 0, 0, 0, 0)}
+
+
+def test_only_some_texts_of_a_batch_are_strings_at_a_time(spark):
+    values = ["a", None, "b c"] * 100
+    lazy = texts(pa.array(values))
+    assert next(lazy) == "a" and list(lazy) == values[1:] and list(texts(pa.array([], pa.string()))) == []
+    found = spark.createDataFrame([(v,) for v in values], "text string").select(token_count(spark, "text").alias("n")).groupBy("n").count().collect()
+    assert {r.n: r["count"] for r in found} == {None: 100, 1: 100, 2: 100}
