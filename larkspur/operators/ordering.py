@@ -67,9 +67,11 @@ def join_group_stats(
     )
     right = marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     slice_hash = F.xxhash64("_g", "_salt")
-    return left.withColumn("_k", slice_hash).join(right.withColumn("_k", slice_hash), ["_k", "_g", "_salt"]).drop(
-        "_k", "_g", "_salt"
-    )
+    # the keys travel once, inside _g, and are taken out of it behind the join
+    slim = left.withColumn("_k", slice_hash).drop(*keys)
+    joined = slim.join(right.withColumn("_k", slice_hash), ["_k", "_g", "_salt"])
+    own = [F.col("_g")[c].alias(c) if c in keys else F.col(c) for c in rows.columns]
+    return joined.select(*own, *[c for c in stats.columns if c not in keys])
 
 
 def semi_join(

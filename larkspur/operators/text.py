@@ -151,10 +151,17 @@ def contacts(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf): how often each word occurs in each text."""
-    return df.select(id_col, F.explode(words(F.col(text))).alias("term")).groupBy(id_col, "term").agg(
-        F.count("*").alias("tf")
-    )
+    """(id, term, tf): how often each word occurs in each text. The ids are looked at first: where each has one row, words are
+    sorted and counted in their row and nothing is shuffled; only rows that share an id have to be counted together."""
+    if df.groupBy(id_col).count().where("count > 1").limit(1).count():
+        return df.select(id_col, F.explode(words(F.col(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    rows = computed_once(df.select(id_col, text), _w=F.sort_array(words(F.col(text))))
+    places = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1))
+    first = F.filter(places, lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1)))
+    starts = computed_once(rows.select(id_col, "_w"), _starts=first)
+    counted = F.transform("_starts", lambda start, i: F.struct(
+        F.get("_w", start).alias("term"), (F.coalesce(F.get("_starts", i + 1), F.size("_w")) - start).cast("long").alias("tf")))
+    return starts.select(id_col, F.inline(counted))
 
 
 def dictionary_mentions(counts: DataFrame, names: DataFrame, name: str) -> DataFrame:

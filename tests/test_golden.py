@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -317,3 +318,14 @@ def test_iob_spans_of_lists_are_those_of_tokens_without_a_shuffle(spark):
     found = W.iob_spans_of_lists(df, "doc", "tokens", "tags")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, W.iob_spans(each, "doc", "pos", "token", "tag", block_tokens=4).collect()))
+
+
+def test_words_are_counted_in_their_row_where_ids_are_unique(spark):
+    texts = [(1, "The cat the DOG cat the"), (2, ""), (3, None), (None, "x x"), (4, "z")]
+    df = spark.createDataFrame(texts, "doc INT, text STRING")
+    counts = X.term_counts(df, "doc", "text")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    want = Counter((i, w) for i, text in texts for w in (text or "").lower().split())
+    assert {(r.doc, r.term): r.tf for r in counts.collect()} == want
+    twice = X.term_counts(df.unionAll(df.where("doc = 1 OR doc IS NULL")), "doc", "text")
+    assert {(r.doc, r.term): r.tf for r in twice.collect()} == {k: n * (2 if k[0] in (1, None) else 1) for k, n in want.items()}
