@@ -6,10 +6,12 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.sql import functions as F
 
 from larkspur.operators import metrics as M
-from larkspur.operators.folds import contradicted, out_of_fold
+from larkspur.operators.folds import FEATURES, contradicted, out_of_fold, text_classifier, text_features
 from larkspur.operators.overlap import bleu, common_subsequence, rouge_l, with_bleu
 from larkspur.operators.reliability import reliability
 from larkspur.operators.tokens import texts, token_count
@@ -157,6 +159,31 @@ def test_out_of_fold_with_one_label(spark):
     assert out_of_fold(df.where("false"), "doc_id", "quality", "text").collect() == []
 
 
+def test_out_of_fold_hashes_words_once_for_all_folds(spark):
+    """Models read vectors that were written before them, and give what a pipeline gives that hashes the words of each fold anew."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("river stone garden casino pills the".split(), k=rng.randint(0, 12))), int(rng.random() < 0.5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    scored = out_of_fold(df, "doc_id", "quality", "text", folds=2)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "features" in plan and "words" not in plan and "hashed" not in plan
+
+    def pipeline(features, label):
+        parts = ["hashed", *FEATURES]
+        hashed = HashingTF(inputCol="words", outputCol="hashed", numFeatures=1 << 11, binary=True)
+        return Pipeline(stages=[hashed, VectorAssembler(inputCols=parts, outputCol=features), text_classifier(features, label)])
+
+    anew = {r.doc_id: r.p for r in out_of_fold(df, "doc_id", "quality", "text", 2, classifier=pipeline, vectors=lambda rows: rows).collect()}
+    found = {r.doc_id: r.p for r in scored.collect()}
+    assert len(found) == 60 and all(math.isclose(p, anew[i], abs_tol=1e-9) for i, p in found.items())
+
+
+def test_word_length_counts_letters_of_words(spark):
+    texts = ["ab, cde!", "", "...", "é\U0001d54f 12"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", text_features(F.col("text"))["word_length"].alias("n"))
+    assert {r.text: r.n for r in df.collect()} == {"ab, cde!": 2.5, "": 0.0, "...": 0.0, "é\U0001d54f 12": 2.0}
+
+
 # ---- tournaments -----------------------------------------------------------------------------
 
 
