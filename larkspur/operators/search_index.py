@@ -1,10 +1,10 @@
 """A kept search index: posting lists with places, in buckets of terms, for ranked and phrase search.
 
 A segment is what one batch of texts gave. Its texts are dealt to groups by a hash of their id (``part``). ``postings`` has a row for each
-term and group: ids, counts and places (ids and places as distances from their first) and the words of those texts; and a row without a
-term that has all texts of the group, in a folder of its own (``NO_TERM``). ``terms`` has the texts a term. Both are in folders of
-``bucket``, a hash of the term. A search reads the buckets of its terms only and works on a group at a time, so that what it finds is
-cut to the best before it is shuffled. Merging writes all segments as one.
+term and group: ids, counts and places (ids, and the places in a text, as distances from their first; all places are one list, which the
+counts cut into texts) and the words of those texts; and a row without a term that has all texts of the group, in a folder of its own
+(``NO_TERM``). ``terms`` has the texts a term. Both are in folders of ``bucket``, a hash of the term. A search reads the buckets of its
+terms only and works on a group at a time, so that what it finds is cut to the best before it is shuffled. Merging writes all segments as one.
 """
 
 from __future__ import annotations
@@ -26,19 +26,10 @@ BLOCK, LETTERS, BUCKETS, FILE, QUERIES = 4096, 8 << 20, 64, 64, 1024
 NO_TERM = -1
 #: Usual constants of the ranking: how soon more occurrences stop to count, and how much long texts lose.
 K1, B = 1.2, 0.75
-POSTINGS = "part long, term string, n int, ids array<long>, tfs array<int>, lengths array<int>, places array<array<int>>"
+POSTINGS = "part long, term string, n int, ids array<long>, tfs array<int>, lengths array<int>, places array<int>"
 FOLDERS = {"postings": f"{POSTINGS}, segment int, bucket int", "terms": "term string, df long, segment int, bucket int"}
 
 
-def coded(values: Column) -> Column:
-    """The first of some increasing numbers, and how far the others are from it."""
-    return F.transform(values, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(values, F.lit(0))))
-
-
-def decoded(steps: Column) -> Column:
-    return F.transform(steps, lambda x, i: F.when(i == 0, x).otherwise(x + F.get(steps, F.lit(0))))
-
-
 def flat(table: pa.Table, column: str) -> tuple[np.ndarray, pa.Array]:
     """Where each list of a column begins in all its values, one more at the end, and the values."""
     lists = table[column].combine_chunks()
@@ -48,14 +39,19 @@ def flat(table: pa.Table, column: str) -> tuple[np.ndarray, pa.Array]:
 
 
 def from_first(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """What :func:`coded` does, for lists one after the other that begin at ``starts``."""
+    """The first of some increasing numbers, and how far the others are from it, for lists one after the other that begin at ``starts``."""
     steps = values - np.repeat(values[starts], np.diff(np.append(starts, len(values))))
     steps[starts] = values[starts]
     return steps
 
 
+def as_lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Lists one after the other that begin at ``starts``."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
+
+
 def absolute(steps: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """What :func:`decoded` does, for lists that begin at ``begin``, which ends with the number of all values."""
+    """The numbers that :func:`from_first` was given, for lists that begin at ``begin``, which ends with the number of all values."""
     starts = begin[:-1][np.diff(begin) > 0]
     first = np.repeat(steps[starts], np.diff(np.append(starts, len(steps))))
     values = steps + first
@@ -78,13 +74,9 @@ def group_postings(texts: pa.Table) -> pa.Table:
     term = np.flatnonzero(new_term[pair])  # where a term's texts begin
     length = np.bincount(row, n_words, len(ids)).astype(np.int64)
 
-    def lists(values, starts, end: int):
-        return pa.ListArray.from_arrays(pa.array(np.append(starts, end), pa.int32()), values)
-
     def with_all(all_, own, kind):
-        return lists(pa.array(np.concatenate([all_, own]), kind), np.concatenate([[0], len(all_) + term]), len(all_) + len(own))
+        return as_lists(np.concatenate([all_, own]), np.concatenate([[0], len(all_) + term]), kind)
 
-    places = lists(pa.array(from_first(pos, pair), pa.int32()), pair, len(pos))
     return pa.table({
         "part": pa.array(np.full(len(term) + 1, part), pa.int64()),
         "term": pa.concat_arrays([pa.array([None], encoded.dictionary.type), encoded.dictionary.take(pa.array(code[pair][term]))]).cast(pa.string()),
@@ -92,7 +84,36 @@ def group_postings(texts: pa.Table) -> pa.Table:
         "ids": with_all(from_first(ids, np.zeros(1, np.int64)), from_first(ids[doc[pair]], pair[:0] if not len(pair) else term), pa.int64()),
         "tfs": with_all(np.zeros(0, np.int64), np.diff(np.append(pair, len(pos))), pa.int32()),
         "lengths": with_all(length, length[doc[pair]], pa.int32()),
-        "places": lists(places, np.concatenate([[0], term]), len(pair)),
+        "places": as_lists(from_first(pos, pair), np.concatenate([[0], pair[term]]), pa.int32()),
+    })
+
+
+def merged_postings(postings: pa.Table) -> pa.Table:
+    """One row for each term of some rows of postings, with its texts in order of their ids."""
+    begin, values = flat(postings, "ids")
+    (_, tfs), (_, lengths), (_, places) = (flat(postings, c) for c in ("tfs", "lengths", "places"))
+    ids, tfs, lengths, places = absolute(values.to_numpy(), begin), tfs.to_numpy(), lengths.to_numpy(), places.to_numpy()
+    terms = postings["term"].combine_chunks()
+    terms = (terms if isinstance(terms, pa.Array) else pa.concat_arrays(terms.chunks)).dictionary_encode("encode")
+    code = np.repeat(terms.indices.to_numpy(), np.diff(begin))
+    order = np.lexsort((ids, code))
+    ids, code, lengths = ids[order], code[order], lengths[order]
+    term = np.flatnonzero(np.diff(code, prepend=-1))
+    if len(tfs):  # rows without a term have no counts
+        place = np.cumsum(tfs) - tfs
+        tfs, place = tfs[order], place[order]
+        pair = np.cumsum(tfs) - tfs
+        places = places[np.repeat(place - pair, tfs) + np.arange(len(places))]
+    counted = len(tfs) > 0
+    none = np.zeros(len(term), np.int64)
+    return pa.table({
+        "part": pa.array(np.full(len(term), postings["part"][0].as_py()), pa.int64()),
+        "term": terms.dictionary.take(pa.array(code[term])).cast(pa.string()),
+        "n": pa.array(np.diff(np.append(term, len(ids))), pa.int32()),
+        "ids": as_lists(from_first(ids, term), term, pa.int64()),
+        "tfs": as_lists(tfs, term if counted else none, pa.int32()),
+        "lengths": as_lists(lengths, term, pa.int32()),
+        "places": as_lists(places, pair[term] if counted else none, pa.int32()),
     })
 
 
@@ -141,10 +162,9 @@ def phrases_of_group(postings: pa.Table, asked: pa.Table) -> pa.Table:
     """Starts of a phrase are looked for at the places of its rarest word; the other words leave those that they follow."""
     begin, values = flat(postings, "ids")
     ids, doc = np.unique(absolute(values.to_numpy(), begin), return_inverse=True)
-    _, lists = flat(postings, "places")
-    size = lists.value_lengths().to_numpy()
-    place_begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    spot = (np.repeat(doc, size).astype(np.int64) << 32) + absolute(lists.flatten().to_numpy().astype(np.int64), place_begin)
+    size = flat(postings, "tfs")[1].to_numpy().astype(np.int64)
+    place_begin = np.concatenate([[0], np.cumsum(size)])
+    spot = (np.repeat(doc, size).astype(np.int64) << 32) + absolute(flat(postings, "places")[1].to_numpy().astype(np.int64), place_begin)
     at = {term: spot[place_begin[begin[i]]:place_begin[begin[i + 1]]] for i, term in enumerate(postings["term"].to_pylist())}
     names, rows = by_query(asked)
     terms, places = asked["term"].to_pylist(), asked["ats"].to_pylist()
@@ -207,16 +227,8 @@ class SearchIndex:
         n, n_words = self._groups().agg(F.sum("n"), F.sum("n_words")).first()
         groups = max(1, -(-(n or 0) // BLOCK), -(-(n_words or 0) * 8 // LETTERS))
         part = F.pmod(F.xxhash64("segment", "part"), F.lit(groups))
-        opened = F.arrays_zip(
-            decoded(F.col("ids")).alias("id"), F.when(F.col("term").isNotNull(), F.col("tfs")).otherwise(F.col("lengths")).alias("tf"), F.col("lengths").alias("length"),
-            F.when(F.col("term").isNotNull(), F.col("places")).otherwise(F.transform("ids", lambda x: F.array().cast("array<int>"))).alias("places"))
-        rows = self._read("postings").select(part.alias("part"), "term", "n", opened.alias("p")).groupBy("part", "term").agg(
-            F.sum("n").cast("int").alias("n"), F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
-        counted = F.col("term").isNotNull()
-        joined = rows.select(
-            "part", "term", "n", coded(F.col("p")["id"]).alias("ids"), F.when(counted, F.col("p")["tf"]).otherwise(F.array().cast("array<int>")).alias("tfs"),
-            F.col("p")["length"].alias("lengths"), F.when(counted, F.col("p")["places"]).otherwise(F.array().cast("array<array<int>>")).alias("places"))
-        self._write(joined, folder, 0)
+        rows = self._read("postings").withColumn("part", part).groupBy("part", "bucket").applyInArrow(merged_postings, POSTINGS)
+        self._write(rows, folder, 0)
         return SearchIndex(self.spark, folder, self.buckets)
 
     def _asked(self, queries: DataFrame) -> DataFrame:
@@ -230,8 +242,8 @@ class SearchIndex:
         return self._read(name).where(F.col("bucket").isin(wanted)).join(asked.select("bucket", "term").distinct(), ["bucket", "term"])
 
     def _postings(self, asked: DataFrame, places: bool) -> DataFrame:
-        """(segment, part, term, ids, then tfs and lengths, or places) of the groups that hold a word of a query."""
-        return self._wanted("postings", asked).select("segment", "part", "term", "ids", *(["places"] if places else ["tfs", "lengths"]))
+        """(segment, part, term, ids, tfs, then places or lengths) of the groups that hold a word of a query."""
+        return self._wanted("postings", asked).select("segment", "part", "term", "ids", "tfs", "places" if places else "lengths")
 
     def _by_group(self, asked: DataFrame, places: bool, work: Callable[[pa.Table, pa.Table], pa.Table], found: str) -> DataFrame:
         """What ``work`` finds in each group of texts for about ``QUERIES`` queries at a time: the postings of a group are copied for each

@@ -178,6 +178,19 @@ def test_a_phrase_is_looked_for_in_its_group(spark, tmp_path, monkeypatch):
     assert found == {(q, i): n for q, text in queries for i, n in brute_phrases(texts, text).items()}
 
 
+def test_places_of_a_posting_are_one_list(spark, tmp_path):
+    """A list for each text would take more room in a shuffle than its places; the counts cut the list, in a merged index too."""
+    index = SearchIndex(spark, str(tmp_path / "index"), buckets=4)
+    for segment, texts in enumerate([[(7, "a b a"), (3, "b a")], [(5, "a a a"), (1, "c")]]):
+        index.add(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", segment)
+    assert dict(index._read("postings").dtypes)["places"] == "array<int>"
+    merged = index.merge(str(tmp_path / "merged"))
+    rows = {r.term: (r.n, r.ids, r.tfs, r.lengths, r.places) for r in merged._read("postings").collect()}
+    assert rows == {
+        None: (4, [1, 2, 4, 6], [], [1, 2, 3, 3], []), "a": (3, [3, 2, 4], [1, 3, 2], [2, 3, 3], [1, 0, 1, 2, 0, 2]),
+        "b": (2, [3, 4], [1, 1], [2, 3], [0, 1]), "c": (1, [1], [1], [1], [0])}
+
+
 def test_texts_are_searched_in_pieces(spark, monkeypatch):
     """Hits of a piece of a batch are held at a time, so that memory does not grow with the rows of a batch."""
     texts = ["a b c", None, "", "d" * 50, "a", "b"]
