@@ -20,8 +20,10 @@ from larkspur.functions.scalar import words
 from larkspur.operators.ordering import top_k
 from larkspur.session import saved
 
-#: Texts and letters in a group, folders of terms, groups in a file, and queries that meet a group at a time.
+#: Texts and letters in a group, folders of terms, groups in a file of a merged index, and queries that meet a group at a time.
 BLOCK, LETTERS, BUCKETS, FILE, QUERIES = 4096, 8 << 20, 64, 64, 1024
+#: Groups that a task counts and writes, if there are enough for all cores.
+TASK = 8
 #: The folder of the rows that have all texts of a group.
 NO_TERM = -1
 #: Usual constants of the ranking: how soon more occurrences stop to count, and how much long texts lose.
@@ -199,17 +201,19 @@ class SearchIndex:
         itself. Rows without an id are left out; texts without words have no postings.
 
         Texts are shuffled once, to groups of about ``block`` texts or ``LETTERS`` bytes, and counted in their group; a frequent term
-        has a row in every group and not one row."""
+        has a row in every group and not one row. What a task has counted of up to ``TASK`` groups it sorts and writes itself."""
         slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
         n, letters = slim.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
         groups = max(1, -(-n // block), -(-(letters or 0) // LETTERS))
-        dealt = slim.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups))).repartition("part")
-        texts = dealt.select("part", "id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-        self._write(texts.groupBy("part").applyInArrow(group_postings, POSTINGS), self.folder, segment)
+        size = max(1, min(TASK, groups // (4 * self.spark.sparkContext.defaultParallelism)))
+        dealt = slim.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("task", F.floor(F.col("part") / size)).repartition("task")
+        texts = dealt.select("task", "part", "id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+        self._write(texts.groupBy("task", "part").applyInArrow(group_postings, POSTINGS), self.folder, segment)
 
     def _write(self, rows: DataFrame, folder: str, segment: int) -> None:
-        spread = rows.withColumn("bucket", self.bucket(F.col("term"))).repartition("bucket", F.floor(F.col("part") / FILE)).sortWithinPartitions("bucket", "term", "part")
-        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/segment={segment}")
+        """Rows are written from where they are, in order of their folders only: one number is sorted without comparing rows."""
+        rows = rows.withColumn("bucket", self.bucket(F.col("term"))).sortWithinPartitions("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/segment={segment}")
         terms = SearchIndex(self.spark, folder, self.buckets)._read("postings").where((F.col("segment") == segment) & (F.col("bucket") != NO_TERM))
         counted = terms.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
         counted.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms/segment={segment}")
@@ -223,11 +227,13 @@ class SearchIndex:
         return self._read("postings").where(F.col("bucket") == NO_TERM).select("segment", "part", "n", n_words.alias("n_words"))
 
     def merge(self, folder: str) -> SearchIndex:
-        """All segments as one in another folder: groups of texts that are small become one. Nothing is counted anew."""
+        """All segments as one in another folder: groups of texts that are small become one, and so do files of a bucket. Nothing is
+        counted anew."""
         n, n_words = self._groups().agg(F.sum("n"), F.sum("n_words")).first()
         groups = max(1, -(-(n or 0) // BLOCK), -(-(n_words or 0) * 8 // LETTERS))
         part = F.pmod(F.xxhash64("segment", "part"), F.lit(groups))
-        rows = self._read("postings").withColumn("part", part).groupBy("part", "bucket").applyInArrow(merged_postings, POSTINGS)
+        dealt = self._read("postings").withColumn("part", part).withColumn("file", F.floor(F.col("part") / FILE)).repartition("bucket", "file")
+        rows = dealt.groupBy("bucket", "file", "part").applyInArrow(merged_postings, POSTINGS)
         self._write(rows, folder, 0)
         return SearchIndex(self.spark, folder, self.buckets)
 

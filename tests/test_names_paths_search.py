@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from larkspur.operators import names as names_module
 from larkspur.operators.names import NameTrie, name_hits, name_mentions
@@ -191,6 +191,26 @@ def test_places_of_a_posting_are_one_list(spark, tmp_path):
         "b": (2, [3, 4], [1, 1], [2, 3], [0, 1]), "c": (1, [1], [1], [1], [0])}
 
 
+def test_postings_are_written_where_they_are_counted(spark, tmp_path, monkeypatch):
+    """Texts are shuffled, and not what is counted of them, which is more; merging shuffles postings once."""
+    plans = []
+
+    def parquet(self, path, *args, write=DataFrameWriter.parquet, **kwargs):
+        if "/postings/" in path:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    monkeypatch.setattr("larkspur.operators.search_index.TASK", 2)
+    texts = [(i, f"a b w{i % 7}") for i in range(300)]
+    index = SearchIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", 0, block=4)
+    merged = index.merge(str(tmp_path / "merged"))
+    assert len(plans) == 2 and all(p.count("Exchange") == 1 and "FlatMapGroupsInArrow" in p for p in plans)
+    for i in (index, merged):
+        assert {(r.id, r.hits) for r in i.phrases(spark.createDataFrame([(1, "b w3")], "query_id long, query string")).collect()} == {(n, 1) for n in range(3, 300, 7)}
+
+
 def test_texts_are_searched_in_pieces(spark, monkeypatch):
     """Hits of a piece of a batch are held at a time, so that memory does not grow with the rows of a batch."""
     texts = ["a b c", None, "", "d" * 50, "a", "b"]
